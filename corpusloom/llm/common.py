@@ -57,6 +57,10 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
     if col.nbytes <= most:
         yield batch
         return
+    if not (pa.types.is_string(col.type) or pa.types.is_binary(col.type) or pa.types.is_large_string(col.type)):
+        step = max(1, int(n * most / col.nbytes))
+        yield from (batch.slice(i, step) for i in range(0, n, step))
+        return
     sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, size in enumerate(sizes):

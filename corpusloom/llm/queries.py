@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from . import langid, quality_model, quality_rules, secrets
-from .common import table
+from . import bpe, langid, quality_model, quality_rules, secrets, simhash, token_rollup
+from .common import shared_dir, table
 
 
 def bucket(key, n: int):
@@ -19,6 +21,16 @@ def op1_quality_classifier(spark, sf_dir):
     return out.select("doc_id", F.coalesce(bucket(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_bpe(spark, sf_dir):
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     profiles = langid.learn(docs.where(bucket(F.col("doc_id"), 4) != 2), "text", "lang", "doc_id")
@@ -35,5 +47,39 @@ def op6_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {q.__name__: q for q in (op1_quality_classifier, op3_language_id, op4_secret_scan, op6_quality_rules)}
-SQL: dict[str, str] = {}
+def op8_token_rollup(spark, sf_dir):
+    """All documents are inserted, those labelled bad are deleted, and those labelled toxic (and not bad) are revised: a
+    review mark is put at their end.  The delete batch is sent twice and counts once.
+    """
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ledger = token_rollup.TokenLedger(spark, f"{shared_dir(spark).rstrip('/')}/loom-tokens-{uuid.uuid4().hex}")
+    ledger.apply("insert", token_rollup.events("insert", token_rollup.counted(docs, F.col("text"))))
+    bad = labels.where("quality = 0").select("doc_id").distinct()
+    toxic = labels.where("toxic = 1").select("doc_id").distinct().join(bad, "doc_id", "left_anti")
+    ledger.apply("delete", token_rollup.deletes(bad))
+    marked = docs.join(toxic, "doc_id", "left_semi")
+    ledger.apply("revise", token_rollup.events("revise", token_rollup.counted(marked, F.concat(F.coalesce("text", F.lit("")), F.lit(" [reviewed]")))))
+    ledger.apply("delete", token_rollup.deletes(bad))
+    return ledger.totals()
+
+
+OP8_SQL = r"""
+WITH bad AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0),
+toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+present AS (
+  SELECT source, lang, CASE WHEN doc_id IN (SELECT doc_id FROM toxic WHERE doc_id IS NOT NULL) THEN coalesce(text, '') || ' [reviewed]' ELSE coalesce(text, '') END AS t
+  FROM documents d WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.doc_id = d.doc_id)),
+counted AS (
+  SELECT source, lang, 'words-1' AS version, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n FROM present
+  UNION ALL
+  SELECT source, lang, 'pieces-2', len(regexp_extract_all(t, '[A-Za-z0-9]+|[^\x20\x09-\x0DA-Za-z0-9]')) FROM present)
+SELECT source, lang, version, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM counted GROUP BY ALL
+"""
+
+
+def op10_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_quality_classifier, op2_bpe, op3_language_id, op4_secret_scan, op6_quality_rules, op8_token_rollup, op10_simhash)}
+SQL: dict[str, str] = {"op8_token_rollup": OP8_SQL}
