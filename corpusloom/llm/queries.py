@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality_model, quality_rules, secrets, simhash, token_rollup
+from . import bpe, decontaminate, langid, masked_lm, quality_model, quality_rules, secrets, simhash, token_rollup
 from .common import shared_dir, table
 
 
@@ -42,6 +42,10 @@ def op4_secret_scan(spark, sf_dir):
     return secrets.detect(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op5_decontamination(spark, sf_dir):
+    return decontaminate.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark, sf_dir):
     out = quality_rules.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -77,9 +81,14 @@ SELECT source, lang, version, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens
 """
 
 
+def op9_masked_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, masked_lm.fit(docs))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality_classifier, op2_bpe, op3_language_id, op4_secret_scan, op6_quality_rules, op8_token_rollup, op10_simhash)}
+QUERIES = {q.__name__: q for q in (op1_quality_classifier, op2_bpe, op3_language_id, op4_secret_scan, op5_decontamination, op6_quality_rules, op8_token_rollup, op9_masked_lm, op10_simhash)}
 SQL: dict[str, str] = {"op8_token_rollup": OP8_SQL}
