@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, masked_lm, quality_model, quality_rules, secrets, simhash, token_rollup
+from . import bpe, decontaminate, langid, masked_lm, quality_model, quality_rules, secrets, simhash, suffix_dedup, token_rollup
 from .common import shared_dir, table
 
 
@@ -51,6 +51,10 @@ def op6_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_token_rollup(spark, sf_dir):
     """All documents are inserted, those labelled bad are deleted, and those labelled toxic (and not bad) are revised: a
     review mark is put at their end.  The delete batch is sent twice and counts once.
@@ -90,5 +94,5 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality_classifier, op2_bpe, op3_language_id, op4_secret_scan, op5_decontamination, op6_quality_rules, op8_token_rollup, op9_masked_lm, op10_simhash)}
+QUERIES = {q.__name__: q for q in (op1_quality_classifier, op2_bpe, op3_language_id, op4_secret_scan, op5_decontamination, op6_quality_rules, op7_suffix_dedup, op8_token_rollup, op9_masked_lm, op10_simhash)}
 SQL: dict[str, str] = {"op8_token_rollup": OP8_SQL}
