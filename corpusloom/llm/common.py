@@ -84,6 +84,7 @@ def annotate(
     factory() is called once in each task and returns f(texts, *inputs) -> (mask or None, list of arrays or lists);
     a mask drops rows, and the lists then hold the kept rows only.
     """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))  # long texts come in small batches
     clash = {f.name.lower() for f in fields}
     carried = [c for c in carry if c.lower() not in clash]
     used = [text, *inputs]
