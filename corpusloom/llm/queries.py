@@ -61,12 +61,12 @@ def op8_token_rollup(spark, sf_dir):
     """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     ledger = token_rollup.TokenLedger(spark, f"{shared_dir(spark).rstrip('/')}/loom-tokens-{uuid.uuid4().hex}")
-    ledger.apply("insert", token_rollup.events("insert", token_rollup.counted(docs, F.col("text"))))
+    now, marked = token_rollup.counted_twice(docs, F.col("text"), F.concat(F.coalesce("text", F.lit("")), F.lit(" [reviewed]")))
+    ledger.apply("insert", token_rollup.events("insert", now))
     bad = labels.where("quality = 0").select("doc_id").distinct()
     toxic = labels.where("toxic = 1").select("doc_id").distinct().join(bad, "doc_id", "left_anti")
     ledger.apply("delete", token_rollup.deletes(bad))
-    marked = docs.join(toxic, "doc_id", "left_semi")
-    ledger.apply("revise", token_rollup.events("revise", token_rollup.counted(marked, F.concat(F.coalesce("text", F.lit("")), F.lit(" [reviewed]")))))
+    ledger.apply("revise", token_rollup.events("revise", marked.join(toxic, "doc_id", "left_semi")))
     ledger.apply("delete", token_rollup.deletes(bad))
     return ledger.totals()
 

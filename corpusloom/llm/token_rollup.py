@@ -14,11 +14,11 @@ deletes and revisions see the state before the batch.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 ROW = ["doc_id", "source", "lang", "version", "tokens"]
 GROUP = ["source", "lang", "version"]
 
@@ -85,10 +85,24 @@ COUNTERS: dict[str, str] = {"words-1": r"[^\x20\x09-\x0D]+", "pieces-2": r"[A-Za
 def counted(docs: DataFrame, text: Column, counters: dict[str, str] | None = None, key: str = "doc_id") -> DataFrame:
     """doc_id, source, lang, version, tokens: one row for each row of docs and version."""
     chosen = COUNTERS if counters is None else counters
-    each = F.array(*[F.struct(F.lit(v).alias("version"), F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)).cast("long").alias("tokens")) for v, p in chosen.items()])
+    each = F.array(*[F.struct(F.lit(v).alias("version"), counter(text, p).alias("tokens")) for v, p in chosen.items()])
     return docs.select(F.col(key).alias("doc_id"), "source", "lang", F.explode(each).alias("c")).select("doc_id", "source", "lang", "c.version", "c.tokens")
 
 
+def counted_twice(docs: DataFrame, first: Column, second: Column, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The counts of two versions of each text, from one scan of docs; what follows reads counts only."""
+    both = written(docs.select(F.col(key).alias("doc_id"), "source", "lang", *[counter(t, p).alias(f"{n}{k}") for n, t in (("a", first), ("b", second)) for k, p in enumerate(COUNTERS.values())]), "token-counts")
+    out = []
+    for n in "ab":
+        each = F.array(*[F.struct(F.lit(v).alias("version"), F.col(f"{n}{k}").alias("tokens")) for k, v in enumerate(COUNTERS)])
+        out.append(both.select("doc_id", "source", "lang", F.explode(each).alias("c")).select("doc_id", "source", "lang", "c.version", "c.tokens"))
+    return out[0], out[1]
+
+
+def counter(text: Column, pattern: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
+
+
 def events(op: str, rows: DataFrame) -> DataFrame:
     return rows.select(F.lit(op).alias("op"), *ROW)
 
@@ -97,7 +111,3 @@ def deletes(keys: DataFrame, key: str = "doc_id") -> DataFrame:
     """Delete events for all versions of the keys."""
     empty = F.lit(None).cast("string")
     return keys.select(F.lit("delete").alias("op"), F.col(key).alias("doc_id"), empty.alias("source"), empty.alias("lang"), empty.alias("version"), F.lit(0).cast("long").alias("tokens"))
-
-
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
