@@ -29,8 +29,9 @@ from pyspark.sql import types as T
 from .common import annotate
 
 BLOCK = 1 << 18
-CACHE = 200_000
+CACHE = 300_000
 LONG = 96
+NEVER = 1 << 60
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -45,11 +46,11 @@ def byte_alphabet() -> dict[str, int]:
     return out
 
 
-def char_class(test) -> str:
-    """A character class body with all code points that satisfy test."""
+def char_class(test, last: int) -> str:
+    """A character class body with all code points up to `last` that satisfy test."""
     parts, start = [], None
-    for i in range(sys.maxunicode + 2):
-        yes = i <= sys.maxunicode and not 0xD800 <= i <= 0xDFFF and test(chr(i))
+    for i in range(last + 2):
+        yes = i <= last and not 0xD800 <= i <= 0xDFFF and test(chr(i))
         if yes and start is None:
             start = i
         elif not yes and start is not None:
@@ -58,13 +59,16 @@ def char_class(test) -> str:
     return "".join(parts)
 
 
-@lru_cache(1)
-def pretokens() -> re.Pattern:
-    """The byte-level splitting rule: contractions, letters, digits, other signs, each with one space before, and space."""
-    letter = char_class(lambda c: unicodedata.category(c)[0] == "L")
-    digit = char_class(lambda c: unicodedata.category(c)[0] == "N")
+@lru_cache(2)
+def pretokens(last: int = sys.maxunicode) -> re.Pattern:
+    """The byte-level splitting rule: contractions, letters, digits, other signs, each with one space before, and space.
+
+    For texts with no code point above `last`; up to 0xFFFF the classes are single table lookups.
+    """
+    letter = char_class(lambda c: unicodedata.category(c)[0] == "L", last)
+    digit = char_class(lambda c: unicodedata.category(c)[0] == "N", last)
     space = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+")
+    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
 def lookahead(merges: Sequence[tuple[bytes, bytes]]) -> int:
@@ -101,6 +105,8 @@ class Bpe:
         merges = [tuple(map(raw, m.split(" ") if isinstance(m, str) else m)) for m in spec["model"]["merges"]]
         self.byte_id = [vocab[bytes([b])] for b in range(256)]
         self.pairs = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(merges)))}
+        self.rank = {p: r for p, (r, _) in self.pairs.items()}
+        self.made = [vocab[a + b] for a, b in merges]
         self.bytes_of = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for t, i in vocab.items():
             self.bytes_of[i] = t
@@ -112,18 +118,21 @@ class Bpe:
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge_short(self, ids: list[int]) -> list[int]:
-        """Apply the lowest-ranked pair, leftmost first, until none is left."""
-        pairs = self.pairs
-        while len(ids) > 1:
-            best, at, new = 1 << 60, -1, 0
-            for i, p in enumerate(zip(ids, ids[1:], strict=False)):
-                hit = pairs.get(p)
-                if hit is not None and hit[0] < best:
-                    best, new = hit
-                    at = i
-            if at < 0:
+        """Apply the lowest-ranked pair, leftmost first, until none is left; only its neighbours' ranks change."""
+        rank = self.rank.get
+        ranks = [rank(p, NEVER) for p in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == NEVER:
                 break
-            ids[at : at + 2] = (new,)
+            i = ranks.index(best)
+            new = self.made[best]
+            ids[i : i + 2] = (new,)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((new, ids[i + 1]), NEVER)
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], new), NEVER)
         return ids
 
     def merge_long(self, ids: list[int]) -> list[int]:
@@ -179,7 +188,8 @@ class Bpe:
 
     def blocks(self, text: str) -> Iterator[list[int]]:
         """Ids of a text, block after block.  What follows a block can change its last three pretokens only."""
-        pattern, cache = pretokens(), self.cache
+        wide = len(text.encode("utf-16-le")) > 2 * len(text)
+        pattern, cache = pretokens(sys.maxunicode if wide else 0xFFFF), self.cache
         for part in self.split.split(text) if self.split else [text]:
             if part in self.special:
                 yield [self.special[part]]
