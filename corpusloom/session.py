@@ -24,3 +24,23 @@ def ship(spark) -> None:
             z.write(f, f.relative_to(ROOT))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+def shared_dir(spark) -> str:
+    """The folder all executors share, from spark.checkpoint.dir; one of our own only where the session names none."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known:
+        if not found.isDefined():
+            spark.sparkContext.setCheckpointDir(known)
+        return known
+    if not found.isDefined():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loom-checkpoint-"))
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
+def cut(df):
+    """df written to the shared folder, its lineage forgotten."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
