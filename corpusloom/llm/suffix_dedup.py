@@ -34,7 +34,7 @@ from .common import slices, written
 
 SPAN, GRAM = 200, 64
 GROUP = 50_000
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 KEY_BITS = 28
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 U = np.uint64
@@ -165,14 +165,12 @@ def emitted(docs: DataFrame, light: bool) -> DataFrame:
 
 def covered(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """The union of byte ranges [start, end), as maximal ranges."""
-    out: list[tuple[int, int]] = []
-    for i in np.argsort(starts, kind="stable").tolist():
-        s, e = int(starts[i]), int(ends[i])
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], e))
-        else:
-            out.append((s, e))
-    return out
+    if not len(starts):
+        return []
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    first = np.flatnonzero(np.concatenate(([True], starts[1:] > reach[:-1])))
+    return list(zip(starts[first].tolist(), reach[np.concatenate((first[1:] - 1, [len(starts) - 1]))].tolist(), strict=True))
 
 
 def result(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[int, int, int, str]:
@@ -200,28 +198,32 @@ def first_pass(joined: DataFrame, key_type: str) -> DataFrame:
     def run(batches):
         sent: set[tuple[int, int]] = set()
         for whole in batches:
-            for b in slices(whole, 3):
-                out: list[list] = [[] for _ in range(9)]
-                for h1, h2, text, again, rs in zip(*[b.column(k).to_pylist() for k in range(1, 6)], strict=True):
-                    raw = text.encode()
-                    contexts, sure, pending = [], [], False
-                    for r in {x["s"]: x for x in rs or []}.values():
-                        if r["full"]:
-                            sure += [r["s"], r["e"] + SPAN]
-                        elif not again:
-                            pending = True
-                        if r["send"] and (r["a"], r["c"]) not in sent:
-                            sent.add((r["a"], r["c"]))
-                            contexts.append({"a": r["a"], "c": r["c"], "s": r["s"], "p": r["p"], "single": not r["full"] and not again, "raw": raw[r["s"] : r["e"] + SPAN]})
-                    if again:
+            for b in slices(whole, 3, SEGMENT):
+                out: list[list] = [[] for _ in range(7)]
+                data, at = string_bytes(b.column(3))
+                again = b.column(4).to_numpy(zero_copy_only=False)
+                lists = b.column(5)
+                low = lists.offsets.to_numpy()
+                a, c, s, e, p, full, send = (lists.values.field(n).to_numpy(zero_copy_only=False) for n in ("a", "c", "s", "e", "p", "full", "send"))
+                for i in range(b.num_rows):
+                    raw = data[at[i] : at[i + 1]].tobytes()
+                    own = low[i] + np.unique(s[low[i] : low[i + 1]], return_index=True)[1]
+                    twice, sure, contexts = bool(again[i]), own[full[own]], []
+                    for k in own[send[own]].tolist():
+                        if (int(a[k]), int(c[k])) not in sent:
+                            sent.add((int(a[k]), int(c[k])))
+                            contexts.append({"a": a[k], "c": c[k], "s": s[k], "p": p[k], "single": not full[k] and not twice, "raw": raw[s[k] : e[k] + SPAN]})
+                    pending = not twice and len(sure) < len(own)
+                    if twice:
                         done = result(raw, [(0, len(raw))] if len(raw) >= SPAN else [])
                     elif pending:
                         done = (len(raw), None, None, None)
                     else:
-                        done = result(raw, covered(np.array(sure[::2], np.int64), np.array(sure[1::2], np.int64)))
-                    for col, v in zip(out, (h1, h2, *done, raw if pending else None, sure if pending else None, contexts or None), strict=True):
+                        done = result(raw, covered(s[sure], e[sure] + SPAN))
+                    ranges = np.column_stack((s[sure], e[sure] + SPAN)).ravel() if pending else None
+                    for col, v in zip(out, (*done, raw if pending else None, ranges, contexts or None), strict=True):
                         col.append(v)
-                arrays = [b.column(0)] + [pa.array(x, t.type) for x, t in zip(out, list(target)[1:], strict=True)]
+                arrays = [b.column(k) for k in range(3)] + [pa.array(x, t.type) for x, t in zip(out, list(target)[3:], strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=target.names)
 
     return joined.select("doc_id", "h1", "h2", "t", "again", "runs").mapInArrow(run, schema)
@@ -393,7 +395,7 @@ def finish(joined: DataFrame, key_type: str) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 1, SEGMENT):
                 out: list[list] = [[], [], [], []]
                 for raw, sure, ranges in zip(*[b.column(k).to_pylist() for k in (1, 2, 3)], strict=True):
                     starts = [*(sure or [])[::2], *(r["lo"] for r in ranges or [])]
@@ -420,9 +422,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", gro
     run = F.struct("a", "c", "s", "e", "p", "full", "send")
     same = all_runs.where("not differ").withColumn("full", F.lit(True)).withColumn("send", F.lit(False))
     each = same.select("h1", "h2", run.alias("run")).unionByName(judged.select("h1", "h2", run.alias("run")))
-    by_text = each.groupBy("h1", "h2").agg(F.collect_list("run").alias("runs")).withColumn("again", F.lit(False))
-    twice = texts.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2", F.lit(None).cast(by_text.schema["runs"].dataType).alias("runs"), F.lit(True).alias("again"))
-    by_text = by_text.unionByName(twice).groupBy("h1", "h2").agg(F.first("runs", ignorenulls=True).alias("runs"), F.max("again").alias("again"))
+    twice = texts.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2", F.lit(None).cast(each.schema["run"].dataType).alias("run"), F.lit(True).alias("again"))
+    by_text = each.withColumn("again", F.lit(False)).unionByName(twice).groupBy("h1", "h2").agg(F.collect_list("run").alias("runs"), F.max("again").alias("again"))
     passed = written(first_pass(texts.join(by_text, ["h1", "h2"], "left").withColumn("again", F.coalesce("again", F.lit(False))), key_type), "dedup-pass")
     contexts = passed.where("contexts is not null").select("h1", "h2", F.explode("contexts").alias("x")).select("h1", "h2", "x.*")
     hot = written(contexts.groupBy("a").agg(F.count_distinct("c").alias("n")).where(F.col("n") > group).select("a"), "dedup-hot")
