@@ -148,9 +148,7 @@ def binomial_upper(x: int, n: int, alpha: float = 0.05) -> float:
 
 def upper_bounds(spark: SparkSession, rows: DataFrame, x: str, n: str, alpha: float = 0.05) -> DataFrame:
     """rows with `upper`, worked out once for each distinct (x, n)."""
-    from pyspark.sql.types import DoubleType
-
-    pairs = rows.select(x, n).distinct()
+    pairs = rows.select(F.col(x).cast("long"), F.col(n).cast("long")).distinct()
 
     def run(batches):
         import pyarrow as pa
@@ -159,7 +157,7 @@ def upper_bounds(spark: SparkSession, rows: DataFrame, x: str, n: str, alpha: fl
             u = [binomial_upper(i, j, alpha) for i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(u, pa.float64())], names=[x, n, "upper"])
 
-    return rows.join(pairs.mapInArrow(run, pairs.schema.add("upper", DoubleType())), [x, n])
+    return rows.join(pairs.mapInArrow(run, f"{x} long, {n} long, upper double"), [x, n])
 
 
 class Search:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import model_queries, sequence_queries
+
+QUERIES = sequence_queries.QUERIES | model_queries.QUERIES
+SQL = sequence_queries.SQL | model_queries.SQL
 FLAGSHIP = "ranked_guides"
