@@ -377,7 +377,7 @@ def cut_annotation_summary(spark, sf_dir):
 
 # --- selection ------------------------------------------------------------------------------------------------------
 
-_AXES = """axes AS (SELECT s_suppkey AS id, round(s_acctbal, 2) AS balance, n_lines, n_late, round(discount, 6) AS discount, n_parts FROM supplier JOIN (SELECT l_suppkey, count(*) AS n_lines, count_if(l_returnflag = 'R') AS n_late, avg(l_discount) AS discount, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY l_suppkey) ON l_suppkey = s_suppkey)"""
+_AXES = """axes AS (SELECT s_suppkey AS id, round(s_acctbal, 2) AS balance, n_lines, n_late, discount, n_parts FROM supplier JOIN (SELECT l_suppkey, count(*) AS n_lines, count_if(l_returnflag = 'R') AS n_late, sum(CAST(round(l_discount * 100) AS BIGINT))::BIGINT * 10000 // count(*) AS discount, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY l_suppkey) ON l_suppkey = s_suppkey)"""
 _GATES = [("G1 balance", "balance >= 0"), ("G2 lines", "n_lines >= 590"), ("G3 late", "n_late <= 210"), ("G4 parts", "n_parts >= 75")]
 _HIGHER, _LOWER = ("balance", "n_lines", "n_parts"), ("n_late", "discount")
 _FAILED = "[x FOR x IN [" + ", ".join(f"CASE WHEN NOT coalesce({c}, false) THEN '{n}' END" for n, c in _GATES) + "] IF x IS NOT NULL]"
@@ -386,9 +386,9 @@ _DOM = lambda a, b: "(" + " AND ".join([f"{a}.{c} >= {b}.{c}" for c in _HIGHER]
 
 
 def _axes(spark, sf_dir):
-    l = p.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("l_returnflag") == "R").alias("n_late"), F.avg("l_discount").alias("discount"), F.count_distinct("l_partkey").alias("n_parts"))
+    l = p.table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("l_returnflag") == "R").alias("n_late"), F.expr("sum(cast(round(l_discount * 100) as bigint)) * 10000 div count(1)").alias("discount"), F.count_distinct("l_partkey").alias("n_parts"))
     s = p.table(spark, sf_dir, "supplier")
-    return s.join(l, s.s_suppkey == l.l_suppkey).select(F.col("s_suppkey").alias("id"), F.round("s_acctbal", 2).alias("balance"), "n_lines", "n_late", F.round("discount", 6).alias("discount"), "n_parts")
+    return s.join(l, s.s_suppkey == l.l_suppkey).select(F.col("s_suppkey").alias("id"), F.round("s_acctbal", 2).alias("balance"), "n_lines", "n_late", "discount", "n_parts")
 
 
 @query(f"WITH {_AXES} SELECT * FROM axes")

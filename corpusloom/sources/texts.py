@@ -22,7 +22,7 @@ def split_fasta(blobs: DataFrame, text: str) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(seq_id, seq) of FASTA files, split at the record mark while reading, so a file need not fit a task."""
-    lines = spark.read.option("lineSep", "\n>").text(path)
+    lines = spark.read.text(path, lineSep="\n>")
     part = F.regexp_replace("value", "^>", "")
     head = F.regexp_extract(part, r"^(\S*)", 1)
     return lines.where(F.length("value") > 0).select(head.alias("seq_id"), F.upper(F.regexp_replace(F.regexp_replace(part, r"^[^\n]*(\n|$)", ""), r"\s", "")).alias("seq"))
@@ -30,7 +30,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def load_sequence(spark: SparkSession, path: str) -> DataFrame:
     """(path, seq): each file as one sequence, headers dropped, records joined."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.col("_metadata.file_path").alias("path"), F.upper(F.regexp_replace("value", r"(?m)^>.*$|\s", "")).alias("seq"))
 
 
