@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import annotate
 
 BLOCK = 1 << 18
-CACHE = 300_000
+CACHE = 150_000
 LONG = 96
 NEVER = 1 << 60
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,9 +82,9 @@ def annotate(
     """carry columns plus new fields for each row of df, computed over Arrow batches.
 
     factory() is called once in each task and returns f(texts, *inputs) -> (mask or None, list of arrays or lists);
-    a mask drops rows, and the lists then hold the kept rows only.
+    a mask drops rows, and the lists then hold the kept rows only.  fields may be empty: a filter.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))  # long texts come in small batches
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * SLICE_BYTES))  # long texts come in small batches
     clash = {f.name.lower() for f in fields}
     carried = [c for c in carry if c.lower() not in clash]
     used = [text, *inputs]
@@ -107,10 +107,17 @@ def annotate(
                 arrays = [x if x.type == t.type else x.cast(t.type) for x, t in zip(kept, target, strict=False)]
                 arrays += [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, t.type) for x, t in zip(made, list(target)[len(carried):], strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=target.names)
+            pa.default_memory_pool().release_unused()
 
     return chosen.mapInArrow(run, schema)
 
 
+def shielded(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str], list[str]]:
+    """docs with its columns named k0, k1, ..., those names, and the new names of `names`: no column can clash."""
+    safe = [f"k{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*safe), safe, [safe[docs.columns.index(n)] for n in names]
+
+
 def threshold_sample(df: DataFrame, key: str, bound: int, count: int) -> DataFrame:
     """About `bound` of the `count` rows of df, chosen by a hash of key, so the same rows each time."""
     if count <= bound:

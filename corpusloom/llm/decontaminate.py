@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, slices, written
+from .common import annotate, shielded, slices, written
 
 WORD = re.compile(r"\w+")
 BLOCK = 256
@@ -113,8 +113,8 @@ class LatentIndex:
             ends = np.minimum(starts + width, n)
             full = bound[ends] - bound[starts] >= SHARE - 1e-6  # no passage has more of this window
             starts, ends = starts[full], ends[full]
-            for i in range(0, len(starts), 1024):
-                s, e = starts[i : i + 1024], ends[i : i + 1024]
+            for i in range(0, len(starts), 256):
+                s, e = starts[i : i + 256], ends[i : i + 256]
                 at = s[:, None] + np.arange(width)
                 term = np.where(at < e[:, None], ids[np.minimum(at, n - 1)], 0)
                 share = parts[term].sum(axis=1)
@@ -158,7 +158,7 @@ def summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
         for slot, m in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([m.tobytes()], pa.binary())], names=["slot", "matrix"])
 
-    rows = parts.repartition(16, "slot").mapInArrow(add, "slot int, matrix binary").collect()  # 16 at most
+    rows = parts.repartition(2, "slot").mapInArrow(add, "slot int, matrix binary").collect()  # two rows
     return sum((np.frombuffer(r.matrix, np.float64) for r in sorted(rows, key=lambda r: r.slot)), np.zeros(shape[0] * shape[1])).reshape(shape)
 
 
@@ -179,7 +179,7 @@ def products(passages: DataFrame, weights: np.ndarray, basis: np.ndarray, gram:
                     out[term] += (weights[term] * times)[:, None] * y
         from pyspark import TaskContext
 
-        slot = TaskContext.get().partitionId() % 16
+        slot = TaskContext.get().partitionId() % 2
         yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["slot", "matrix"])
 
     return summed(passages.mapInArrow(run, "slot int, matrix binary"), (k, k) if gram else basis.shape)
@@ -283,6 +283,6 @@ def leaked(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without the rows that leak a passage."""
-    cols = docs.columns
-    indexes = fit(docs, list(benchmark_passages(benchmark)), text, key)
-    return search(docs, indexes, text, cols).where(F.size("leaks") == 0).select(*cols)
+    flat, cols, (body, ident) = shielded(docs, text, key)
+    indexes = fit(flat, list(benchmark_passages(benchmark)), body, ident)
+    return annotate(flat, body, [], lambda: lambda ts: ([not x for x in all_leaks(indexes, ts)], []), cols).toDF(*docs.columns)

@@ -8,7 +8,7 @@ The model is fitted on a bounded sample of labelled rows: at most about `most_do
 the key, of which half give dictionary pieces (`piece` bytes each, spread over the text, `pieces` of a document) and
 half, as whole texts, the calibration.
 
-Cases: a null text is scored as an empty one, and empty texts get the calibrated score of no evidence; repeated rows are
+Cases: a null text is scored as an empty one, and an empty text by the sizes of two empty frames; repeated rows are
 scored alike; labels for unknown documents, null labels and null keys are ignored; without both classes every score is
 the share of good labels (0.5 without labels); very long texts are compressed whole, in one stream.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, cut, threshold_sample
+from .common import annotate, cut, shielded, threshold_sample
 
 
 def take_pieces(text: bytes, size: int, most: int) -> list[bytes]:
@@ -58,7 +58,7 @@ class CompressionModel:
 
         def score(text: str | None) -> float:
             raw = (text or "").encode()
-            z = w[0] + sum(a * b for a, b in zip(w[1:], features(len(good.compress(raw)), len(bad.compress(raw)), len(raw)), strict=False)) if raw else w[0]
+            z = w[0] + sum(a * b for a, b in zip(w[1:], features(len(good.compress(raw)), len(bad.compress(raw)), len(raw)), strict=True))
             return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
         return score
@@ -118,7 +118,7 @@ def fit(
 
         def f(ts):
             raw = [(t or "").encode() for t in ts]
-            return None, [[list(features(len(good.compress(b)), len(bad.compress(b)), len(b))) if b else [0.0, 0.0, 0.0] for b in raw]]
+            return None, [[list(features(len(good.compress(b)), len(bad.compress(b)), len(b))) for b in raw]]
 
         return f
 
@@ -132,7 +132,6 @@ def fit(
     # the classes were sampled unequally: put the labels' own odds back
     odds = np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))
     w[0] += odds
-    # the intercept is also the score of an empty text: no evidence leaves the prior
     model.weights = list(w)
     return model
 
@@ -151,19 +150,27 @@ def build(samples: list[bytes], size: int) -> bytes:
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
 
 
-def classify(docs: DataFrame, model: CompressionModel, text: str = "text", carry: Sequence[str] = ("doc_id",), threshold: float = 0.3, only_good: bool = False) -> DataFrame:
-    """carry columns plus score and predicted; with only_good, rejected rows go."""
+def classify(docs: DataFrame, model: CompressionModel, text: str = "text", carry: Sequence[str] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
+    """carry columns plus score and predicted."""
 
     def factory():
         score = model.scorer()
 
         def f(texts):
             got = [score(t) for t in texts]
-            mask = [s >= threshold for s in got] if only_good else None
-            if mask:
-                got = [s for s in got if s >= threshold]
-            return mask, [got, [int(s >= threshold) for s in got]]
+            return None, [got, [int(s >= threshold) for s in got]]
 
         return f
 
     return annotate(docs, text, FIELDS, factory, carry)
+
+
+def accepted(docs: DataFrame, model: CompressionModel, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score threshold or more, with all their columns."""
+    flat, cols, (body,) = shielded(docs, text)
+
+    def factory():
+        score = model.scorer()
+        return lambda texts: ([score(t) >= threshold for t in texts], [])
+
+    return annotate(flat, body, [], factory, cols).toDF(*docs.columns)

@@ -51,6 +51,23 @@ def op6_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+windows AS (SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT rid, w, unnest(range(1, greatest(1, len(w) - 3))) AS i FROM w)),
+again AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, x) > 1),
+repeated AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, range(0, 5) r(k) GROUP BY rid),
+lines AS (SELECT rid, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
+tops AS (SELECT rid, max(c) AS c FROM (SELECT rid, x, count(*) AS c FROM (SELECT rid, unnest(w) AS x FROM w) GROUP BY ALL) GROUP BY rid),
+base AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  length(t) - length(replace(t, '!', '')) AS marks, coalesce(l.n, 0) AS n_lines, coalesce(c, 0) AS top_word, length(regexp_replace(t, '[^\pL]', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS uppers
+  FROM w LEFT JOIN repeated r USING (rid) LEFT JOIN lines l USING (rid) LEFT JOIN tops USING (rid)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR n_symbols > 0.6 * n_words OR marks > 0.6 * n_words OR NOT (1.2 * n_words <= word_chars AND word_chars <= 40 * n_words)
+  OR (n_lines >= 6 AND n_dup_lines > 0.6 * n_lines) OR (n_words >= 20 AND top_word > 0.5 * n_words) OR (letters >= 40 AND uppers > 0.7 * letters)) AS kept FROM judged
+"""
+
+
 def op7_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -95,4 +112,4 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES = {q.__name__: q for q in (op1_quality_classifier, op2_bpe, op3_language_id, op4_secret_scan, op5_decontamination, op6_quality_rules, op7_suffix_dedup, op8_token_rollup, op9_masked_lm, op10_simhash)}
-SQL: dict[str, str] = {"op8_token_rollup": OP8_SQL}
+SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op8_token_rollup": OP8_SQL}

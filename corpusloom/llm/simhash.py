@@ -6,7 +6,7 @@ differing bits at most two blocks are touched, so two agree: every link falls in
 `BUCKET` is dealt again by two of the four bytes left, after which 48 bits are fixed and a bucket holds at most 65,536
 fingerprints, whatever the corpus.  Inside a bucket the fingerprints stand as 64 bit planes; all pairs at one offset
 are compared at once with carry-save counters, and blocks of 64 pairs are abandoned when all exceed the radius.  Each
-bucket gives only edges that join two of its classes, never all pairs.
+bucket gives a star for each of its classes, never all pairs.
 
 Cases: a null text has no words and the fingerprint zero, which links like any other; texts of one or two words are one
 shingle; repeated rows share class and fingerprint; a null doc_id has no part in the smallest id (a class of null ids
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, written
+from .common import annotate, shielded, written
 from .components import components
 
 RADIUS = 2
@@ -55,11 +55,10 @@ def fingerprints(docs: DataFrame, text: str = "text", carry=("doc_id",)) -> Data
 
 
 class Forest:
-    """Union-find over lanes; keeps the edges that joined two classes."""
+    """Union-find over lanes."""
 
     def __init__(self, n: int):
         self.parent = np.arange(n)
-        self.edges: list[tuple[int, int]] = []
 
     def root(self, i: int) -> int:
         p = self.parent
@@ -76,7 +75,6 @@ class Forest:
             ri, rj = self.root(i), self.root(j)
             if ri != rj:
                 self.parent[max(ri, rj)] = min(ri, rj)
-                self.edges.append((i, j))
         while True:  # flatten, so that later tests see most joined lanes at once
             up = self.parent[self.parent]
             if (up == self.parent).all():
@@ -89,11 +87,11 @@ def packed(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
-def links(run: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Edges (lane, lane) that span the classes of each run; equal run values stand together."""
+def links(run: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes of classes, and their class's first lane: stars that span the classes of each run; equal run values stand together."""
     n = len(fp)
     if n < 2:
-        return []
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     if radius != 2:
         raise ValueError("the counters below hold a radius of 2")
     starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
@@ -135,7 +133,8 @@ def links(run: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> list[tuple[i
             block, lane = np.nonzero(np.unpackbits(hit.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             a = at[block] * 64 + lane
             forest.add(a, a + d)
-    return forest.edges
+    lanes = np.flatnonzero(forest.parent != np.arange(len(forest.parent)))
+    return lanes, forest.parent[lanes]
 
 
 def _link_partition(batches):
@@ -148,10 +147,9 @@ def _link_partition(batches):
         many = same | np.concatenate((same[1:], [False]))  # rows that are not alone in their bucket
         run = np.cumsum(~same)[many]
         f = fp[many]
-        found = links(run, f)
-        if found:
-            e = np.array(found)
-            yield pa.RecordBatch.from_arrays([pa.array(f[e[:, 0]]), pa.array(f[e[:, 1]])], names=names)
+        lanes, roots = links(run, f)
+        if len(lanes):
+            yield pa.RecordBatch.from_arrays([pa.array(f[lanes]), pa.array(f[roots])], names=names)
 
     for batch in batches:
         got = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
@@ -215,13 +213,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one row of each class: that of the smallest key (and, of rows that repeat it, one)."""
-    cols = docs.columns
-    signed = written(fingerprints(docs, text, [key]), "simhash-signed")
-    which = classes(signed, key)
-    least = signed.join(which, "fp").where((F.col("fp") == F.col("rep_fp")) & F.col(key).eqNullSafe(F.col("component_id")))
-    chosen = written(least.groupBy("fp", key).agg(F.count(F.lit(1)).alias("copies")).withColumnRenamed(key, "rep_key"), "simhash-chosen")
-    full = fingerprints(docs, text, cols).join(chosen, "fp").where(F.col(key).eqNullSafe(F.col("rep_key")))
+    flat, cols, (body, ident) = shielded(docs, text, key)
+    signed = written(fingerprints(flat, body, [ident]), "simhash-signed")
+    which = classes(signed, ident)
+    least = signed.join(which, "fp").where((F.col("fp") == F.col("rep_fp")) & F.col(ident).eqNullSafe(F.col("component_id")))
+    chosen = written(least.groupBy("fp", ident).agg(F.count(F.lit(1)).alias("copies")).withColumnRenamed(ident, "rep_key"), "simhash-chosen")
+    full = fingerprints(flat, body, cols).join(chosen, "fp").where(F.col(ident).eqNullSafe(F.col("rep_key")))
     once = full.where("copies = 1").select(*cols)
-    if chosen.where("copies > 1").isEmpty():
-        return once
-    return once.unionByName(full.where("copies > 1").dropDuplicates(["fp", key]).select(*cols))
+    if not chosen.where("copies > 1").isEmpty():
+        once = once.unionByName(full.where("copies > 1").dropDuplicates(["fp", ident]).select(*cols))
+    return once.toDF(*docs.columns)
