@@ -10,13 +10,18 @@ from pyspark.sql import Window as W
 
 from ..functions.sequences import hash60, mash_identity
 from .components import components
-from .sites import canonical, kmers
+from .sites import canonical_kmers, tiles
 
 
 def sketch_rows(records: DataFrame, k: int, size: int) -> DataFrame:
-    """(seq_id, h, rank): the `size` smallest distinct hashes of each record's canonical k-mers."""
-    hashes = kmers(records.select("seq_id", "seq"), "seq", k).select("seq_id", hash60(canonical(F.col("kmer"))).alias("h")).distinct()
-    return hashes.withColumn("rank", F.row_number().over(W.partitionBy("seq_id").orderBy("h"))).where(F.col("rank") <= size)
+    """(seq_id, h, rank): the `size` smallest distinct hashes of each record's canonical k-mers.
+
+    Each tile gives its own smallest hashes, so few rows of a record are shuffled and ranked.
+    """
+    pieces = tiles(records.select("seq_id", "seq"), "seq", k - 1)
+    hashes = F.transform(F.array_distinct(canonical_kmers(F.col("tile"), k)), lambda x: hash60(x))
+    least = pieces.select("seq_id", F.explode(F.slice(F.sort_array(F.array_distinct(hashes)), 1, size)).alias("h")).distinct()
+    return least.withColumn("rank", F.row_number().over(W.partitionBy("seq_id").orderBy("h"))).where(F.col("rank") <= size)
 
 
 def sketches(records: DataFrame, k: int, size: int) -> DataFrame:

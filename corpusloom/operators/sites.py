@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from ..functions.grammar import Grammar
 from ..functions.sequences import gc_fraction, has_polyt, max_homopolymer_run, revcomp
 
-TILE = 4096
+TILE = 8192
+FINE = 256
 
 
 def tiles(df: DataFrame, seq: str, overlap: int, size: int = TILE) -> DataFrame:
@@ -36,13 +37,23 @@ def match_starts(tile: Column, regex: str, size: int) -> Column:
     return F.filter(inner, lambda x: x < size)
 
 
-def sites(df: DataFrame, seq: str, grammar: Grammar, tile: int = TILE) -> DataFrame:
+def fine_tiles(df: DataFrame, seq: str, overlap: int, size: int = FINE) -> DataFrame:
+    """tiles() in two steps, large and then small: taking a piece of a string costs its distance from the string's start."""
+    large = tiles(df, seq, overlap, max(TILE, size))
+    if size >= TILE:
+        return large
+    inner = F.explode(F.sequence(F.lit(0), F.greatest(F.least(F.length("tile"), F.lit(TILE)) - 1, F.lit(0)), F.lit(size)))
+    out = large.withColumn("_o", inner)
+    return out.withColumn("tile", F.substring(F.col("tile"), F.col("_o") + 1, F.lit(size + overlap))).withColumn("offset", F.col("offset") + F.col("_o")).drop("_o")
+
+
+def sites(df: DataFrame, seq: str, grammar: Grammar, tile: int = FINE) -> DataFrame:
     """All sites of df's sequences: start0, strand, target (5' to 3' on its own strand), with df's other columns.
 
     Both strands are scanned for themselves; a window that matches on both gives two rows.
     """
     n = grammar.length
-    pieces = tiles(df, seq, n - 1, tile)
+    pieces = fine_tiles(df, seq, n - 1, tile)
     found = []
     for strand, regex in (("+", grammar.plus), ("-", grammar.minus)):
         at = pieces.where(F.col("tile").rlike(regex)).withColumn("p", F.explode(match_starts(F.col("tile"), regex, tile)))
@@ -65,16 +76,38 @@ def distinct_sites(df: DataFrame, seq: str, grammar: Grammar) -> DataFrame:
 
 def kmers(df: DataFrame, seq: str, k: int, size: int = 256) -> DataFrame:
     """df's other columns, start0 and kmer for every window of k concrete bases."""
-    at = tiles(df, seq, k - 1, size).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    at = fine_tiles(df, seq, k - 1, size).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
     rows = at.withColumn("kmer", F.substring(F.col("tile"), F.col("p") + 1, F.lit(k))).where(F.length("kmer") == k).where(F.col("kmer").rlike("^[ACGT]+$"))
     return rows.select(*[c for c in df.columns if c != seq], (F.col("offset") + F.col("p")).alias("start0"), "kmer")
 
 
+def kmer_bag(df: DataFrame, seq: str, k: int) -> DataFrame:
+    """df's other columns and kmer, as kmers() without positions: one regular expression pass over each tile."""
+    pieces = tiles(df, seq, k - 1)
+    found = F.regexp_extract_all("tile", F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
+    return pieces.select(*[c for c in df.columns if c != seq], F.explode(found).alias("kmer"))
+
+
 def canonical(kmer: Column) -> Column:
     """The lesser of a k-mer and its reverse complement."""
     return F.least(kmer, revcomp(kmer))
 
 
+def canonical_kmers(tile: Column, k: int) -> Column:
+    """The canonical k-mers of a piece, in order.
+
+    The piece is reversed and complemented once: its k-mers are those of the other strand, from the end.
+    """
+    words = lambda s: F.regexp_extract_all(s, F.lit(f"(?=([ACGT]{{{k}}}))"), F.lit(1))
+    return F.zip_with(words(tile), F.reverse(words(revcomp(tile))), lambda a, b: F.least(a, b))
+
+
+def canonical_bag(df: DataFrame, seq: str, k: int) -> DataFrame:
+    """df's other columns and kmer: every canonical k-mer occurrence."""
+    pieces = tiles(df, seq, k - 1)
+    return pieces.select(*[c for c in df.columns if c != seq], F.explode(canonical_kmers(F.col("tile"), k)).alias("kmer"))
+
+
 def guide_table(found: DataFrame, grammar: Grammar) -> DataFrame:
     """Sites collapsed by target.  found: gene, segment, start0, strand, target.
 

@@ -15,6 +15,7 @@ from ..operators import redundancy as R
 from ..operators import select as X
 from ..operators import sites as K
 from ..operators.denominators import class_counts, compare, compare_sql
+from ..session import cut
 from ..sources import texts
 from . import prelude as p
 
@@ -52,7 +53,8 @@ clustered AS (SELECT *, count(*) OVER (PARTITION BY cluster_id) AS cluster_size,
 
 
 def _sketched(spark, sf_dir):
-    return R.sketches(p.records(spark, sf_dir), K_SIZE, SKETCH)
+    """Written once: pairs, copies and clusters all start from it."""
+    return cut(R.sketches(p.records(spark, sf_dir), K_SIZE, SKETCH))
 
 
 @query(f"WITH {_SK} SELECT seq_id, h, rank FROM s")

@@ -100,6 +100,16 @@ def test_kmers_do_not_depend_on_tiles(spark):
     want = sorted((i, p, s[p : p + 5]) for i, s in enumerate(seqs) for p in range(len(s) - 4) if "N" not in s[p : p + 5])
     for size in (7, 64, 256):
         assert sorted(tuple(r) for r in K.kmers(df, "seq", 5, size).collect()) == want
+    assert sorted(tuple(r) for r in K.canonical_bag(df, "seq", 5).collect()) == sorted((i, min(w, rc(w))) for i, _, w in want)
+    assert sorted(tuple(r) for r in K.kmer_bag(df, "seq", 5).collect()) == sorted((i, w) for i, _, w in want)
+
+
+def test_two_steps_of_tiles(spark):
+    rng = random.Random(5)
+    seqs = [random_bases(rng, n) for n in (0, K.TILE - 1, K.TILE, K.TILE + 1, 2 * K.TILE + 300)]
+    df = spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string")
+    got = {(r.seq_id, r.offset): r.tile for r in K.fine_tiles(df, "seq", 4).collect()}
+    assert all(got[i, o] == s[o : o + K.FINE + 4] for i, s in enumerate(seqs) for o in range(0, len(s), K.FINE))
 
 
 def test_guide_table_keeps_the_first(spark):
