@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import annotate
 
 BLOCK = 1 << 18
-CACHE = 150_000
+CACHE = 100_000
 LONG = 96
 NEVER = 1 << 60
 
@@ -235,6 +235,10 @@ class Cache(dict):
         super().__init__()
         self.word, self.old = bpe.word, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def __missing__(self, text: str) -> tuple[int, ...]:
         ids = self.old.get(text)
         if ids is None:
@@ -266,6 +270,7 @@ def encode_digests(docs: DataFrame, path: str, text: str = "text", carry: Sequen
             got = [bpe.digest(t) for t in texts]
             return None, [[g[k] for g in got] for k in range(3)]
 
+        f.close = bpe.cache.forget
         return f
 
     return annotate(docs, text, DIGESTS, factory, carry)

@@ -82,7 +82,8 @@ def annotate(
     """carry columns plus new fields for each row of df, computed over Arrow batches.
 
     factory() is called once in each task and returns f(texts, *inputs) -> (mask or None, list of arrays or lists);
-    a mask drops rows, and the lists then hold the kept rows only.  fields may be empty: a filter.
+    a mask drops rows, and the lists then hold the kept rows only.  fields may be empty: a filter.  f.close(), if there
+    is one, is called when the task ends: what a reused worker keeps between tasks is then small.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * SLICE_BYTES))  # long texts come in small batches
     clash = {f.name.lower() for f in fields}
@@ -97,17 +98,20 @@ def annotate(
 
         target = to_arrow_schema(schema)
         f = factory()
-        for whole in batches:
-            for batch in slices(whole, 0):
-                mask, made = f(*[batch.column(k).to_pylist() for k in range(n)])
-                kept = [batch.column(n + k) for k in range(len(carried))]
-                if mask is not None:
-                    m = pa.array(mask, pa.bool_())
-                    kept = [x.filter(m) for x in kept]
-                arrays = [x if x.type == t.type else x.cast(t.type) for x, t in zip(kept, target, strict=False)]
-                arrays += [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, t.type) for x, t in zip(made, list(target)[len(carried):], strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=target.names)
-            pa.default_memory_pool().release_unused()
+        try:
+            for whole in batches:
+                for batch in slices(whole, 0):
+                    mask, made = f(*[batch.column(k).to_pylist() for k in range(n)])
+                    kept = [batch.column(n + k) for k in range(len(carried))]
+                    if mask is not None:
+                        m = pa.array(mask, pa.bool_())
+                        kept = [x.filter(m) for x in kept]
+                    arrays = [x if x.type == t.type else x.cast(t.type) for x, t in zip(kept, target, strict=False)]
+                    arrays += [pa.array(x, t.type) for x, t in zip(made, list(target)[len(carried):], strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=target.names)
+                pa.default_memory_pool().release_unused()
+        finally:
+            getattr(f, "close", lambda: None)()
 
     return chosen.mapInArrow(run, schema)
 
