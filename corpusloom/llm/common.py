@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -12,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut, shared_dir
+
+__all__ = ["annotate", "cut", "shared_dir", "shielded", "slices", "table", "threshold_sample", "written"]
 SLICE_BYTES = 2 << 20
 
 
@@ -19,28 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if known:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(known)
-        return known
-    found = context._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    own = tempfile.mkdtemp(prefix="loom-checkpoint-")
-    context.setCheckpointDir(own)
-    return own
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and forget how it was made."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again (columnar, so columns are pruned on rereading)."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/loom-{label}-{uuid.uuid4().hex}"

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import components
 from .common import annotate, shielded, written
-from .components import components
 
 RADIUS = 2
 BUCKET = 2048
