@@ -1,8 +1,7 @@
 """Masked pseudo-likelihood: a window network predicts each token from both sides.
 
-The vocabulary is counted over all documents.  Training windows, every `STRIDE`-th token of every document, are trained
-on where they lie: each partition runs mini-batches from the common weights, the results are averaged by their number of
-windows, and so on for a few rounds.  A document's score is the sum of log p(token | two tokens before, two after).
+The vocabulary is counted over all documents.  Every token of every document is trained on where it lies: each partition
+runs mini-batches from the common weights, the results are averaged by their number of tokens, and so on for a few rounds.  A document's score is the sum of log p(token | two tokens before, two after).
 
 Cases: null and empty texts have no token, the score 0 and a null mean; tokens outside the vocabulary are one token of
 their own; ends are padded by a boundary token; repeated rows are scored alike; an empty corpus gives an empty result;
@@ -14,6 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
+from copy import copy
 from itertools import repeat
 
 import numpy as np
@@ -25,7 +25,6 @@ from pyspark.sql import types as T
 from .common import annotate, slices, written
 
 OFFSETS = (-2, -1, 1, 2)
-STRIDE = 16
 VOCAB, HIDDEN = 384, 32
 EDGE, OTHER = 0, 1  # token ids of a boundary and of a word outside the vocabulary
 CHUNK = 1024
@@ -74,6 +73,11 @@ class WindowNetwork:
         padded = np.concatenate(([EDGE, EDGE], ids, [EDGE, EDGE])).astype(np.int16)
         return np.column_stack([ids, *[padded[2 + o : 2 + o + len(ids)] for o in OFFSETS]])
 
+    def pieces(self, ids: np.ndarray, most: int):
+        """The windows of a text, up to `most` at a time, with the neighbours at their ends."""
+        for i in range(0, len(ids), most):
+            yield self.windows(ids[max(0, i - 2) : i + most + 2])[min(2, i) :][:most]
+
     def hidden(self, context: np.ndarray) -> np.ndarray:
         tables, a = self.weights[0], self.weights[1]
         h = tables[0][context[:, 0]]
@@ -132,41 +136,39 @@ class WindowNetwork:
             at += n
 
 
-def training_windows(docs: DataFrame, model: WindowNetwork, text: str = "text", stride: int = STRIDE) -> DataFrame:
-    """One row for each document with a token: the windows of every stride-th token as bytes."""
+def training_ids(docs: DataFrame, model: WindowNetwork, text: str = "text") -> DataFrame:
+    """One row for each document with a token: the ids of all its tokens as bytes."""
 
     def factory():
         def f(texts):
-            out = []
-            for t in texts:
-                ids = model.encode(t)
-                out.append(model.windows(ids)[len(ids) % stride :: stride].tobytes())
-            mask = [bool(x) for x in out]
-            return mask, [[x for x in out if x]]
+            out = [model.encode(t).tobytes() for t in texts]
+            return [bool(x) for x in out], [[x for x in out if x]]
 
         return f
 
-    return annotate(docs, text, [T.StructField("windows", T.BinaryType())], factory)
+    return annotate(docs, text, [T.StructField("ids", T.BinaryType())], factory)
 
 
 def averaged(rows: DataFrame, model: WindowNetwork, slots: int = 16, most: int = 1 << 20) -> np.ndarray | None:
-    """Weights trained on each partition of rows, averaged by windows: first on the executors, then over `slots` rows."""
+    """Weights trained on every token of each partition of rows, averaged by tokens: first on the executors, then over `slots` rows."""
 
     def local(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        own = WindowNetwork(list(model.ids))
+        own = copy(model)
+        own.weights = list(model.weights)
         own.load(model.flat())
         n, held, size = 0, [], 0
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                w = np.frombuffer(raw, np.int16).reshape(-1, 1 + len(OFFSETS))
-                held.append(w)
-                size += len(w)
-                if size >= most:
-                    own.train(np.concatenate(held), seed=part)
-                    n, held, size = n + size, [], 0
+            for raw in b.column(0):
+                ids = np.frombuffer(raw.as_buffer(), np.int16)
+                for w in model.pieces(ids, most):
+                    held.append(w)
+                    size += len(w)
+                    if size >= most:
+                        own.train(np.concatenate(held), seed=part)
+                        n, held, size = n + size, [], 0
         if size:
             own.train(np.concatenate(held), seed=part)
             n += size
@@ -191,7 +193,7 @@ def averaged(rows: DataFrame, model: WindowNetwork, slots: int = 16, most: int =
 def fit(docs: DataFrame, text: str = "text", vocab: int = VOCAB, rounds: int = 2) -> WindowNetwork:
     words = [bytes(r.word) for r in count_words(docs, text).orderBy(F.desc("n"), "word").limit(vocab - 2).collect()]
     model = WindowNetwork(words)
-    rows = written(training_windows(docs, model, text), "lm-windows")
+    rows = written(training_ids(docs, model, text), "lm-ids")
     for _ in range(rounds):
         flat = averaged(rows, model)
         if flat is not None:
