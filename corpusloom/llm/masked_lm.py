@@ -3,8 +3,13 @@
 The vocabulary is counted over all documents.  Every token of every document is trained on where it lies: each partition
 runs mini-batches from the common weights, the results are averaged by their number of tokens, and so on for a few rounds.  A document's score is the sum of log p(token | two tokens before, two after).
 
-Cases: null and empty texts have no token, the score 0 and a null mean; tokens outside the vocabulary are one token of
-their own; ends are padded by a boundary token; repeated rows are scored alike; an empty corpus gives an empty result;
+The vocabulary is open: words of at least a millionth of all tokens (and twice) are known.  The commonest are classes of
+the network, the other known ones are hashed into `HASHED` classes, and the rest are one class.  A word has the
+probability of its class in its context times its share of the class; a word of the last class has that of its spelling,
+by a bigram model of bytes over the words counted there.  A caller's own `vocab` closes the vocabulary: that many
+words, and all others one token.
+
+Cases: null and empty texts have no token, the score 0 and a null mean; no word is without a probability of its own; ends are padded by a boundary token; repeated rows are scored alike; an empty corpus gives an empty result;
 a long text takes
 memory in proportion to its tokens, the network's layers to a chunk of them.
 """
@@ -18,6 +23,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +31,8 @@ from pyspark.sql import types as T
 from .common import annotate, slices, written
 
 OFFSETS = (-2, -1, 1, 2)
-VOCAB, HIDDEN = 384, 32
+VOCAB, HASHED, HIDDEN = 384, 64, 32
+FREQUENT = 1e-6  # of all tokens, for a known word
 EDGE, OTHER = 0, 1  # token ids of a boundary and of a word outside the vocabulary
 CHUNK = 1024
 
@@ -54,12 +61,58 @@ def count_words(docs: DataFrame, text: str = "text", most: int = 400_000) -> Dat
     return docs.select(F.col(text).alias("t")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class OpenVocabulary:
+    """The share of its class that each word has: known ones by count, all others by their spelling."""
+
+    def __init__(self, own: list[bytes], others: list[tuple[bytes, int]], spelled: np.ndarray):
+        first = len(own) + 2
+        self.classes = {w: first + xxhash.xxh64_intdigest(w) % HASHED for w, _ in others}
+        total = np.zeros(first + HASHED)
+        for w, n in others:
+            total[self.classes[w]] += n
+        self.share = dict.fromkeys(own, 0.0) | {w: float(np.log(n / total[self.classes[w]])) for w, n in others}
+        counts = spelled + 0.1
+        counts[256, 256] = 0  # no word is empty
+        counts /= counts.sum(axis=1, keepdims=True)
+        with np.errstate(divide="ignore"):
+            self.byte = np.log(counts)
+
+    def spelling(self, word: bytes) -> float:
+        at = np.frombuffer(word, np.uint8)
+        return float(self.byte[np.concatenate(([256], at)), np.concatenate((at, [256]))].sum())
+
+    def within(self, text: str | None) -> np.ndarray:
+        """log p(word | its class) of each token."""
+        return np.array([self.spelling(w) if (x := self.share.get(w)) is None else x for w in tokens(text)])
+
+
+def spellings(rare: DataFrame) -> np.ndarray:
+    """Counts (257 x 257) of a byte after another in the words of rare(word, n), each as often as it occurs; 256 is an end."""
+
+    def run(batches):
+        out = np.zeros(257 * 257, np.int64)
+        for b in batches:
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = np.frombuffer(w, np.uint8).astype(np.int64)
+                np.add.at(out, 257 * np.concatenate(([256], at)) + np.concatenate((at, [256])), n)
+        some = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(out[some], pa.int64())], names=["at", "n"])
+
+    out = np.zeros(257 * 257)
+    for r in rare.select("word", "n").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most 66,049 rows
+        out[r.at] = r.n
+    return out.reshape(257, 257)
+
+
 class WindowNetwork:
     """logits = W tanh(sum of one table row for each neighbour + a) + b."""
 
-    def __init__(self, vocab: list[bytes], hidden: int = HIDDEN, seed: int = 3):
+    def __init__(self, vocab: list[bytes], hidden: int = HIDDEN, seed: int = 3, open_to: OpenVocabulary | None = None):
         self.ids = {w: i + 2 for i, w in enumerate(vocab)}
-        size = len(vocab) + 2
+        self.open = open_to
+        size = len(vocab) + 2 + (HASHED if open_to else 0)
+        if open_to:
+            self.ids |= open_to.classes
         rng = np.random.default_rng(seed)
         self.shapes = [(len(OFFSETS), size, hidden), (hidden,), (hidden, size), (size,)]
         self.weights = [(rng.standard_normal(s) * 0.1).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in self.shapes]
@@ -73,6 +126,10 @@ class WindowNetwork:
         padded = np.concatenate(([EDGE, EDGE], ids, [EDGE, EDGE])).astype(np.int16)
         return np.column_stack([ids, *[padded[2 + o : 2 + o + len(ids)] for o in OFFSETS]])
 
+    def within(self, text: str | None, n: int) -> np.ndarray:
+        """log p(token | its class) of the n tokens of a text."""
+        return self.open.within(text) if self.open and n else np.zeros(n)
+
     def pieces(self, ids: np.ndarray, most: int):
         """The windows of a text, up to `most` at a time, with the neighbours at their ends."""
         for i in range(0, len(ids), most):
@@ -190,9 +247,17 @@ def averaged(rows: DataFrame, model: WindowNetwork, slots: int = 16, most: int =
     return sum(np.frombuffer(r.flat, np.float64) for r in sums) / n if n else None
 
 
-def fit(docs: DataFrame, text: str = "text", vocab: int = VOCAB, rounds: int = 2) -> WindowNetwork:
-    words = [bytes(r.word) for r in count_words(docs, text).orderBy(F.desc("n"), "word").limit(vocab - 2).collect()]
-    model = WindowNetwork(words)
+def fit(docs: DataFrame, text: str = "text", vocab: int | None = None, rounds: int = 2) -> WindowNetwork:
+    counted = count_words(docs, text)
+    if vocab is None:
+        counted = written(counted, "lm-words")
+        least = max(2, (counted.agg(F.sum("n")).first()[0] or 0) * FREQUENT)
+        known = [(bytes(r.word), r.n) for r in counted.where(F.col("n") >= least).collect()]  # under a million
+        known.sort(key=lambda x: (-x[1], x[0]))
+        words = [w for w, _ in known[: VOCAB - 2]]
+        model = WindowNetwork(words, open_to=OpenVocabulary(words, known[VOCAB - 2 :], spellings(counted.where(F.col("n") < least))))
+    else:
+        model = WindowNetwork([bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(vocab - 2).collect()])
     rows = written(training_ids(docs, model, text), "lm-ids")
     for _ in range(rounds):
         flat = averaged(rows, model)
@@ -211,6 +276,8 @@ def score(docs: DataFrame, model: WindowNetwork, text: str = "text", carry: Sequ
         def f(texts):
             each = [model.encode(t) for t in texts]
             logs = model.log_probability(np.concatenate([model.windows(x) for x in each])) if each else np.empty(0)
+            if each:
+                logs += np.concatenate([model.within(t, len(x)) for t, x in zip(texts, each, strict=True)])
             edges = np.cumsum([0, *map(len, each)])
             sums = [float(logs[i:j].sum()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
             n = [len(x) for x in each]

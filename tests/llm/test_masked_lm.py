@@ -27,3 +27,24 @@ def test_short_texts_leave_no_random_weights(spark):
     assert not np.allclose(model.flat(), fresh.flat(), atol=1e-3)
     good, bad = (r.pll_mean for r in masked_lm.score(spark.createDataFrame([(1, "a b c d e", None, None, 1), (2, "e d c b a", None, None, 1)], DOCS), model).orderBy("doc_id").collect())
     assert good > bad + 1
+
+
+def test_every_word_has_a_probability_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "VOCAB", 12)
+    rng = np.random.default_rng(2)
+    many = [f"word{i}" for i in range(300)]
+    texts = [" ".join(many[i] for i in np.minimum(rng.zipf(1.3, 60) - 1, 299)) + f" only{d}" for d in range(200)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    model = masked_lm.fit(df, rounds=1)
+    known = set(model.open.share)
+    assert len(known) > 100 and len(model.ids) == len(known) and "only3".encode() not in known
+    # the known words of a class share it out, and each context's classes add up to 1
+    for c in set(model.open.classes.values()):
+        assert abs(sum(np.exp(model.open.share[w]) for w, k in model.open.classes.items() if k == c) - 1) < 1e-6
+    assert (np.abs(np.exp(model.open.byte).sum(axis=1) - 1) < 1e-9).all()
+    context = np.full((model.shapes[3][0], 5), 2, np.int16)
+    context[:, 0] = np.arange(len(context))
+    assert abs(np.exp(model.log_probability(context)).sum() - 1) < 1e-4
+    said = [f"word0 word1 {w} word0 word1" for w in ("only3", "qzxv\u00e9qj##", "word150", "word151", "only")]
+    got = {r.doc_id: r.pll for r in masked_lm.score(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(said)], DOCS), model).collect()}
+    assert len(set(got.values())) == len(said) and got[1] < got[0] - 10
