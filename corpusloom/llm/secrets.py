@@ -1,11 +1,12 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Every text is searched for credential shapes.  A candidate's value is hashed, hashes are counted by distinct owners and
-repositories over the whole corpus, and the count separates values that many owners copied (documentation examples) from
-owner-specific ones that look live.  Generic high-entropy strings, too vague to report on shape alone, are reported
+repositories over the whole corpus, and both counts separate values that were copied widely, by many owners or into many
+repositories (documentation examples), from owner-specific ones that look live.  Generic high-entropy strings, too vague to report on shape alone, are reported
 (kind `owned`) exactly when their ownership is that narrow.
 
-Cases: a null text is an empty text (no spans); a null owner is one owner of its own; repeated rows are separate
+Cases: a null text is an empty text (no spans); a null owner is one owner of its own and a null repository one of its
+owner's; repositories of the same name under two owners are two; repeated rows are separate
 documents of the same owner; ties in position are ordered by kind; an empty table gives an empty result; other columns
 are ignored unless carried.
 """
@@ -93,14 +94,16 @@ def scan_factory(least_entropy: float):
     return factory
 
 
-def ownership(candidates: DataFrame, max_owners: int) -> DataFrame:
-    """(hash, owners, repositories, live) from (hash, owner, repository), counted over the whole corpus.
+def ownership(candidates: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
+    """(hash, owners, repositories, live) from (hash, owner, repository), counted exactly over the whole corpus.
 
-    Distinct triples are formed before the shuffle to their hash, so a value that a third of all rows hold arrives as
-    one row for each map task and owner.
+    Distinct triples are formed first and counted for each owner, so that a value that a third of all rows hold is
+    spread over its repositories, and then arrives as one row for each map task and owner.
     """
-    by_owner = candidates.groupBy("hash", "owner").agg(F.approx_count_distinct("repository", 0.02).alias("repos"))
-    return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repositories")).withColumn("live", F.col("owners") <= max_owners)
+    each = candidates.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
+    by_owner = each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
+    counted = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repositories"))
+    return counted.withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
 
 
 def detect(
@@ -110,13 +113,14 @@ def detect(
     repository: str = "doc_id",
     carry: Sequence[str] = ("doc_id",),
     max_owners: int = 3,
+    max_repositories: int = 10,
     least_entropy: float = 3.5,
 ) -> DataFrame:
-    """carry columns plus n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example and found.
+    """carry columns plus n_assign, n_access, n_hex, base_sha256, spans, owners, repositories, n_live, n_example and found.
 
-    found holds (kind, start, end, live) of every reported span.  A value is live-looking while at most max_owners
-    distinct owners hold it.  Repositories are counted approximately (2 %) for the report; owners, on which the verdict
-    rests, exactly.
+    found holds (start, kind, end, live, owners, repositories) of every reported span; owners and repositories hold the
+    counts of its value in the order of spans.  A value is live-looking while at most max_owners distinct owners and at
+    most max_repositories distinct repositories hold it.
     """
     renamed = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in carry], F.col(f"`{text}`").alias("t"), F.col(f"`{owner}`").cast("string").alias("o"), F.col(f"`{repository}`").cast("string").alias("r"))
     kept = [f"k_{c}" for c in carry]
@@ -127,22 +131,23 @@ def detect(
     some = scanned.where(F.size("candidates") > 0).withColumn("row", F.monotonically_increasing_id())
     some = cut(some)  # fixes the row numbers
     each = some.select("row", F.col("o").alias("owner"), F.col("r").alias("repository"), F.explode("candidates").alias("c")).select("row", "owner", "repository", "c.*")
-    owned = ownership(each.select("hash", F.coalesce("owner", F.lit("")).alias("owner"), "repository"), max_owners)
+    owned = ownership(each.select("hash", F.coalesce("owner", F.lit("")).alias("owner"), "repository"), max_owners, max_repositories)
     judged = each.join(owned, "hash").where((F.col("kind") < 3) | F.col("live"))
-    back = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("found"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")
+    back = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", "owners", "repositories"))).alias("found"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,owners:bigint,repositories:bigint>>")
     whole = some.join(back, "row", "left").drop("row").withColumn("found", F.coalesce("found", none))
     rest = scanned.where(F.size("candidates") == 0).withColumn("found", none)
     names = F.array(*[F.lit(k) for k in KINDS])
     say = F.array_join(F.transform("found", lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
     out = rest.unionByName(whole).drop("candidates", "o", "r")
+    out = out.withColumn("owners", F.col("found.owners")).withColumn("repositories", F.col("found.repositories"))
     out = out.withColumn("spans", say).withColumn("n_live", F.size(F.filter("found", lambda x: x["live"])).cast("long")).withColumn("n_example", F.size(F.filter("found", lambda x: ~x["live"])).cast("long"))
-    fields = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example", "found"]
+    fields = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "owners", "repositories", "n_live", "n_example", "found"]
     return out.select(*[F.col(f"k_{c}").alias(c) for c in carry if c not in fields], *fields)
 
 
 def redact(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", length: str | None = "n_chars", **options) -> DataFrame:
-    """docs with each reported span replaced by [SECRET:kind], or [EXAMPLE:kind] where many owners hold the value.
+    """docs with each reported span replaced by [SECRET:kind], or [EXAMPLE:kind] where many owners or repositories hold the value.
 
     All columns stay; `length`, if the table has it, is counted anew for rows that changed.
     """
