@@ -3,7 +3,9 @@
 Benchmark passages and passages of a bounded sample of documents form a TF-IDF matrix over the benchmark's terms, with
 document frequencies counted over all documents.  A randomised SVD, whose products are summed over the partitions, gives
 a latent basis.  Every window of every document is then compared with every benchmark passage of about its length by
-cosine in that space, and the candidates are settled on their words: a longest common subsequence of most of the passage
+cosine in that space.  That alone would lose copies whose rare words were changed, and rests on the sample; so every
+window that has enough of a passage's words, rare or not, to hold a leak of it is a candidate too, and none is lost before
+the words are read.  The candidates are settled on their words: a longest common subsequence of most of the passage
 is a leak; a shorter one (a paraphrase) is a leak if the passage's answer, its last clause, also stands in the window.
 
 The benchmark is the query set: it is held on the driver and executors, in blocks of `BLOCK` passages with a basis of
@@ -99,9 +101,15 @@ class LatentIndex:
             while width < len(p.words):
                 width = int(width * GROWTH)
             by.setdefault(width, []).append(k)
+        self.units = []  # (stride, width, passages, which words they have, how many of a window's words a leak needs)
         self.classes = []  # (stride, width, passages, their parts, the most that a word adds to any of them)
         for width, own in sorted(by.items()):
             stride = max(2, width // 4)
+            unit = np.zeros((len(vectors), len(own)), np.int16)
+            for j, k in enumerate(own):
+                unit[[vocab[w] for w in passages[k].words], j] = 1
+            needed = np.array([len(passages[k].words) * (1 if len(passages[k].words) < SHORT else PARAPHRASE) for k in own])
+            self.units.append((stride, width + stride, own, unit, needed))
             self.classes.append((stride, width + stride, np.array(own), np.ascontiguousarray(parts[:, own]), np.maximum(parts[:, own].max(axis=1), 0)))
 
     def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
@@ -125,6 +133,23 @@ class LatentIndex:
                 for r, c in zip(*np.nonzero((share >= SHARE) & (cosine >= COSINE)), strict=True):
                     yield int(s[r]), int(e[r]), int(own[c]), float(cosine[r, c])
 
+    def overlaps(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(start, end, passage) of windows with as many words of the passage as a leak of it has at least."""
+        n = len(ids)
+        for stride, width, own, unit, needed in self.units:
+            step = stride * max(1, 8192 // stride)  # whole strides, so that counts are of few words at once
+            blocks = np.concatenate([np.add.reduceat(unit[part], np.arange(0, len(part), stride), axis=0) for part in (ids[i : i + step] for i in range(0, n, step))])
+            total = np.concatenate((np.zeros((1, len(own)), np.int32), np.cumsum(blocks, axis=0, dtype=np.int32)))
+            last = np.minimum(np.arange(len(blocks)) + -(-width // stride), len(blocks))
+            for r, c in zip(*np.nonzero(total[last] - total[:-1] >= needed), strict=True):
+                yield int(r) * stride, min(int(r) * stride + width, n), own[c]
+
+    def cosine(self, ids: np.ndarray, k: int) -> float:
+        """The cosine of a window and a passage."""
+        passage = self.vectors[[self.vocab[w] for w in self.passages[k].words]].sum(axis=0)
+        window = self.vectors[ids].sum(axis=0)
+        return float(window @ passage / (self.norms[k] * (np.linalg.norm(window) + 1e-12)))
+
     def leaks(self, each: Sequence[Sequence[str]]) -> list[list[dict]]:
         """For each text, given as words, the passages that it leaks."""
         found: list[dict[int, tuple[float, float]]] = [{} for _ in each]
@@ -133,7 +158,7 @@ class LatentIndex:
         if total and self.passages:
             offsets = np.concatenate(([0], np.cumsum(lengths)))
             ids = np.fromiter(map(self.vocab.get, chain.from_iterable(each), repeat(0)), np.int32, total)
-            for start, end, k, cosine in self.candidates(ids):
+            for start, end, k, cosine in chain(self.candidates(ids), ((*x, None) for x in self.overlaps(ids))):
                 reach = (end - start) // 4
                 first = int(np.searchsorted(offsets, start, "right")) - 1
                 while first < len(each) and offsets[first] < end:  # a window may touch several short texts
@@ -141,7 +166,7 @@ class LatentIndex:
                         lo, hi = max(0, start - reach - int(offsets[first])), end + reach - int(offsets[first])
                         share = self.passages[k].judged(each[first][lo:hi])
                         if share and share > found[first].get(k, (0, 0))[1]:
-                            found[first][k] = (cosine, share)
+                            found[first][k] = (self.cosine(ids[start:end], k) if cosine is None else cosine, share)
                     first += 1
         return [[{"item_id": self.passages[k].item, "cosine": c, "lcs_share": s} for k, (c, s) in sorted(f.items())] for f in found]
 
