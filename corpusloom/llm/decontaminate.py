@@ -101,7 +101,7 @@ class LatentIndex:
             while width < len(p.words):
                 width = int(width * GROWTH)
             by.setdefault(width, []).append(k)
-        self.units = []  # (stride, width, passages, which words they have, how many of a window's words a leak needs)
+        self.units = []  # (stride, width, passages, which words they have, how many of a window's words a leak needs, bounds)
         self.classes = []  # (stride, width, passages, their parts, the most that a word adds to any of them)
         for width, own in sorted(by.items()):
             stride = max(2, width // 4)
@@ -109,9 +109,42 @@ class LatentIndex:
             for j, k in enumerate(own):
                 unit[[vocab[w] for w in passages[k].words], j] = 1
             needed = np.array([len(passages[k].words) * (1 if len(passages[k].words) < SHORT else PARAPHRASE) for k in own])
-            self.units.append((stride, width + stride, own, unit, needed))
+            self.units.append((stride, width + stride, own, unit, needed, self.bounds(own)))
             self.classes.append((stride, width + stride, np.array(own), np.ascontiguousarray(parts[:, own]), np.maximum(parts[:, own].max(axis=1), 0)))
 
+    def bounds(self, own: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For some passages: the place of each term among a passage's distinct words (from 1; 0: not its word), how often
+        the passage and its answer have the word at each place, and each passage's length."""
+        most = max(len(self.passages[k].masks) for k in own) + 1
+        place = np.zeros((len(self.vectors), len(own)), np.int16)
+        held, told = np.zeros((len(own), most), np.int16), np.zeros((len(own), most), np.int16)
+        for j, k in enumerate(own):
+            p = self.passages[k]
+            at = {w: i + 1 for i, w in enumerate(p.masks)}
+            for w, i in at.items():
+                place[self.vocab[w], j] = i
+                held[j, i] = p.masks[w].bit_count()
+            for w, n in Counter(p.answer).items():
+                told[j, at[w]] = n
+        return place, held, told, np.array([len(self.passages[k].words) for k in own])
+
+    def possible(self, ids: np.ndarray, starts: np.ndarray, width: int, own: np.ndarray, bounds) -> np.ndarray:
+        """Whether what `judged` reads of each window can be a leak: a subsequence takes no word more often than window and
+        passage both have it, and a paraphrase has all words of the answer."""
+        place, held, told, sizes = bounds
+        out = np.zeros(len(starts), bool)
+        reach = width // 4
+        for i in range(0, len(starts), 1024):
+            s, k = starts[i : i + 1024], own[i : i + 1024]
+            at = s[:, None] - reach + np.arange(width + 2 * reach)
+            term = np.where((at >= 0) & (at < len(ids)), ids[np.clip(at, 0, len(ids) - 1)], 0)
+            cell = place[term, k[:, None]] + np.arange(len(s))[:, None] * held.shape[1]
+            seen = np.bincount(cell.ravel(), minlength=len(s) * held.shape[1]).reshape(len(s), -1)
+            both = np.minimum(seen, held[k]).sum(axis=1) / sizes[k]
+            least = np.where(sizes[k] < SHORT, 1.0, np.where((seen[:, 1:] >= told[k, 1:]).all(axis=1), PARAPHRASE, LEAK))
+            out[i : i + 1024] = both >= least - 1e-9
+        return out
+
     def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(start, end, passage, cosine) of windows over term ids whose projection on the passage is SHARE of it or more."""
         n = len(ids)
@@ -134,15 +167,17 @@ class LatentIndex:
                     yield int(s[r]), int(e[r]), int(own[c]), float(cosine[r, c])
 
     def overlaps(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(start, end, passage) of windows with as many words of the passage as a leak of it has at least."""
+        """(start, end, passage) of windows with as many words of the passage as a leak of it has at least, each counted once."""
         n = len(ids)
-        for stride, width, own, unit, needed in self.units:
+        for stride, width, own, unit, needed, bounds in self.units:
             step = stride * max(1, 8192 // stride)  # whole strides, so that counts are of few words at once
             blocks = np.concatenate([np.add.reduceat(unit[part], np.arange(0, len(part), stride), axis=0) for part in (ids[i : i + step] for i in range(0, n, step))])
             total = np.concatenate((np.zeros((1, len(own)), np.int32), np.cumsum(blocks, axis=0, dtype=np.int32)))
             last = np.minimum(np.arange(len(blocks)) + -(-width // stride), len(blocks))
-            for r, c in zip(*np.nonzero(total[last] - total[:-1] >= needed), strict=True):
-                yield int(r) * stride, min(int(r) * stride + width, n), own[c]
+            r, c = np.nonzero(total[last] - total[:-1] >= needed)
+            good = self.possible(ids, r * stride, width, c, bounds)
+            for start, j in zip((r[good] * stride).tolist(), c[good].tolist(), strict=True):
+                yield start, min(start + width, n), own[j]
 
     def cosine(self, ids: np.ndarray, k: int) -> float:
         """The cosine of a window and a passage."""
