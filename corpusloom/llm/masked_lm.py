@@ -1,23 +1,29 @@
 """Masked pseudo-likelihood: a window network predicts each token from both sides.
 
-The vocabulary is counted over all documents.  Every token of every document is trained on where it lies: each partition
-runs mini-batches from the common weights, the results are averaged by their number of tokens, and so on for a few rounds.  A document's score is the sum of log p(token | two tokens before, two after).
-
-The vocabulary is open: words of at least a millionth of all tokens (and twice) are known.  The commonest are classes of
+The vocabulary is counted over all documents.  Every token of every document is trained on: documents are dealt by a hash
+of key and text into shards of about `SHARD` tokens, which are packed into units; each unit runs mini-batches from the
+common weights, the results are averaged by their number of tokens; with more `rounds` than one, again from there.  Neither files nor
+partitions have a part in that, so the weights do not depend on the layout (but for the rounding of sums).  A document's
+score is the sum of log p(token | two tokens before, two after).
+
+The network's output is factored: the probability of a group of classes, times that of the class in its group.  The
+vocabulary is open: words of at least a millionth of all tokens (and twice) are known.  The commonest are classes of
 the network, the other known ones are hashed into `HASHED` classes, and the rest are one class.  A word has the
 probability of its class in its context times its share of the class; a word of the last class has that of its spelling,
 by a bigram model of bytes over the words counted there.  A caller's own `vocab` closes the vocabulary: that many
 words, and all others one token.
 
-Cases: null and empty texts have no token, the score 0 and a null mean; no word is without a probability of its own; ends are padded by a boundary token; repeated rows are scored alike; an empty corpus gives an empty result;
-a long text takes
-memory in proportion to its tokens, the network's layers to a chunk of them.
+Cases: null and empty texts have no token, the score 0 and a null mean; no word is without a probability of its own; ends
+are padded by a boundary token; repeated rows are scored alike, and each is trained on; ties in a word's count are
+ordered by the word; an empty corpus gives an empty result; a carried column of a result's name is left out, as the result
+has that name; a long text is read in blocks, of which only two bytes a token stay.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from copy import copy
 from itertools import repeat
 
@@ -31,16 +37,31 @@ from pyspark.sql import types as T
 from .common import annotate, slices, written
 
 OFFSETS = (-2, -1, 1, 2)
-VOCAB, HASHED, HIDDEN = 384, 64, 32
+VOCAB, HASHED, HIDDEN, GROUP = 960, 64, 32, 64
 FREQUENT = 1e-6  # of all tokens, for a known word
 EDGE, OTHER = 0, 1  # token ids of a boundary and of a word outside the vocabulary
-CHUNK = 1024
+CHUNK = 4096
+SHARD, UNIT = 1 << 20, 1 << 19  # tokens
+BLOCK = 1 << 20  # bytes
+SPACE = re.compile(rb"[ \t-\r]")
 
 
 def tokens(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def blocks(text: str | None) -> Iterator[list[bytes]]:
+    """The tokens of a text, of about BLOCK bytes at a time."""
+    if not text or len(text) < BLOCK // 4:
+        yield tokens(text)
+        return
+    raw, at = text.encode(), 0
+    while at < len(raw):
+        end = SPACE.search(raw, at + BLOCK)
+        yield raw[at : end.start() if end else len(raw)].lower().split()
+        at = end.start() if end else len(raw)
+
+
 def count_words(docs: DataFrame, text: str = "text", most: int = 400_000) -> DataFrame:
     """(word, n) over all documents; each task sends a word once for each `most` distinct words."""
 
@@ -52,7 +73,8 @@ def count_words(docs: DataFrame, text: str = "text", most: int = 400_000) -> Dat
         for whole in batches:
             for b in slices(whole, 0):
                 for t in b.column(0).to_pylist():
-                    counts.update(tokens(t))
+                    for part in blocks(t):
+                        counts.update(part)
                 if len(counts) > most:
                     yield sent(counts)
                     counts.clear()
@@ -77,13 +99,21 @@ class OpenVocabulary:
         with np.errstate(divide="ignore"):
             self.byte = np.log(counts)
 
-    def spelling(self, word: bytes) -> float:
-        at = np.frombuffer(word, np.uint8)
-        return float(self.byte[np.concatenate(([256], at)), np.concatenate((at, [256]))].sum())
+    def spelling(self, words: list[bytes]) -> float:
+        """The sum of log p(its bytes and its end) of some words."""
+        if not words:
+            return 0.0
+        at = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum([*map(len, words)])
+        before = np.empty(len(at), np.int64)
+        before[1:] = at[:-1]
+        before[np.concatenate(([0], ends[:-1]))] = 256
+        return float(self.byte[before, at].sum() + self.byte[at[ends - 1], 256].sum())
 
-    def within(self, text: str | None) -> np.ndarray:
-        """log p(word | its class) of each token."""
-        return np.array([self.spelling(w) if (x := self.share.get(w)) is None else x for w in tokens(text)])
+    def within(self, words: list[bytes]) -> float:
+        """The sum of log p(word | its class)."""
+        share = self.share
+        return sum(map(share.get, words, repeat(0.0))) + self.spelling([w for w in words if w not in share])
 
 
 def spellings(rare: DataFrame) -> np.ndarray:
@@ -105,7 +135,7 @@ def spellings(rare: DataFrame) -> np.ndarray:
 
 
 class WindowNetwork:
-    """logits = W tanh(sum of one table row for each neighbour + a) + b."""
+    """logits of groups and of the classes in a group, both linear in tanh(sum of one table row for each neighbour + a)."""
 
     def __init__(self, vocab: list[bytes], hidden: int = HIDDEN, seed: int = 3, open_to: OpenVocabulary | None = None):
         self.ids = {w: i + 2 for i, w in enumerate(vocab)}
@@ -114,69 +144,82 @@ class WindowNetwork:
         if open_to:
             self.ids |= open_to.classes
         rng = np.random.default_rng(seed)
-        self.shapes = [(len(OFFSETS), size, hidden), (hidden,), (hidden, size), (size,)]
+        groups = -(-size // GROUP)
+        self.shapes = [(len(OFFSETS), size, hidden), (hidden,), (groups, hidden), (groups,), (size, hidden), (size,)]
         self.weights = [(rng.standard_normal(s) * 0.1).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in self.shapes]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        w = tokens(text)
-        return np.fromiter(map(self.ids.get, w, repeat(OTHER)), np.int16, len(w))
+    def encode(self, words: Sequence[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.ids.get, words, repeat(OTHER)), np.int16, len(words))
 
-    def windows(self, ids: np.ndarray) -> np.ndarray:
-        """(tokens, 5): the token itself, then its neighbours."""
-        padded = np.concatenate(([EDGE, EDGE], ids, [EDGE, EDGE])).astype(np.int16)
-        return np.column_stack([ids, *[padded[2 + o : 2 + o + len(ids)] for o in OFFSETS]])
-
-    def within(self, text: str | None, n: int) -> np.ndarray:
-        """log p(token | its class) of the n tokens of a text."""
-        return self.open.within(text) if self.open and n else np.zeros(n)
-
-    def pieces(self, ids: np.ndarray, most: int):
-        """The windows of a text, up to `most` at a time, with the neighbours at their ends."""
-        for i in range(0, len(ids), most):
-            yield self.windows(ids[max(0, i - 2) : i + most + 2])[min(2, i) :][:most]
+    def read(self, text: str | None) -> tuple[np.ndarray, float]:
+        """The ids of a text's tokens, and the sum of log p(token | its class)."""
+        ids, inner = [], 0.0
+        for part in blocks(text):
+            ids.append(self.encode(part))
+            if self.open:
+                inner += self.open.within(part)
+        return (ids[0] if len(ids) == 1 else np.concatenate(ids)), inner
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         tables, a = self.weights[0], self.weights[1]
         h = tables[0][context[:, 0]]
         for k in range(1, len(OFFSETS)):
-            h = h + tables[k][context[:, k]]
-        return np.tanh(h + a)
+            h += tables[k][context[:, k]]
+        h += a
+        return np.tanh(h, out=h)
+
+    def grouped(self, own: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+        """(rows, first class, end of the classes) for each group of classes among `own`."""
+        which = own // GROUP
+        order = np.argsort(which, kind="stable")
+        ends = np.flatnonzero(np.diff(which[order])) + 1
+        for i, j in zip([0, *ends.tolist()], [*ends.tolist(), len(order)], strict=True):
+            rows = order[i:j]
+            first = int(which[rows[0]]) * GROUP
+            yield rows, first, min(first + GROUP, self.shapes[5][0])
 
     def log_probability(self, windows: np.ndarray) -> np.ndarray:
         """log p of each window's own token."""
-        _, _, w, b = self.weights
+        _, _, g, c, w, b = self.weights
         out = np.empty(len(windows))
         for i in range(0, len(windows), CHUNK):
             part = windows[i : i + CHUNK]
-            z = self.hidden(part[:, 1:]) @ w
-            z += b
-            own = z[np.arange(len(part)), part[:, 0]]
-            top = z.max(axis=1)
-            z -= top[:, None]
-            np.exp(z, out=z)
-            out[i : i + CHUNK] = own - top - np.log(z.sum(axis=1))
+            h = self.hidden(part[:, 1:])
+            found = chosen(g @ h.T + c[:, None], part[:, 0] // GROUP)
+            for rows, low, high in self.grouped(part[:, 0]):
+                found[rows] += chosen(w[low:high] @ h[rows].T + b[low:high, None], part[rows, 0] - low)
+            out[i : i + CHUNK] = found
         return out
 
     def step(self, part: np.ndarray, state: list[np.ndarray], rate: float) -> None:
         """One mini-batch of Adagrad on the cross entropy."""
-        tables, a, w, b = self.weights
-        n, ctx = len(part), part[:, 1:]
+        tables, _, g, c, w, b = self.weights
+        n, own, ctx = len(part), part[:, 0], part[:, 1:]
         h = self.hidden(ctx)
-        z = h @ w + b
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(n), part[:, 0]] -= 1
-        z /= n
-        dh = (z @ w.T) * (1 - h * h)
-        grads = [np.zeros_like(tables), dh.sum(axis=0), h.T @ z, z.sum(axis=0)]
+        z = slope(g @ h.T + c[:, None], own // GROUP, n)
+        dh = z.T @ g
+        grads = [None, None, z @ h, z.sum(axis=1), np.zeros_like(w), np.zeros_like(b)]
+        for rows, low, high in self.grouped(own):
+            near = h[rows]
+            z = slope(w[low:high] @ near.T + b[low:high, None], own[rows] - low, n)
+            grads[4][low:high] = z @ near
+            grads[5][low:high] = z.sum(axis=1)
+            dh[rows] += z.T @ w[low:high]
+        dh *= 1 - h * h
+        grads[1] = dh.sum(axis=0)
         for k in range(len(OFFSETS)):
-            np.add.at(grads[0][k], ctx[:, k], dh)
-        for p, g, s in zip(self.weights, grads, state, strict=True):
-            s += g * g
-            p -= rate * g / (np.sqrt(s) + 1e-6)
-
-    def train(self, windows: np.ndarray, batch: int = 256, rate: float = 0.05, seed: int = 0) -> None:
+            order = np.argsort(ctx[:, k], kind="stable")
+            ids = ctx[order, k]
+            first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+            used, d = ids[first], np.add.reduceat(dh[order], first, axis=0)  # the rest of the table has no slope
+            past = state[0][k][used] + d * d
+            state[0][k][used] = past
+            tables[k][used] -= rate * d / (np.sqrt(past) + 1e-6)
+        for p, d, s in zip(self.weights[1:], grads[1:], state[1:], strict=True):
+            s += d * d
+            p -= rate * d / (np.sqrt(s) + 1e-6)
+
+    def train(self, windows: np.ndarray, batch: int = 2048, rate: float = 0.1, seed: int = 0) -> None:
         state = [np.zeros_like(p) for p in self.weights]
         order = np.random.default_rng(seed).permutation(len(windows))
         for i in range(0, len(order), batch):
@@ -193,44 +236,97 @@ class WindowNetwork:
             at += n
 
 
-def training_ids(docs: DataFrame, model: WindowNetwork, text: str = "text") -> DataFrame:
-    """One row for each document with a token: the ids of all its tokens as bytes."""
+def chosen(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The log-softmax of each column of z at its own row (sums over the first axis are the fast ones)."""
+    z -= z.max(axis=0)
+    held = z[own, np.arange(len(own))]
+    return held - np.log(np.exp(z, out=z).sum(axis=0))
+
+
+def slope(z: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """The derivative of -log softmax at each column's own row, over n."""
+    z -= z.max(axis=0)
+    np.exp(z, out=z)
+    z /= z.sum(axis=0) * np.float32(n)
+    z[own, np.arange(len(own))] -= np.float32(1 / n)
+    return z
+
+
+def windows(stream: np.ndarray) -> np.ndarray:
+    """(tokens, 5): each token of a stream of ids between pairs of EDGE, then its neighbours.  The first and last two are neighbours only."""
+    at = np.flatnonzero(stream[2:-2] != EDGE) + 2
+    return np.column_stack([stream[at], *[stream[at + o] for o in OFFSETS]]) if len(at) else np.empty((0, 1 + len(OFFSETS)), np.int16)
+
+
+EDGES = np.full(2, EDGE, np.int16)
+
+
+def streamed(texts: Sequence[np.ndarray]) -> np.ndarray:
+    return np.concatenate([EDGES, *[x for ids in texts for x in (ids, EDGES)]]).astype(np.int16)
+
+
+def stretches(ids: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """A text's ids as streams of up to `most` tokens, each with the neighbours at its ends."""
+    padded = streamed([ids])
+    for i in range(0, len(ids), most):
+        yield padded[i : min(i + most, len(ids)) + 4]
+
+
+def packed(rows: Iterator[tuple[int, np.ndarray]], most: int) -> Iterator[np.ndarray]:
+    """Units from (shard, ids), sorted by shard: streams of `most` tokens or little more, of one shard each; a longer text alone."""
+    now, held, size = None, [], 0
+    for shard, ids in rows:
+        if held and (shard != now or size >= most):
+            yield streamed(held)
+            held, size = [], 0
+        now = shard
+        if len(ids) > most:
+            yield from stretches(ids, most)
+        elif len(ids):
+            held.append(ids)
+            size += len(ids)
+    if held:
+        yield streamed(held)
+
+
+def training_units(docs: DataFrame, model: WindowNetwork, text: str, key: str, total: int, unit: int = UNIT, shard: int = SHARD) -> DataFrame:
+    """(ids): streams of all tokens of all documents, the same for any layout of the rows."""
+    order = F.xxhash64(F.col(key), F.col(text))
+    dealt = docs.select(F.col(text).alias("t"), order.alias("h"), F.pmod(order, F.lit(max(1, -(-total // shard)))).alias("shard"))
 
     def factory():
         def f(texts):
-            out = [model.encode(t).tobytes() for t in texts]
+            out = [model.encode([w for part in blocks(t) for w in part]).tobytes() for t in texts]
             return [bool(x) for x in out], [[x for x in out if x]]
 
         return f
 
-    return annotate(docs, text, [T.StructField("ids", T.BinaryType())], factory)
+    rows = annotate(dealt, "t", [T.StructField("ids", T.BinaryType())], factory, ["shard", "h"])
+
+    def pack(batches):
+        each = ((s, np.frombuffer(x, np.int16)) for b in batches for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for u in packed(each, unit):
+            yield pa.RecordBatch.from_arrays([pa.array([u.tobytes()], pa.binary())], names=["ids"])
 
+    return rows.repartition("shard").sortWithinPartitions("shard", "h").select("shard", "ids").mapInArrow(pack, "ids binary")
 
-def averaged(rows: DataFrame, model: WindowNetwork, slots: int = 16, most: int = 1 << 20) -> np.ndarray | None:
-    """Weights trained on every token of each partition of rows, averaged by tokens: first on the executors, then over `slots` rows."""
+
+def averaged(units: DataFrame, model: WindowNetwork, slots: int = 16) -> np.ndarray | None:
+    """Weights trained on each unit from the model's, averaged by tokens: first in each task, then over `slots` rows."""
 
     def local(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        own = copy(model)
-        own.weights = list(model.weights)
-        own.load(model.flat())
-        n, held, size = 0, [], 0
+        n, total = 0, 0.0
         for b in batches:
             for raw in b.column(0):
-                ids = np.frombuffer(raw.as_buffer(), np.int16)
-                for w in model.pieces(ids, most):
-                    held.append(w)
-                    size += len(w)
-                    if size >= most:
-                        own.train(np.concatenate(held), seed=part)
-                        n, held, size = n + size, [], 0
-        if size:
-            own.train(np.concatenate(held), seed=part)
-            n += size
+                part = windows(np.frombuffer(raw.as_buffer(), np.int16))
+                own = copy(model)
+                own.weights = [p.copy() for p in model.weights]
+                own.train(part, seed=len(part))
+                n, total = n + len(part), total + own.flat().astype(np.float64) * len(part)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([part % slots], pa.int32()), pa.array([n], pa.int64()), pa.array([(own.flat().astype(np.float64) * n).tobytes()], pa.binary())], names=["slot", "n", "flat"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % slots], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["slot", "n", "flat"])
 
     def add(batches):
         got: dict[int, list] = {}
@@ -242,25 +338,25 @@ def averaged(rows: DataFrame, model: WindowNetwork, slots: int = 16, most: int =
             yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["slot", "n", "flat"])
 
     schema = "slot int, n long, flat binary"
-    sums = sorted(rows.mapInArrow(local, schema).repartition(slots, "slot").mapInArrow(add, schema).collect(), key=lambda r: r.slot)
+    sums = sorted(units.mapInArrow(local, schema).repartition(slots, "slot").mapInArrow(add, schema).collect(), key=lambda r: r.slot)
     n = sum(r.n for r in sums)
     return sum(np.frombuffer(r.flat, np.float64) for r in sums) / n if n else None
 
 
-def fit(docs: DataFrame, text: str = "text", vocab: int | None = None, rounds: int = 2) -> WindowNetwork:
-    counted = count_words(docs, text)
+def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", vocab: int | None = None, rounds: int = 1) -> WindowNetwork:
+    counted = written(count_words(docs, text), "lm-words")
+    total = counted.agg(F.sum("n")).first()[0] or 0
     if vocab is None:
-        counted = written(counted, "lm-words")
-        least = max(2, (counted.agg(F.sum("n")).first()[0] or 0) * FREQUENT)
+        least = max(2, total * FREQUENT)
         known = [(bytes(r.word), r.n) for r in counted.where(F.col("n") >= least).collect()]  # under a million
         known.sort(key=lambda x: (-x[1], x[0]))
         words = [w for w, _ in known[: VOCAB - 2]]
         model = WindowNetwork(words, open_to=OpenVocabulary(words, known[VOCAB - 2 :], spellings(counted.where(F.col("n") < least))))
     else:
         model = WindowNetwork([bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(vocab - 2).collect()])
-    rows = written(training_ids(docs, model, text), "lm-ids")
+    units = written(training_units(docs, model, text, key, total), "lm-units")
     for _ in range(rounds):
-        flat = averaged(rows, model)
+        flat = averaged(units, model)
         if flat is not None:
             model.load(flat)
     return model
@@ -272,15 +368,24 @@ FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("pll", T.Double
 def score(docs: DataFrame, model: WindowNetwork, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """carry columns plus n_tokens, pll (the sum of log-probabilities) and pll_mean (of a token)."""
 
+    def summed(ids: np.ndarray) -> float:
+        return sum(float(model.log_probability(windows(s)).sum()) for s in stretches(ids, UNIT))
+
     def factory():
         def f(texts):
-            each = [model.encode(t) for t in texts]
-            logs = model.log_probability(np.concatenate([model.windows(x) for x in each])) if each else np.empty(0)
-            if each:
-                logs += np.concatenate([model.within(t, len(x)) for t, x in zip(texts, each, strict=True)])
-            edges = np.cumsum([0, *map(len, each)])
-            sums = [float(logs[i:j].sum()) for i, j in zip(edges[:-1], edges[1:], strict=True)]
-            n = [len(x) for x in each]
+            each = [model.read(t) for t in texts]
+            n = [len(ids) for ids, _ in each]
+            short = [ids for ids, _ in each if len(ids) <= UNIT]
+            logs = model.log_probability(windows(streamed(short)))
+            edges = iter(np.concatenate(([0.0], np.cumsum(logs)))[np.cumsum([0, *map(len, short)])].tolist())
+            sums, before = [], next(edges)
+            for ids, inner in each:
+                if len(ids) <= UNIT:
+                    after = next(edges)
+                    sums.append(after - before + inner if len(ids) else 0.0)
+                    before = after
+                else:
+                    sums.append(summed(ids) + inner)
             return None, [n, sums, [s / k if k else None for s, k in zip(sums, n, strict=True)]]
 
         return f

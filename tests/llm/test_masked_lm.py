@@ -7,17 +7,68 @@ from corpusloom.llm import masked_lm
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def test_every_token_is_trained_on(spark):
-    texts = ["a b c " * n for n in range(6)] + ["x y " * 700, None]
+def plain_windows(ids):
+    return [[x, *[ids[i + o] if 0 <= i + o < len(ids) else masked_lm.EDGE for o in masked_lm.OFFSETS]] for i, x in enumerate(ids)]
+
+
+def test_every_token_is_trained_on_whatever_the_layout(spark):
+    texts = ["a b c " * n for n in range(6)] + ["x y " * 700, None, "", "x y " * 700]
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
     model = masked_lm.WindowNetwork([b"a", b"b", b"x"])
-    rows = masked_lm.training_ids(df, model).collect()
-    assert len(rows) == 6 and sum(len(r.ids) // 2 for r in rows) == sum(len(t.split()) for t in texts if t)
-    for r in rows:
-        ids = np.frombuffer(r.ids, np.int16)
-        for most in (1, 2, 3, 100, 10_000):
-            parts = list(model.pieces(ids, most))
-            assert max(map(len, parts)) <= most and (np.concatenate(parts) == model.windows(ids)).all()
+    want = sorted(tuple(w) for t in texts for w in plain_windows(model.encode(masked_lm.tokens(t)).tolist()))
+    total = sum(len(masked_lm.tokens(t)) for t in texts)
+    for unit, shard in ((1 << 19, 1 << 20), (100, 300), (1, 50), (7, 10_000)):
+        units = [masked_lm.training_units(d, model, "text", "doc_id", total, unit, shard).collect() for d in (df, df.repartition(3, "n_chars"), df.repartition(7))]
+        got = [sorted(bytes(r.ids) for r in u) for u in units]
+        assert got[0] == got[1] == got[2]
+        assert sorted(tuple(w) for u in got[0] for w in masked_lm.windows(np.frombuffer(u, np.int16)).tolist()) == want
+
+
+def test_steps_follow_the_slope():
+    """One step against a plain version: the loss of each window by the definition, its slope by differences."""
+    rng = np.random.default_rng(5)
+    model = masked_lm.WindowNetwork([str(i).encode() for i in range(150)], hidden=3)
+    part = rng.integers(0, 152, (40, 5)).astype(np.int16)
+    model.weights = [(rng.standard_normal(s) * 0.3).astype(np.float64) for s in model.shapes]
+
+    def loss(weights):
+        tables, a, g, c, w, b = weights
+        out = 0.0
+        for x, *near in part.tolist():
+            h = np.tanh(sum(tables[k][n] for k, n in enumerate(near)) + a)
+            low = x // masked_lm.GROUP * masked_lm.GROUP
+            for z, own in ((g @ h + c, x // masked_lm.GROUP), ((w @ h + b)[low : low + masked_lm.GROUP], x - low)):
+                out -= z[own] - np.log(np.exp(z).sum())
+        return out / len(part)
+
+    before = [p.copy() for p in model.weights]
+    assert abs(loss(before) + model.log_probability(part).mean()) < 1e-6
+    state = [np.zeros_like(p) for p in before]
+    model.step(part, state, 0.1)
+    for k, p in enumerate(before):
+        for _ in range(12):
+            at = tuple(int(rng.integers(n)) for n in p.shape)
+            if k == 0 and rng.random() < 0.7:
+                r = int(rng.integers(len(part)))
+                at = (at[0], int(part[r, 1 + at[0]]), at[2])
+            up, down = ([q.copy() for q in before] for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            slope = (loss(up) - loss(down)) / 2e-5
+            assert abs(state[k][at] - slope**2) < 1e-6
+            assert abs(model.weights[k][at] - (p[at] - 0.1 * slope / (abs(slope) + 1e-6))) < 2e-2 or abs(slope) < 1e-5
+
+
+def test_long_texts_in_blocks(monkeypatch):
+    rng = np.random.default_rng(8)
+    text = "".join(rng.choice(["a", "bc", " ", "\n", "\x0b", "\xa0é", "\t "]) for _ in range(3000))
+    model = masked_lm.WindowNetwork([b"a", b"bc"])
+    whole = model.encode(masked_lm.tokens(text))
+    for size in (4, 50, 1000):
+        monkeypatch.setattr(masked_lm, "BLOCK", size)
+        assert [w for part in masked_lm.blocks(text) for w in part] == masked_lm.tokens(text)
+        assert (model.read(text)[0] == whole).all()
+        assert np.concatenate([masked_lm.windows(s) for s in masked_lm.stretches(whole, size)]).tolist() == plain_windows(whole.tolist())
 
 
 def test_short_texts_leave_no_random_weights(spark):
@@ -42,7 +93,7 @@ def test_every_word_has_a_probability_of_its_own(spark, monkeypatch):
     for c in set(model.open.classes.values()):
         assert abs(sum(np.exp(model.open.share[w]) for w, k in model.open.classes.items() if k == c) - 1) < 1e-6
     assert (np.abs(np.exp(model.open.byte).sum(axis=1) - 1) < 1e-9).all()
-    context = np.full((model.shapes[3][0], 5), 2, np.int16)
+    context = np.full((model.shapes[5][0], 5), 2, np.int16)
     context[:, 0] = np.arange(len(context))
     assert abs(np.exp(model.log_probability(context)).sum() - 1) < 1e-4
     said = [f"word0 word1 {w} word0 word1" for w in ("only3", "qzxv\u00e9qj##", "word150", "word151", "only")]

@@ -361,14 +361,16 @@ def test_lcs():
 def test_masked_lm(spark, docs, rows, empty):
     model = masked_lm.fit(docs, vocab=40)
     got = by_id(masked_lm.score(docs, model), "n_tokens", "pll")
-    tables, a, w, b = model.weights
+    tables, a, g, c, w, b = model.weights
+    size = masked_lm.GROUP
     for r in random.Random(1).sample(rows, 25):
         ids = [model.ids.get(x, masked_lm.OTHER) for x in masked_lm.tokens(r[1])]
         total = 0.0
         for i, x in enumerate(ids[:400]):
             near = [ids[i + o] if 0 <= i + o < len(ids) else masked_lm.EDGE for o in masked_lm.OFFSETS]
-            z = np.tanh(sum(tables[k][c] for k, c in enumerate(near)) + a) @ w + b
-            total += z[x] - z.max() - np.log(np.exp(z - z.max()).sum())
+            h = np.tanh(sum(tables[k][n] for k, n in enumerate(near)) + a)
+            for z, own in ((g @ h + c, x // size), ((w @ h + b)[x // size * size :][:size], x % size)):
+                total += z[own] - z.max() - np.log(np.exp(z - z.max()).sum())
         if len(ids) <= 400:
             assert any(n == len(ids) and abs(p - total) < 1e-2 for n, p in got[r[0]])
     assert masked_lm.score(empty, masked_lm.fit(empty)).count() == 0
