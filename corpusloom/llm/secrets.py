@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, cut, shielded
+from .common import annotate, shielded, written
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -101,7 +101,7 @@ def ownership(candidates: DataFrame, max_owners: int, max_repositories: int) ->
     spread over its repositories, and then arrives as one row for each map task and owner.
     """
     each = candidates.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
-    by_owner = each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
+    by_owner = each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))  # groups keep null apart from ""
     counted = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repositories"))
     return counted.withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
 
@@ -122,37 +122,44 @@ def detect(
     counts of its value in the order of spans.  A value is live-looking while at most max_owners distinct owners and at
     most max_repositories distinct repositories hold it.
     """
-    renamed = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in carry], F.col(f"`{text}`").alias("t"), F.col(f"`{owner}`").cast("string").alias("o"), F.col(f"`{repository}`").cast("string").alias("r"))
-    kept = [f"k_{c}" for c in carry]
-    scanned = annotate(renamed, "t", SCANNED, scan_factory(least_entropy), [*kept, "o", "r"])
-    light = text not in carry
-    if light:
-        scanned = cut(scanned)
-    some = scanned.where(F.size("candidates") > 0).withColumn("row", F.monotonically_increasing_id())
-    some = cut(some)  # fixes the row numbers
-    each = some.select("row", F.col("o").alias("owner"), F.col("r").alias("repository"), F.explode("candidates").alias("c")).select("row", "owner", "repository", "c.*")
-    owned = ownership(each.select("hash", F.coalesce("owner", F.lit("")).alias("owner"), "repository"), max_owners, max_repositories)
-    judged = each.join(owned, "hash").where((F.col("kind") < 3) | F.col("live"))
-    back = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", "owners", "repositories"))).alias("found"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,owners:bigint,repositories:bigint>>")
-    whole = some.join(back, "row", "left").drop("row").withColumn("found", F.coalesce("found", none))
-    rest = scanned.where(F.size("candidates") == 0).withColumn("found", none)
+    rest, whole = _judged(docs, text, owner, repository, carry, max_owners, max_repositories, least_entropy)
     names = F.array(*[F.lit(k) for k in KINDS])
     say = F.array_join(F.transform("found", lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
-    out = rest.unionByName(whole).drop("candidates", "o", "r")
+    out = rest.unionByName(whole)
     out = out.withColumn("owners", F.col("found.owners")).withColumn("repositories", F.col("found.repositories"))
     out = out.withColumn("spans", say).withColumn("n_live", F.size(F.filter("found", lambda x: x["live"])).cast("long")).withColumn("n_example", F.size(F.filter("found", lambda x: ~x["live"])).cast("long"))
     fields = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "owners", "repositories", "n_live", "n_example", "found"]
     return out.select(*[F.col(f"k_{c}").alias(c) for c in carry if c not in fields], *fields)
 
 
+def _judged(docs: DataFrame, text: str, owner: str, repository: str, carry: Sequence[str], max_owners: int, max_repositories: int, least_entropy: float) -> tuple[DataFrame, DataFrame]:
+    """Rows without a candidate, and rows with some: carry columns (k_ before their names), SCANNED without candidates, and found.
+
+    The scan is written once with what is carried; what is counted and joined are values and row numbers, and a text
+    moves only if it has a candidate.
+    """
+    renamed = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in carry], F.col(f"`{text}`").alias("t"), F.col(f"`{owner}`").cast("string").alias("o"), F.col(f"`{repository}`").cast("string").alias("r"))
+    kept = [f"k_{c}" for c in carry]
+    scanned = written(annotate(renamed, "t", SCANNED, scan_factory(least_entropy), [*kept, "o", "r"]).withColumn("row", F.monotonically_increasing_id()), "secrets")
+    some = F.size("candidates") > 0
+    each = scanned.where(some).select("row", F.col("o").alias("owner"), F.col("r").alias("repository"), F.explode("candidates").alias("c")).select("row", "owner", "repository", "c.*")
+    owned = ownership(each, max_owners, max_repositories)
+    judged = each.join(owned, "hash").where((F.col("kind") < 3) | F.col("live"))
+    back = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", "owners", "repositories"))).alias("found"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,owners:bigint,repositories:bigint>>")
+    columns = [*kept, *[x.name for x in SCANNED[:-1]], "found"]
+    whole = scanned.where(some).join(back, "row", "left").withColumn("found", F.coalesce("found", none)).select(*columns)
+    return scanned.where(~some).withColumn("found", none).select(*columns), whole
+
+
 def redact(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", length: str | None = "n_chars", **options) -> DataFrame:
     """docs with each reported span replaced by [SECRET:kind], or [EXAMPLE:kind] where many owners or repositories hold the value.
 
     All columns stay; `length`, if the table has it, is counted anew for rows that changed.
     """
     flat, cols, (body, own, repo) = shielded(docs, text, owner, repository)
-    found = detect(flat, text=body, owner=own, repository=repo, carry=cols, **options)
+    limits = {"max_owners": 3, "max_repositories": 10, "least_entropy": 3.5} | options
+    rest, whole = (x.select(*[F.col(f"k_{c}").alias(c) for c in cols], "found") for x in _judged(flat, body, own, repo, cols, **limits))
 
     def factory():
         def f(texts, spans):
@@ -168,9 +175,9 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", repositor
 
         return f
 
-    hit = annotate(found.where(F.size("found") > 0), body, [T.StructField("redacted", T.StringType())], factory, cols, ["found"])
+    hit = annotate(whole, body, [T.StructField("redacted", T.StringType())], factory, cols, ["found"])
     if length in docs.columns:
         n = cols[docs.columns.index(length)]
-        hit = hit.withColumn(n, F.length("redacted").cast(docs.schema[length].dataType))
+        hit = hit.withColumn(n, F.when(F.col("redacted") == F.col(body), F.col(n)).otherwise(F.length("redacted").cast(docs.schema[length].dataType)))
     hit = hit.withColumn(body, F.col("redacted")).select(*cols)
-    return found.where(F.size("found") == 0).select(*cols).unionByName(hit).toDF(*docs.columns)
+    return rest.select(*cols).unionByName(hit).toDF(*docs.columns)
