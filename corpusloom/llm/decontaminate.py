@@ -37,6 +37,8 @@ BLOCK = 256
 FIT_DOCS = 2000
 DIMS = 192
 SHORT = 8
+RARE = 4
+PART = 1 << 16
 COSINE, SHARE = 0.5, 0.5
 LEAK, PARAPHRASE = 0.7, 0.5
 GROWTH = 1.6
@@ -89,7 +91,7 @@ class Passage:
 class LatentIndex:
     """Term vectors and passage vectors of one block of the benchmark."""
 
-    def __init__(self, passages: list[Passage], vocab: dict[str, int], vectors: np.ndarray):
+    def __init__(self, passages: list[Passage], vocab: dict[str, int], vectors: np.ndarray, weights: np.ndarray):
         self.passages, self.vocab = passages, vocab
         self.vectors = vectors.astype(np.float32)  # row 0: a word of no passage
         latent = np.array([self.vectors[[vocab[w] for w in p.words]].sum(axis=0) for p in passages], np.float32).reshape(len(passages), vectors.shape[1])
@@ -101,17 +103,27 @@ class LatentIndex:
             while width < len(p.words):
                 width = int(width * GROWTH)
             by.setdefault(width, []).append(k)
-        self.units = []  # (stride, width, passages, which words they have, how many of a window's words a leak needs, bounds)
+        self.units = []  # (stride, width, passages, their bounds, their rare words, how many of those a leak has)
         self.classes = []  # (stride, width, passages, their parts, the most that a word adds to any of them)
         for width, own in sorted(by.items()):
             stride = max(2, width // 4)
-            unit = np.zeros((len(vectors), len(own)), np.int16)
-            for j, k in enumerate(own):
-                unit[[vocab[w] for w in passages[k].words], j] = 1
-            needed = np.array([len(passages[k].words) * (1 if len(passages[k].words) < SHORT else PARAPHRASE) for k in own])
-            self.units.append((stride, width + stride, own, unit, needed, self.bounds(own)))
+            self.units.append((stride, width + stride, np.array(own), self.bounds(own), *self.rare(own, weights)))
             self.classes.append((stride, width + stride, np.array(own), np.ascontiguousarray(parts[:, own]), np.maximum(parts[:, own].max(axis=1), 0)))
 
+    def rare(self, own: list[int], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A leak takes `needed` of a passage's words, so at least RARE of any len - needed + RARE of them: of the rarest.
+        Here as the passages of each term, (first, passage), and how many a leak takes."""
+        pairs, least = [], []
+        for j, k in enumerate(own):
+            p = self.passages[k]
+            n = len(p.words)
+            needed = n if n < SHORT else int(np.ceil(n * PARAPHRASE))
+            least.append(min(RARE, needed))
+            order = sorted(p.words, key=lambda w: (-weights[self.vocab[w]], w))
+            pairs += [(self.vocab[w], j) for w in set(order[: n - needed + least[-1]])]
+        term, j = (np.array(x, np.int64) for x in zip(*sorted(pairs), strict=True))
+        return np.searchsorted(term, np.arange(len(self.vectors) + 1)), j, np.array(least)
+
     def bounds(self, own: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For some passages: the place of each term among a passage's distinct words (from 1; 0: not its word), how often
         the passage and its answer have the word at each place, and each passage's length."""
@@ -167,17 +179,34 @@ class LatentIndex:
                     yield int(s[r]), int(e[r]), int(own[c]), float(cosine[r, c])
 
     def overlaps(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(start, end, passage) of windows with as many words of the passage as a leak of it has at least, each counted once."""
+        """(start, end, passage) of windows that have the words for a leak of the passage."""
         n = len(ids)
-        for stride, width, own, unit, needed, bounds in self.units:
-            step = stride * max(1, 8192 // stride)  # whole strides, so that counts are of few words at once
-            blocks = np.concatenate([np.add.reduceat(unit[part], np.arange(0, len(part), stride), axis=0) for part in (ids[i : i + step] for i in range(0, n, step))])
-            total = np.concatenate((np.zeros((1, len(own)), np.int32), np.cumsum(blocks, axis=0, dtype=np.int32)))
-            last = np.minimum(np.arange(len(blocks)) + -(-width // stride), len(blocks))
-            r, c = np.nonzero(total[last] - total[:-1] >= needed)
-            good = self.possible(ids, r * stride, width, c, bounds)
-            for start, j in zip((r[good] * stride).tolist(), c[good].tolist(), strict=True):
-                yield start, min(start + width, n), own[j]
+        for stride, width, own, bounds, first, passages, least in self.units:
+            reach = width // 4
+            for low in range(0, n, PART):  # a part at a time, with what a window that starts in it reads beyond it
+                part = ids[max(0, low - reach) : low + PART + width + reach]
+                begin = max(0, low - reach)
+                count = first[part + 1] - first[part]
+                at = np.repeat(np.arange(len(part)), count)
+                k = passages[np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[part], count)]
+                order = np.argsort(k, kind="stable")
+                k, at = k[order], at[order] + begin
+                last = np.arange(len(k)) + least[k] - 1
+                some = np.flatnonzero(last < len(k))
+                some = some[(k[last[some]] == k[some]) & (at[last[some]] - at[some] < width + 2 * reach)]
+                k, since, until = k[some], at[some], at[last[some]]
+                lowest = np.maximum(low, until - width - reach + 1)  # windows whose reading has these words start from here to
+                highest = np.minimum(min(low + PART, n) - 1, since + reach)
+                lowest, highest = -(-lowest // stride), highest // stride
+                found = []
+                for step in range(int((highest - lowest).max(initial=-1)) + 1):
+                    ok = lowest + step <= highest
+                    found.append(np.unique(k[ok] * (n + 1) + lowest[ok] + step))
+                every = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+                c, start = every // (n + 1), every % (n + 1) * stride
+                good = self.possible(ids, start, width, c, bounds)
+                for s, j in zip(start[good].tolist(), own[c[good]].tolist(), strict=True):
+                    yield s, min(s + width, n), j
 
     def cosine(self, ids: np.ndarray, k: int) -> float:
         """The cosine of a window and a passage."""
@@ -303,7 +332,7 @@ def fit(docs: DataFrame, blocks: list[list[Passage]], text: str = "text", key: s
         own = spark.createDataFrame([([local[w] for w in p.words],) for p in block], "ids array<int>")
         matrix = written(scanned.where("ids is not null").select("ids").repartition(8).mapInArrow(localised, "ids array<int>").unionByName(own), "latent-passages")
         basis, values = randomised_svd(matrix, weights, dims)
-        out.append(LatentIndex(block, local, weights[:, None] * basis / values))
+        out.append(LatentIndex(block, local, weights[:, None] * basis / values, weights))
     return out
 
 
