@@ -29,6 +29,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,23 +44,25 @@ EDGE, OTHER = 0, 1  # token ids of a boundary and of a word outside the vocabula
 CHUNK = 4096
 SHARD, UNIT = 1 << 20, 1 << 19  # tokens
 BLOCK = 1 << 20  # bytes
-SPACE = re.compile(rb"[ \t-\r]")
+SPACE = re.compile(r"[ \t-\r]")
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
+def blocks(text: str | None) -> Iterator[str]:
+    """A text in blocks of about BLOCK characters that cut no token."""
+    text, at = text or "", 0
+    while len(text) - at > BLOCK and (cut := SPACE.search(text, at + BLOCK)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
 
-def blocks(text: str | None) -> Iterator[list[bytes]]:
-    """The tokens of a text, of about BLOCK bytes at a time."""
-    if not text or len(text) < BLOCK // 4:
-        yield tokens(text)
-        return
-    raw, at = text.encode(), 0
-    while at < len(raw):
-        end = SPACE.search(raw, at + BLOCK)
-        yield raw[at : end.start() if end else len(raw)].lower().split()
-        at = end.start() if end else len(raw)
+def split(texts: Sequence[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all texts, and how many each has: what stands between ASCII white space, A-Z in lower case."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(pa.array(texts, pa.string()), "")))
+    words = parts.flatten()
+    full = pc.binary_length(words).to_numpy() > 0
+    ends = np.concatenate(([0], np.cumsum(full)))[parts.offsets.to_numpy()]
+    return words.filter(pa.array(full)).cast(pa.binary()), np.diff(ends)
 
 
 def count_words(docs: DataFrame, text: str = "text", most: int = 400_000) -> DataFrame:
@@ -72,12 +75,14 @@ def count_words(docs: DataFrame, text: str = "text", most: int = 400_000) -> Dat
         counts: Counter = Counter()
         for whole in batches:
             for b in slices(whole, 0):
-                for t in b.column(0).to_pylist():
-                    for part in blocks(t):
-                        counts.update(part)
-                if len(counts) > most:
-                    yield sent(counts)
-                    counts.clear()
+                texts = b.column(0).to_pylist()
+                for part in [texts] if len(texts) > 1 else ([x] for t in texts for x in blocks(t)):
+                    found = split(part)[0].value_counts()
+                    for word, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
+                        counts[word] += n
+                    if len(counts) > most:
+                        yield sent(counts)
+                        counts.clear()
         yield sent(counts)
 
     return docs.select(F.col(text).alias("t")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -99,21 +104,17 @@ class OpenVocabulary:
         with np.errstate(divide="ignore"):
             self.byte = np.log(counts)
 
-    def spelling(self, words: list[bytes]) -> float:
-        """The sum of log p(its bytes and its end) of some words."""
-        if not words:
-            return 0.0
-        at = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum([*map(len, words)])
+    def spelling(self, words: pa.Array) -> np.ndarray:
+        """The sum of log p(its bytes and its end) of each word."""
+        if not len(words):
+            return np.zeros(0)
+        at = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
+        size = pc.binary_length(words).to_numpy().astype(np.int64)
+        ends = np.cumsum(size)
         before = np.empty(len(at), np.int64)
         before[1:] = at[:-1]
-        before[np.concatenate(([0], ends[:-1]))] = 256
-        return float(self.byte[before, at].sum() + self.byte[at[ends - 1], 256].sum())
-
-    def within(self, words: list[bytes]) -> float:
-        """The sum of log p(word | its class)."""
-        share = self.share
-        return sum(map(share.get, words, repeat(0.0))) + self.spelling([w for w in words if w not in share])
+        before[ends - size] = 256
+        return np.add.reduceat(self.byte[before, at], ends - size) + self.byte[at[ends - 1], 256]
 
 
 def spellings(rare: DataFrame) -> np.ndarray:
@@ -140,6 +141,7 @@ class WindowNetwork:
     def __init__(self, vocab: list[bytes], hidden: int = HIDDEN, seed: int = 3, open_to: OpenVocabulary | None = None):
         self.ids = {w: i + 2 for i, w in enumerate(vocab)}
         self.open = open_to
+        self.known = None  # made where a text is first read
         size = len(vocab) + 2 + (HASHED if open_to else 0)
         if open_to:
             self.ids |= open_to.classes
@@ -148,17 +150,29 @@ class WindowNetwork:
         self.shapes = [(len(OFFSETS), size, hidden), (hidden,), (groups, hidden), (groups,), (size, hidden), (size,)]
         self.weights = [(rng.standard_normal(s) * 0.1).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in self.shapes]
 
-    def encode(self, words: Sequence[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.ids.get, words, repeat(OTHER)), np.int16, len(words))
-
-    def read(self, text: str | None) -> tuple[np.ndarray, float]:
-        """The ids of a text's tokens, and the sum of log p(token | its class)."""
-        ids, inner = [], 0.0
-        for part in blocks(text):
-            ids.append(self.encode(part))
-            if self.open:
-                inner += self.open.within(part)
-        return (ids[0] if len(ids) == 1 else np.concatenate(ids)), inner
+    def read(self, texts: Sequence[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The ids of the tokens of each text, and its sum of log p(token | its class)."""
+        if len(texts) == 1 and texts[0] and len(texts[0]) > BLOCK:
+            each = [self._read([part]) for part in blocks(texts[0])]
+            return [np.concatenate([ids for (ids,), _ in each])], sum(inner for _, inner in each)
+        return self._read(texts)
+
+    def _read(self, texts: Sequence[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+        if self.known is None:
+            share = self.open.share if self.open else {}
+            self.known = pa.array(list(self.ids), pa.binary()), np.array([*self.ids.values(), OTHER], np.int16), np.array([share.get(w, 0.0) for w in self.ids] + [0.0])
+        words, lengths = split(texts)
+        coded = words.dictionary_encode()
+        at = coded.indices.to_numpy()
+        row = pc.fill_null(pc.index_in(coded.dictionary, self.known[0]), len(self.ids)).to_numpy()
+        inner = self.known[2][row]
+        if self.open:
+            rare = row == len(self.ids)
+            inner[rare] = self.open.spelling(coded.dictionary.filter(pa.array(rare)))
+        ends = np.cumsum([0, *lengths.tolist()])
+        ids = self.known[1][row][at]
+        sums = np.concatenate(([0.0], np.cumsum(inner[at])))[ends]
+        return [ids[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], np.diff(sums)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         tables, a = self.weights[0], self.weights[1]
@@ -168,15 +182,13 @@ class WindowNetwork:
         h += a
         return np.tanh(h, out=h)
 
-    def grouped(self, own: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-        """(rows, first class, end of the classes) for each group of classes among `own`."""
-        which = own // GROUP
+    def grouped(self, part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """An order of the windows by the group of their own class, and (begin, end, first class, end of the classes) of each group."""
+        which = part[:, 0] // GROUP
         order = np.argsort(which, kind="stable")
-        ends = np.flatnonzero(np.diff(which[order])) + 1
-        for i, j in zip([0, *ends.tolist()], [*ends.tolist(), len(order)], strict=True):
-            rows = order[i:j]
-            first = int(which[rows[0]]) * GROUP
-            yield rows, first, min(first + GROUP, self.shapes[5][0])
+        which = which[order]
+        ends = [*(np.flatnonzero(np.diff(which)) + 1).tolist(), len(which)]
+        return order, [(i, j, int(which[i]) * GROUP, min(int(which[i] + 1) * GROUP, self.shapes[5][0])) for i, j in zip([0, *ends], ends, strict=False)]
 
     def log_probability(self, windows: np.ndarray) -> np.ndarray:
         """log p of each window's own token."""
@@ -184,28 +196,33 @@ class WindowNetwork:
         out = np.empty(len(windows))
         for i in range(0, len(windows), CHUNK):
             part = windows[i : i + CHUNK]
+            order, groups = self.grouped(part)
+            part = part[order]
             h = self.hidden(part[:, 1:])
             found = chosen(g @ h.T + c[:, None], part[:, 0] // GROUP)
-            for rows, low, high in self.grouped(part[:, 0]):
-                found[rows] += chosen(w[low:high] @ h[rows].T + b[low:high, None], part[rows, 0] - low)
-            out[i : i + CHUNK] = found
+            for begin, end, low, high in groups:
+                found[begin:end] += chosen(w[low:high] @ h[begin:end].T + b[low:high, None], part[begin:end, 0] - low)
+            out[i + order] = found
         return out
 
     def step(self, part: np.ndarray, state: list[np.ndarray], rate: float) -> None:
         """One mini-batch of Adagrad on the cross entropy."""
         tables, _, g, c, w, b = self.weights
+        order, groups = self.grouped(part)
+        part = part[order]
         n, own, ctx = len(part), part[:, 0], part[:, 1:]
         h = self.hidden(ctx)
         z = slope(g @ h.T + c[:, None], own // GROUP, n)
         dh = z.T @ g
         grads = [None, None, z @ h, z.sum(axis=1), np.zeros_like(w), np.zeros_like(b)]
-        for rows, low, high in self.grouped(own):
-            near = h[rows]
-            z = slope(w[low:high] @ near.T + b[low:high, None], own[rows] - low, n)
+        for begin, end, low, high in groups:
+            near = h[begin:end]
+            z = slope(w[low:high] @ near.T + b[low:high, None], own[begin:end] - low, n)
             grads[4][low:high] = z @ near
             grads[5][low:high] = z.sum(axis=1)
-            dh[rows] += z.T @ w[low:high]
-        dh *= 1 - h * h
+            dh[begin:end] += z.T @ w[low:high]
+        h *= h
+        dh -= dh * h
         grads[1] = dh.sum(axis=0)
         for k in range(len(OFFSETS)):
             order = np.argsort(ctx[:, k], kind="stable")
@@ -296,7 +313,7 @@ def training_units(docs: DataFrame, model: WindowNetwork, text: str, key: str, t
 
     def factory():
         def f(texts):
-            out = [model.encode([w for part in blocks(t) for w in part]).tobytes() for t in texts]
+            out = [ids.tobytes() for ids in model.read(texts)[0]]
             return [bool(x) for x in out], [[x for x in out if x]]
 
         return f
@@ -373,13 +390,13 @@ def score(docs: DataFrame, model: WindowNetwork, text: str = "text", carry: Sequ
 
     def factory():
         def f(texts):
-            each = [model.read(t) for t in texts]
-            n = [len(ids) for ids, _ in each]
-            short = [ids for ids, _ in each if len(ids) <= UNIT]
+            each, within = model.read(texts)
+            n = [*map(len, each)]
+            short = [ids for ids in each if len(ids) <= UNIT]
             logs = model.log_probability(windows(streamed(short)))
             edges = iter(np.concatenate(([0.0], np.cumsum(logs)))[np.cumsum([0, *map(len, short)])].tolist())
             sums, before = [], next(edges)
-            for ids, inner in each:
+            for ids, inner in zip(each, within.tolist(), strict=True):
                 if len(ids) <= UNIT:
                     after = next(edges)
                     sums.append(after - before + inner if len(ids) else 0.0)
