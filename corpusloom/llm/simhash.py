@@ -32,8 +32,17 @@ BUCKET = 2048
 PAIRS = list(combinations(range(4), 2))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit fingerprint of some hashes; a bit is set if it is in over half of them."""
+    n, counts = len(hashes), np.zeros(64, np.int64)
+    for i in range(0, n, 1 << 16):
+        part = hashes[i : i + (1 << 16)]
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: str | None) -> int:
-    """The signed 64-bit fingerprint; a bit is set if it is in over half the shingle hashes."""
+    """The fingerprint of a text's shingles, repeats included."""
     words = (text or "").encode().lower().split()
     if not words:
         return 0
@@ -41,12 +50,7 @@ def fingerprint(text: str | None) -> int:
     ends = list(accumulate(len(w) + 1 for w in words))
     width = min(3, len(words))
     hash_of = xxhash.xxh64_intdigest
-    hashes = np.array([hash_of(joined[s : e - 1], 42) for s, e in zip([0, *ends], ends[width - 1 :], strict=False)], np.uint64)
-    n, counts = len(hashes), np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
-        part = hashes[i : i + (1 << 16)]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
+    return majority(np.array([hash_of(joined[s : e - 1], 42) for s, e in zip([0, *ends], ends[width - 1 :], strict=False)], np.uint64))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", carry=("doc_id",)) -> DataFrame:
@@ -87,13 +91,26 @@ def packed(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
-def links(run: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes of classes, and their class's first lane: stars that span the classes of each run; equal run values stand together."""
+def beyond(counts: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose number, given as bit planes from the lowest, is more than radius."""
+    more, same = np.zeros_like(counts[0]), ~np.zeros_like(counts[0])
+    for k in range(len(counts) - 1, -1, -1):
+        if radius >> k & 1:
+            same = same & counts[k]
+        else:
+            more, same = more | same & counts[k], same & ~counts[k]
+    return more
+
+
+def close(run: np.ndarray, fp: np.ndarray, radius: int):
+    """Pairs of lanes (a, b) of one run whose fingerprints differ in `radius` bits at most; equal run values stand together.
+
+    All pairs at one offset are compared at once: each bit plane adds one to the counts of the lanes where it differs,
+    with as many carry-save planes as the radius needs and one for what is over; blocks with no lane left are abandoned.
+    """
     n = len(fp)
     if n < 2:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    if radius != 2:
-        raise ValueError("the counters below hold a radius of 2")
+        return
     starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
     ends = np.concatenate((starts[1:], [n]))
     left = np.repeat(ends, ends - starts) - np.arange(n) - 1  # further lanes of the same run
@@ -105,34 +122,43 @@ def links(run: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.nda
     bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")  # lanes x 64
     planes = np.zeros((64, blocks + int(most.max()) // 64 + 2), np.uint64)
     planes[:, :blocks] = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
-    forest = Forest(blocks * 64)
     for d in range(1, int(most.max()) + 1):
         at = np.flatnonzero(most >= d)
         alive = packed(left[at] >= d)
         q, r = divmod(d, 64)
-        ones, twos, over = np.zeros_like(alive), np.zeros_like(alive), np.zeros_like(alive)
+        counts = [np.zeros_like(alive) for _ in range(radius.bit_length())]
+        over = np.zeros_like(alive)
         for k in range(64):
             p = planes[k]
             far = p[at + q]
             if r:
                 far = (far >> np.uint64(r)) | (p[at + q + 1] << np.uint64(64 - r))
-            x = p[at] ^ far
-            carry = ones & x
-            ones ^= x
-            over |= twos & carry
-            twos ^= carry
-            if k % 8 == 7:
-                live = (alive & ~(over | (ones & twos))) != 0
+            carry = p[at] ^ far
+            for c in counts:
+                was = c & carry
+                c ^= carry
+                carry = was
+            over |= carry
+            if k % 8 == 7 and k >= radius:
+                live = (alive & ~(over | beyond(counts, radius))) != 0
                 if not live.any():
                     at = at[:0]
                     break
                 if 2 * live.sum() < len(at):
-                    at, alive, ones, twos, over = at[live], alive[live], ones[live], twos[live], over[live]
+                    at, alive, over = at[live], alive[live], over[live]
+                    counts = [c[live] for c in counts]
         if len(at):
-            hit = alive & ~(over | (ones & twos))
+            hit = alive & ~(over | beyond(counts, radius))
             block, lane = np.nonzero(np.unpackbits(hit.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             a = at[block] * 64 + lane
-            forest.add(a, a + d)
+            yield a, a + d
+
+
+def links(run: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes of classes, and their class's first lane: stars that span the classes of each run; equal run values stand together."""
+    forest = Forest(len(fp))
+    for a, b in close(run, fp, radius):
+        forest.add(a, b)
     lanes = np.flatnonzero(forest.parent != np.arange(len(forest.parent)))
     return lanes, forest.parent[lanes]
 
@@ -209,17 +235,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     signed = written(fingerprints(docs, text, [key]), "simhash-signed")
     out = signed.join(classes(signed, key), "fp")
     return out.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one row of each class: that of the smallest key (and, of rows that repeat it, one)."""
-    flat, cols, (body, ident) = shielded(docs, text, key)
-    signed = written(fingerprints(flat, body, [ident]), "simhash-signed")
-    which = classes(signed, ident)
-    least = signed.join(which, "fp").where((F.col("fp") == F.col("rep_fp")) & F.col(ident).eqNullSafe(F.col("component_id")))
-    chosen = written(least.groupBy("fp", ident).agg(F.count(F.lit(1)).alias("copies")).withColumnRenamed(ident, "rep_key"), "simhash-chosen")
-    full = fingerprints(flat, body, cols).join(chosen, "fp").where(F.col(ident).eqNullSafe(F.col("rep_key")))
-    once = full.where("copies = 1").select(*cols)
-    if not chosen.where("copies > 1").isEmpty():
-        once = once.unionByName(full.where("copies > 1").dropDuplicates(["fp", ident]).select(*cols))
-    return once.toDF(*docs.columns)

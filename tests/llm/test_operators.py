@@ -169,9 +169,18 @@ def test_simhash(docs, rows, empty):
     for r, f, p in zip(rows, fps, part, strict=True):
         want[r[0]].append((f"{f:016x}", least[p]))
     assert by_id(simhash.near_duplicates(docs), "fingerprint", "component_id") == {k: sorted(v, key=repr) for k, v in want.items()}
-    kept = simhash.keep_one(docs).collect()
-    assert len(kept) == len(set(part)) and {r.doc_id for r in kept} == set(least.values())
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("radius", [1, 2, 5, 26, 31, 32])
+def test_close_pairs_of_any_radius(radius):
+    rng = np.random.default_rng(radius)
+    fp = rng.integers(-(1 << 63), 1 << 63, 200, dtype=np.int64)
+    fp[100:] = fp[:100] ^ np.array([sum(1 << b for b in rng.choice(63, rng.integers(0, 2 * radius + 1), replace=False).tolist()) if radius < 30 else 1 for _ in range(100)], np.int64)
+    run = np.sort(rng.integers(0, 2, 200))
+    fp = fp[rng.permutation(200)]
+    got = sorted((x, y) for a, b in simhash.close(run, fp, radius) for x, y in zip(a.tolist(), b.tolist(), strict=True))
+    assert got == [(i, j) for i in range(200) for j in range(i + 1, 200) if run[i] == run[j] and (int(fp[i]) % (1 << 64) ^ int(fp[j]) % (1 << 64)).bit_count() <= radius]
 
 
 @pytest.mark.parametrize("n", [2, 65, 400])
