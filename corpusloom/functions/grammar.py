@@ -107,3 +107,8 @@ def grammar(name: str, pam: str | None = None, spacer: int | None = None) -> Gra
         raise KeyError(f"no grammar {name!r}; known: {', '.join(sorted(GRAMMARS))}")
     changes = {k: v for k, v in (("pam", pam), ("spacer", spacer)) if v is not None}
     return replace(GRAMMARS[name], **changes)
+
+
+def pam_class(pam: Column, place: int, base: str, strict: str, relaxed: str) -> Column:
+    """The class of a PAM found by a relaxed pattern: strict if its base at `place` (1-based) is the one that the strict pattern asks for."""
+    return F.when(F.substring(pam, place, 1) == base, strict).otherwise(relaxed)

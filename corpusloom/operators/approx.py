@@ -49,6 +49,14 @@ def summary(hits: DataFrame, guides: DataFrame, mismatches: int) -> DataFrame:
     return guides.select("guide_id").join(by, "guide_id", "left").fillna(0)
 
 
+def summary_by_class(hits: DataFrame, guides: DataFrame, mismatches: int, classes, near: int) -> DataFrame:
+    """Per guide the hits at each distance by pam_class, those within `near`, and those of them that lie in_cds; zeros without a hit."""
+    counts = [F.count_if((F.col("mismatches") == m) & (F.col("pam_class") == c)).alias(f"mm{m}_{c}") for c in classes for m in range(mismatches + 1)]
+    close = F.col("mismatches") <= near
+    by = hits.groupBy("guide_id").agg(*counts, F.count_if(close).alias(f"n_le{near}"), F.count_if(close & F.col("in_cds")).alias(f"n_le{near}_in_cds"))
+    return guides.select("guide_id").join(by, "guide_id", "left").fillna(0)
+
+
 def interval_join(hits: DataFrame, intervals: DataFrame, width: int = 256) -> DataFrame:
     """(hit_id, name) where a hit [qs, qe] and an interval [s, e] of the same chrom overlap, both ends inclusive.
 

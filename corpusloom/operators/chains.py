@@ -1,132 +1,234 @@
-"""Anchors, colinear chains and what they say about a site that does not match.
+"""Laying records on a reference: anchors, colinear chains, what a record says about a site, and its codons.
 
-Chaining is order-dependent and runs in one grouped Arrow pass for each record; everything else is built in.
+The reference is one sequence.  Its index of packed k-mers goes to the executors, and each record is laid on it where it is
+read: one Arrow pass, no shuffle, memory in proportion to the longest record.  What the pass returns is sparse: a site gets a
+row only in records whose chains reach it.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .presence import sized_broadcast
-from .sites import kmers
+from ..functions.sequences import CODON
 
-# Status of a site in a record, from the most to the least informative; the order decides which of two statuses wins.
+# What a record says about a site, from the most to the least informative; of several spans and chains the first wins.
 PRESENT, ABSENT, AMBIGUOUS, WIDE, NOT_COVERED = range(5)
-
-
-def reference_index(reference: DataFrame, k: int = 25, most: int = 4) -> DataFrame:
-    """(kmer, ref) of the reference's concrete k-mers that occur at most `most` times."""
-    rows = kmers(reference.select("seq"), "seq", k).withColumnRenamed("start0", "ref")
-    few = rows.groupBy("kmer").count().where(F.col("count") <= most).select("kmer")
-    return rows.join(few, "kmer")
-
-
-def find_anchors(records: DataFrame, index: DataFrame, k: int = 25, step: int = 4) -> DataFrame:
-    """(seq_id, ref, qry): every step-th k-mer of a record that stands in the index."""
-    sampled = kmers(records.select("seq_id", "seq"), "seq", k).where(F.col("start0") % step == 0)
-    return sampled.join(sized_broadcast(index), "kmer").select("seq_id", "ref", F.col("start0").alias("qry"))
-
-
-def chain(anchors: list[tuple[int, int]], max_gap: int = 3000, max_drift: int = 60, least: int = 2) -> list[tuple[list[int], list[int]]]:
-    """Greedy colinear chains.  An anchor joins the open chain with the least drift, the earliest on ties; several stay
-    open at once, so the copies of a repeat chain apart.  A chain closes when the gap on the reference is too long."""
-    opened: list[tuple[list[int], list[int]]] = []
-    closed: list[tuple[list[int], list[int]]] = []
-    for r, q in sorted(set(anchors)):
-        closed += [c for c in opened if r - c[0][-1] > max_gap]
-        opened = [c for c in opened if r - c[0][-1] <= max_gap]
-        fits = [(abs((r - c[0][-1]) - (q - c[1][-1])), i) for i, c in enumerate(opened) if q > c[1][-1]]
-        drift, i = min(fits, default=(max_drift + 1, -1))
-        if drift <= max_drift:
-            opened[i][0].append(r)
-            opened[i][1].append(q)
-        else:
-            opened.append(([r], [q]))
-    return sorted((c for c in closed + opened if len(c[0]) >= least), key=lambda c: (c[0][0], c[0][-1]))
-
-
-def status(spans: list[tuple[int, int]], chains: list[tuple[list[int], list[int]]], doubtful: np.ndarray, k: int, widest: int) -> int:
-    """The most informative status of a site, by its reference spans, in a record that does not hold it.
-
-    doubtful: sorted positions of ambiguous bases.  A chain that brackets a span closely with concrete bases shows the
-    site absent; a bracket with an ambiguous base is ambiguous, a long one wide.  Failing that, the space between the
-    nearest chains on either side is looked at: a gap of the assembly is not a truncation.
+STATUS_NAMES = ("present", "absent", "ambiguous", "wide", "not_covered")
+MOST_SITES = 1_000_000
+_CODE = np.full(256, 4, np.int8)
+_CODE[[*b"ACGT"]] = range(4)
+_AMINO = np.array([CODON[a + b + c] for a in "ACGT" for b in "ACGT" for c in "ACGT"])
+
+
+def coded(seq: str) -> np.ndarray:
+    """0 to 3 for A, C, G, T and 4 for anything else."""
+    return _CODE[np.frombuffer(seq.encode(), np.uint8)]
+
+
+def turned(code: np.ndarray) -> np.ndarray:
+    """The reverse complement."""
+    return np.where(code < 4, 3 - code, 4)[::-1]
+
+
+def words(code: np.ndarray, k: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The starts, multiples of step, of concrete k-mers (k up to 31), and the k-mers as numbers."""
+    at = np.arange(0, max(0, len(code) - k + 1), step)
+    doubts = np.concatenate(([0], np.cumsum(code == 4)))
+    at = at[doubts[at + k] == doubts[at]]
+    packed = np.zeros(len(at), np.int64)
+    for j in range(k):
+        packed = packed << 2 | code[at + j]
+    return at, packed
+
+
+class Reference:
+    """The k-mers of a reference that occur at most `most` times in it."""
+
+    def __init__(self, seq: str, k: int = 25, most: int = 4):
+        self.k, self.code = k, coded(seq)
+        at, word = words(self.code, k)
+        order = np.argsort(word, kind="stable")
+        at, word = at[order], word[order]
+        _, inverse, times = np.unique(word, return_inverse=True, return_counts=True)
+        few = times[inverse] <= most
+        self.at, self.word = at[few], word[few]
+
+    def anchors(self, code: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """(reference position, record position) of each step-th k-mer of a record, by both."""
+        qry, word = words(code, self.k, step)
+        low, high = np.searchsorted(self.word, word, "left"), np.searchsorted(self.word, word, "right")
+        times = high - low
+        place = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        ref, qry = self.at[place], np.repeat(qry, times)
+        order = np.lexsort((qry, ref))
+        return ref[order], qry[order]
+
+    def lay(self, code: np.ndarray, step: int, oriented: int) -> tuple[bool, np.ndarray, np.ndarray, np.ndarray]:
+        """(turned, the record in the direction of the reference, its anchors): its own direction if that gives `oriented` anchors, else the one with more."""
+        own = self.anchors(code, step)
+        if len(own[0]) >= oriented:
+            return False, code, *own
+        back = turned(code)
+        other = self.anchors(back, step)
+        return (True, back, *other) if len(other[0]) > len(own[0]) else (False, code, *own)
+
+
+def chain_labels(ref: np.ndarray, qry: np.ndarray, max_gap: int = 3000, max_drift: int = 60, least: int = 2) -> np.ndarray:
+    """A chain's number for each anchor (sorted by ref and qry); -1 in chains of under `least` anchors.
+
+    An anchor goes to that chain, of those whose last anchor lies before it on the record and up to max_gap before it on
+    the reference, whose diagonal is nearest, the oldest of equals; beyond max_drift it begins one.  So copies of a repeat chain apart.
     """
-
-    def unclear(low: int, high: int) -> bool:
-        i = int(np.searchsorted(doubtful, low))
-        return i < len(doubtful) and doubtful[i] < high
-
-    best = NOT_COVERED
-    for start, end in spans:
-        for ref, qry in chains:
-            i, j = bisect_right(ref, start - k) - 1, bisect_left(ref, end)
-            if i < 0 or j >= len(ref) or ref[-1] + k < end:
-                continue
-            low, high = qry[i], qry[j] + k
-            if high <= low:
-                continue
-            if high - low > widest:
-                best = min(best, WIDE)
-            elif unclear(low, high):
-                best = min(best, AMBIGUOUS)
-            else:
-                return ABSENT
-    if best != NOT_COVERED:
+    labels = np.empty(len(ref), np.int64)
+    last = np.empty((len(ref), 2), np.int64)  # of each chain: the diagonal and the record position of its last anchor
+    reach = np.empty(len(ref), np.int64)  # and its reference position
+    live, n = np.empty(0, np.int64), 0
+    for i, (r, q) in enumerate(zip(ref.tolist(), qry.tolist(), strict=True)):
+        live = live[reach[live] >= r - max_gap]
+        fit = live[last[live, 1] < q]
+        drift = np.abs(last[fit, 0] - (q - r))
+        if len(fit) and drift.min() <= max_drift:
+            to = fit[drift.argmin()]
+        else:
+            to, n = n, n + 1
+            live = np.append(live, to)
+        labels[i] = to
+        last[to], reach[to] = (q - r, q), r
+    few = np.bincount(labels, minlength=n) < least if n else np.empty(0, bool)
+    return np.where(few[labels], -1, labels) if n else labels
+
+
+class Chains:
+    """The chains of a record, and the prefix count of its ambiguous bases."""
+
+    def __init__(self, ref: np.ndarray, qry: np.ndarray, code: np.ndarray, k: int, **limits):
+        labels = chain_labels(ref, qry, **limits)
+        order = np.flatnonzero(labels >= 0)
+        order = order[np.argsort(labels[order], kind="stable")]
+        cuts = np.flatnonzero(np.diff(labels[order])) + 1
+        self.parts = [(ref[x], qry[x]) for x in np.split(order, cuts)] if len(order) else []
+        self.k, self.doubts = k, np.concatenate(([0], np.cumsum(code == 4)))
+
+    def spans(self) -> list[tuple[int, int]]:
+        """The reference from the first to the last anchor of each chain, in order."""
+        return sorted((int(r[0]), int(r[-1]) + self.k) for r, _ in self.parts)
+
+    def unclear(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return self.doubts[np.maximum(low, high)] > self.doubts[low]
+
+    def bracketed(self, start: np.ndarray, end: np.ndarray, widest: int) -> np.ndarray:
+        """The status of spans by chains with an anchor wholly before and one wholly after: the best over chains."""
+        best = np.full(len(start), NOT_COVERED)
+        for ref, qry in self.parts:
+            before = np.searchsorted(ref, start - self.k, "right") - 1
+            after = np.searchsorted(ref, end, "left")
+            held = (before >= 0) & (after < len(ref))
+            low = qry[np.maximum(before, 0)]
+            high = qry[np.minimum(after, len(ref) - 1)] + self.k
+            held &= high > low
+            says = np.where(high - low > widest, WIDE, np.where(self.unclear(low, high), AMBIGUOUS, ABSENT))
+            best = np.where(held, np.minimum(best, says), best)
         return best
-    for start, end in spans:
-        before = [c for c in chains if c[0][-1] + k <= start]
-        after = [c for c in chains if c[0][0] >= end]
-        if not before or not after:
-            continue
-        low = max(before, key=lambda c: c[0][-1])[1][-1]
-        high = min(after, key=lambda c: c[0][0])[1][0] + k
-        if high > low and unclear(low, high):
-            return AMBIGUOUS
-        best = min(best, WIDE)
-    return best
-
-
-def classify(records: DataFrame, reference: DataFrame, guides: DataFrame, found: DataFrame, k: int = 25, step: int = 4, widest: int = 2000, oriented: int = 50) -> DataFrame:
-    """(seq_id, guide_id, status) for each record and guide.  guides: guide_id, ref_start, ref_end (1-based inclusive).
-
-    A record is read in its own direction if that gives `oriented` anchors, else in the one with more anchors.
+
+    def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The status of spans that lie between two chains: a gap of the assembly is ambiguous, anything else too wide."""
+        if not self.parts:
+            return np.full(len(start), NOT_COVERED)
+        first = np.array([[r[0], r[-1], q[0], q[-1]] for r, q in self.parts])
+        by_end = first[np.lexsort((-first[:, 0], first[:, 1]))]
+        by_start = first[np.lexsort((first[:, 1], first[:, 0]))]
+        left = np.searchsorted(by_end[:, 1] + self.k, start, "right") - 1
+        right = np.searchsorted(by_start[:, 0], end, "left")
+        both = (left >= 0) & (right < len(first))
+        low = by_end[np.maximum(left, 0), 3]
+        high = by_start[np.minimum(right, len(first) - 1), 2] + self.k
+        return np.where(both, np.where((high > low) & self.unclear(low, high), AMBIGUOUS, WIDE), NOT_COVERED)
+
+    def statuses(self, site: np.ndarray, start: np.ndarray, end: np.ndarray, widest: int) -> tuple[np.ndarray, np.ndarray]:
+        """(site, status); site: sorted numbers, repeated for sites with several spans."""
+        first = np.flatnonzero(np.concatenate(([True], site[1:] != site[:-1]))) if len(site) else np.empty(0, np.int64)
+        if not len(first):
+            return site, np.empty(0, np.int64)
+        one = np.minimum.reduceat(self.bracketed(start, end, widest), first)
+        two = np.minimum.reduceat(self.between(start, end), first)
+        return site[first], np.where(one == NOT_COVERED, two, one)
+
+
+def reference_text(reference: DataFrame) -> str:
+    """The one sequence of reference(seq)."""
+    rows = reference.select("seq").limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("the reference is one sequence")
+    return rows[0].seq
+
+
+_SPAN = T.StructType([T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())])
+_SCORED = T.StructType([T.StructField("site", T.IntegerType()), T.StructField("status", T.IntegerType())])
+
+
+def laid(records: DataFrame, reference: DataFrame, guides: DataFrame, k: int = 25, step: int = 4, widest: int = 2000, oriented: int = 50, slack: int = 25) -> DataFrame:
+    """One row for each record: seq_id, turned, length_bp, n_ambiguous, chains (reference spans) and scored (guide_id, status).
+
+    guides: guide_id, ref_start, ref_end (1-based inclusive), one row for each place of a site.  Scored are the sites whose
+    first start lies at most `slack` outside what the chains reach; the rest are not covered.  A null sequence is an empty one.
     """
-    from ..functions.sequences import revcomp
-
-    index = reference_index(reference, k)
-    spans = [(r.guide_id, r.ref_start - 1, r.ref_end) for r in guides.select("guide_id", "ref_start", "ref_end").orderBy("guide_id").collect()]  # the dictionary
-    both = records.select("seq_id", F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("seq")), F.struct(F.lit(1).alias("turn"), revcomp(F.col("seq")).alias("seq")))).alias("x")).select("seq_id", "x.turn", "x.seq")
-    tagged = both.select(F.struct("seq_id", "turn").alias("seq_id"), "seq")
-    anchors = find_anchors(tagged, index, k, step).groupBy("seq_id").agg(F.collect_list(F.struct("ref", "qry")).alias("anchors"))
-    held = found.groupBy("seq_id").agg(F.collect_set("guide_id").alias("held"))
-    sized = tagged.join(anchors, "seq_id", "left").select(F.col("seq_id.seq_id").alias("seq_id"), F.col("seq_id.turn").alias("turn"), "seq", "anchors")
-    n = F.coalesce(F.size("anchors"), F.lit(0))
-    order = [F.when((F.col("turn") == 0) & (n >= oriented), 0).otherwise(1), n.desc(), "turn"]
-    chosen = sized.withColumn("n", F.row_number().over(W.partitionBy("seq_id").orderBy(*order))).where("n = 1").join(held, "seq_id", "left")
-    kind = records.schema["seq_id"].dataType.simpleString()
+    places = guides.select("guide_id", "ref_start", "ref_end").orderBy("guide_id", "ref_start", "ref_end").limit(MOST_SITES + 1).collect()
+    if len(places) > MOST_SITES:
+        raise ValueError("the dictionary of sites is held by each executor: split it")
+    names = sorted({r.guide_id for r in places})
+    number = {n: i for i, n in enumerate(names)}
+    site = np.array([number[r.guide_id] for r in places], np.int64)
+    start, end = np.array([r.ref_start - 1 for r in places], np.int64), np.array([r.ref_end for r in places], np.int64)
+    first = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(first, site, start)
+    index = Reference(reference_text(reference), k)
+    key = records.schema["seq_id"].dataType.simpleString()
+    schema = f"seq_id {key}, turned boolean, length_bp int, n_ambiguous int, chains array<struct<low:int,high:int>>, scored array<struct<site:int,status:int>>"
 
     def run(batches):
-        import pyarrow as pa
-
         for b in batches:
-            ids, names, out = [], [], []
-            for seq_id, seq, found_anchors, own in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
-                chains = chain([(a["ref"], a["qry"]) for a in found_anchors or []])
-                doubtful = np.flatnonzero(~np.isin(np.frombuffer(seq.encode(), np.uint8), np.frombuffer(b"ACGT", np.uint8)))
-                own = set(own or [])
-                for name, start, end in spans:
-                    ids.append(seq_id)
-                    names.append(name)
-                    out.append(PRESENT if name in own else status([(start, end)], chains, doubtful, k, widest))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(names, pa.string()), pa.array(out, pa.int32())], names=["seq_id", "guide_id", "status"])
-
-    return chosen.select("seq_id", "seq", "anchors", "held").mapInArrow(run, f"seq_id {kind}, guide_id string, status int")
+            out = [[], [], [], [], []]
+            for seq in b.column(1).to_pylist():
+                back, code, ref, qry = index.lay(coded(seq or ""), step, oriented)
+                chains = Chains(ref, qry, code, k)
+                spans = chains.spans()
+                scored = []
+                if spans:
+                    near = (first >= spans[0][0] - slack) & (first <= max(h for _, h in spans) + slack)
+                    mine = near[site]
+                    scored = [{"site": s, "status": x} for s, x in zip(*(v.tolist() for v in chains.statuses(site[mine], start[mine], end[mine], widest)), strict=True)]
+                for col, v in zip(out, (back, len(code), int((code == 4).sum()), [{"low": a, "high": z} for a, z in spans], scored), strict=True):
+                    col.append(v)
+            types = [pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])), pa.list_(pa.struct([("site", pa.int32()), ("status", pa.int32())]))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], names=["seq_id", "turned", "length_bp", "n_ambiguous", "chains", "scored"])
+
+    spelled = F.array(*[F.lit(n) for n in names]) if names and len(names) <= 1000 else None
+    rows = records.select("seq_id", "seq").mapInArrow(run, schema)
+    if spelled is not None:
+        named = F.transform("scored", lambda x: F.struct(F.element_at(spelled, x["site"] + 1).alias("guide_id"), x["status"].alias("status")))
+        return rows.withColumn("scored", named)
+    table = records.sparkSession.createDataFrame(list(enumerate(names)), "site int, guide_id string")
+    each = rows.select("seq_id", F.explode("scored").alias("x")).select("seq_id", "x.*").join(F.broadcast(table), "site")
+    back = each.groupBy("seq_id").agg(F.collect_list(F.struct("guide_id", "status")).alias("scored"))
+    return rows.drop("scored").join(back, "seq_id", "left")
+
+
+def classify(mapped: DataFrame, found: DataFrame) -> DataFrame:
+    """(seq_id, guide_id, status) from laid() and presence (seq_id, guide_id).
+
+    An exact hit is present wherever it lies, scored or not, and counts once.  Pairs without a row are not covered.
+    """
+    scored = mapped.select("seq_id", F.explode("scored").alias("x")).select("seq_id", "x.guide_id", "x.status")
+    held = found.select("seq_id", "guide_id").distinct().withColumn("held", F.lit(True))
+    both = scored.join(held, ["seq_id", "guide_id"], "full_outer")
+    return both.select("seq_id", "guide_id", F.when(F.col("held"), PRESENT).otherwise(F.col("status")).alias("status"))
 
 
 def offset_runs(anchors: DataFrame, max_gap: int = 60) -> DataFrame:
@@ -138,29 +240,133 @@ def offset_runs(anchors: DataFrame, max_gap: int = 60) -> DataFrame:
     return runs.groupBy("seq_id", "run").agg(F.min("ref").alias("low"), F.max("ref").alias("high"), F.first("shift").alias("shift"), F.count(F.lit(1)).alias("n"))
 
 
-def offset_map(runs: DataFrame, k: int) -> DataFrame:
-    """(seq_id, ref, shift): each position covered by a run, by the run with most anchors, the first on ties."""
-    at = runs.select("seq_id", "shift", "n", "run", F.explode(F.sequence("low", F.col("high") + k - 1)).alias("ref"))
-    return at.groupBy("seq_id", "ref").agg(F.max_by("shift", F.struct("n", -F.col("run"))).alias("shift"))
+NOWHERE = np.iinfo(np.int64).min
+
+
+def position_map(ref: np.ndarray, qry: np.ndarray, size: int, k: int, max_gap: int = 60) -> np.ndarray:
+    """For each reference position, the record position that offset runs give it: of several runs that with most anchors, the first of equals."""
+    shift = np.full(size, NOWHERE)
+    if not len(ref):
+        return shift
+    diagonal = qry - ref
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(diagonal) != 0) | (np.diff(ref) > max_gap))))
+    last = np.concatenate((first[1:], [len(ref)])) - 1
+    for r in sorted(range(len(first)), key=lambda r: (last[r] - first[r], -r)):
+        low, high = int(ref[first[r]]), int(ref[last[r]]) + k
+        shift[low:high] = np.arange(low, min(high, size)) + diagonal[first[r]]  # better runs come later
+    return shift
+
+
+def codons_of(cds: np.ndarray, at: np.ndarray, code: np.ndarray, strand: int) -> tuple[np.ndarray, np.ndarray]:
+    """(resolved, codon number) of a copy's codons in a record; at: the record position of each base of the copy."""
+    known = (at >= 0) & (at < len(code))
+    base = np.where(known, code[np.clip(at, 0, max(0, len(code) - 1))] if len(code) else 4, 4)
+    if strand < 0:
+        base = np.where(base < 4, 3 - base, 4)
+    each = base[: len(cds) // 3 * 3].reshape(-1, 3).astype(np.int64)
+    return (each < 4).all(axis=1), each[:, 0] * 16 + each[:, 1] * 4 + each[:, 2]
+
+
+def codon_profile(records: DataFrame, reference: DataFrame, copies: DataFrame, k: int = 25, step: int = 6, least: float = 0.95, stops: bool = True) -> DataFrame:
+    """One row for each record and gene: seq_id, gene, copy, turned, resolved_fraction, net_offset, verdict and codons (codon, nt, aa).
+
+    copies: gene, copy, strand (1 or -1) and positions (0-based on the reference, in coding order).  The copy and direction
+    with most positions on the record are read, the first of equals.  A gene with under `least` of its codons resolved is
+    `unresolved`, one with a stop before its last codon `stop` (unless stops is false), and then gives no codons; nt and aa say whether a resolved
+    codon, and its amino acid, differ from the reference.  net_offset is the change of length over the gene.
+    """
+    rows = copies.select("gene", "copy", "strand", "positions").orderBy("gene", "copy").limit(MOST_SITES).collect()
+    genes: dict[str, list] = {}
+    for r in rows:
+        genes.setdefault(r.gene, []).append((r.copy, r.strand, np.array(r.positions, np.int64)))
+    index = Reference(reference_text(reference), k)
+    size = len(index.code)
+    key = records.schema["seq_id"].dataType.simpleString()
+    schema = f"seq_id {key}, gene string, copy int, turned boolean, resolved_fraction double, net_offset int, verdict string, codons array<struct<codon:int,nt:boolean,aa:boolean>>"
+
+    def read(code: np.ndarray) -> Iterator[tuple]:
+        maps = []
+        for back in (False, True):
+            own = turned(code) if back else code
+            maps.append((back, own, position_map(*index.anchors(own, step), size, k)))
+        for gene, each in genes.items():
+            best = max(((int((m[pos] != NOWHERE).sum()), -c, not back) for c, (_, _, pos) in enumerate(each) for back, _, m in maps))
+            copy, strand, pos = each[-best[1]]
+            back, own, m = maps[0 if best[2] else 1]
+            at = m[pos]
+            held = np.flatnonzero(at != NOWHERE)
+            resolved, codon = codons_of(pos, at, own, strand)
+            _, was = codons_of(pos, pos, index.code, strand)
+            fraction = round(float(resolved.mean()), 6) if len(resolved) else 0.0
+            net = int((at[held[-1]] - pos[held[-1]]) - (at[held[0]] - pos[held[0]])) if len(held) else 0
+            amino, before = _AMINO[np.where(resolved, codon, 0)], _AMINO[was % 64]
+            stop = stops and bool((resolved[:-1] & (amino[:-1] == "*")).any())
+            verdict = "unresolved" if fraction < least else "stop" if stop else "used"
+            told = [{"codon": int(c), "nt": bool(codon[c] != was[c]), "aa": bool(amino[c] != before[c])} for c in np.flatnonzero(resolved)] if verdict == "used" else []
+            yield gene, copy, back, fraction, abs(net), verdict, told
+
+    def run(batches):
+        types = [pa.string(), pa.int32(), pa.bool_(), pa.float64(), pa.int32(), pa.string(), pa.list_(pa.struct([("codon", pa.int32()), ("nt", pa.bool_()), ("aa", pa.bool_())]))]
+        for b in batches:
+            for i, seq in enumerate(b.column(1).to_pylist()):
+                cols = list(zip(*read(coded(seq or "")), strict=True))
+                if cols:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(0).slice(i, 1)] * len(genes)), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["seq_id", "gene", "copy", "turned", "resolved_fraction", "net_offset", "verdict", "codons"])
+
+    return records.select("seq_id", "seq").mapInArrow(run, schema)
+
+
+def codon_counts(profile: DataFrame) -> DataFrame:
+    """(gene, codon, n_resolved, n_nt_variant, n_aa_variant) over the records of a profile that are used."""
+    each = profile.select("gene", F.explode("codons").alias("c")).select("gene", "c.*")
+    return each.groupBy("gene", "codon").agg(F.count(F.lit(1)).alias("n_resolved"), F.count_if("nt").alias("n_nt_variant"), F.count_if("aa").alias("n_aa_variant"))
+
+
+def profile_quality(profile: DataFrame) -> DataFrame:
+    """(gene, verdict, n_records, n_length_variants, n_in_frame): what was left out, and changes of length in what was used."""
+    moved = F.col("net_offset") != 0
+    return profile.groupBy("gene", "verdict").agg(F.count(F.lit(1)).alias("n_records"), F.count_if(moved).alias("n_length_variants"), F.count_if(moved & (F.col("net_offset") % 3 == 0)).alias("n_in_frame"))
 
 
-def codon_counts(records: DataFrame, reference: DataFrame, cds_start: int, codons: int, k: int = 25, step: int = 6, least: float = 0.95) -> tuple[DataFrame, DataFrame]:
-    """(codon, ref_codon, n_resolved, n_nt_variant, n_aa_variant) over records, and (seq_id, resolved_fraction, verdict).
+def cds_copies(parts: DataFrame, reference: DataFrame, strict: bool = True) -> DataFrame:
+    """gene, copy, strand, positions, cds, protein, valid from parts (gene, copy, strand, part, start, end; 0-based half-open).
 
-    Codons of the reference are laid on each record by the offset map; records with under `least` of them resolved are
-    left out and say so.
+    Parts follow each other in their given order; those of the minus strand are read backwards.  A copy is valid if it has
+    whole codons, begins with M and ends with its only stop; strict: a copy that is not valid is an error.
     """
-    from ..functions.sequences import CODON
-
-    table = F.create_map(*[F.lit(x) for kv in sorted(CODON.items()) for x in kv])
-    ref = reference.select("seq").limit(1)
-    frame = ref.select(F.explode(F.sequence(F.lit(0), F.lit(codons - 1))).alias("codon"), "seq").select("codon", (F.col("codon") * 3 + cds_start).alias("ref"), F.substring(F.col("seq"), F.col("codon") * 3 + cds_start + 1, F.lit(3)).alias("ref_codon"))
-    where = offset_map(offset_runs(find_anchors(records, reference_index(reference, k), k, step)), k)
-    laid = where.join(F.broadcast(frame), "ref").join(records.select("seq_id", "seq"), "seq_id")
-    own = laid.select("seq_id", "codon", "ref_codon", F.substring(F.col("seq"), F.col("ref") + F.col("shift") + 1, F.lit(3)).alias("own")).where(F.col("own").rlike("^[ACGT]{3}$"))
-    per = own.groupBy("seq_id").agg(F.round(F.count(F.lit(1)) / F.lit(codons), 6).alias("resolved_fraction"))
-    qc = records.select("seq_id").join(per, "seq_id", "left").select("seq_id", F.coalesce("resolved_fraction", F.lit(0.0)).alias("resolved_fraction")).withColumn("verdict", F.when(F.col("resolved_fraction") >= least, "used").otherwise("dropped"))
-    used = own.join(qc.where("verdict = 'used'").select("seq_id"), "seq_id", "left_semi")
-    amino = lambda c: F.coalesce(F.try_element_at(table, F.col(c)), F.lit("X"))
-    counts = used.groupBy("codon", "ref_codon").agg(F.count(F.lit(1)).alias("n_resolved"), F.count_if(F.col("own") != F.col("ref_codon")).alias("n_nt_variant"), F.count_if(amino("own") != amino("ref_codon")).alias("n_aa_variant"))
-    return counts, qc
+    one = F.struct("part", "start", "end")
+    listed = parts.groupBy("gene", "copy", "strand").agg(F.array_sort(F.collect_list(one)).alias("parts"))
+    walk = lambda p: F.when(p["end"] > p["start"], F.when(F.col("strand") < 0, F.sequence(p["end"] - 1, p["start"], F.lit(-1))).otherwise(F.sequence(p["start"], p["end"] - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    placed = listed.withColumn("positions", F.flatten(F.transform("parts", walk)))
+    joined = placed.crossJoin(F.broadcast(reference.select(F.col("seq").alias("_seq")).limit(1)))  # one row
+    base = F.array_join(F.transform("positions", lambda x: F.substring(F.col("_seq"), x + 1, F.lit(1))), "")
+    from ..functions.sequences import IUPAC, IUPAC_COMPLEMENT, translate_codons
+
+    cds = F.when(F.col("strand") < 0, F.translate(base, IUPAC, IUPAC_COMPLEMENT)).otherwise(base)
+    out = joined.withColumn("cds", cds).withColumn("protein", translate_codons(F.col("cds")))
+    stops = F.length("protein") - F.length(F.replace("protein", F.lit("*"), F.lit("")))
+    valid = (F.length("cds") % 3 == 0) & F.col("protein").startswith("M") & F.col("protein").endswith("*") & (stops == 1)
+    out = out.withColumn("valid", valid).select("gene", "copy", "strand", "positions", "cds", "protein", "valid")
+    if strict:
+        from .presence import require
+
+        out = require(out, F.col("valid"), "a coding sequence does not translate cleanly")
+    return out
+
+
+def codon_places(copies: DataFrame) -> DataFrame:
+    """(gene, pos, codon): the codon of each reference position; of several copies the last counts."""
+    each = copies.select("gene", "copy", F.posexplode("positions").alias("i", "pos"))
+    return each.groupBy("gene", "pos").agg(F.max_by(F.floor(F.col("i") / 3).cast("int"), F.struct("copy", "i")).alias("codon"))
+
+
+def cut_codons(sites: DataFrame, places: DataFrame, pam: int, carry: Sequence[str] = ("guide_id",)) -> DataFrame:
+    """carry and codon of each site (gene, strand, ref_start, ref_end): that of its cut, else of its middle, else of the
+    first mapped position of its footprint, else 0.  Three left joins with the small map, in one pass over a site's positions."""
+    cut = F.when(F.col("strand") == "+", F.col("ref_end") - pam - 3).otherwise(F.col("ref_start") - 1 + pam + 2)
+    middle = F.floor((F.col("ref_start") - 1 + F.col("ref_end")) / 2).cast("int")
+    tries = F.concat(F.array(cut.cast("int"), middle), F.sequence((F.col("ref_start") - 1).cast("int"), (F.col("ref_end") - 1).cast("int")))
+    numbered = sites.withColumn("_row", F.monotonically_increasing_id())
+    each = numbered.select(*carry, "gene", "_row", F.posexplode(tries).alias("turn", "pos")).join(places, ["gene", "pos"], "left")
+    best = each.groupBy("_row", *carry).agg(F.min_by("codon", F.when(F.col("codon").isNotNull(), F.col("turn"))).alias("codon"))
+    return best.select(*carry, F.coalesce("codon", F.lit(0)).alias("codon"))

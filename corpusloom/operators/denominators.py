@@ -44,7 +44,7 @@ def compare(rows: DataFrame, least_records: int = 10) -> DataFrame:
 
 
 def compare_sql(table: str) -> str:
-    below = ", ".join(f"count_if({c} < {t}) AS {c}_below_{str(t).replace('.', '_')}" for c in "xy" for t in LIMITS)
+    below = ", ".join(f"coalesce(count_if({c} < {t}), 0) AS {c}_below_{str(t).replace('.', '_')}" for c in "xy" for t in LIMITS)
     ranks = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r{c}" for c in "xy")
     return f"""SELECT count(*) AS n_guides, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN round(corr(x, y), 6) END AS pearson, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN round(corr(rx, ry), 6) END AS spearman, {below},
 CAST(trunc(median(records)) AS INT) AS median_records, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y, round(min(x), 6) AS min_x, round(min(y), 6) AS min_y FROM (SELECT *, {ranks} FROM {table} WHERE records >= 10)"""

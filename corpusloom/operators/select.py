@@ -51,3 +51,27 @@ def first_of(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     from pyspark.sql import Window as W
 
     return df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def first_under(curve: DataFrame, by: Sequence[str], k: str, value: str, limits: Sequence[float]) -> DataFrame:
+    """by, limit and minimum_k: the least k with a value under each limit, null where none is."""
+    each = curve.withColumn("limit", F.explode(F.array(*[F.lit(x) for x in limits])))
+    return each.groupBy(*by, "limit").agg(F.min(F.when(F.col(value) < F.col("limit"), F.col(k))).alias("minimum_k"))
+
+
+def chosen_names(table: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
+    """Rows whose column is one of names (an `isin`, which prunes partitions); no such row is an error."""
+    out = table.where(F.col(column).isin(*names))
+    if out.isEmpty():
+        raise ValueError(f"no row of {column} is one of {', '.join(names)}")
+    return out
+
+
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of one table that the other lacks, with `only_in`, repeats counted: none if both hold the same rows."""
+    return a.exceptAll(b).withColumn("only_in", F.lit("first")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("second")))
+
+
+def checked(claims: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """claims (claim, expected, actual) with `holds`: both null, or within tolerance of each other."""
+    return claims.withColumn("holds", F.col("expected").eqNullSafe(F.col("actual")) | F.coalesce(F.abs(F.col("expected") - F.col("actual")) <= tolerance, F.lit(False)))

@@ -453,34 +453,6 @@ def offset_runs(spark, sf_dir):
     return C.offset_runs(anchors, 3000)
 
 
-def _copies_of_longest(spark, sf_dir):
-    """A reference record and edited copies of it: whole, one base changed, cut short, reversed, with a gap."""
-    ref = p.records(spark, sf_dir).where("n_ambiguous = 0 and length_bp between 1500 and 6000").orderBy("seq_id").select("seq").limit(1)
-    edits = [
-        ("copy", F.col("seq")),
-        ("changed", F.concat(F.substring("seq", 1, 600), F.translate(F.substring("seq", 601, 1), "ACGT", "CGTA"), F.expr("substring(seq, 602)"))),
-        ("short", F.substring("seq", 1, 700)),
-        ("turned", S.revcomp(F.col("seq"))),
-        ("gap", F.concat(F.substring("seq", 1, 600), F.lit("N" * 60), F.expr("substring(seq, 661)"))),
-    ]
-    rows = ref.select(F.explode(F.array(*[F.struct(F.lit(n).alias("seq_id"), e.alias("seq")) for n, e in edits])).alias("x")).select("x.*")
-    return ref, rows
-
-
-@query()
-def anchor_chain_status(spark, sf_dir):
-    ref, rows = _copies_of_longest(spark, sf_dir)
-    guides = ref.select(F.explode(F.sequence(F.lit(101), F.lit(1301), F.lit(100))).alias("ref_start"), "seq").select(F.concat(F.lit("site"), F.col("ref_start").cast("string")).alias("guide_id"), "ref_start", (F.col("ref_start") + 22).alias("ref_end"), F.substring(F.col("seq"), F.col("ref_start"), F.lit(23)).alias("target"))
-    return C.classify(rows, ref, guides, P.presence_by_search(rows, guides))
-
-
-@query()
-def codon_tolerance(spark, sf_dir):
-    ref, rows = _copies_of_longest(spark, sf_dir)
-    counts, _ = C.codon_counts(rows.where("seq_id <> 'turned'"), ref, 0, 220, least=0.9)
-    return counts.withColumn("tolerance", M.tolerance(F.col("n_aa_variant"), 1, 0.5, 0.05))
-
-
 _SA, _SR = GRAMMARS["sacas9"], GRAMMARS["sacas9_relaxed"]
 
 

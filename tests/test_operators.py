@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.grammar import Grammar
 from corpusloom.operators import approx as A
-from corpusloom.operators import chains as C
 from corpusloom.operators import components as CC
 from corpusloom.operators import denominators as D
 from corpusloom.operators import model as M
@@ -137,34 +136,6 @@ def test_average_ranks_give_spearman(spark):
     assert r.n_guides == 3 and r.spearman == pytest.approx(0.866025) and r.median_records == 20
 
 
-def test_chain_keeps_copies_apart():
-    a = [(10 * i, 10 * i) for i in range(5)] + [(10 * i, 500 + 10 * i) for i in range(5)]
-    assert len(C.chain(a)) == 2
-    assert C.chain([(0, 0)]) == []
-
-
-def test_statuses_of_defects(spark):
-    rng = random.Random(9)
-    ref = random_bases(rng, 3000)
-    site = (1500, 1523)
-    changed = ref[:1510] + ("A" if ref[1510] != "A" else "C") + ref[1511:]
-    records = {"same": ref, "snp": changed, "turned": rc(changed), "cut": ref[:1400], "gap": ref[:1450] + "N" * 120 + ref[1570:], "wide": ref[:1490] + random_bases(rng, 2500) + ref[1530:]}
-    guides = spark.createDataFrame([("s", site[0] + 1, site[1], ref[site[0] : site[1]])], "guide_id string, ref_start int, ref_end int, target string")
-    df = spark.createDataFrame(list(records.items()), "seq_id string, seq string")
-    got = {r.seq_id: r.status for r in C.classify(df, spark.createDataFrame([(ref,)], "seq string"), guides, P.presence_by_search(df, guides)).collect()}
-    assert got == {"same": C.PRESENT, "snp": C.ABSENT, "turned": C.ABSENT, "cut": C.NOT_COVERED, "gap": C.AMBIGUOUS, "wide": C.WIDE}
-
-
-def test_planted_codon(spark):
-    rng = random.Random(10)
-    ref = random_bases(rng, 600)
-    rows = [(f"r{i}", ref[:150] + "TGG" + ref[153:] if i < 3 else ref) for i in range(10)]
-    counts, qc = C.codon_counts(spark.createDataFrame([*rows, ("bad", ref[:90])], "seq_id string, seq string"), spark.createDataFrame([(ref,)], "seq string"), 0, 200, k=12, step=1)
-    got = {r.codon: (r.n_resolved, r.n_aa_variant) for r in counts.collect()}
-    assert got[50] == (10, 3) and all(v[1] == 0 for c, v in got.items() if c != 50)
-    assert {r.seq_id for r in qc.where("verdict = 'dropped'").collect()} == {"bad"}
-
-
 def test_spectrum(spark):
     s = spark.createDataFrame([(0, 0.5), (-3, 0.25), (1, 0.25)], "length int, p double")
     r = M.spectrum_stats(s).first()
