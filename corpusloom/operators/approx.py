@@ -7,8 +7,10 @@ from math import ceil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.grammar import Grammar
 from ..functions.sequences import hamming_positions
 from .presence import sized_broadcast
+from .scan import MOST_WORDS, near_sites, sites
 
 
 def chunk_layout(length: int, mismatches: int, most: int = 8) -> list[tuple[int, int]]:
@@ -42,6 +44,18 @@ def similarity_join(sites: DataFrame, dictionary: DataFrame, length: int, mismat
     return sites.join(near, "spacer")
 
 
+def near_hits(records: DataFrame, guides: DataFrame, grammar: Grammar, mismatches: int, seed: int = 12) -> DataFrame:
+    """Sites of records (seq_id, seq) within `mismatches` of a guide's spacer (guide_id, spacer): similarity_join() of all sites.
+
+    The dictionary goes to each executor and the sites meet it where they are scanned; beyond `MOST_WORDS` rows the two are joined.
+    """
+    book = guides.select("guide_id", "spacer").where("spacer IS NOT NULL").limit(MOST_WORDS + 1).collect() if grammar.length <= 31 else None
+    if not book or len(book) > MOST_WORDS:
+        s = sites(records.select("seq_id", "seq"), "seq", grammar).withColumn("spacer", F.substring("target", 1, grammar.spacer))
+        return similarity_join(s, guides, grammar.spacer, mismatches, seed).drop("spacer")
+    return near_sites(records, grammar, [r.guide_id for r in book], [r.spacer for r in book], mismatches, chunk_layout(grammar.spacer, mismatches), seed)
+
+
 def summary(hits: DataFrame, guides: DataFrame, mismatches: int) -> DataFrame:
     """Per guide the hits at each distance, in all, and with a seed mismatch at most; guides without a hit have zeros."""
     counts = [F.count_if(F.col("mismatches") == m).alias(f"mm{m}") for m in range(mismatches + 1)]

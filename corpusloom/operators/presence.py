@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from ..functions.grammar import Grammar
 from ..functions.sequences import revcomp
 from ..session import cut
+from .scan import MOST_WORDS, held_words
 from .sites import distinct_sites
 
 BROADCAST_ROWS = 200_000
@@ -24,12 +25,18 @@ def sized_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def presence(records: DataFrame, guides: DataFrame, grammar: Grammar) -> DataFrame:
     """Distinct (seq_id, guide_id).  records: seq_id, seq; guides: guide_id, target.
 
-    The records' site windows are looked up in the dictionary of both orientations of each target: one pass over the
-    records, whatever the number of targets.
+    The records' windows are looked up in the dictionary of both orientations of each target: one pass over the records,
+    whatever the number of targets, with the dictionary on each executor.  One over `MOST_WORDS` targets, or of longer ones than
+    a packed word holds, is joined instead.
     """
-    both = guides.select("guide_id", F.explode(F.array(F.col("target"), revcomp(F.col("target")))).alias("kmer")).distinct()
-    found = distinct_sites(records.select("seq_id", "seq"), "seq", grammar)
-    return found.join(sized_broadcast(both), "kmer").select("seq_id", "guide_id").distinct()
+    book = guides.select("guide_id", "target").where("target IS NOT NULL").limit(MOST_WORDS + 1).collect() if grammar.length <= 31 else None
+    if book is None or len(book) > MOST_WORDS:
+        both = guides.select("guide_id", F.explode(F.array(F.col("target"), revcomp(F.col("target")))).alias("kmer")).distinct()
+        found = distinct_sites(records.select("seq_id", "seq"), "seq", grammar)
+        return found.join(both, "kmer").select("seq_id", "guide_id").distinct()
+    if not book:
+        return records.select("seq_id", F.lit("").alias("guide_id")).limit(0)
+    return held_words(records, [r.guide_id for r in book], [r.target for r in book]).distinct()
 
 
 def presence_by_search(records: DataFrame, guides: DataFrame) -> DataFrame:

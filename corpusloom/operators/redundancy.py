@@ -8,25 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.sequences import hash60, mash_identity
+from ..functions.sequences import mash_identity
 from .components import components
-from .sites import canonical_kmers, tiles
+from .scan import sketches
 
 
 def sketch_rows(records: DataFrame, k: int, size: int) -> DataFrame:
-    """(seq_id, h, rank): the `size` smallest distinct hashes of each record's canonical k-mers.
-
-    Each tile gives its own smallest hashes, so few rows of a record are shuffled and ranked.
-    """
-    pieces = tiles(records.select("seq_id", "seq"), "seq", k - 1)
-    hashes = F.transform(F.array_distinct(canonical_kmers(F.col("tile"), k)), lambda x: hash60(x))
-    least = pieces.select("seq_id", F.explode(F.slice(F.sort_array(F.array_distinct(hashes)), 1, size)).alias("h")).distinct()
-    return least.withColumn("rank", F.row_number().over(W.partitionBy("seq_id").orderBy("h"))).where(F.col("rank") <= size)
-
-
-def sketches(records: DataFrame, k: int, size: int) -> DataFrame:
-    """(seq_id, sketch): the same as a sorted array."""
-    return sketch_rows(records, k, size).groupBy("seq_id").agg(F.array_sort(F.collect_list("h")).alias("sketch"))
+    """(seq_id, h, rank): the `size` smallest distinct hashes of each record's canonical k-mers."""
+    return sketches(records, k, size).select("seq_id", F.posexplode("sketch").alias("rank", "h")).select("seq_id", "h", (F.col("rank") + 1).alias("rank"))
 
 
 def jaccard(a, b, size: int):

@@ -8,9 +8,11 @@ from pyspark.sql import Window as W
 
 from ..functions.grammar import Grammar
 from ..functions.sequences import gc_fraction, has_polyt, max_homopolymer_run, revcomp
+from .scan import sites
 
 TILE = 8192
 FINE = 256
+__all__ = ["canonical", "canonical_bag", "canonical_kmers", "distinct_sites", "fine_tiles", "guide_table", "kmer_bag", "kmers", "local_gc", "row_numbers", "sites", "tiles"]
 
 
 def tiles(df: DataFrame, seq: str, overlap: int, size: int = TILE) -> DataFrame:
@@ -25,18 +27,6 @@ def tiles(df: DataFrame, seq: str, overlap: int, size: int = TILE) -> DataFrame:
     return out.withColumn("tile", F.substring(F.col(seq), F.col("offset") + 1, F.lit(size + overlap))).drop(seq)
 
 
-def match_starts(tile: Column, regex: str, size: int) -> Column:
-    """0-based starts, below `size`, of all overlapping matches.
-
-    The tile is split before each match; a match starts where the pieces before it end.  The sign in front keeps a
-    match at the very start apart from no match.
-    """
-    pieces = F.split(F.concat(F.lit("#"), tile), f"(?={regex})")
-    starts = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda acc, p: acc + F.length(p)) - 1)
-    inner = F.slice(starts, 1, F.size(pieces) - 1)
-    return F.filter(inner, lambda x: x < size)
-
-
 def fine_tiles(df: DataFrame, seq: str, overlap: int, size: int = FINE) -> DataFrame:
     """tiles() in two steps, large and then small: taking a piece of a string costs its distance from the string's start."""
     large = tiles(df, seq, overlap, max(TILE, size))
@@ -47,22 +37,6 @@ def fine_tiles(df: DataFrame, seq: str, overlap: int, size: int = FINE) -> DataF
     return out.withColumn("tile", F.substring(F.col("tile"), F.col("_o") + 1, F.lit(size + overlap))).withColumn("offset", F.col("offset") + F.col("_o")).drop("_o")
 
 
-def sites(df: DataFrame, seq: str, grammar: Grammar, tile: int = FINE) -> DataFrame:
-    """All sites of df's sequences: start0, strand, target (5' to 3' on its own strand), with df's other columns.
-
-    Both strands are scanned for themselves; a window that matches on both gives two rows.
-    """
-    n = grammar.length
-    pieces = fine_tiles(df, seq, n - 1, tile)
-    found = []
-    for strand, regex in (("+", grammar.plus), ("-", grammar.minus)):
-        at = pieces.where(F.col("tile").rlike(regex)).withColumn("p", F.explode(match_starts(F.col("tile"), regex, tile)))
-        window = F.substring(F.col("tile"), F.col("p") + 1, F.lit(n))
-        target = window if strand == "+" else revcomp(window)
-        found.append(at.select(*[c for c in df.columns if c != seq], (F.col("offset") + F.col("p")).alias("start0"), F.lit(strand).alias("strand"), target.alias("target")))
-    return found[0].unionByName(found[1])
-
-
 def distinct_sites(df: DataFrame, seq: str, grammar: Grammar) -> DataFrame:
     """df's other columns and each distinct window (`kmer`, as on the plus strand) of a site on either strand.
 

@@ -311,8 +311,7 @@ near AS (SELECT s.*, g.guide_id, hamming(spacer, g.protospacer) AS mismatches, [
 
 def _near(spark, sf_dir, mismatches: int = _MM):
     g = p.guides(spark, sf_dir)
-    s = K.sites(p.records(spark, sf_dir).select("seq_id", "seq"), "seq", p.CAS).withColumn("spacer", F.substring("target", 1, 20))
-    return A.similarity_join(s, g.select("guide_id", F.col("protospacer").alias("spacer")), 20, mismatches), g
+    return A.near_hits(p.records(spark, sf_dir), g.select("guide_id", F.col("protospacer").alias("spacer")), p.CAS, mismatches), g
 
 
 @query(f"WITH {_ALL_SITES} SELECT guide_id, seq_id, start0, start0 + 23 AS end0, strand, mismatches, len([x FOR x IN places IF x > 8]) AS seed_mismatches, array_to_string(places, ',') AS mismatch_positions, substring(target, 21, 3) AS pam, CASE WHEN strand = '+' THEN start0 + 17 ELSE start0 + 6 END AS cut_site FROM near")

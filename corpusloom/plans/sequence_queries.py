@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as S
 from ..functions.grammar import GRAMMARS
 from ..operators import presence as P
+from ..operators import scan
 from ..operators import sites as K
 from ..sources import texts
 from . import prelude as p
@@ -213,9 +214,7 @@ def subset_stats(spark, sf_dir):
 @query(f"""WITH {p.RECORDS}, k AS (SELECT seq_id, substring(seq, q + 1, 21) AS w FROM (SELECT seq_id, seq, unnest(range(0, greatest(0, length(seq) - 20))) AS q FROM records))
 SELECT seq_id, count(*) AS n_kmers, count(DISTINCT c) AS n_canonical, min(h) AS least_hash FROM (SELECT seq_id, c, ('0x' || substring(md5(c), 1, 15))::BIGINT AS h FROM (SELECT seq_id, least(w, {p.rc_sql("w")}) AS c FROM k WHERE regexp_full_match(w, '[ACGT]+'))) GROUP BY seq_id""")
 def kmer_canonical(spark, sf_dir):
-    k = K.canonical_bag(p.records(spark, sf_dir).select("seq_id", "seq"), "seq", 21).select("seq_id", S.hash60(F.col("kmer")).alias("h"))
-    each = k.groupBy("seq_id", "h").agg(F.count(F.lit(1)).alias("n"))  # fixed-width keys: cheaper than the strings
-    return each.groupBy("seq_id").agg(F.sum("n").alias("n_kmers"), F.count(F.lit(1)).alias("n_canonical"), F.min("h").alias("least_hash"))
+    return scan.kmer_totals(p.records(spark, sf_dir).select("seq_id", "seq"), 21)
 
 
 @query(r"""WITH t(segment_id, start0, end0, spelled) AS (VALUES (1, 9, 32, '10-32(+);5000-5022(-)'), (2, 100, 123, ''), (3, 5, 28, 'x;6-28(-);6-28(-)'), (4, 7, 30, NULL)),

@@ -2,12 +2,14 @@ import math
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.grammar import Grammar
 from corpusloom.operators import approx as A
 from corpusloom.operators import components as CC
+from corpusloom.operators import chains as C
 from corpusloom.operators import denominators as D
 from corpusloom.operators import model as M
 from corpusloom.operators import presence as P
@@ -187,7 +189,11 @@ def test_binomial_limit():
 
 
 def test_offset_runs_and_map(spark):
-    a = spark.createDataFrame([(1, r, r + s) for r, s in [(0, 0), (10, 0), (20, 3), (30, 3), (500, 3)]], "seq_id long, ref int, qry int")
+    at = [(0, 0), (10, 0), (20, 3), (30, 3), (500, 3)]
+    a = spark.createDataFrame([(1, r, r + s) for r, s in at], "seq_id long, ref int, qry int")
     runs = C.offset_runs(a)
-    assert sorted((r.low, r.high, r.shift, r.n) for r in runs.collect()) == [(0, 10, 0, 2), (20, 30, 3, 2), (500, 500, 3, 1)]
-    assert {r.ref: r["shift"] for r in C.offset_map(runs, 12).collect()}[20] == 0
+    assert sorted((r.low, r.high, r["shift"], r.n) for r in runs.collect()) == [(0, 10, 0, 2), (20, 30, 3, 2), (500, 500, 3, 1)]
+    m = C.position_map(np.array([r for r, _ in at]), np.array([r + s for r, s in at]), 600, 15)
+    laid = {r: int(q) - r for r, q in enumerate(m) if q != C.NOWHERE}
+    assert laid == {r: 0 for r in range(25)} | {r: 3 for r in range(25, 45)} | {r: 3 for r in range(500, 515)}
+

@@ -81,7 +81,7 @@ def test_sites_equal_a_plain_scan(spark, pam, spacer):
     g = Grammar("x", spacer, pam)
     seqs = [random_bases(rng, n, "ACGTACGTACGTN") for n in (0, 3, g.length, 700)]
     df = spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string")
-    got = sorted(tuple(r) for r in K.sites(df, "seq", g, tile=64).select("seq_id", "start0", "strand", "target").collect())
+    got = sorted(tuple(r) for r in K.sites(df, "seq", g, piece=64).select("seq_id", "start0", "strand", "target").collect())
     want = []
     for i, s in enumerate(seqs):
         for p in range(len(s) - g.length + 1):
