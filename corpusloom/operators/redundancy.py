@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.sequences import mash_identity
+from ..session import cut
 from .components import components
 from .scan import sketches
 
@@ -18,29 +22,87 @@ def sketch_rows(records: DataFrame, k: int, size: int) -> DataFrame:
     return sketches(records, k, size).select("seq_id", F.posexplode("sketch").alias("rank", "h")).select("seq_id", "h", (F.col("rank") + 1).alias("rank"))
 
 
-def jaccard(a, b, size: int):
-    """Of the `size` smallest of the union, the share in both; 0 of nothing."""
-    merged = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
-    return F.when(F.size(merged) == 0, 0.0).otherwise(F.size(F.array_intersect(merged, F.array_intersect(a, b))) / F.size(merged))
+def firsts(sketched: DataFrame) -> DataFrame:
+    """(seq_id, sketch) of the first record of each distinct sketch, known by two 64-bit hashes."""
+    g = sketched.withColumn("g", _digest())
+    return g.join(g.groupBy("g").agg(F.min("seq_id").alias("m")), "g").where("seq_id = m").select("seq_id", "sketch")
 
 
-def similar_pairs(sketched: DataFrame, k: int, size: int, least_shared: int = 1) -> DataFrame:
-    """(a, b, jaccard, identity) with a < b, for records that share a hash.
+def _digest():
+    return F.struct(F.xxhash64(F.lit(1), "sketch").alias("x"), F.xxhash64(F.lit(2), "sketch").alias("y"))
+
+
+def least_jaccard(identity: float, k: int) -> float:
+    """The Jaccard similarity that an identity stands for."""
+    t = math.exp(k * (identity - 1))
+    return t / (2 - t)
+
+
+def similar_pairs(sketched: DataFrame, k: int, size: int, least_identity: float = 0.0) -> DataFrame:
+    """(a, b, jaccard, identity) with a < b, for records that share a hash and have at least that identity.
 
     Records with the same sketch stand for each other: only the first of them is paired, and copies() ties the rest to it.
+    For a limit j on the similarity, the least hash that two sketches share stands among the smallest (1 - j) n + 1 of
+    each (before it come only hashes that the other lacks), so only those are joined.  Of sketches that together stay
+    under `size` hashes the number of shared ones gives the similarity; otherwise it is read from the two sketches.
     """
-    first = sketched.groupBy("sketch").agg(F.min("seq_id").alias("seq_id"))
-    hashes = first.select("seq_id", F.explode("sketch").alias("h"))
-    shared = hashes.alias("x").join(hashes.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.seq_id") < F.col("y.seq_id"))).groupBy(F.col("x.seq_id").alias("a"), F.col("y.seq_id").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_shared)
-    full = shared.join(first.select(F.col("seq_id").alias("a"), F.col("sketch").alias("sa")), "a").join(first.select(F.col("seq_id").alias("b"), F.col("sketch").alias("sb")), "b")
-    j = jaccard(F.col("sa"), F.col("sb"), size)
-    return full.select("a", "b", F.round(j, 6).alias("jaccard"), F.round(mash_identity(j, k), 6).alias("identity"))
+    first = cut(firsts(sketched).withColumn("n", F.size("sketch")))
+    if least_identity > 0:
+        near = least_jaccard(least_identity, k)
+        head = F.slice("sketch", 1, F.floor((1 - near) * F.col("n") + 1e-9).cast("int") + 1)
+        hashes = first.select("seq_id", "n", F.explode(head).alias("h"))
+        sizes = F.least("x.n", "y.n") >= near * F.greatest("x.n", "y.n") - 1e-9
+        met = hashes.alias("x").join(hashes.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.seq_id") < F.col("y.seq_id")) & sizes).select(F.col("x.seq_id").alias("a"), F.col("y.seq_id").alias("b")).distinct()
+        out = _read_pairs(met, first, size)
+    else:
+        hashes = first.select("seq_id", "n", F.explode("sketch").alias("h"))
+        met = hashes.alias("x").join(hashes.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.seq_id") < F.col("y.seq_id")))
+        counted = cut(met.groupBy(F.col("x.seq_id").alias("a"), F.col("y.seq_id").alias("b")).agg(F.count(F.lit(1)).alias("both"), F.first(F.col("x.n") + F.col("y.n")).alias("n")))
+        union = F.col("n") - F.col("both")
+        out = counted.where(union <= size).select("a", "b", (F.col("both") / union).alias("j")).unionByName(_read_pairs(counted.where(union > size).select("a", "b"), first, size))
+    told = out.select("a", "b", F.round("j", 6).alias("jaccard"), F.round(mash_identity(F.col("j"), k), 6).alias("identity"))
+    return told.where(F.col("identity") >= least_identity) if least_identity > 0 else told
+
+
+def _read_pairs(pairs: DataFrame, first: DataFrame, size: int) -> DataFrame:
+    """(a, b, j) of pairs, from their sketches: sorted arrays, merged by the batch."""
+    full = pairs.join(first.select(F.col("seq_id").alias("a"), F.col("sketch").alias("sa")), "a").join(first.select(F.col("seq_id").alias("b"), F.col("sketch").alias("sb")), "b")
+    kinds = dict(full.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            sides = []
+            for i in (2, 3):
+                col = batch.column(i)
+                sides.append((col.offsets.to_numpy(), col.values.to_numpy()))
+            out = []
+            for row in range(batch.num_rows):
+                x, y = (values[at[row] : at[row + 1]] for at, values in sides)
+                union = np.union1d(x, y)[:size]
+                out.append(float((np.intersect1d(x, y, assume_unique=True) <= union[-1]).sum() / len(union)) if len(union) else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "j"])
+
+    return full.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}, j double")
 
 
 def copies(sketched: DataFrame) -> DataFrame:
     """(u, v): each record with a sketch seen before, and the first that has it."""
-    first = sketched.groupBy("sketch").agg(F.min("seq_id").alias("v"))
-    return sketched.join(first, "sketch").where("seq_id <> v").select(F.col("seq_id").alias("u"), "v")
+    g = sketched.select("seq_id", _digest().alias("g"))
+    return g.join(g.groupBy("g").agg(F.min("seq_id").alias("v")), "g").where("seq_id <> v").select(F.col("seq_id").alias("u"), "v")
+
+
+def nearest(sketched: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(seq_id, nearest, nearest_identity, nearest_jaccard): each record's most similar other one, the smallest of equals.
+
+    A record whose sketch others share is nearest to the first of them; pairs are those of similar_pairs().
+    """
+    tied = copies(sketched)
+    back = tied.groupBy("v").agg(F.min("u").alias("u"))
+    same = tied.unionByName(back.select(F.col("v").alias("u"), F.col("u").alias("v"))).select(F.col("u").alias("seq_id"), F.col("v").alias("nearest"), F.lit(1.0).alias("nearest_identity"), F.lit(1.0).alias("nearest_jaccard"))
+    both = pairs.select(F.col("a").alias("seq_id"), F.col("b").alias("other"), "identity", "jaccard").unionByName(pairs.select(F.col("b").alias("seq_id"), F.col("a").alias("other"), "identity", "jaccard"))
+    best = both.groupBy("seq_id").agg(F.min_by(F.struct("other", "identity", "jaccard"), F.struct(-F.col("jaccard"), F.col("other"))).alias("m"))
+    rest = best.join(same.select("seq_id"), "seq_id", "left_anti")
+    return same.unionByName(rest.select("seq_id", F.col("m.other").alias("nearest"), F.col("m.identity").alias("nearest_identity"), F.col("m.jaccard").alias("nearest_jaccard")))
 
 
 def clusters(records: DataFrame, edges: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from . import prelude as p
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-K_SIZE, SKETCH = 21, 40
+K_SIZE, SKETCH, ALIKE = 21, 5000, 0.999
 
 
 def query(sql: str | None = None):
@@ -40,11 +40,12 @@ _SK = f"""{p.RECORDS}, k AS (SELECT seq_id, substring(seq, q + 1, {K_SIZE}) AS w
 h AS (SELECT DISTINCT seq_id, ('0x' || substring(md5(least(w, {p.rc_sql("w")})), 1, 15))::BIGINT AS h FROM k WHERE regexp_full_match(w, '[ACGT]+')),
 s AS (SELECT seq_id, h, row_number() OVER (PARTITION BY seq_id ORDER BY h) AS rank FROM h QUALIFY rank <= {SKETCH})"""
 _PAIRS = f"""{_SK}, sketched AS (SELECT seq_id, list(h ORDER BY h) AS sketch FROM s GROUP BY seq_id), firsts AS (SELECT sketch, min(seq_id) AS seq_id FROM sketched GROUP BY sketch),
-fh AS (SELECT seq_id, unnest(sketch) AS h FROM firsts), shared AS (SELECT DISTINCT x.seq_id AS a, y.seq_id AS b FROM fh x JOIN fh y ON x.h = y.h AND x.seq_id < y.seq_id),
-merged AS (SELECT a, b, x.sketch AS sa, y.sketch AS sb, list_sort(list_distinct(list_concat(x.sketch, y.sketch)))[1:{SKETCH}] AS m FROM shared JOIN firsts x ON x.seq_id = a JOIN firsts y ON y.seq_id = b),
-jac AS (SELECT a, b, len(list_intersect(m, list_intersect(sa, sb))) / len(m) AS j FROM merged),
+fh AS (SELECT seq_id, unnest(sketch) AS h, len(sketch) AS n FROM firsts),
+shared AS (SELECT x.seq_id AS a, y.seq_id AS b, count(*) AS k, any_value(x.n + y.n) - count(*) AS u FROM fh x JOIN fh y ON x.h = y.h AND x.seq_id < y.seq_id GROUP BY ALL),
+merged AS (SELECT a, b, x.sketch AS sa, y.sketch AS sb, list_sort(list_distinct(list_concat(x.sketch, y.sketch)))[1:{SKETCH}] AS m FROM shared JOIN firsts x ON x.seq_id = a JOIN firsts y ON y.seq_id = b WHERE u > {SKETCH}),
+jac AS (SELECT a, b, k / u AS j FROM shared WHERE u <= {SKETCH} UNION ALL SELECT a, b, len(list_intersect(m, list_intersect(sa, sb))) / len(m) AS j FROM merged),
 pairs AS (SELECT a, b, round(j, 6) AS jaccard, round(CASE WHEN j <= 0 THEN 0.0 WHEN j >= 1 THEN 1.0 ELSE greatest(0.0, 1 + ln(2 * j / (1 + j)) / {K_SIZE}) END, 6) AS identity FROM jac)"""
-_EDGES = "SELECT a AS u, b AS v FROM pairs WHERE identity >= 0.97 UNION ALL SELECT x.seq_id, f.seq_id FROM sketched x JOIN firsts f ON x.sketch = f.sketch AND x.seq_id <> f.seq_id"
+_EDGES = f"SELECT a AS u, b AS v FROM pairs WHERE identity >= {ALIKE} UNION ALL SELECT x.seq_id, f.seq_id FROM sketched x JOIN firsts f ON x.sketch = f.sketch AND x.seq_id <> f.seq_id"
 _CLUSTERS = f"""edges AS ({_EDGES}), both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
 reach(n, r) AS (SELECT u, u FROM both_ways UNION SELECT b.v, reach.r FROM reach JOIN both_ways b ON reach.n = b.u),
 roots AS (SELECT n AS seq_id, min(r) AS root FROM reach GROUP BY n),
@@ -69,7 +70,7 @@ def sketch_identity_pairs(spark, sf_dir):
 
 def _clustered(spark, sf_dir):
     s = _sketched(spark, sf_dir)
-    edges = R.similar_pairs(s, K_SIZE, SKETCH).where("identity >= 0.97").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(R.copies(s))
+    edges = R.similar_pairs(s, K_SIZE, SKETCH, ALIKE).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(R.copies(s))
     return R.clusters(p.records(spark, sf_dir), edges)
 
 
@@ -86,21 +87,21 @@ def topk_clusters(spark, sf_dir):
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("cluster_size"), "cluster_id")))
 
 
-@query(f"""WITH RECURSIVE {_PAIRS}, pair_rows AS (SELECT a AS seq_id, b AS other, identity, jaccard FROM pairs UNION ALL SELECT b, a, identity, jaccard FROM pairs)
-SELECT seq_id, other AS nearest, identity AS nearest_identity, jaccard AS nearest_jaccard FROM pair_rows QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY jaccard DESC, other) = 1""")
+@query(f"""WITH RECURSIVE {_PAIRS}, groups AS (SELECT sketch, list(seq_id ORDER BY seq_id)[1:2] AS m FROM sketched GROUP BY sketch HAVING count(*) > 1),
+same AS (SELECT seq_id, CASE WHEN seq_id = m[1] THEN m[2] ELSE m[1] END AS nearest, 1.0 AS nearest_identity, 1.0 AS nearest_jaccard FROM sketched JOIN groups USING (sketch)),
+pair_rows AS (SELECT a AS seq_id, b AS other, identity, jaccard FROM pairs UNION ALL SELECT b, a, identity, jaccard FROM pairs)
+SELECT * FROM same UNION ALL (SELECT seq_id, other, identity, jaccard FROM pair_rows WHERE seq_id NOT IN (SELECT seq_id FROM same) QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY jaccard DESC, other) = 1)""")
 def nearest_record(spark, sf_dir):
     """Each record's most similar other one, the first on ties."""
-    x = R.similar_pairs(_sketched(spark, sf_dir), K_SIZE, SKETCH)
-    both = x.select(F.col("a").alias("seq_id"), F.col("b").alias("other"), "identity", "jaccard").unionByName(x.select(F.col("b").alias("seq_id"), F.col("a").alias("other"), "identity", "jaccard"))
-    best = both.groupBy("seq_id").agg(F.min_by(F.struct("other", "identity", "jaccard"), F.struct(-F.col("jaccard"), F.col("other"))).alias("m"))
-    return best.select("seq_id", F.col("m.other").alias("nearest"), F.col("m.identity").alias("nearest_identity"), F.col("m.jaccard").alias("nearest_jaccard"))
+    s = _sketched(spark, sf_dir)
+    return R.nearest(s, R.similar_pairs(s, K_SIZE, SKETCH))
 
 
 @query()
 def redundancy_sweep(spark, sf_dir):
     r, g = p.records(spark, sf_dir), p.guides(spark, sf_dir)
     s = _sketched(spark, sf_dir)
-    return R.threshold_sweep(r, R.similar_pairs(s, K_SIZE, SKETCH), R.copies(s), P.presence(r, g, p.CAS), g.count(), [0.95, 0.99])
+    return R.threshold_sweep(r, cut(R.similar_pairs(s, K_SIZE, SKETCH, 0.95)), R.copies(s), P.presence(r, g, p.CAS), g.count(), [0.95, 0.99, 0.999])
 
 
 # --- denominators ---------------------------------------------------------------------------------------------------
