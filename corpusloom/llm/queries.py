@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.presence import sized_broadcast
 from . import bpe, decontaminate, langid, masked_lm, quality_model, quality_rules, secrets, simhash, suffix_dedup, token_rollup
 from .common import shared_dir, table
 
@@ -78,13 +79,14 @@ def op8_token_rollup(spark, sf_dir):
     """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     ledger = token_rollup.TokenLedger(spark, f"{shared_dir(spark).rstrip('/')}/loom-tokens-{uuid.uuid4().hex}")
-    now, marked = token_rollup.counted_twice(docs, F.col("text"), F.concat(F.coalesce("text", F.lit("")), F.lit(" [reviewed]")))
-    ledger.apply("insert", token_rollup.events("insert", now))
+    ledger.apply("insert", token_rollup.events("insert", token_rollup.counted(docs, F.col("text"))))
     bad = labels.where("quality = 0").select("doc_id").distinct()
     toxic = labels.where("toxic = 1").select("doc_id").distinct().join(bad, "doc_id", "left_anti")
     ledger.apply("delete", token_rollup.deletes(bad))
-    ledger.apply("revise", token_rollup.events("revise", marked.join(toxic, "doc_id", "left_semi")))
+    marked = F.concat(F.coalesce("text", F.lit("")), F.lit(" [reviewed]"))
+    ledger.apply("revise", token_rollup.events("revise", token_rollup.counted(docs.join(sized_broadcast(toxic), "doc_id", "left_semi"), marked)))
     ledger.apply("delete", token_rollup.deletes(bad))
+    ledger.compact()
     return ledger.totals()
 
 

@@ -10,7 +10,8 @@ bucket gives a star for each of its classes, never all pairs.
 
 Cases: a null text has no words and the fingerprint zero, which links like any other; texts of one or two words are one
 shingle; repeated rows share class and fingerprint; a null doc_id has no part in the smallest id (a class of null ids
-alone has a null component_id); an empty table gives an empty result.
+alone has a null component_id); of ties for the smallest id any row is the same one; texts of any length are read whole, shingles counted in
+slices; other columns are not read, so none can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -233,5 +234,5 @@ def classes(signed: DataFrame, key: str = "doc_id") -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, fingerprint (16 hexadecimal digits) and component_id for each row."""
     signed = written(fingerprints(docs, text, [key]), "simhash-signed")
-    out = signed.join(classes(signed, key), "fp")
+    out = signed.join(written(classes(signed, key), "simhash-classes"), "fp")  # written: a hot fingerprint can then be split
     return out.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

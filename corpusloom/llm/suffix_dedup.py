@@ -17,7 +17,8 @@ Hashes that decide across tasks are pairs of independent 64-bit values.
 
 Cases: null and empty texts have 0 bytes and nothing removed; texts under SPAN bytes have no window; repeated rows are
 documents of their own, so all of a repeated text of SPAN bytes or more goes; windows may cut multi-byte characters and
-never cross documents; long texts are scanned in segments.
+never cross documents; of ties, equal windows all go; an empty table gives an empty result; other columns are not read, so
+none can clash; long texts are scanned in segments.
 """
 
 from __future__ import annotations
@@ -414,10 +415,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", gro
     t = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(key).alias("doc_id"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"), t.alias("t"))
     anchors = emitted(texts, light=True).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
-    known = anchors.where("n > 1").select("a", (F.col("low") != F.col("high")).alias("differ"))
+    # written, so that both sides of each join come from a shuffle of their own and a hot anchor or context can be split
+    known = written(anchors.where("n > 1").select("a", (F.col("low") != F.col("high")).alias("differ")), "dedup-anchors")
     all_runs = written(emitted(texts, light=False).join(known, "a"), "dedup-runs")
     differ = all_runs.where("differ")
-    kinds = differ.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h1", "h2", "s")).alias("one"))
+    kinds = written(differ.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h1", "h2", "s")).alias("one")), "dedup-contexts")
     judged = differ.join(kinds, ["a", "c"]).withColumn("full", F.col("n") > 1).withColumn("send", F.col("one") == F.struct("h1", "h2", "s"))
     run = F.struct("a", "c", "s", "e", "p", "full", "send")
     same = all_runs.where("not differ").withColumn("full", F.lit(True)).withColumn("send", F.lit(False))

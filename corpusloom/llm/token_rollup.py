@@ -4,11 +4,13 @@ A ledger in a shared folder holds, for each committed batch, signed rows (docume
 tokens, sign) and their sum by source, language and version.  An insert adds rows; a delete takes a document's present
 rows back; a revision takes them back and adds the new ones.  Totals are the sum of the committed deltas.  A batch is
 written under its own name and counts only once its commit marker, written last, is there: a batch that fails half-way
-leaves nothing that is read, and one that is sent again does nothing.
+leaves nothing that is read, and one that is sent again does nothing.  `compact` sums the committed batches into a
+snapshot, named by a marker that lists them and is written last; then their own files go, and their names stay committed.
 
 Cases: nulls in the document key, source, language and version are values of their own (compared null-safe); null token
 counts count as zero; an empty batch commits and changes nothing; a document inserted twice counts twice and is deleted
-as a whole; a delete or revision of an unknown document takes nothing back (a revision then inserts); in one batch, all
+as a whole; texts of any length are counted by built-in functions where they are read; other columns are not read, so none
+can clash; an empty table gives no totals; a delete or revision of an unknown document takes nothing back (a revision then inserts); in one batch, all
 deletes and revisions see the state before the batch.
 """
 
@@ -17,8 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
-
 ROW = ["doc_id", "source", "lang", "version", "tokens"]
 GROUP = ["source", "lang", "version"]
 
@@ -36,11 +36,41 @@ class TokenLedger:
         fs, path = self._fs("commits")
         return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
+    def _snapshot(self) -> tuple[str | None, set[str]]:
+        """The last whole snapshot, and the batches that it holds."""
+        fs, path = self._fs("snapshots")
+        names = sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+        if not names:
+            return None, set()
+        return names[-1], {r.value for r in self.spark.read.text(f"{self.path}/snapshots/{names[-1]}").collect()}  # a line for each batch
+
     def _read(self, kind: str, schema: str) -> DataFrame:
-        batches = self.committed()
-        if not batches:
+        name, held = self._snapshot()
+        parts = [f"{kind}-{name}"] if name else []
+        parts += [f"{kind}/{b}" for b in self.committed() if b not in held]
+        if not parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{kind}/{b}" for b in batches])
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{p}" for p in parts])
+
+    def compact(self, key_type: str = "bigint") -> None:
+        """Put the sums of all committed batches into one snapshot and delete what it replaces."""
+        before, held = self._snapshot()
+        batches = self.committed()
+        if set(batches) <= held:
+            return
+        name = f"{len(batches):09d}"
+        present = self.rows(key_type).withColumn("sign", F.col("copies").cast("int")).select(*ROW, "sign")
+        present.write.mode("overwrite").parquet(f"{self.path}/log-{name}")
+        self.totals().write.mode("overwrite").parquet(f"{self.path}/deltas-{name}")
+        fs, marker = self._fs(f"snapshots/{name}")
+        fs.mkdirs(marker.getParent())
+        _, draft = self._fs(f"draft-{name}")
+        out = fs.create(draft, True)
+        out.write(bytearray("\n".join(batches).encode()))
+        out.close()
+        fs.rename(draft, marker)  # whole or not at all
+        for old in [f"{k}/{b}" for k in ("log", "deltas") for b in batches] + [f"{k}-{before}" for k in ("log", "deltas") if before]:
+            fs.delete(self._fs(old)[1], True)
 
     def rows(self, key_type: str = "bigint") -> DataFrame:
         """Present rows with their multiplicity `copies`."""
@@ -89,16 +119,6 @@ def counted(docs: DataFrame, text: Column, counters: dict[str, str] | None = Non
     return docs.select(F.col(key).alias("doc_id"), "source", "lang", F.explode(each).alias("c")).select("doc_id", "source", "lang", "c.version", "c.tokens")
 
 
-def counted_twice(docs: DataFrame, first: Column, second: Column, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """The counts of two versions of each text, from one scan of docs; what follows reads counts only."""
-    both = written(docs.select(F.col(key).alias("doc_id"), "source", "lang", *[counter(t, p).alias(f"{n}{k}") for n, t in (("a", first), ("b", second)) for k, p in enumerate(COUNTERS.values())]), "token-counts")
-    out = []
-    for n in "ab":
-        each = F.array(*[F.struct(F.lit(v).alias("version"), F.col(f"{n}{k}").alias("tokens")) for k, v in enumerate(COUNTERS)])
-        out.append(both.select("doc_id", "source", "lang", F.explode(each).alias("c")).select("doc_id", "source", "lang", "c.version", "c.tokens"))
-    return out[0], out[1]
-
-
 def counter(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 

@@ -60,6 +60,28 @@ def expected(rows, f):
     return {k: sorted(v, key=repr) for k, v in out.items()}
 
 
+def test_small_samples_still_make_a_model(spark):
+    """Too few pieces to train on are the dictionary themselves; the score is no constant."""
+    rng = random.Random(8)
+    good, bad = (["".join(rng.choice(a) for _ in range(6)) for _ in range(40)] for a in ("abcdef", "uvwxyz"))
+    assert quality_model.build([b"x" * 1000] * 5, 262_144) and quality_model.build([b"a", b"b", b"c"], 100) and quality_model.build([], 100) == b""
+    made = [(i, prose(rng, 60, good if i % 2 else bad), "en", "s", 1) for i in range(12)]
+    df = spark.createDataFrame(made, DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    model = quality_model.fit(df, labels, lambda k: F.lit(True))
+    got = {r.doc_id: r.score for r in quality_model.classify(df, model).collect()}
+    assert len(set(got.values())) > 6 and min(got[9], got[11]) > max(got[8], got[10])
+    # the rows' scores by the definition
+    import zstandard
+
+    sides = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.good, model.bad)]
+    for i, t, *_ in made:
+        g, b = (len(c.compress(t.encode())) for c in sides)
+        n = len(t.encode())
+        z = model.weights[0] + sum(w * x for w, x in zip(model.weights[1:], ((b - g) / (n + 64), (b - g) / (b + g), (b + g) / (2 * n + 64)), strict=True))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_secrets(docs, rows, empty):
     assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -412,6 +434,14 @@ def test_rollup(spark, docs, tmp_path):
     # what a failed batch left behind is not read
     ev([("insert", 5, "s", "en", "v1", 1)]).write.parquet(f"{tmp_path}/ledger/log/b5")
     assert ledger.committed() == ["b1", "b2", "b3", "b4"]
+    rows, totals = sorted(map(repr, ledger.rows().collect())), sorted(map(repr, ledger.totals().collect()))
+    for _ in range(2):
+        ledger.compact()
+        assert sorted(map(repr, ledger.rows().collect())) == rows and sorted(map(repr, ledger.totals().collect())) == totals
+    assert not ledger.apply("b2", ev([("insert", 9, "s", "en", "v1", 99)])) and not (tmp_path / "ledger" / "log" / "b2").exists()
+    assert ledger.apply("b6", ev([("revise", 8, "s", "en", "v1", 50), ("delete", 1, None, None, None, None)]))
+    ledger.compact()
+    assert [tuple(r) for r in ledger.totals().collect()] == [("s", "en", "v1", 1, 50)] and [(r.doc_id, r.tokens) for r in ledger.rows().collect()] == [(8, 50)]
 
 
 def test_rollup_counts(docs, rows):
