@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +18,43 @@ def _stars(pairs: DataFrame, keep) -> DataFrame:
     return pairs.join(least, "u").where(keep).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
+def _contracted(batches):
+    """The edges of one partition, each node tied to the smallest that its batch-wise growing classes reach: few long paths are left."""
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            u, v = root(u), root(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+        if len(parent) > 2_000_000:  # a bounded memory: what is known so far goes out
+            yield _edges(parent, root, b.schema)
+            parent.clear()
+    if parent:
+        yield _edges(parent, root, b.schema)
+
+
+def _edges(parent, root, schema) -> pa.RecordBatch:
+    ends = [root(x) for x in parent]
+    return pa.RecordBatch.from_arrays([pa.array(list(parent), schema.field(0).type), pa.array(ends, schema.field(1).type)], names=["u", "v"])
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every end of edges (u, v); root is the smallest node that can be reached.
 
-    Null ends and loops are ignored.  Each round is written to the shared folder, so a lost executor costs one round.
+    Null ends and loops are ignored.  The edges of a partition are first contracted where they lie; then each round is written
+    to the shared folder, so a lost executor costs one round.  Rounds grow with the logarithm of the longest path; a graph that
+    needs over `most_rounds` is an error.
     """
-    e = cut(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    ends = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    kinds = dict(ends.dtypes)
+    e = cut(ends.mapInArrow(_contracted, f"u {kinds['u']}, v {kinds['v']}").distinct())
     seen = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
