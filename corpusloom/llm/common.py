@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..session import cut, shared_dir
 
-__all__ = ["annotate", "cut", "shared_dir", "shielded", "slices", "table", "threshold_sample", "written"]
+__all__ = ["annotate", "cut", "shared_dir", "shielded", "slices", "table", "threshold_sample", "tidy", "written"]
 SLICE_BYTES = 2 << 20
 
 
@@ -51,6 +52,14 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
     yield batch.slice(start)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system, so that what a worker keeps between tasks stays small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there on glibc only
+    if trim:
+        trim(0)
+
+
 def annotate(
     df: DataFrame,
     text: str,
@@ -63,7 +72,9 @@ def annotate(
 
     factory() is called once in each task and returns f(texts, *inputs) -> (mask or None, list of arrays or lists);
     a mask drops rows, and the lists then hold the kept rows only.  fields may be empty: a filter.  f.close(), if there
-    is one, is called when the task ends: what a reused worker keeps between tasks is then small.
+    is one, is called when the task ends: what a reused worker keeps between tasks is then small.  Of carried columns one with
+    a new field's name is left out.  The session's limit on the bytes of an Arrow batch is lowered and stays so: plans read
+    it when they run.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * SLICE_BYTES))  # long texts come in small batches
     clash = {f.name.lower() for f in fields}
@@ -89,9 +100,10 @@ def annotate(
                     arrays = [x if x.type == t.type else x.cast(t.type) for x, t in zip(kept, target, strict=False)]
                     arrays += [pa.array(x, t.type) for x, t in zip(made, list(target)[len(carried):], strict=True)]
                     yield pa.RecordBatch.from_arrays(arrays, names=target.names)
-                pa.default_memory_pool().release_unused()
+                tidy()
         finally:
             getattr(f, "close", lambda: None)()
+            tidy()
 
     return chosen.mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, shielded, slices, written
+from .common import annotate, shielded, slices, tidy, written
 
 WORD = re.compile(r"\w+")
 BLOCK = 256
@@ -268,6 +268,7 @@ def products(passages: DataFrame, weights: np.ndarray, basis: np.ndarray, gram:
                     out[term] += (weights[term] * times)[:, None] * y
         from pyspark import TaskContext
 
+        tidy()
         slot = TaskContext.get().partitionId() % 2
         yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["slot", "matrix"])
 
@@ -309,6 +310,7 @@ def fit(docs: DataFrame, blocks: list[list[Passage]], text: str = "text", key: s
                         ids = [vocab.get(x, 0) for x in w]
                         parts = [ids[i : i + window] for i in range(0, len(ids), window)]
                         yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.string()), pa.nulls(len(parts), pa.int64()), pa.array(parts, pa.list_(pa.int32()))], names=["word", "n", "ids"])
+        tidy()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.nulls(len(counts), pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
     scanned = written(docs.select(F.col(text).alias("t"), F.coalesce(picked, F.lit(False)).alias("s")).mapInArrow(run, "word string, n long, ids array<int>"), "latent-scan")
