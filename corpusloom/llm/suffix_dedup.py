@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, tidy, written
 
 SPAN, GRAM = 200, 64
 GROUP = 50_000
@@ -160,6 +160,7 @@ def emitted(docs: DataFrame, light: bool) -> DataFrame:
                         off = low - offsets[row]
                         cols = [a, c, h1[row], h2[row], *((x + off).astype(np.int32) for x in (s, e, p))]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
+        tidy()
 
     return docs.select("h1", "h2", "t").mapInArrow(run, schema)
 
@@ -355,7 +356,7 @@ def _batch(found):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["h1", "h2", "lo", "hi"])
 
 
-def settle(contexts: DataFrame, chunk: int = 1 << 21) -> DataFrame:
+def settle(contexts: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     """Ranges of repeated windows; contexts of one anchor meet in a task, sorted, and are solved some anchors at a time."""
 
     def run(batches):
@@ -370,6 +371,8 @@ def settle(contexts: DataFrame, chunk: int = 1 << 21) -> DataFrame:
                 size += len(r[7])
         if held:
             yield _batch(settled(held))
+        held = []
+        tidy()
 
     return contexts.repartition("a").sortWithinPartitions("a", "c").select("a", "c", "h1", "h2", "s", "p", "single", "raw").mapInArrow(run, RANGES)
 
