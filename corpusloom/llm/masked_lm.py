@@ -22,7 +22,6 @@ has that name; a long text is read in blocks, of which only two bytes a token st
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from copy import copy
 from itertools import repeat
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, slices, written
+from .common import annotate, slices, tidy, written
 
 OFFSETS = (-2, -1, 1, 2)
 VOCAB, HASHED, HIDDEN, GROUP = 960, 64, 32, 64
@@ -56,34 +55,26 @@ def blocks(text: str | None) -> Iterator[str]:
     yield text[at:]
 
 
-def split(texts: Sequence[str | None]) -> tuple[pa.Array, np.ndarray]:
+def split(texts: Sequence[str | None] | pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The tokens of all texts, and how many each has: what stands between ASCII white space, A-Z in lower case."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(pa.array(texts, pa.string()), "")))
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")))
     words = parts.flatten()
     full = pc.binary_length(words).to_numpy() > 0
     ends = np.concatenate(([0], np.cumsum(full)))[parts.offsets.to_numpy()]
     return words.filter(pa.array(full)).cast(pa.binary()), np.diff(ends)
 
 
-def count_words(docs: DataFrame, text: str = "text", most: int = 400_000) -> DataFrame:
-    """(word, n) over all documents; each task sends a word once for each `most` distinct words."""
+def count_words(docs: DataFrame, text: str = "text", most: int = 8 << 20) -> DataFrame:
+    """(word, n) over all documents; each task sends a word once for each `most` bytes, and they are summed before their shuffle."""
 
     def run(batches):
-        def sent(c):
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
-
-        counts: Counter = Counter()
         for whole in batches:
-            for b in slices(whole, 0):
-                texts = b.column(0).to_pylist()
-                for part in [texts] if len(texts) > 1 else ([x] for t in texts for x in blocks(t)):
+            for b in slices(whole, 0, most):
+                col = b.column(0)
+                for part in [col] if len(col) > 1 else ([x] for t in col.to_pylist() for x in blocks(t)):
                     found = split(part)[0].value_counts()
-                    for word, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
-                        counts[word] += n
-                    if len(counts) > most:
-                        yield sent(counts)
-                        counts.clear()
-        yield sent(counts)
+                    yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "n"])
+        tidy()
 
     return docs.select(F.col(text).alias("t")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
