@@ -115,3 +115,23 @@ def footprints(spelled: Column, start: Column, end: Column) -> Column:
 def first_filled(*columns: Column) -> Column:
     """The first value that is neither null nor blank, else an empty string."""
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns], F.lit(""))
+
+
+def base_codes(seq: Column) -> Column:
+    """A sequence as digits: A, C, G, T in either case are 0 to 3, any other character is 4."""
+    return F.translate(F.regexp_replace(seq, "[^ACGTacgt]", "N"), "ACGTacgtN", "012301234")
+
+
+def bases_of(codes: Column) -> Column:
+    """The sequence that base_codes() tells: 4 is N."""
+    return F.translate(codes, "01234", "ACGTN")
+
+
+def revcomp_codes(codes: Column) -> Column:
+    """The codes of the reverse complement; 4 stays 4."""
+    return F.reverse(F.translate(codes, "0123", "3210"))
+
+
+def country_of(place: Column) -> Column:
+    """The text before the first colon, trimmed, or null where that is blank."""
+    return F.nullif(F.trim(F.split(place, ":")[0]), F.lit(""))

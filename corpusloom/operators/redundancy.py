@@ -129,3 +129,8 @@ def threshold_sweep(records: DataFrame, pairs: DataFrame, same: DataFrame, found
         row = row.select(F.lit(t).alias("threshold"), "*", F.round(100.0 * F.col("n_perfect") / F.lit(max(n_guides, 1)), 3).alias("pct_perfect"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def identity_range(pairs: DataFrame, identity: str = "identity") -> DataFrame:
+    """One row: n_pairs and the least, median and greatest identity, null without pairs."""
+    return pairs.agg(F.count(identity).alias("n_pairs"), F.min(identity).alias("least"), F.median(identity).alias("median"), F.max(identity).alias("greatest"))

@@ -75,3 +75,12 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def checked(claims: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """claims (claim, expected, actual) with `holds`: both null, or within tolerance of each other."""
     return claims.withColumn("holds", F.col("expected").eqNullSafe(F.col("actual")) | F.coalesce(F.abs(F.col("expected") - F.col("actual")) <= tolerance, F.lit(False)))
+
+
+def top_overlap(ranked: DataFrame, setting: str, key: str, order: Sequence[Column], baseline, top: int = 20) -> DataFrame:
+    """setting and shared: how many of each setting's first `top` keys are among the baseline's; order ends with the key."""
+    from pyspark.sql import Window as W
+
+    first = ranked.withColumn("_n", F.row_number().over(W.partitionBy(setting).orderBy(*order))).where(F.col("_n") <= top).select(setting, key)
+    held = first.where(F.col(setting) == baseline).select(key, F.lit(1).alias("_held")).distinct()
+    return first.join(held, key, "left").groupBy(setting).agg(F.count("_held").alias("shared"))

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 SCHEMA = "uid string, taxid long, length_bp long, title string, record_class string"
 
@@ -109,3 +112,31 @@ def missing(wanted: DataFrame, cached: DataFrame) -> DataFrame:
     """Wanted uids that are not cached, with or without their version suffix."""
     bare = lambda c: F.regexp_replace(c, r"\.\d+$", "")
     return wanted.join(cached.select(bare("uid").alias("_b")).distinct(), bare(F.col("uid")) == F.col("_b"), "left_anti")
+
+
+def fetch_by_id(ids: DataFrame, fetch: Callable[[list[str]], Iterable[dict]], schema: StructType, batch: int = 200, interval: float = 0.0) -> DataFrame:
+    """Rows that a service returns for ids (uid), asked on executors for at most `batch` uids at a time.
+
+    A null uid is not asked for and a repeated one only once; each task keeps its calls `interval` seconds apart.
+    """
+    layout = to_arrow_schema(schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        limit = RateLimiter(interval)
+        for b in batches:
+            uids = b.column(0).to_pylist()
+            for at in range(0, len(uids), batch):
+                limit.wait()
+                some = uids[at : at + batch]
+                yield pa.RecordBatch.from_pylist(with_retries(lambda some=some: list(fetch(some))), schema=layout)
+
+    return ids.select("uid").where("uid IS NOT NULL").distinct().mapInArrow(run, schema)
+
+
+def cached_records(manifest: DataFrame, folder: str, suffix: str = ".fasta") -> DataFrame:
+    """Rows of a manifest (uid) whose file `<uid><suffix>` lies in the folder; files are listed, not read."""
+    files = manifest.sparkSession.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
+    held = files.select(F.regexp_extract("path", r"([^/]+)" + re.escape(suffix) + "$", 1).alias("uid"))
+    return manifest.join(held, "uid", "left_semi")
