@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,3 +133,14 @@ def running_offsets(index: DataFrame, order: str, length: str) -> DataFrame:
     """index with the start of each sequence in their concatenation (the index is small)."""
     w = W.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return index.withColumn("start", F.sum(length).over(w) - F.col(length))
+
+
+def cached_text(spark: SparkSession, path: str, fetch: Callable[[], str], valid: Callable[[str], bool], refresh: bool = False) -> DataFrame:
+    """One row (value): a record's text as stored whole at `path`, else as fetched and stored there; an invalid one is an error and not stored."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if refresh or not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        text = fetch()
+        if not valid(text):
+            raise ValueError(f"unexpected content for {path}")
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.schema("value string").parquet(path)

@@ -1,9 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import sequences as Q
 from corpusloom.operators import redundancy, select
 from corpusloom.sources import catalogue as C
+from corpusloom.sources import texts
 
 
 def test_codes(spark):
@@ -49,3 +51,18 @@ def test_identity_range(spark):
     pairs = spark.createDataFrame([(0.5,), (0.9,), (1.0,)], "identity double")
     assert tuple(redundancy.identity_range(pairs).first()) == (3, 0.5, 0.9, 1.0)
     assert tuple(redundancy.identity_range(pairs.limit(0)).first()) == (0, None, None, None)
+
+
+def test_cached_text(spark, tmp_path):
+    path, asked = str(tmp_path / "r"), []
+
+    def fetch():
+        asked.append(1)
+        return f"LOCUS {len(asked)}\nx"
+
+    good = lambda t: "LOCUS" in t[:200]
+    with pytest.raises(ValueError):
+        texts.cached_text(spark, path, lambda: "no", good)
+    read = lambda **more: [r.value for r in texts.cached_text(spark, path, fetch, good, **more).collect()]
+    assert read() == read() == ["LOCUS 1\nx"] and len(asked) == 1
+    assert read(refresh=True) == ["LOCUS 2\nx"]
