@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.presence import sized_broadcast
-from . import bpe, decontaminate, langid, masked_lm, quality_model, quality_rules, secrets, simhash, suffix_dedup, token_rollup
+from . import bpe, decontaminate, jaccard_join, langid, masked_lm, quality_model, quality_rules, secrets, simhash, suffix_dedup, token_rollup, vector_codes
 from .common import shared_dir, table
 
 
@@ -113,5 +113,61 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality_classifier, op2_bpe, op3_language_id, op4_secret_scan, op5_decontamination, op6_quality_rules, op7_suffix_dedup, op8_token_rollup, op9_masked_lm, op10_simhash)}
-SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op8_token_rollup": OP8_SQL}
+def op11_jaccard_join(spark, sf_dir):
+    return jaccard_join.linked_documents(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT rid, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT rid, count(*) AS n FROM sets GROUP BY rid),
+links AS (
+  SELECT a, b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM sets x JOIN sets y ON x.s = y.s AND x.rid <> y.rid GROUP BY ALL)
+  JOIN sizes p ON p.rid = a JOIN sizes q ON q.rid = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach AS (SELECT rid, rid AS other FROM d UNION SELECT r.rid, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN sizes USING (rid) JOIN reach USING (rid) JOIN d o ON o.rid = reach.other GROUP BY d.rid, d.doc_id, n
+"""
+
+
+def op12_vector_codes(spark, sf_dir):
+    out, book, _ = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("codebooks_sha256", F.lit(book.digest() if book else None).cast("string"))
+
+
+def _book_sql(old: str, coded: str) -> str:
+    """Entries after a round, by SQL: floors of the means of the parts coded with them, others as before."""
+    return f"""(
+  SELECT o.p, o.e, coalesce(u.c, o.c) AS c FROM {old} o LEFT JOIN (
+    SELECT p, e, list((s - ((s % n + n) % n)) // n ORDER BY i) AS c
+    FROM (SELECT p, e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS i FROM {coded}) GROUP BY ALL) GROUP BY p, e) u
+  ON u.p = o.p AND u.e = o.e)"""
+
+
+def _code_sql(book: str) -> str:
+    """Each part with its nearest entry of a book, ties to the lower index."""
+    return f"""(
+  SELECT rid, p, any_value(x) AS x, min({{'d': d, 'e': e}}).e AS e, min({{'d': d, 'e': e}}).d AS d
+  FROM (SELECT rid, parts.p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts JOIN {book} b ON b.p = parts.p)
+  GROUP BY rid, p)"""
+
+
+OP12_SQL = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+parts AS (SELECT rid, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS x FROM kept, range(16) r(p)),
+b0 AS (SELECT p, rid - 1 AS e, x AS c FROM parts WHERE rid <= 64),
+a0 AS {_code_sql("b0")},
+b1 AS {_book_sql("b0", "a0")},
+a1 AS {_code_sql("b1")},
+b2 AS {_book_sql("b1", "a1")},
+a2 AS {_code_sql("b2")},
+coded AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256
+FROM coded JOIN kept USING (rid)
+"""
+
+
+QUERIES = {q.__name__: q for q in (op1_quality_classifier, op2_bpe, op3_language_id, op4_secret_scan, op5_decontamination, op6_quality_rules, op7_suffix_dedup, op8_token_rollup, op9_masked_lm, op10_simhash, op11_jaccard_join, op12_vector_codes)}
+SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op8_token_rollup": OP8_SQL, "op11_jaccard_join": OP11_SQL, "op12_vector_codes": OP12_SQL}
