@@ -6,8 +6,10 @@ Distance 1 - J is a metric and a link is a distance of at most `RADIUS`.  Docume
    shingles; a rare-first order is taken from counts in `CELLS` hashed cells, summed over all documents.  The smallest node that
    holds a shared shingle is the pivot of all sets that hold it there: farther pivots are at a distance over the radius, and every
    link lies inside the region of a common pivot.
-2. Regions of up to `LEAF` nodes are joined in one task: distances to the pivot are exact, and only pairs inside the window
-   |d(x, p) - d(y, p)| <= r that the triangle inequality leaves are looked at.
+2. Regions of up to `LEAF` nodes are first sieved by profiles: the sizes of a set's parts in hashed cells.  The L1 distance of
+   profiles never exceeds the symmetric difference, so a pair whose profiles are farther apart than a link allows is none; what
+   stays connected goes on, without its text so far.  Those few are joined in one task: distances to a pivot are exact,
+   and only pairs inside the window |d(x, p) - d(y, p)| <= r that the triangle inequality leaves are looked at.
 3. Larger regions are divided again, around pivots that a hash draws from them: a node goes to its nearest pivot (its Voronoi
    cell) and is replicated to each cell with d(x, p) <= d(x, nearest) + 2r, so a link has both ends in the home of either.  Cells
    whose nodes are of one component already are done.  A cell that holds over half of its region (all sets about as
@@ -77,6 +79,48 @@ def first(held: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return held[order[: n - -(-PERCENT * n // 100) + 1]]
 
 
+def profile(held: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each of a power of two of cells, about a fifth of its size; 255 stands for more."""
+    cells = 64
+    while 5 * cells < len(held):
+        cells *= 2
+    return np.minimum(np.bincount((held & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def folded(cells: np.ndarray, to: int) -> np.ndarray:
+    """Profiles [row, cell] of fewer cells."""
+    while cells.shape[1] > to:
+        half = cells.shape[1] // 2
+        cells = np.minimum(cells[:, :half] + cells[:, half:], 255)
+    return cells
+
+
+def sieved(nodes: list[int], sizes: list[int], profiles: list[bytes]) -> list[list[int]]:
+    """Groups of two or more nodes, such that every link between these nodes is inside a group."""
+    order = sorted(range(len(nodes)), key=lambda k: (sizes[k], nodes[k]))
+    n = np.array([sizes[k] for k in order], np.int64)
+    last = np.searchsorted(n, 100 * n // PERCENT, "right")
+    classes, at = Classes(), 0
+    while at < len(order):  # rows with profiles of one width, each against the following ones in reach of its size
+        width = len(profiles[order[at]])
+        stop = at
+        while stop < len(order) and len(profiles[order[stop]]) == width:
+            stop += 1
+        end = int(last[stop - 1])
+        held = np.vstack([folded(np.frombuffer(profiles[order[k]], np.uint8).astype(np.int16)[None, :], width) for k in range(at, end)])
+        for i in range(at, stop):
+            rest = slice(i + 1 - at, int(last[i]) - at)
+            apart = np.abs(held[rest] - held[i - at]).sum(1, dtype=np.int64)
+            # J >= c/100 means a symmetric difference of at most (a + b)(100 - c)/(100 + c)
+            for k in np.flatnonzero(apart * (100 + PERCENT) <= (n[i] + n[i + 1 : last[i]]) * (100 - PERCENT)).tolist():
+                classes.united(nodes[order[i]], nodes[order[i + 1 + k]])
+        at = stop
+    groups: dict[int, list[int]] = {}
+    for x in nodes:
+        groups.setdefault(classes.root(x), []).append(x)
+    return [sorted(g) for g in groups.values() if len(g) > 1]
+
+
 def linked(both: int, a: int, b: int) -> bool:
     return 100 * both >= PERCENT * (a + b - both) and both > 0
 
@@ -193,6 +237,15 @@ def _runs(batches, width: int):
         yield now, held
 
 
+def _sieve(batches):
+    """(group, node) from rows (region, node, n, profile) sorted by region: equal groups of several regions have one name."""
+    for _, rows in _runs(batches, 1):
+        for group in sieved(*(list(c) for c in zip(*rows, strict=True))):
+            raw = np.array(group, np.int64)
+            name = int.from_bytes(xxhash.xxh64_digest(raw.tobytes()), "little", signed=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), name)), pa.array(raw)], names=["p", "node"])
+
+
 def _leaves(batches):
     """Links from rows (region, node, class, text) sorted by region and node."""
     made = []
@@ -246,11 +299,11 @@ def _divided(batches):
     tidy()
 
 
-SIGNED = "key {}, th long, n long, sid long, low long, block int, counts binary"
+SIGNED = "key {}, th long, n long, sid long, low long, profile binary, block int, counts binary"
 
 
 def _signed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """A row (key, th, n, sid, low) for each document and, from each task, rows (block, counts) with its counts in hashed cells."""
+    """A row (key, th, n, sid, low, profile) for each document and, from each task, rows (block, counts) with its counts in hashed cells."""
     flat = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("t"))
     kind = flat.schema["key"].dataType
 
@@ -258,19 +311,19 @@ def _signed(docs: DataFrame, text: str, key: str) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_type
 
         counts = np.zeros(CELLS, np.int64)
-        fields = [to_arrow_type(kind), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        names = ["key", "th", "n", "sid", "low", "block", "counts"]
+        fields = [to_arrow_type(kind), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+        names = ["key", "th", "n", "sid", "low", "profile", "block", "counts"]
         for whole in batches:
             for batch in slices(whole, 2):
                 sets = [shingles(t) for t in batch.column(2).to_pylist()]
                 ends = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
                 if sets:
                     counts += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-                made = [batch.column(0), batch.column(1), [len(s) for s in sets], ends[:, 0], ends[:, 1], [None] * len(sets), [None] * len(sets)]
+                made = [batch.column(0), batch.column(1), [len(s) for s in sets], ends[:, 0], ends[:, 1], [profile(s) for s in sets], [None] * len(sets), [None] * len(sets)]
                 yield pa.RecordBatch.from_arrays([x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, fields, strict=True)], names=names)
             tidy()
         used = [k for k in range(CELLS // CELL_BLOCK) if counts[k * CELL_BLOCK : (k + 1) * CELL_BLOCK].any()]
-        made = [[None] * len(used)] * 5 + [used, [counts[k * CELL_BLOCK : (k + 1) * CELL_BLOCK].tobytes() for k in used]]
+        made = [[None] * len(used)] * 6 + [used, [counts[k * CELL_BLOCK : (k + 1) * CELL_BLOCK].tobytes() for k in used]]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, fields, strict=True)], names=names)
 
     return flat.select("key", "th", "t").mapInArrow(run, T._parse_datatype_string(SIGNED.format(kind.simpleString())))
@@ -314,16 +367,19 @@ def _dealt(docs: DataFrame, text: str, counts: np.ndarray) -> DataFrame:
 
 
 def _links(least: DataFrame, dealt: DataFrame, texts_of) -> DataFrame | None:
-    """Links (u, v) whose components are those of all links, from nodes least(sid, n) and their first shingles."""
+    """Links (u, v) whose components are those of all links, from nodes least(sid, n, profile) and their first shingles."""
     pivots = dealt.groupBy("s").agg(F.min("sid").alias("p"), F.max("sid").alias("q")).where("p <> q").select("s", "p")
     members = written(dealt.join(pivots, "s").select("p", "sid").distinct().join(least.select("sid", "n"), "sid"), "join-members")
     regions = written(members.groupBy("p").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("weight"), F.min("n").alias("a"), F.max("n").alias("b")), "join-regions")
     fits = (F.col("many") <= LEAF) & (F.col("weight") <= WEIGHT)
     apart = (F.col("many") == 2) & (100 * F.col("a") < PERCENT * F.col("b"))  # two sets too unlike in size
-    texts = written(texts_of(members.select("sid").distinct()), "join-texts")
-    leaves = members.join(regions.where(fits & ~apart).select("p"), "p").join(texts, "sid").select("p", F.col("sid").alias("node"), F.col("sid").alias("class"), "t")
+    small = members.join(regions.where(fits & ~apart).select("p"), "p").join(least.select("sid", "profile"), "sid").select("p", F.col("sid").alias("node"), "n", "profile")
+    groups = written(small.repartition("p").sortWithinPartitions("p", "node").mapInArrow(_sieve, "p long, node long"), "join-groups").distinct()
+    large = members.join(regions.where(~fits).select("p"), "p")
+    texts = written(texts_of(groups.select(F.col("node").alias("sid")).unionByName(large.select("sid")).distinct()), "join-texts")
+    leaves = groups.join(texts.withColumnRenamed("sid", "node"), "node").select("p", "node", F.col("node").alias("class"), "t")
     found = written(leaves.repartition("p").sortWithinPartitions("p", "node").mapInArrow(_leaves, "u long, v long"), "join-links")
-    cells = members.join(regions.where(~fits).select("p"), "p").select(F.col("p").cast("string").alias("cell"), F.col("sid").alias("node"), "n")
+    cells = large.select(F.col("p").cast("string").alias("cell"), F.col("sid").alias("node"), "n")
     cells = written(cells, "join-cells")
     depth = 0
     while not cells.isEmpty():
@@ -372,11 +428,11 @@ def linked_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * SLICE_BYTES))  # long texts come in small batches
     signed = written(_signed(docs, text, key), "join-signed")
-    rows = signed.where("block IS NULL").select("key", "th", "n", "sid", "low")
+    rows = signed.where("block IS NULL").select("key", "th", "n", "sid", "low", "profile")
     counts = _summed(signed.where("block IS NOT NULL").select("block", "counts"))
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("id"), "th")
-    least = rows.where("n > 0").groupBy("sid").agg(F.min(order).alias("one"), F.first("n").alias("n"), F.min("low").alias("a"), F.max("low").alias("b"))
-    least = written(least.select("sid", "one.*", "n", "a", "b"), "join-nodes")
+    least = rows.where("n > 0").groupBy("sid").agg(F.min(order).alias("one"), F.first("n").alias("n"), F.first("profile").alias("profile"), F.min("low").alias("a"), F.max("low").alias("b"))
+    least = written(least.select("sid", "one.*", "n", "profile", "a", "b"), "join-nodes")
     if not least.where("a <> b").isEmpty():
         raise RuntimeError("two sets share a 64-bit digest")
     hashed = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("t"))

@@ -108,3 +108,26 @@ def test_linked_sets_share_a_first_shingle():
             b = np.unique(np.concatenate((a[rng.permutation(n)[most:]], rng.integers(0, 1 << 63, most, np.uint64))))
             if jaccard_join.linked(jaccard_join.shared(a, b), len(a), len(b)):
                 assert jaccard_join.shared(np.sort(jaccard_join.first(a, counts)), np.sort(jaccard_join.first(b, counts)))
+
+
+def test_sieve_keeps_every_link():
+    """Groups by profiles hold all linked pairs, and few others."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in [3, 8, 40, 41, 300, 330, 700, 2000]:
+        for _ in range(6):
+            a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+            sets.append(a)
+            for part in (0.05, 0.11, 0.2):
+                gone = max(1, int(n * part))
+                sets.append(np.unique(np.concatenate((a[rng.permutation(n)[gone:]], rng.integers(0, 1 << 63, rng.integers(0, gone + 1), np.uint64)))))
+    sizes = [len(s) for s in sets]
+    groups = jaccard_join.sieved(list(range(len(sets))), sizes, [jaccard_join.profile(s) for s in sets])
+    of = {x: k for k, g in enumerate(groups) for x in g}
+    links = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            if jaccard_join.linked(jaccard_join.shared(sets[i], sets[j]), sizes[i], sizes[j]):
+                links += 1
+                assert of[i] == of[j]
+    assert links > 50 and max(map(len, groups)) < 20
