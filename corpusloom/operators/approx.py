@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grammar import Grammar
 from ..functions.sequences import hamming_positions
-from .presence import sized_broadcast
+from .presence import require, sized_broadcast
 from .scan import MOST_WORDS, near_sites, sites
 
 
@@ -56,6 +56,28 @@ def near_hits(records: DataFrame, guides: DataFrame, grammar: Grammar, mismatche
     return near_sites(records, grammar, [r.guide_id for r in book], [r.spacer for r in book], mismatches, chunk_layout(grammar.spacer, mismatches), seed)
 
 
+def verified(hits: DataFrame, guides: DataFrame, length: int) -> DataFrame:
+    """hits (guide_id, target, mismatches), each counted again base by base against its guide's spacer: a hit that was counted wrongly fails the plan.
+
+    guides: guide_id, spacer, one row each.  A hit of an unknown guide is an error too.
+    """
+    known = sized_broadcast(guides.select("guide_id", F.col("spacer").alias("_spacer")))
+    again = F.size(hamming_positions(F.col("_spacer"), F.substring("target", 1, length), length))
+    told = require(hits.join(known, "guide_id", "left"), F.coalesce(again == F.col("mismatches"), F.lit(False)), "a hit does not have its mismatches")
+    return told.drop("_spacer")
+
+
+def screen_summary(hits: DataFrame, guides: DataFrame, mismatches: int, strict: str = "strict", near: int = 3, seed: int = 1) -> DataFrame:
+    """Per guide, for hits of the strict pattern and for all hits: the number at each distance, in all, within `near`, and with up
+    to `seed` seed mismatches.  hits: guide_id, mismatches, seed_mismatches, pam_class; guides without a hit have zeros."""
+    counts = []
+    for name, of in (("strict", F.col("pam_class") == strict), ("all", F.lit(True))):
+        counts += [F.count_if(of & (F.col("mismatches") == m)).alias(f"{name}_mm{m}") for m in range(mismatches + 1)]
+        counts += [F.count_if(of).alias(f"{name}_total"), F.count_if(of & (F.col("mismatches") <= near)).alias(f"{name}_le{near}"), F.count_if(of & (F.col("seed_mismatches") <= seed)).alias(f"{name}_seed_le{seed}")]
+    by = hits.groupBy("guide_id").agg(*counts)
+    return guides.join(by, "guide_id", "left").fillna(0, [c for c in by.columns if c != "guide_id"])
+
+
 def summary(hits: DataFrame, guides: DataFrame, mismatches: int) -> DataFrame:
     """Per guide the hits at each distance, in all, and with a seed mismatch at most; guides without a hit have zeros."""
     counts = [F.count_if(F.col("mismatches") == m).alias(f"mm{m}") for m in range(mismatches + 1)]
