@@ -217,7 +217,15 @@ def laid(records: DataFrame, reference: DataFrame, guides: DataFrame, k: int = 2
     table = records.sparkSession.createDataFrame(list(enumerate(names)), "site int, guide_id string")
     each = rows.select("seq_id", F.explode("scored").alias("x")).select("seq_id", "x.*").join(F.broadcast(table), "site")
     back = each.groupBy("seq_id").agg(F.collect_list(F.struct("guide_id", "status")).alias("scored"))
-    return rows.drop("scored").join(back, "seq_id", "left")
+    empty = F.array().cast("array<struct<guide_id:string,status:int>>")
+    return rows.drop("scored").join(back, "seq_id", "left").withColumn("scored", F.coalesce("scored", empty))
+
+
+def with_hits(scored: DataFrame, hits: DataFrame) -> DataFrame:
+    """scored (seq_id, guide_id, status) where exact hits (seq_id, guide_id) are present, and hits that nothing scored are added once."""
+    held = hits.select("seq_id", "guide_id").distinct().withColumn("held", F.lit(True))
+    both = scored.join(held, ["seq_id", "guide_id"], "full_outer")
+    return both.select("seq_id", "guide_id", F.when(F.col("held"), PRESENT).otherwise(F.col("status")).alias("status"))
 
 
 def classify(mapped: DataFrame, found: DataFrame) -> DataFrame:
@@ -225,10 +233,7 @@ def classify(mapped: DataFrame, found: DataFrame) -> DataFrame:
 
     An exact hit is present wherever it lies, scored or not, and counts once.  Pairs without a row are not covered.
     """
-    scored = mapped.select("seq_id", F.explode("scored").alias("x")).select("seq_id", "x.guide_id", "x.status")
-    held = found.select("seq_id", "guide_id").distinct().withColumn("held", F.lit(True))
-    both = scored.join(held, ["seq_id", "guide_id"], "full_outer")
-    return both.select("seq_id", "guide_id", F.when(F.col("held"), PRESENT).otherwise(F.col("status")).alias("status"))
+    return with_hits(mapped.select("seq_id", F.explode("scored").alias("x")).select("seq_id", "x.guide_id", "x.status"), found)
 
 
 def offset_runs(anchors: DataFrame, max_gap: int = 60) -> DataFrame:
@@ -275,7 +280,9 @@ def codon_profile(records: DataFrame, reference: DataFrame, copies: DataFrame, k
     `unresolved`, one with a stop before its last codon `stop` (unless stops is false), and then gives no codons; nt and aa say whether a resolved
     codon, and its amino acid, differ from the reference.  net_offset is the change of length over the gene.
     """
-    rows = copies.select("gene", "copy", "strand", "positions").orderBy("gene", "copy").limit(MOST_SITES).collect()
+    rows = copies.select("gene", "copy", "strand", "positions").orderBy("gene", "copy").limit(MOST_SITES + 1).collect()
+    if len(rows) > MOST_SITES:
+        raise ValueError("the copies are held by each executor: split them")
     genes: dict[str, list] = {}
     for r in rows:
         genes.setdefault(r.gene, []).append((r.copy, r.strand, np.array(r.positions, np.int64)))
@@ -338,7 +345,10 @@ def cds_copies(parts: DataFrame, reference: DataFrame, strict: bool = True) -> D
     listed = parts.groupBy("gene", "copy", "strand").agg(F.array_sort(F.collect_list(one)).alias("parts"))
     walk = lambda p: F.when(p["end"] > p["start"], F.when(F.col("strand") < 0, F.sequence(p["end"] - 1, p["start"], F.lit(-1))).otherwise(F.sequence(p["start"], p["end"] - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
     placed = listed.withColumn("positions", F.flatten(F.transform("parts", walk)))
-    joined = placed.crossJoin(F.broadcast(reference.select(F.col("seq").alias("_seq")).limit(1)))  # one row
+    from .presence import require
+
+    one_row = require(reference.agg(F.max("seq").alias("_seq"), F.count(F.lit(1)).alias("_n")), F.col("_n") <= 1, "the reference is one sequence")
+    joined = placed.crossJoin(F.broadcast(one_row.where("_n >= 1").drop("_n")))  # one row
     base = F.array_join(F.transform("positions", lambda x: F.substring(F.col("_seq"), x + 1, F.lit(1))), "")
     from ..functions.sequences import IUPAC, IUPAC_COMPLEMENT, translate_codons
 
@@ -348,8 +358,6 @@ def cds_copies(parts: DataFrame, reference: DataFrame, strict: bool = True) -> D
     valid = (F.length("cds") % 3 == 0) & F.col("protein").startswith("M") & F.col("protein").endswith("*") & (stops == 1)
     out = out.withColumn("valid", valid).select("gene", "copy", "strand", "positions", "cds", "protein", "valid")
     if strict:
-        from .presence import require
-
         out = require(out, F.col("valid"), "a coding sequence does not translate cleanly")
     return out
 

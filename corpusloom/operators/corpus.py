@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chains import ABSENT, AMBIGUOUS, NOT_COVERED, PRESENT, WIDE
+from .chains import ABSENT, AMBIGUOUS, NOT_COVERED, PRESENT, WIDE, with_hits
 from .denominators import compare
 
+__all__ = ["band_pairs", "benchmark_rows", "composition", "gene_records", "guide_counts", "notable", "perfect_by_gene", "perfect_totals", "ratio", "record_manifest", "tiers", "touched", "with_hits"]
+
 
 def band_pairs(spans: DataFrame, sites: DataFrame, slack: int = 25, width: int = 512) -> DataFrame:
     """(seq_id, guide_id) for sites (guide_id, start) within `slack` of a record's span (seq_id, low, high), ends included.
@@ -30,13 +32,6 @@ def touched(spans: DataFrame, genes: DataFrame, width: int = 512) -> DataFrame:
     return s.join(g, "bin").where("low < end AND high > start").select("seq_id", "gene").distinct()
 
 
-def with_hits(scored: DataFrame, hits: DataFrame) -> DataFrame:
-    """scored (seq_id, guide_id, status) where exact hits (seq_id, guide_id) are present, and hits that nothing scored are added once."""
-    held = hits.select("seq_id", "guide_id").distinct().withColumn("held", F.lit(True))
-    both = scored.join(held, ["seq_id", "guide_id"], "full_outer")
-    return both.select("seq_id", "guide_id", F.when(F.col("held"), PRESENT).otherwise(F.col("status")).alias("status"))
-
-
 def ratio(part, whole):
     """part / whole to six places; null of nothing."""
     return F.when(whole > 0, F.round(part / whole, 6))
