@@ -173,7 +173,7 @@ _SPAN = T.StructType([T.StructField("low", T.IntegerType()), T.StructField("high
 _SCORED = T.StructType([T.StructField("site", T.IntegerType()), T.StructField("status", T.IntegerType())])
 
 
-def laid(records: DataFrame, reference: DataFrame, guides: DataFrame, k: int = 25, step: int = 4, widest: int = 2000, oriented: int = 50, slack: int = 25) -> DataFrame:
+def laid(records: DataFrame, reference: DataFrame | Reference, guides: DataFrame, k: int = 25, step: int = 4, widest: int = 2000, oriented: int = 50, slack: int = 25) -> DataFrame:
     """One row for each record: seq_id, turned, length_bp, n_ambiguous, chains (reference spans) and scored (guide_id, status).
 
     guides: guide_id, ref_start, ref_end (1-based inclusive), one row for each place of a site.  Scored are the sites whose
@@ -188,7 +188,8 @@ def laid(records: DataFrame, reference: DataFrame, guides: DataFrame, k: int = 2
     start, end = np.array([r.ref_start - 1 for r in places], np.int64), np.array([r.ref_end for r in places], np.int64)
     first = np.full(len(names), np.iinfo(np.int64).max)
     np.minimum.at(first, site, start)
-    index = Reference(reference_text(reference), k)
+    index = reference if isinstance(reference, Reference) else Reference(reference_text(reference), k)
+    k = index.k
     key = records.schema["seq_id"].dataType.simpleString()
     schema = f"seq_id {key}, turned boolean, length_bp int, n_ambiguous int, chains array<struct<low:int,high:int>>, scored array<struct<site:int,status:int>>"
 
@@ -248,23 +249,31 @@ def offset_runs(anchors: DataFrame, max_gap: int = 60) -> DataFrame:
 NOWHERE = np.iinfo(np.int64).min
 
 
-def position_map(ref: np.ndarray, qry: np.ndarray, size: int, k: int, max_gap: int = 60) -> np.ndarray:
-    """For each reference position, the record position that offset runs give it: of several runs that with most anchors, the first of equals."""
-    shift = np.full(size, NOWHERE)
-    if not len(ref):
-        return shift
-    diagonal = qry - ref
-    first = np.flatnonzero(np.concatenate(([True], (np.diff(diagonal) != 0) | (np.diff(ref) > max_gap))))
-    last = np.concatenate((first[1:], [len(ref)])) - 1
-    for r in sorted(range(len(first)), key=lambda r: (last[r] - first[r], -r)):
-        low, high = int(ref[first[r]]), int(ref[last[r]]) + k
-        shift[low:high] = np.arange(low, min(high, size)) + diagonal[first[r]]  # better runs come later
-    return shift
+def position_map(parts: Sequence[tuple[np.ndarray, np.ndarray]], size: int, k: int, max_gap: int = 60) -> np.ndarray:
+    """For each reference position, the record position that the offset runs of chains (ref, qry) give it, or NOWHERE.
+
+    A run goes on along one diagonal over gaps up to max_gap, so bases that differ between anchors are mapped too.  Of several runs
+    at a position that of most anchors counts, of equals the last: chains in their given order, runs in the order of their chain.
+    """
+    at = np.full(size, NOWHERE)
+    runs = []
+    for ref, qry in parts:
+        diagonal = qry - ref
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(diagonal) != 0) | (np.diff(ref) > max_gap))))
+        last = np.concatenate((first[1:], [len(ref)])) - 1
+        runs += [(int(z - a), int(ref[a]), int(ref[z]) + k, int(diagonal[a])) for a, z in zip(first, last, strict=True)]
+    for _, low, high, shift in sorted(runs, key=lambda r: r[0]):  # a stable order: better and later runs are written last
+        at[low:high] = np.arange(low, min(high, size)) + shift
+    return at
+
+
+def on_record(at: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return (at >= 0) & (at < len(code))
 
 
 def codons_of(cds: np.ndarray, at: np.ndarray, code: np.ndarray, strand: int) -> tuple[np.ndarray, np.ndarray]:
     """(resolved, codon number) of a copy's codons in a record; at: the record position of each base of the copy."""
-    known = (at >= 0) & (at < len(code))
+    known = on_record(at, code)
     base = np.where(known, code[np.clip(at, 0, max(0, len(code) - 1))] if len(code) else 4, 4)
     if strand < 0:
         base = np.where(base < 4, 3 - base, 4)
@@ -272,13 +281,14 @@ def codons_of(cds: np.ndarray, at: np.ndarray, code: np.ndarray, strand: int) ->
     return (each < 4).all(axis=1), each[:, 0] * 16 + each[:, 1] * 4 + each[:, 2]
 
 
-def codon_profile(records: DataFrame, reference: DataFrame, copies: DataFrame, k: int = 25, step: int = 6, least: float = 0.95, stops: bool = True) -> DataFrame:
+def codon_profile(records: DataFrame, reference: DataFrame | Reference, copies: DataFrame, k: int = 25, step: int = 6, least: float = 0.95, stops: bool = True, every: bool = True) -> DataFrame:
     """One row for each record and gene: seq_id, gene, copy, turned, resolved_fraction, net_offset, verdict and codons (codon, nt, aa).
 
-    copies: gene, copy, strand (1 or -1) and positions (0-based on the reference, in coding order).  The copy and direction
-    with most positions on the record are read, the first of equals.  A gene with under `least` of its codons resolved is
-    `unresolved`, one with a stop before its last codon `stop` (unless stops is false), and then gives no codons; nt and aa say whether a resolved
-    codon, and its amino acid, differ from the reference.  net_offset is the change of length over the gene.
+    copies: gene, copy, strand (1 or -1) and positions (0-based on the reference, in coding order).  A record is chained in both
+    directions, and the copy and direction with most positions on the record are read, the first of equals.  A gene with under
+    `least` of its positions on the record is `unresolved`; one with a stop that the reference lacks before its last codon is `stop`
+    (unless stops is false); either gives no codons.  nt and aa say whether a codon without unknown bases, and its amino acid, differ from the reference.
+    net_offset is the change of length over the gene.  Unless `every`, genes of which nothing lies on a record have no row.
     """
     rows = copies.select("gene", "copy", "strand", "positions").orderBy("gene", "copy").limit(MOST_SITES + 1).collect()
     if len(rows) > MOST_SITES:
@@ -286,31 +296,35 @@ def codon_profile(records: DataFrame, reference: DataFrame, copies: DataFrame, k
     genes: dict[str, list] = {}
     for r in rows:
         genes.setdefault(r.gene, []).append((r.copy, r.strand, np.array(r.positions, np.int64)))
-    index = Reference(reference_text(reference), k)
-    size = len(index.code)
+    index = reference if isinstance(reference, Reference) else Reference(reference_text(reference), k)
+    k, size = index.k, len(index.code)
     key = records.schema["seq_id"].dataType.simpleString()
     schema = f"seq_id {key}, gene string, copy int, turned boolean, resolved_fraction double, net_offset int, verdict string, codons array<struct<codon:int,nt:boolean,aa:boolean>>"
 
     def read(code: np.ndarray) -> Iterator[tuple]:
-        maps = []
+        maps, seen = [], False
         for back in (False, True):
             own = turned(code) if back else code
-            maps.append((back, own, position_map(*index.anchors(own, step), size, k)))
-        for gene, each in genes.items():
-            best = max(((int((m[pos] != NOWHERE).sum()), -c, not back) for c, (_, _, pos) in enumerate(each) for back, _, m in maps))
-            copy, strand, pos = each[-best[1]]
-            back, own, m = maps[0 if best[2] else 1]
+            parts = sorted(Chains(*index.anchors(own, step), own, k).parts, key=lambda p: (int(p[0][0]), int(p[0][-1])))
+            seen |= bool(parts)
+            maps.append((back, own, position_map(parts, size, k)))
+        for gene, each in genes.items() if seen or every else ():
+            _, turn, copy = max((int(on_record(m[pos], own).sum()), (-c, not back), c) for c, (_, _, pos) in enumerate(each) for back, own, m in maps)
+            name, strand, pos = each[copy]
+            back, own, m = maps[0 if turn[1] else 1]
             at = m[pos]
-            held = np.flatnonzero(at != NOWHERE)
+            held = np.flatnonzero(on_record(at, own))
+            if not len(held) and not every:
+                continue
             resolved, codon = codons_of(pos, at, own, strand)
             _, was = codons_of(pos, pos, index.code, strand)
-            fraction = round(float(resolved.mean()), 6) if len(resolved) else 0.0
+            fraction = round(len(held) / len(pos), 6) if len(pos) else 0.0
             net = int((at[held[-1]] - pos[held[-1]]) - (at[held[0]] - pos[held[0]])) if len(held) else 0
             amino, before = _AMINO[np.where(resolved, codon, 0)], _AMINO[was % 64]
-            stop = stops and bool((resolved[:-1] & (amino[:-1] == "*")).any())
+            stop = stops and bool((resolved & (amino == "*") & (before != "*"))[:-1].any())
             verdict = "unresolved" if fraction < least else "stop" if stop else "used"
             told = [{"codon": int(c), "nt": bool(codon[c] != was[c]), "aa": bool(amino[c] != before[c])} for c in np.flatnonzero(resolved)] if verdict == "used" else []
-            yield gene, copy, back, fraction, abs(net), verdict, told
+            yield gene, name, back, fraction, abs(net), verdict, told
 
     def run(batches):
         types = [pa.string(), pa.int32(), pa.bool_(), pa.float64(), pa.int32(), pa.string(), pa.list_(pa.struct([("codon", pa.int32()), ("nt", pa.bool_()), ("aa", pa.bool_())]))]
@@ -318,7 +332,7 @@ def codon_profile(records: DataFrame, reference: DataFrame, copies: DataFrame, k
             for i, seq in enumerate(b.column(1).to_pylist()):
                 cols = list(zip(*read(coded(seq or "")), strict=True))
                 if cols:
-                    yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(0).slice(i, 1)] * len(genes)), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["seq_id", "gene", "copy", "turned", "resolved_fraction", "net_offset", "verdict", "codons"])
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(0).slice(i, 1)] * len(cols[0])), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["seq_id", "gene", "copy", "turned", "resolved_fraction", "net_offset", "verdict", "codons"])
 
     return records.select("seq_id", "seq").mapInArrow(run, schema)
 

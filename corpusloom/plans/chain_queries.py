@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as S
 from ..operators import chains as C
 from ..operators import corpus as Q
+from ..operators import model as M
 from ..operators import presence as P
 from ..operators import sites as K
 from ..operators import stitch as Z
@@ -39,27 +40,36 @@ def damaged(segments):
     seq = F.col("seq")
     changed = F.translate(F.substring(seq, 81, 1), "ACGTN", "CGTAA")
     kinds = {
-        "turned": S.revcomp(seq), "gap": F.overlay(seq, F.repeat(F.lit("N"), F.lit(40)), 61), "wide": F.concat(F.substring(seq, 1, 60), F.repeat(F.lit("ACGGT"), F.lit(460)), F.substr(seq, F.lit(61))),
+        "turned": S.revcomp(seq), "gap": F.overlay(seq, F.repeat(F.lit("N"), F.lit(40)), 61), "wide": F.concat(F.substring(seq, 1, 60), F.repeat(F.lit("ACGGT"), F.lit(460)), F.substr(seq, F.lit(101))),
         "cut": F.substr(seq, F.lit(1), F.floor(F.length("seq") / 2).cast("int")), "changed": F.overlay(seq, changed, 81), "torn": F.concat(F.substring(seq, 1, 60), F.repeat(F.lit("N"), F.lit(700)), F.substr(seq, F.lit(91))),
     }
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), s.alias("seq")) for n, s in kinds.items()])).alias("x")
     return segments.where(F.length("seq") >= LEAST_COPY).select("segment", each).select(F.concat(F.lit("b"), F.col("segment").cast("string"), F.lit("-"), "x.kind").alias("seq_id"), "x.seq")
 
 
-class Corpus:
-    """The derived tables of one call; what several tables start from is written once."""
+class Ground:
+    """Records and reference of one call."""
 
     def __init__(self, spark, sf_dir):
         self.segments = p.segments(spark, sf_dir)
-        slot = (self.segments.agg(F.max(F.length("seq")).alias("n")).first().n or 0) + 100
-        at = F.col("segment") * slot
+        self.slot = (self.segments.agg(F.max(F.length("seq")).alias("n")).first().n or 0) + 100
+        at = F.col("segment") * self.slot
         docs = p.records(spark, sf_dir).select(F.concat(F.lit("d"), F.col("seq_id").cast("string")).alias("seq_id"), "seq", F.when(F.col("seq_id") % 3 == 0, "partial_genome").otherwise("subgenomic").alias("record_class"))
         self.records = docs.unionByName(damaged(self.segments).withColumn("record_class", F.lit("partial_genome")))
+        self.index = Z.reference_of(self.segments.select(at.alias("start"), "seq"), WORD)
+
+
+class Corpus(Ground):
+    """The derived tables of the gene-level flow; what several tables start from is written once."""
+
+    def __init__(self, spark, sf_dir):
+        super().__init__(spark, sf_dir)
+        at = F.col("segment") * self.slot
         self.guides = p.guides(spark, sf_dir)
         found = K.sites(self.segments, "seq", p.CAS).select("target", (at + F.col("start0")).alias("start"))
         self.places = found.join(self.guides.select("guide_id", "target"), "target").select("guide_id", (F.col("start") + 1).alias("ref_start"), (F.col("start") + p.CAS.length).alias("ref_end"))
         self.genes = self.segments.select("gene", at.alias("start"), (at + F.length("seq")).alias("end"))
-        self.laid = Z.Laid(self.records.select("seq_id", "seq"), Z.reference_of(self.segments.select(at.alias("start"), "seq"), WORD), STEP)
+        self.laid = Z.Laid(self.records.select("seq_id", "seq"), self.index, STEP)
         self.hits = cut(P.presence(self.records, self.guides, p.CAS))
         self.status = cut(Q.with_hits(self.laid.statuses(self.places), self.hits))
         self.told = self.laid.told.join(self.records.select("seq_id", "record_class"), "seq_id")
@@ -119,6 +129,59 @@ def chain_gene_records(spark, sf_dir):
     return Q.gene_records(x.manifest(), x.genes, CLASSES)
 
 
+# --- whole records, and their codons ---------------------------------------------------------------------------------
+
+
+def _windows(ground):
+    """23-base windows of the segments, one every 20 bases: guide_id, target, ref_start and ref_end on the reference."""
+    at = ground.segments.where(F.length("seq") >= 23).select("segment", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - 22, F.lit(20))).alias("i"))
+    start = F.col("segment") * ground.slot + F.col("i")
+    return at.select(F.concat(F.lit("site"), F.lpad(start.cast("string"), 9, "0")).alias("guide_id"), start.alias("ref_start"), (start + 22).alias("ref_end"), F.substring(F.col("seq"), F.col("i"), F.lit(23)).alias("target"))
+
+
+@query()
+def anchor_chain_status(spark, sf_dir):
+    """(seq_id, guide_id, status) of every record's chains about windows of the reference; pairs without a row are not covered."""
+    x = Ground(spark, sf_dir)
+    sites = _windows(x)
+    mapped = C.laid(x.records, x.index, sites, step=STEP)
+    both = sites.where(F.col("target").rlike("^[ACGT]+$")).select("guide_id", F.explode(F.array(F.col("target"), S.revcomp(F.col("target")))).alias("kmer")).distinct()
+    held = K.kmer_bag(x.records.select("seq_id", "seq"), "seq", 23).join(P.sized_broadcast(both), "kmer").select("seq_id", "guide_id").distinct()
+    return C.classify(mapped, held)
+
+
+@query()
+def chain_manifest(spark, sf_dir):
+    """Each record's direction, chains, reached span and sites in reach."""
+    x = Ground(spark, sf_dir)
+    mapped = C.laid(x.records, x.index, _windows(x), step=STEP)
+    reach = lambda f, name: F.coalesce(f(F.transform("chains", lambda c: c[name])), F.lit(-1))
+    return mapped.select("seq_id", "turned", "length_bp", "n_ambiguous", F.size("chains").alias("n_chains"), reach(F.array_min, "low").alias("low"), reach(F.array_max, "high").alias("high"), F.size("scored").alias("n_scored"))
+
+
+def _profile(spark, sf_dir):
+    """Codons of every segment (its whole codons, odd ones read backwards) in the records; prose has stops anywhere, so they reject nothing."""
+    x = Ground(spark, sf_dir)
+    n, o = F.floor(F.length("seq") / 3) * 3, F.col("segment") * x.slot
+    forward = F.sequence(o, o + n - 1)
+    copies = x.segments.where("length(seq) >= 30").select(F.concat(F.lit("s"), F.col("segment").cast("string")).alias("gene"), F.lit(0).alias("copy"), F.when(F.col("segment") % 2 == 0, 1).otherwise(-1).alias("strand"), F.when(F.col("segment") % 2 == 0, forward).otherwise(F.reverse(forward)).alias("positions"))
+    return C.codon_profile(x.records, x.index, copies, least=0.8, stops=False, every=False)
+
+
+@query()
+def codon_tolerance(spark, sf_dir):
+    """Codons of the segments over all records: resolved, varied, and the two-level tolerance."""
+    return C.codon_counts(_profile(spark, sf_dir)).withColumn("tolerance", M.tolerance(F.col("n_aa_variant"), 1, 0.5, 0.05))
+
+
+@query()
+def codon_quality(spark, sf_dir):
+    """Per segment the records by verdict, and changes of length; records that hold nothing of it are in no row."""
+    return C.profile_quality(_profile(spark, sf_dir))
+
+
+# --- anchors ---------------------------------------------------------------------------------------------------------
+
 _SLOT = "((SELECT max(length(seq)) FROM segments) + 100)"
 _FOUND_ANCHORS = f"""rk AS (SELECT w, ref FROM (SELECT substring(seq, q + 1, {WORD}) AS w, segment * {_SLOT} + q AS ref FROM (SELECT segment, seq, unnest(range(0, greatest(0, length(seq) - {WORD - 1}))) AS q FROM segments)) WHERE regexp_full_match(w, '[ACGT]+') QUALIFY count(*) OVER (PARTITION BY w) <= 4),
 qk AS (SELECT seq_id, substring(seq, q + 1, {WORD}) AS w, q FROM (SELECT seq_id, seq, unnest(range(0, greatest(0, length(seq) - {WORD - 1}), {STEP})) AS q FROM records)),

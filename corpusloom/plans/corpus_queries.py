@@ -198,70 +198,6 @@ def cut_codons(spark, sf_dir):
     return C.cut_codons(moved, F.broadcast(C.codon_places(copies)), 3)
 
 
-# --- all documents on a reference record ------------------------------------------------------------------------------
-
-
-def _reference(spark, sf_dir):
-    """The longest record of concrete bases, the first of equals."""
-    r = p.records(spark, sf_dir).where("n_ambiguous = 0")
-    return r.agg(F.max_by("seq", F.struct("length_bp", -F.col("seq_id"))).alias("seq")).where("seq IS NOT NULL")
-
-
-def _windows(reference):
-    """23-base windows of the reference, one every 100 bases."""
-    at = reference.select("seq", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("seq") - 22), F.lit(100))).alias("ref_start"))
-    return at.select(F.concat(F.lit("site"), F.lpad(F.col("ref_start").cast("string"), 7, "0")).alias("guide_id"), "ref_start", (F.col("ref_start") + 22).alias("ref_end"), F.substring(F.col("seq"), F.col("ref_start"), F.lit(23)).alias("target"))
-
-
-def _laid(spark, sf_dir):
-    ref = _reference(spark, sf_dir)
-    sites = _windows(ref)
-    mapped = C.laid(p.records(spark, sf_dir).select("seq_id", "seq"), ref, sites)
-    return mapped, sites
-
-
-@query()
-def anchor_chain_status(spark, sf_dir):
-    """(seq_id, guide_id, status) of every document's chains on the longest one; pairs without a row are not covered."""
-    mapped, sites = _laid(spark, sf_dir)
-    r = p.records(spark, sf_dir).select("seq_id", "seq")
-    both = sites.select("guide_id", F.explode(F.array(F.col("target"), S.revcomp(F.col("target")))).alias("kmer")).distinct()
-    from ..operators.sites import kmer_bag
-
-    held = kmer_bag(r, "seq", 23).join(P.sized_broadcast(both), "kmer").select("seq_id", "guide_id").distinct()
-    return C.classify(mapped, held)
-
-
-@query()
-def chain_manifest(spark, sf_dir):
-    """Each document's direction, chains, reached span and resolved sites on the longest one."""
-    mapped, _ = _laid(spark, sf_dir)
-    reach = lambda f, name: F.coalesce(f(F.transform("chains", lambda x: x[name])), F.lit(-1))
-    return mapped.select("seq_id", "turned", "length_bp", "n_ambiguous", F.size("chains").alias("n_chains"), reach(F.array_min, "low").alias("low"), reach(F.array_max, "high").alias("high"), F.size("scored").alias("n_scored"))
-
-
-def _profile(spark, sf_dir):
-    ref = _reference(spark, sf_dir)
-    half = F.floor(F.length("seq") / 6).cast("int") * 3
-    spans = F.array(F.struct(F.lit("first").alias("gene"), F.lit(0).alias("start"), half.alias("end"), F.lit(1).alias("strand")), F.struct(F.lit("second").alias("gene"), half.alias("start"), (half * 2).alias("end"), F.lit(-1).alias("strand")))
-    parts = ref.select(F.explode(spans).alias("x")).select("x.gene", F.lit(0).alias("copy"), "x.strand", F.lit(0).alias("part"), "x.start", "x.end")
-    return C.codon_profile(p.records(spark, sf_dir).select("seq_id", "seq"), ref, C.cds_copies(parts, ref, strict=False), stops=False)  # prose has stops anywhere
-
-
-@query()
-def codon_tolerance(spark, sf_dir):
-    """Codons of the longest record's halves over all documents: resolved, varied, and the two-level tolerance."""
-    from ..operators import model as M
-
-    return C.codon_counts(_profile(spark, sf_dir)).withColumn("tolerance", M.tolerance(F.col("n_aa_variant"), 1, 0.5, 0.05))
-
-
-@query()
-def codon_quality(spark, sf_dir):
-    """What the codon profile left out, and changes of length."""
-    return C.profile_quality(_profile(spark, sf_dir))
-
-
 # --- offtarget reports --------------------------------------------------------------------------------------------------
 
 

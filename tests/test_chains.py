@@ -150,23 +150,29 @@ def test_hits_by_class(spark):
     assert (got["a"].mm0_s, got["a"].mm2_r, got["a"].mm3_s, got["a"].n_le2, got["a"].n_le2_in_cds) == (1, 1, 1, 2, 1) and got["b"].n_le2 == 0
 
 
-DATA = "/root/testdata/sf0.001"
-
-
-def test_queries_on_the_longest_record(spark):
-    from corpusloom.plans import corpus_queries, prelude
-
-    seqs = {r.seq_id: r.seq for r in prelude.records(spark, DATA).collect()}
-    best = max((i for i, s in seqs.items() if s and set(s) <= set("ACGT")), key=lambda i: (len(seqs[i]), -i))
-    ref = seqs[best]
-    targets = {f"site{x:07d}": ref[x - 1 : x + 22] for x in range(1, len(ref) - 21, 100)}
-    got = {(r.seq_id, r.guide_id): r.status for r in corpus_queries.anchor_chain_status(spark, DATA).collect()}
-    held = {(i, g) for i, s in seqs.items() for g, t in targets.items() if t in s or rc(t) in s}
-    assert {k for k, v in got.items() if v == C.PRESENT} == held and all((best, g) in held for g in targets)
-    rows = {r.seq_id: r for r in corpus_queries.chain_manifest(spark, DATA).collect()}
-    assert set(rows) == set(seqs) and all(rows[i].length_bp == len(s) and rows[i].n_ambiguous == sum(c not in "ACGT" for c in s) for i, s in seqs.items())
-    assert (rows[best].low, rows[best].high, rows[best].turned) == (0, (len(ref) - 25) // 4 * 4 + 25, False)
-    quality = corpus_queries.codon_quality(spark, DATA).groupBy("gene").agg(F.sum("n_records").alias("n")).collect()
-    assert [r.n for r in quality] == [len(seqs)] * 2
-    counts = corpus_queries.codon_tolerance(spark, DATA).agg(F.count("*").alias("n"), F.min("n_resolved").alias("least")).first()
-    assert counts.n == len(ref) // 6 * 2 and counts.least >= 1
+def test_codons_by_chains_not_by_single_anchors(spark):
+    """A repeat inside the gene and an insertion: what is read follows the chains; an unknown base unresolves its codon, not its positions."""
+    rng = random.Random(12)
+    ref = bases(rng, 400)
+    ref += ref[100:160] + bases(rng, 340)
+    doubt = ref[:30] + "N" + ref[31:]
+    twice = ref[:500] + ref[100:160] + ref[500:]
+    copies = spark.createDataFrame([("g", 0, 1, list(range(0, 600)))], "gene string, copy int, strand int, positions array<int>")
+    rows = [("same", ref), ("doubt", doubt), ("twice", twice), ("half", ref[:290]), ("away", bases(rng, 300))]
+    df, one = spark.createDataFrame(rows, "seq_id string, seq string"), spark.createDataFrame([(ref,)], "seq string")
+    got = {r.seq_id: r for r in C.codon_profile(df, one, copies, k=15, step=3, stops=False).collect()}
+    assert got["same"].verdict == got["doubt"].verdict == "used" and got["same"].resolved_fraction == got["doubt"].resolved_fraction == 1.0
+    assert {c.codon for c in got["same"].codons} == set(range(200)) and {c.codon for c in got["doubt"].codons} == set(range(200)) - {10}
+    assert not any(c.nt for k in ("same", "doubt", "twice") for c in got[k].codons) and got["twice"].net_offset == 60
+    assert got["half"].verdict == "unresolved" and 280 / 600 < got["half"].resolved_fraction <= 350 / 600  # the repeat maps too
+    some = {r.seq_id for r in C.codon_profile(df, one, copies, k=15, step=3, stops=False, every=False).collect()}
+    assert some == {"same", "doubt", "twice", "half"} and got["away"].resolved_fraction == 0
+
+
+def test_a_stop_of_the_reference_rejects_nothing(spark):
+    rng = random.Random(2)
+    ref = "ATG" + "TGA" + "".join(rng.choice(["GCA", "CTC", "GAG", "CAC", "ACC"]) for _ in range(60))
+    copies = spark.createDataFrame([("g", 0, 1, list(range(len(ref))))], "gene string, copy int, strand int, positions array<int>")
+    rows = [("same", ref), ("new", ref[:90] + "TAA" + ref[93:]), ("end", ref[:-3] + "TAA")]
+    prof = C.codon_profile(spark.createDataFrame(rows, "seq_id string, seq string"), spark.createDataFrame([(ref,)], "seq string"), copies, k=10, step=1, least=0.9)
+    assert {r.seq_id: r.verdict for r in prof.collect()} == {"same": "used", "new": "stop", "end": "used"}
