@@ -7,11 +7,8 @@ records without any site of a set contribute 1 without being listed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
 from math import exp, lgamma, log
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -117,18 +114,13 @@ def set_escape(found: DataFrame, sets: DataFrame, q: DataFrame, n: int) -> DataF
     return out.select("set_id", "k", F.round(F.coalesce("all", F.lit(0)) / F.lit(max(n, 1)), 6).alias("joint"), F.round(p, 9).alias("p_escape"), F.round("p_independent", 9).alias("p_independent"))
 
 
-def pair_escape(found: DataFrame, q: DataFrame, n: int, apart: DataFrame | None = None, least: int = 150) -> DataFrame:
-    """(a, b, p_escape) for all pairs a < b, from marginal and pair counts; apart (guide_id, gene, middle) bars near pairs of a gene."""
-    a = q.select(F.col("guide_id").alias("a"), F.col("q").alias("qa"))
-    b = q.select(F.col("guide_id").alias("b"), F.col("q").alias("qb"))
-    k = found.groupBy("guide_id").agg(F.count(F.lit(1)).alias("n"))
-    both = found.select("seq_id", F.col("guide_id").alias("a")).join(found.select("seq_id", F.col("guide_id").alias("b")), "seq_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("nb"))
-    pairs = a.join(F.broadcast(b), F.col("a") < F.col("b")).join(k.select(F.col("guide_id").alias("a"), F.col("n").alias("na")), "a", "left").join(k.select(F.col("guide_id").alias("b"), F.col("n").alias("n2")), "b", "left").join(both, ["a", "b"], "left").fillna(0, ["na", "n2", "nb"])
-    if apart is not None:
-        x, y = apart.select(F.col("guide_id").alias("a"), F.col("gene").alias("ga"), F.col("middle").alias("ma")), apart.select(F.col("guide_id").alias("b"), F.col("gene").alias("gb"), F.col("middle").alias("mb"))
-        pairs = pairs.join(x, "a").join(y, "b").where((F.col("ga") != F.col("gb")) | (F.abs(F.col("ma") - F.col("mb")) >= least))
-    ua, ub = 1 - F.col("qa"), 1 - F.col("qb")
-    return pairs.select("a", "b", F.round(1 - (ua * F.col("na") + ub * F.col("n2") - ua * ub * F.col("nb")) / F.lit(max(n, 1)), 9).alias("p_escape"))
+def pair_escape(found: DataFrame, q: DataFrame, n: int) -> DataFrame:
+    """(a, b, n_both, p_escape) for the pairs a < b of sites that share a record; for all others p_escape follows from the two alone."""
+    one = found.groupBy("guide_id").agg(F.count(F.lit(1)).alias("held")).join(q.select("guide_id", "q"), "guide_id").withColumn("u", 1 - F.col("q"))
+    both = found.select("seq_id", F.col("guide_id").alias("a")).join(found.select("seq_id", F.col("guide_id").alias("b")), "seq_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_both"))
+    side = lambda s: one.select(F.col("guide_id").alias(s), F.col("held").alias("n" + s), F.col("u").alias("u" + s))
+    p = 1 - (F.col("ua") * F.col("na") + F.col("ub") * F.col("nb") - F.col("ua") * F.col("ub") * F.col("n_both")) / F.lit(max(n, 1))
+    return both.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_both", F.round(p, 9).alias("p_escape"))
 
 
 def binomial_upper(x: int, n: int, alpha: float = 0.05) -> float:
@@ -158,107 +150,3 @@ def upper_bounds(spark: SparkSession, rows: DataFrame, x: str, n: str, alpha: fl
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(u, pa.float64())], names=[x, n, "upper"])
 
     return rows.join(pairs.mapInArrow(run, f"{x} long, {n} long, upper double"), [x, n])
-
-
-class Search:
-    """Set search over a dense factor matrix of a small pool, as numpy on the driver: F[record, site] = q or 1.
-
-    The pool is a dictionary of sites, and equal record patterns count once with their weight, so the matrix has at most
-    as many rows as the pool has presence patterns.
-    """
-
-    def __init__(self, patterns: Sequence[tuple[int, Sequence[int]]], q: Sequence[float], genes: Sequence[str], middle: Sequence[int], min_apart: int = 150, per_gene: int = 0):
-        self.q, self.genes, self.middle, self.min_apart, self.per_gene = np.array(q, float), list(genes), list(middle), min_apart, per_gene
-        self.weight = np.array([w for w, _ in patterns], float)
-        self.f = np.ones((len(patterns), len(q)))
-        for r, (_, sites) in enumerate(patterns):
-            self.f[r, list(sites)] = self.q[list(sites)]
-
-    def value(self, sites: Sequence[int]) -> float:
-        total = self.weight.sum()
-        return float(self.weight @ self.f[:, list(sites)].prod(axis=1) / total) if total else 1.0
-
-    def feasible(self, sites: Sequence[int]) -> bool:
-        for i, j in combinations(sites, 2):
-            if i == j or self.genes[i] == self.genes[j] and abs(self.middle[i] - self.middle[j]) < self.min_apart:
-                return False
-        return not self.per_gene or all(sum(self.genes[i] == g for i in sites) <= self.per_gene for g in set(self.genes))
-
-    def greedy(self, k: int, start: Sequence[int] = ()) -> list[int]:
-        """Add the site that lowers the value most, the lowest index on ties, until there are k or none fits."""
-        own = list(start)
-        while len(own) < k:
-            best = min(((self.value([*own, i]), i) for i in range(len(self.q)) if i not in own and self.feasible([*own, i])), default=None)
-            if best is None:
-                break
-            own.append(best[1])
-        return own
-
-    def local(self, sites: Sequence[int], rounds: int = 25) -> list[int]:
-        """Swap single sites while that lowers the value by more than 1e-18."""
-        own = list(sites)
-        for _ in range(rounds):
-            now, better = self.value(own), None
-            for p in range(len(own)):
-                for i in range(len(self.q)):
-                    other = [*own[:p], i, *own[p + 1 :]]
-                    if i not in own and self.feasible(other) and (v := self.value(other)) < now - 1e-18:
-                        now, better = v, other
-            if better is None:
-                break
-            own = better
-        return own
-
-    def best(self, k: int, starts: int = 30) -> list[int]:
-        """The best set found: exact for one site, and for two without a cap on a gene; else from several starts."""
-        n = len(self.q)
-        if k <= 0 or n == 0:
-            return []
-        if k == 1 or k == 2 and not self.per_gene:
-            return self.exhaustive(k)
-        found = [self.local(s) for first in range(min(starts, n)) if len(s := self.greedy(k, [first])) == k]
-        return list(min(((self.value(s), tuple(sorted(s))) for s in found), default=(1.0, ()))[1])
-
-    def exhaustive(self, k: int) -> list[int]:
-        return list(min(((self.value(c), c) for c in combinations(range(len(self.q)), k) if self.feasible(c)), default=(1.0, ()))[1])
-
-    def curve(self, most: int, thresholds: Sequence[float]) -> list[dict]:
-        """A row for each k while a set exists."""
-        out = []
-        for k in range(1, most + 1):
-            s = self.best(k)
-            if len(s) < k:
-                break
-            v = self.value(s)
-            out.append({"k": k, "p_escape_best": v, "sites": [int(i) for i in sorted(s)]} | {f"below_{t:g}": v < t for t in thresholds})
-        return out
-
-
-def patterns(found: DataFrame, pool: Sequence[str], n: int) -> list[tuple[int, list[int]]]:
-    """(records, sites) for each distinct presence pattern over the pool, the empty one included.
-
-    A pool has few sites, so few patterns reach the driver.
-    """
-    at = {g: i for i, g in enumerate(pool)}
-    rows = found.where(F.col("guide_id").isin(list(pool))).groupBy("seq_id").agg(F.array_sort(F.collect_set("guide_id")).alias("s")).groupBy("s").count().collect()
-    out = sorted(([at[g] for g in r.s], r["count"]) for r in rows)
-    rest = n - sum(c for _, c in out)
-    return ([(rest, [])] if rest else []) + [(c, s) for s, c in out]
-
-
-def monte_carlo(spark: SparkSession, spec: Sequence[tuple[int, Sequence[int]]], q: Sequence[float], sites: Sequence[int], draws: int, seed: int) -> DataFrame:
-    """(estimate, error) of a set's P(escape) from seeded draws of a record and of each present site's fate."""
-    total = sum(w for w, _ in spec)
-    bounds, acc = [], 0
-    for w, present in spec:
-        acc += w
-        bounds.append((acc / total, [float(q[i]) for i in sites if i in set(present)]))
-    u = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 52)) / float(1 << 52)
-    alive = None
-    for high, qs in bounds:
-        ok = F.lit(1.0)
-        for k, v in enumerate(qs):
-            ok = F.when(u(k + 1) < v, ok).otherwise(0.0)
-        alive = F.when(u(0) < high, ok) if alive is None else alive.when(u(0) < high, ok)
-    rows = spark.range(draws).select(alive.alias("x"))
-    return rows.agg(F.avg("x").alias("estimate"), F.sqrt(F.avg("x") * (1 - F.avg("x")) / draws).alias("error"))

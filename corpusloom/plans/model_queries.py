@@ -205,64 +205,6 @@ def p_escape_sets(spark, sf_dir):
     return M.set_escape(P.presence(r, g, p.CAS), sets, _site_q(spark, sf_dir), r.count())
 
 
-_PAIR_P = """pe AS (SELECT a.guide_id AS a, b.guide_id AS b, avg((CASE WHEN fa.seq_id IS NULL THEN 1.0 ELSE qa.q END) * (CASE WHEN fb.seq_id IS NULL THEN 1.0 ELSE qb.q END)) AS v
-FROM top a JOIN top b ON a.guide_id < b.guide_id AND (a.gene <> b.gene OR abs(a.middle - b.middle) >= 150) JOIN q qa ON qa.guide_id = a.guide_id JOIN q qb ON qb.guide_id = b.guide_id CROSS JOIN (SELECT seq_id FROM records) r
-LEFT JOIN found fa ON fa.guide_id = a.guide_id AND fa.seq_id = r.seq_id LEFT JOIN found fb ON fb.guide_id = b.guide_id AND fb.seq_id = r.seq_id GROUP BY ALL)"""
-
-
-def _pairs(spark, sf_dir):
-    r, g, top = p.records(spark, sf_dir), p.guides(spark, sf_dir), _top(spark, sf_dir)
-    q = _site_q(spark, sf_dir).join(top.select("guide_id"), "guide_id")
-    found = P.presence(r, g, p.CAS).join(F.broadcast(top.select("guide_id")), "guide_id").select("seq_id", "guide_id")
-    return M.pair_escape(found, q, r.count(), top)
-
-
-@query(f"WITH {_MODEL}, {_PAIR_P} SELECT a, b, round(v, 9) AS p_escape FROM pe")
-def pair_escape(spark, sf_dir):
-    return _pairs(spark, sf_dir)
-
-
-@query(f"WITH {_MODEL}, {_PAIR_P} SELECT a, b, round(v, 9) AS p_escape FROM pe ORDER BY round(v, 9), a, b LIMIT 1")
-def best_pair(spark, sf_dir):
-    return X.lexicographic(_pairs(spark, sf_dir), [F.asc("p_escape"), F.asc("a"), F.asc("b")])
-
-
-def _search(spark, sf_dir, n: int = 12, **options):
-    r, g = p.records(spark, sf_dir), p.guides(spark, sf_dir)
-    pool = _top(spark, sf_dir, n).join(_site_q(spark, sf_dir), "guide_id").orderBy("guide_id").collect()
-    names = [x.guide_id for x in pool]
-    return names, M.Search(M.patterns(P.presence(r, g, p.CAS), names, r.count()), [x.q for x in pool], [x.gene for x in pool], [x.middle for x in pool], **options)
-
-
-@query(f"""WITH {_MODEL}, x AS (SELECT t.guide_id, gene, middle, r.seq_id, CASE WHEN f.seq_id IS NULL THEN 1.0 ELSE q.q END AS f FROM top t JOIN q USING (guide_id) CROSS JOIN (SELECT seq_id FROM records) r LEFT JOIN found f ON f.guide_id = t.guide_id AND f.seq_id = r.seq_id),
-tr AS (SELECT a.guide_id AS a, b.guide_id AS b, c.guide_id AS c, avg(a.f * b.f * c.f) AS v FROM x a JOIN x b ON a.seq_id = b.seq_id AND a.guide_id < b.guide_id AND (a.gene <> b.gene OR abs(a.middle - b.middle) >= 150)
-JOIN x c ON a.seq_id = c.seq_id AND b.guide_id < c.guide_id AND (a.gene <> c.gene OR abs(a.middle - c.middle) >= 150) AND (b.gene <> c.gene OR abs(b.middle - c.middle) >= 150) GROUP BY ALL)
-SELECT round(min(v), 9) AS p_escape, count(*) AS n_feasible FROM tr""")
-def exhaustive_triple(spark, sf_dir):
-    """The best of all feasible triples of the pool, and how many there are."""
-    from itertools import combinations
-
-    _, s = _search(spark, sf_dir)
-    ok = [c for c in combinations(range(len(s.q)), 3) if s.feasible(c)]
-    return spark.createDataFrame([(round(min(map(s.value, ok)), 9), len(ok))], "p_escape double, n_feasible long")
-
-
-@query()
-def greedy_kcurve(spark, sf_dir):
-    names, s = _search(spark, sf_dir, 24, per_gene=2)
-    rows = [(r["k"], r["p_escape_best"], [names[i] for i in r["sites"]], r["below_0.9999"]) for r in s.curve(5, (0.9999,))]
-    return spark.createDataFrame(rows, "k int, p_escape_best double, guides array<string>, below_limit boolean")
-
-
-@query()
-def search_validation(spark, sf_dir):
-    """The heuristic against all triples."""
-    _, s = _search(spark, sf_dir)
-    s.per_gene = 3
-    best, full = s.value(s.best(3)), s.value(s.exhaustive(3))
-    return spark.createDataFrame([(best, full, abs(best - full) <= 1e-12)], "heuristic double, exhaustive double, same boolean")
-
-
 @query("""SELECT source, n, round(1 - pow(0.05, 1.0 / n), 9) AS upper, k, round(pow(1 - pow(0.05, 1.0 / n) + pow(0.05, 1.0 / n) * 0.1, k), 12) AS floor FROM (SELECT source, count(*) AS n FROM documents GROUP BY source), range(1, 4) t(k)""")
 def resolution_floor(spark, sf_dir):
     """For each source the upper limit of an escape never seen in n records, and the least P(escape) of k sites it allows."""
@@ -293,16 +235,6 @@ def theta_table(spark, sf_dir):
     return t.select("theta", "p", F.round(F.col("theta") + (1 - F.col("theta")) * F.col("p"), 12).alias("mixed"))
 
 
-@query()
-def monte_carlo_check(spark, sf_dir):
-    """A set's seeded estimate, its error and its distance from the closed form in errors."""
-    names, s = _search(spark, sf_dir)
-    sites = list(range(min(3, len(names))))
-    spec = [(int(w), [i for i in range(len(s.q)) if s.f[r, i] != 1]) for r, w in enumerate(s.weight)]
-    exact = s.value(sites)
-    return M.monte_carlo(spark, spec, s.q, sites, 400_000, 20240814).select("estimate", "error", F.lit(exact).alias("exact"), ((F.col("estimate") - exact) / F.nullif("error", F.lit(0.0))).alias("z"))
-
-
 # --- approximate matching and intervals --------------------------------------------------------------------------------
 
 _MM = 3
