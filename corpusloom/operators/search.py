@@ -30,10 +30,12 @@ class Ground:
     def __init__(self, found: DataFrame, n: int, sites: DataFrame, q: DataFrame, min_apart: float = 150, per_gene: int = 0):
         self.n, self.min_apart, self.per_gene = n, min_apart, per_gene
         allowed = sites.select("guide_id", "gene", F.col("middle").cast("double").alias("middle"))
-        self.found = cut(found.select("seq_id", "guide_id").distinct().join(sized_broadcast(allowed.select("guide_id")), "guide_id", "left_semi"))
-        own = self.found.groupBy("guide_id").agg(F.count(F.lit(1)).alias("held"))
-        self.sites = cut(allowed.join(own, "guide_id", "left").withColumn("held", F.coalesce("held", F.lit(0))))
-        self.q = cut(q.select("model", "guide_id", "q").join(sized_broadcast(allowed.select("guide_id")), "guide_id", "left_semi"))
+        names = sized_broadcast(allowed.select("guide_id"))
+        held = cut(found.select("seq_id", "guide_id").distinct().join(names, "guide_id", "left_semi"))
+        own = held.groupBy("guide_id").agg(F.count(F.lit(1)).alias("held"))
+        self.found = sized_broadcast(held)
+        self.sites = sized_broadcast(cut(allowed.join(own, "guide_id", "left").withColumn("held", F.coalesce("held", F.lit(0)))))
+        self.q = sized_broadcast(cut(q.select("model", "guide_id", "q").join(names, "guide_id", "left_semi")))
 
     def products(self, sets: DataFrame, keys: Sequence[str]) -> DataFrame:
         """(keys, model, seq_id, f, m): the product and number of members in each record that holds one; sets: keys, model, members."""
@@ -61,17 +63,16 @@ class Ground:
 
         Every set looks at every site: sets are bounded by models, starts and places, whatever the number of sites or records.
         """
-        sets = cut(self.valued(sets.select(*keys, "model", "members"), keys))
         on = [*keys, "model"]
-        meets = self.products(sets, keys).join(self.found, "seq_id").groupBy(*on, "guide_id").agg(F.sum(F.col("f") - 1).alias("shared"))
-        each = self.sites.join(F.broadcast(sets), self.fits()).join(self.q, ["model", "guide_id"]).join(meets, [*on, "guide_id"], "left")
-        value = F.round(F.col("value") - (1 - F.col("q")) / max(self.n, 1) * (F.col("held") + F.coalesce("shared", F.lit(0.0))), DIGITS)
-        best = each.select(*on, value.alias("v"), F.struct("guide_id", "gene", "middle").alias("site")).groupBy(*on).agg(F.min(F.struct("v", "site")).alias("b"))
-        return sets.select(*on, "members").join(best, on).select(*on, "members", F.col("b.site").alias("added"), F.col("b.v").alias("value"))
-
-    def empty(self) -> DataFrame:
-        kind = "array<struct<guide_id:string,gene:string,middle:double>>"
-        return self.q.select("model").distinct().withColumn("members", F.array().cast(kind))
+        sets = sets.select(*on, "members")
+        products = cut(self.products(sets, keys))
+        lost = products.groupBy(*on).agg(F.sum(F.col("f") - 1).alias("lost"))
+        meets = products.join(self.found, "seq_id").groupBy(*on, "guide_id").agg(F.sum(F.col("f") - 1).alias("shared"))
+        each = self.sites.join(F.broadcast(sets), self.fits()).join(self.q, ["model", "guide_id"]).join(meets, [*on, "guide_id"], "left").join(F.broadcast(lost), on, "left")
+        gain = (1 - F.col("q")) * (F.col("held") + F.coalesce("shared", F.lit(0.0))) - F.coalesce("lost", F.lit(0.0))
+        value = F.round(1 - gain / max(self.n, 1), DIGITS)
+        best = each.select(*on, "members", value.alias("v"), F.struct("guide_id", "gene", "middle").alias("site")).groupBy(*on).agg(F.first("members").alias("members"), F.min(F.struct("v", "site")).alias("b"))
+        return best.select(*on, "members", F.col("b.site").alias("added"), F.col("b.v").alias("value"))
 
     def grown(self, sets: DataFrame, keys: Sequence[str]) -> DataFrame:
         told = self.additions(sets, keys)
@@ -121,7 +122,7 @@ class Ground:
                 rest = sets.select(*on, F.filter("members", lambda m, i: i != place).alias("members"))
                 told = self.additions(rest, keys).select(*on, F.array_sort(F.concat("members", F.array("added"))).alias("other"), F.col("value").alias("new"))
                 better = F.coalesce(F.col("new") < F.col("value") - MARGIN, F.lit(False))
-                sets = cut(sets.join(told, on, "left").select(*on, F.when(better, F.col("other")).otherwise(F.col("members")).alias("members"), F.when(better, F.col("new")).otherwise(F.col("value")).alias("value")))
+                sets = cut(sets.join(F.broadcast(told), on, "left").select(*on, F.when(better, F.col("other")).otherwise(F.col("members")).alias("members"), F.when(better, F.col("new")).otherwise(F.col("value")).alias("value")))
             if sets.join(before.select(*on, F.col("value").alias("was")), on).where(F.col("value") < F.col("was") - MARGIN / 2).isEmpty():
                 break
         return sets
@@ -133,16 +134,27 @@ class Ground:
             return self.first(self.singles()).drop("start")
         if k == 2 and not self.per_gene:
             return self.pairs()
-        sets = self.first(self.singles(), starts)
+        sets = self.seeds(starts)
         for _ in range(k - 1):
             sets = self.grown(sets, ["start"])
+        return self.settled(sets, k)
+
+    def seeds(self, starts: int) -> DataFrame:
+        return cut(self.first(self.singles(), starts))
+
+    def settled(self, sets: DataFrame, k: int) -> DataFrame:
+        """(model, members, value): the best of the starts' sets, each improved."""
         return self.first(self.improved(sets, ["start"], k).drop("start")).drop("start")
 
     def curve(self, most: int, starts: int = 30) -> DataFrame:
-        """(model, k, members, value, joint, independent) of the best set of each size up to `most`; independent: as if sites were present independently."""
-        out = None
+        """(model, k, members, value, joint, independent): best(k) of each size up to `most`, each start's sets grown from the smaller ones;
+        independent: the value if sites were present independently."""
+        out, sets = None, None
         for k in range(1, most + 1):
-            one = self.best(k, starts).withColumn("k", F.lit(k))
+            if k > 1:
+                sets = self.grown(self.seeds(starts) if sets is None else sets, ["start"])
+            one = self.best(k, starts) if k == 1 or k == 2 and not self.per_gene else self.settled(sets, k)
+            one = one.select("model", "members", "value").withColumn("k", F.lit(k))
             out = one if out is None else out.unionByName(one)
         sets = cut(self.valued(cut(out).drop("value"), ["k"]).withColumn("value", F.round("value", DIGITS)))
         each = sets.select("model", "k", F.explode("members.guide_id").alias("guide_id")).join(self.q, ["model", "guide_id"]).join(self.sites.select("guide_id", "held"), "guide_id")
