@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chains import ABSENT, AMBIGUOUS, NOT_COVERED, PRESENT, WIDE, with_hits
 from .denominators import compare
+from .presence import paired
 
 __all__ = ["band_pairs", "benchmark_rows", "composition", "gene_records", "guide_counts", "notable", "perfect_by_gene", "perfect_totals", "ratio", "record_manifest", "tiers", "touched", "with_hits"]
 
@@ -86,7 +87,7 @@ def gene_records(manifest: DataFrame, genes: DataFrame, classes: Sequence[str])
 
 def tiers(base: DataFrame, counts: DataFrame, pairs: Sequence[tuple[str, str, str]], least_records: int = 10) -> DataFrame:
     """compare() of the strict conservation (base: guide_id, x) with each (name, conservation column, records column) of counts."""
-    joined = base.join(counts, "guide_id")
+    joined = paired(base, counts, "guide_id", needed=False)
     out = None
     for name, value, number in pairs:
         row = compare(joined.where(F.col(value).isNotNull()).select("guide_id", "x", F.col(value).alias("y"), F.col(number).alias("records")), least_records).select(F.lit(name).alias("tier"), "*")

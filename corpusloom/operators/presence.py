@@ -91,6 +91,19 @@ def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
     return df.where(F.coalesce(F.assert_true(condition, message).cast("string"), F.lit("")) == "")
 
 
+def paired(left: DataFrame, right: DataFrame, key: str, needed: bool = True) -> DataFrame:
+    """left joined to right by key, one row to one: a key that either side repeats fails the plan, and so does a row of left without one of right
+    (unless not `needed`: it then drops out).  The keys are counted by the aggregates that bring each side to one row, so the check costs no shuffle of its own."""
+    def side(df: DataFrame, n: int) -> DataFrame:
+        one = df.groupBy(key).agg(F.count(F.lit(1)).alias(f"_n{n}"), F.first(F.struct(*[c for c in df.columns if c != key])).alias(f"_x{n}"))
+        return require(one, F.col(f"_n{n}") == 1, "a key is repeated on one side of a one-to-one join")
+
+    told = side(left, 1).join(side(right, 2), key, "left" if needed else "inner")
+    if needed:
+        told = require(told, F.col("_n2").isNotNull(), "a row has no partner in a one-to-one join")
+    return told.select(*[key if c == key else F.col(f"_x1.{c}") for c in left.columns], *[F.col(f"_x2.{c}") for c in right.columns if c != key])
+
+
 def passes(gc_min: float, gc_max: float, max_run: int, min_conservation: float | None = None) -> Column:
     """The standard filters; the conservation term only where a limit is given."""
     ok = ~F.col("has_polyt") & (F.col("max_homopolymer_run") <= max_run) & F.col("gc_fraction").between(gc_min, gc_max)
@@ -98,8 +111,8 @@ def passes(gc_min: float, gc_max: float, max_run: int, min_conservation: float |
 
 
 def ranked_report(guides: DataFrame, scored: DataFrame, gc_min: float = 0.35, gc_max: float = 0.75, max_run: int = 4, min_conservation: float = 1.0) -> DataFrame:
-    """guides joined to their scores one to one, flagged and ranked.  A guide without a score is an error."""
-    joined = require(guides.join(scored.drop("target"), "guide_id", "left"), F.col("n_present").isNotNull(), "a guide has no conservation score")
+    """guides joined to their scores one to one, flagged and ranked.  A guide without a score, or a repeated one, is an error."""
+    joined = paired(guides, scored.drop("target"), "guide_id")
     flagged = joined.withColumn("gc_in_range", F.col("gc_fraction").between(gc_min, gc_max)).withColumn("passes_filters", passes(gc_min, gc_max, max_run, min_conservation))
     away = F.abs(F.col("gc_fraction") - (gc_min + gc_max) / 2)
     order = [F.desc("conservation_fraction"), F.desc("passes_filters"), F.asc("has_polyt"), F.asc("max_homopolymer_run"), away.asc(), F.asc("gene"), F.asc("ref_start"), F.asc("strand"), F.asc("guide_id")]

@@ -54,8 +54,10 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small table as Markdown text."""
-    rows = df.limit(most).collect()
+    """A small table as Markdown text; one of over `most` rows is an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of over {most} rows is none to print")
     show = lambda v: "" if v is None else f"{v:g}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join(show(v) for v in r) + " |" for r in rows)])

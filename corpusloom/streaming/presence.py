@@ -20,7 +20,8 @@ def read_records(spark: SparkSession, path: str, files_per_batch: int = 16) -> D
 def presence_counts(records: DataFrame, guides: DataFrame, grammar: Grammar) -> DataFrame:
     """Running (guide_id, n_present) over a stream of records.
 
-    A record is one row, and its windows are made distinct inside it; a palindromic target is one guide however it lies.
+    A record is one row, and its windows are made distinct inside it; a palindromic target is one guide however it lies.  Counts of
+    records are approximate (a relative deviation of about 0.01): a stream cannot count distinct ones exactly.  jobs/presence_ledger.py keeps exact ones.
     """
     both = guides.select("guide_id", F.explode(F.array(F.col("target"), revcomp(F.col("target")))).alias("kmer")).groupBy("kmer").agg(F.collect_set("guide_id").alias("ids"))
     found = distinct_sites(records.select("seq_id", "seq"), "seq", grammar).join(sized_broadcast(both), "kmer")

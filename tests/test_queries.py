@@ -51,6 +51,17 @@ def test_checksums_equal_a_plain_sum(spark, duck):
     assert {r.item_id: (r["sum"], r.blocks) for r in catalogue.QUERIES["byte_checksums"](spark, DATA).collect()} == want
 
 
+def test_searches_agree(spark, duck):
+    curve = sorted(catalogue.QUERIES["greedy_kcurve"](spark, DATA).collect())
+    values = [r.p_escape_best for r in curve]
+    assert [r.k for r in curve] == list(range(1, len(curve) + 1)) and len(curve) == 4 and all(len(set(r.genes)) == r.k for r in curve)
+    assert values == sorted(values, reverse=True) and all(0 <= v <= 1 for v in values)
+    checked = catalogue.QUERIES["search_validation"](spark, DATA).first()
+    assert checked.same and round(checked.exhaustive, 9) == catalogue.QUERIES["exhaustive_triple"](spark, DATA).first().p_escape
+    drawn = catalogue.QUERIES["monte_carlo_check"](spark, DATA).first()
+    assert abs(drawn.z) < 5 and round(drawn.exact, 9) == round(checked.heuristic, 9)
+
+
 def test_redundancy_sweep_adds_up(spark, duck):
     n = duck.execute("SELECT count(*) FROM documents").fetchone()[0]
     rows = sorted(catalogue.QUERIES["redundancy_sweep"](spark, DATA).collect())

@@ -1,3 +1,5 @@
+import pytest
+
 from corpusloom.sources import texts
 
 
@@ -16,6 +18,8 @@ def test_tables(spark, tmp_path):
     back = texts.read_tsv(spark, str(tmp_path / "t"), "k string, n int, s string")
     assert sorted(map(tuple, back.collect())) == [("a", 1, None), ("b", 2, "x")]
     assert texts.markdown(df.orderBy("k")).splitlines()[2] == "| a | 1 |  |"
+    with pytest.raises(ValueError, match="over 1 rows"):
+        texts.markdown(df, 1)
     assert texts.namespaced("out/x.tsv", "t1") == "out/x.t1.tsv"
 
 
