@@ -118,17 +118,25 @@ def clusters(records: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(records: DataFrame, pairs: DataFrame, same: DataFrame, found: DataFrame, n_guides: int, thresholds: Sequence[float]) -> DataFrame:
-    """For each identity threshold: clusters, records collapsed, the largest, guides present in all representatives."""
-    out = None
-    for t in thresholds:
-        c = clusters(records, pairs.where(F.col("identity") >= t).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same))
-        reps = c.where("is_representative").select("seq_id")
-        n = reps.count()
-        perfect = found.join(reps, "seq_id", "left_semi").groupBy("guide_id").count().where(F.col("count") == n).agg(F.count(F.lit(1)).alias("n_perfect"))
-        row = c.agg(F.count_if("is_representative").alias("n_clusters"), F.count_if(~F.col("is_representative")).alias("n_collapsed"), F.max("cluster_size").alias("largest")).crossJoin(perfect)
-        row = row.select(F.lit(t).alias("threshold"), "*", F.round(100.0 * F.col("n_perfect") / F.lit(max(n_guides, 1)), 3).alias("pct_perfect"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """For each identity threshold: clusters, records collapsed, the largest, guides present in all representatives.
+
+    A record is a node of its own under each threshold, so all thresholds are clustered by one run of components; pairs are
+    (a, b, identity) and same (u, v) links whatever the threshold.  The representative is that of clusters().
+    """
+    spark, whole = records.sparkSession, dict(records.dtypes)["seq_id"] in ("tinyint", "smallint", "int", "bigint")
+    limits = F.broadcast(spark.createDataFrame([(i, float(t)) for i, t in enumerate(thresholds)], "i int, threshold double"))
+    node = lambda c: F.col(c).cast("long") * len(thresholds) + F.col("i") if whole else F.concat(F.format_string("%03d/", "i"), F.col(c))
+    links = pairs.join(limits, F.col("identity") >= F.col("threshold")).select("i", F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same.crossJoin(limits.select("i")).select("i", "u", "v"))
+    roots = components(links.select(node("u").alias("u"), node("v").alias("v"))).withColumnRenamed("node", "_node")
+    each = records.crossJoin(limits).withColumn("_node", node("seq_id")).join(roots, "_node", "left").withColumn("root", F.coalesce("root", "_node"))
+    w = W.partitionBy("root")
+    order = w.orderBy("ambiguous_fraction", F.desc("length_bp"), F.desc("is_refseq"), "accession")
+    told = cut(each.select("threshold", "seq_id", F.count(F.lit(1)).over(w).alias("size"), (F.row_number().over(order) == 1).alias("first")))
+    sums = told.groupBy("threshold").agg(F.count_if("first").alias("n_clusters"), F.count_if(~F.col("first")).alias("n_collapsed"), F.max("size").alias("largest"))
+    kept = found.join(told.where("first").select("threshold", "seq_id"), "seq_id").groupBy("threshold", "guide_id").agg(F.count_distinct("seq_id").alias("n"))
+    perfect = kept.join(F.broadcast(sums), "threshold").where(F.col("n") == F.col("n_clusters")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n_perfect"))
+    out = sums.join(perfect, "threshold", "left").withColumn("n_perfect", F.coalesce("n_perfect", F.lit(0)))
+    return out.withColumn("pct_perfect", F.round(100.0 * F.col("n_perfect") / F.lit(max(n_guides, 1)), 3))
 
 
 def identity_range(pairs: DataFrame, identity: str = "identity") -> DataFrame:

@@ -97,11 +97,24 @@ def nearest_record(spark, sf_dir):
     return R.nearest(s, R.similar_pairs(s, K_SIZE, SKETCH))
 
 
-@query()
+_THRESHOLDS = (0.95, 0.99, 0.999)
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, {p.guides_sql()}, {p.FOUND}, limits AS (SELECT unnest([{", ".join(map(str, _THRESHOLDS))}]::DOUBLE[]) AS threshold),
+sweep_edges AS (SELECT threshold, a AS u, b AS v FROM pairs JOIN limits ON identity >= threshold UNION ALL SELECT threshold, x.seq_id, f.seq_id FROM sketched x JOIN firsts f ON x.sketch = f.sketch AND x.seq_id <> f.seq_id CROSS JOIN limits),
+sweep_ways AS (SELECT threshold, u, v FROM sweep_edges UNION SELECT threshold, v, u FROM sweep_edges),
+sweep_reach(threshold, n, r) AS (SELECT threshold, u, u FROM sweep_ways UNION SELECT b.threshold, b.v, x.r FROM sweep_reach x JOIN sweep_ways b ON x.n = b.u AND x.threshold = b.threshold),
+sweep_roots AS (SELECT threshold, n AS seq_id, min(r) AS root FROM sweep_reach GROUP BY ALL),
+every AS (SELECT threshold, seq_id, coalesce(root, seq_id) AS root, ambiguous_fraction, length_bp, is_refseq, accession FROM records CROSS JOIN limits LEFT JOIN sweep_roots USING (threshold, seq_id)),
+marked AS (SELECT *, count(*) OVER (PARTITION BY threshold, root) AS size, row_number() OVER (PARTITION BY threshold, root ORDER BY ambiguous_fraction, length_bp DESC, is_refseq DESC, accession) = 1 AS first FROM every),
+sums AS (SELECT threshold, count_if(first) AS n_clusters, count_if(NOT first) AS n_collapsed, max(size) AS largest FROM marked GROUP BY threshold),
+complete AS (SELECT threshold, guide_id, count(DISTINCT seq_id) AS n FROM found JOIN marked USING (seq_id) WHERE first GROUP BY ALL)
+SELECT threshold, n_clusters, n_collapsed, largest, count(guide_id) AS n_perfect, round(100.0 * count(guide_id) / greatest((SELECT count(*) FROM guides), 1), 3) AS pct_perfect
+FROM sums LEFT JOIN (SELECT c.threshold, guide_id FROM complete c JOIN sums s ON s.threshold = c.threshold AND s.n_clusters = c.n) USING (threshold) GROUP BY ALL""")
 def redundancy_sweep(spark, sf_dir):
     r, g = p.records(spark, sf_dir), p.guides(spark, sf_dir)
     s = _sketched(spark, sf_dir)
-    return R.threshold_sweep(r, cut(R.similar_pairs(s, K_SIZE, SKETCH, 0.95)), R.copies(s), P.presence(r, g, p.CAS), g.count(), [0.95, 0.99, 0.999])
+    return R.threshold_sweep(r, cut(R.similar_pairs(s, K_SIZE, SKETCH, 0.95)), R.copies(s), P.presence(r, g, p.CAS), g.count(), _THRESHOLDS)
 
 
 # --- denominators ---------------------------------------------------------------------------------------------------
