@@ -80,11 +80,6 @@ def mash_identity(jaccard: Column, k: int) -> Column:
     return F.when(jaccard <= 0, 0.0).when(jaccard >= 1, 1.0).otherwise(F.greatest(F.lit(0.0), 1 + F.log(2 * jaccard / (1 + jaccard)) / k))
 
 
-def hash60(value: Column) -> Column:
-    """The first 60 bits of the md5 digest as a number: the same in any engine."""
-    return F.conv(F.substring(F.md5(value.cast("binary")), 1, 15), 16, 10).cast("long")
-
-
 def gtf_attribute(attributes: Column, key: str) -> Column:
     """The quoted value of a key, or an empty string."""
     return F.regexp_extract(attributes, key + ' "([^"]*)"', 1)

@@ -37,7 +37,8 @@ def query(sql: str | None = None):
 # --- redundancy -----------------------------------------------------------------------------------------------------
 
 _SK = f"""{p.RECORDS}, k AS (SELECT seq_id, substring(seq, q + 1, {K_SIZE}) AS w FROM (SELECT seq_id, seq, unnest(range(0, greatest(0, length(seq) - {K_SIZE - 1}))) AS q FROM records)),
-h AS (SELECT DISTINCT seq_id, ('0x' || substring(md5(least(w, {p.rc_sql("w")})), 1, 15))::BIGINT AS h FROM k WHERE regexp_full_match(w, '[ACGT]+')),
+canon AS (SELECT DISTINCT seq_id, least(w, {p.rc_sql("w")}) AS c FROM k WHERE regexp_full_match(w, '[ACGT]+')),
+h AS (SELECT DISTINCT seq_id, {p.word_hash_sql("c")} AS h FROM canon),
 s AS (SELECT seq_id, h, row_number() OVER (PARTITION BY seq_id ORDER BY h) AS rank FROM h QUALIFY rank <= {SKETCH})"""
 _PAIRS = f"""{_SK}, sketched AS (SELECT seq_id, list(h ORDER BY h) AS sketch FROM s GROUP BY seq_id), firsts AS (SELECT sketch, min(seq_id) AS seq_id FROM sketched GROUP BY sketch),
 fh AS (SELECT seq_id, unnest(sketch) AS h, len(sketch) AS n FROM firsts),

@@ -15,6 +15,7 @@ from ..functions import sequences as S
 from ..functions.grammar import GRAMMARS, Grammar
 from ..operators import presence as P
 from ..operators import sites as K
+from ..operators.scan import MIX
 
 CAS = GRAMMARS["spcas9"]
 
@@ -81,6 +82,16 @@ def run_sql(seq: str) -> str:
     return f"coalesce(list_max([length(x) for x in regexp_extract_all({seq}, '(A+|C+|G+|T+|N+)')]), 0)"
 
 
+def word_hash_sql(word: str) -> str:
+    """scan.hashes60() of a word of A, C, G and T."""
+    mixed = "('0b' || " + "".join(["replace("] * 4) + word + "".join(f", '{b}', '{bits}')" for b, bits in zip("ACGT", ("00", "01", "10", "11"), strict=True)) + ")::UBIGINT"
+    turn = lambda x: f"(SELECT xor(y, y >> 33) FROM (SELECT {x} AS y))"
+    out = turn(mixed)
+    for m in MIX:
+        out = turn(f"({out}::UHUGEINT * {m}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT")
+    return f"({out} >> 4)::BIGINT"
+
+
 RECORDS = f"""records AS (SELECT doc_id AS seq_id, (CASE doc_id % 3 WHEN 0 THEN 'NC_' WHEN 1 THEN 'NG_' ELSE 'XX_' END) || doc_id AS accession, lang, source, s AS seq, length(s) AS length_bp,
   length(regexp_replace(s, '[ACGT]', '', 'g')) AS n_ambiguous,
   CASE WHEN length(s) = 0 THEN 1.0 ELSE round(length(regexp_replace(s, '[ACGT]', '', 'g')) / length(s), 8) END AS ambiguous_fraction, doc_id % 3 < 2 AS is_refseq

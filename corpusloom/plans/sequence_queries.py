@@ -212,7 +212,7 @@ def subset_stats(spark, sf_dir):
 
 
 @query(f"""WITH {p.RECORDS}, k AS (SELECT seq_id, substring(seq, q + 1, 21) AS w FROM (SELECT seq_id, seq, unnest(range(0, greatest(0, length(seq) - 20))) AS q FROM records))
-SELECT seq_id, count(*) AS n_kmers, count(DISTINCT c) AS n_canonical, min(h) AS least_hash FROM (SELECT seq_id, c, ('0x' || substring(md5(c), 1, 15))::BIGINT AS h FROM (SELECT seq_id, least(w, {p.rc_sql("w")}) AS c FROM k WHERE regexp_full_match(w, '[ACGT]+'))) GROUP BY seq_id""")
+SELECT seq_id, count(*) AS n_kmers, count(DISTINCT c) AS n_canonical, min(h) AS least_hash FROM (SELECT seq_id, c, {p.word_hash_sql("c")} AS h FROM (SELECT seq_id, least(w, {p.rc_sql("w")}) AS c FROM k WHERE regexp_full_match(w, '[ACGT]+'))) GROUP BY seq_id""")
 def kmer_canonical(spark, sf_dir):
     return scan.kmer_totals(p.records(spark, sf_dir).select("seq_id", "seq"), 21)
 
