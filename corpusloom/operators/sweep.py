@@ -115,3 +115,35 @@ def compared(q: DataFrame, top: int = 20, baseline: int = 0) -> DataFrame:
     rho = F.covar_pop("rank", "base_rank") / F.nullif(F.stddev_pop("rank") * F.stddev_pop("base_rank"), F.lit(0.0))
     kept = F.count_if((F.col("place") <= top) & (F.col("base_place") <= top)) / top
     return both.groupBy("setting").agg(F.count(F.lit(1)).alias("n_sites"), F.min("q").alias("q_min"), F.median("q").alias("q_median"), F.max("q").alias("q_max"), rho.alias("spearman"), kept.alias("top_overlap"))
+
+
+def gene_variants(sizes: DataFrame, counts: DataFrame) -> DataFrame:
+    """(gene, variants): for each codon of a gene (sizes: gene, n_codons) the records whose amino acid differs; counts: gene, codon, n_aa_variant."""
+    every = sizes.where("n_codons > 0").select("gene", F.explode(F.sequence(F.lit(0), (F.col("n_codons") - 1).cast("int"))).alias("codon"))
+    told = every.join(counts.select("gene", "codon", "n_aa_variant"), ["gene", "codon"], "left")
+    by = told.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("codon", F.coalesce("n_aa_variant", F.lit(0)).cast("int").alias("v")))).alias("x"))
+    return by.select("gene", F.transform("x", lambda x: x["v"]).alias("variants"))
+
+
+def site_table(sites: DataFrame, codons: DataFrame, variants: DataFrame, lengths: DataFrame, setting: tuple, essential: Sequence[str] = (), reach: int = 5) -> DataFrame:
+    """sites with the codon of their cut, what varies around it and what escapes a cut there.
+
+    sites: guide_id, gene, n_copies and anything; codons: guide_id, codon; variants: gene, variants; lengths: spectra() rows; setting: a row of SETTING.
+    Added are essential, cut_codon, codon_varies, local_variable_codons and local_tolerance over `reach` codons to either side (cut at the gene's
+    ends), q_single_copy, q_site, q_from_frameshift and q_from_inframe.  A site of a gene without a profile is an error.
+    """
+    from .presence import require
+
+    spark = sites.sparkSession
+    told = require(sites.join(codons, "guide_id").join(variants, "gene", "left"), F.col("variants").isNotNull(), "a gene has no profile of its codons")
+    row = spark.createDataFrame([setting], SETTING)
+    q = settings_escape(told.select("guide_id", "gene", "codon", "n_copies", "variants"), row, lengths).drop("gene", "setting")
+    least, variable, invariant = (F.lit(dict(zip(("setting", "group", "label", *BASE), setting, strict=True))[c]) for c in ("least", "variable", "invariant"))
+    low = F.greatest(F.lit(0), F.col("codon") - reach)
+    around = F.slice("variants", low + 1, F.greatest(F.lit(0), F.least(F.size("variants"), F.col("codon") + reach + 1) - low))
+    held = F.size(F.filter(around, lambda v: v >= least))
+    out = told.join(q, "guide_id").withColumn("essential", F.col("gene").isin(list(essential)))
+    return out.select(
+        *sites.columns, "essential", F.col("codon").alias("cut_codon"), F.coalesce(F.get("variants", F.col("codon")) >= least, F.lit(False)).alias("codon_varies"), held.alias("local_variable_codons"),
+        F.when(F.size(around) > 0, (held * variable + (F.size(around) - held) * invariant) / F.size(around)).alias("local_tolerance"), F.col("q_single").alias("q_single_copy"), F.col("q").alias("q_site"), F.col("q_frameshift").alias("q_from_frameshift"), F.col("q_inframe").alias("q_from_inframe"),
+    )

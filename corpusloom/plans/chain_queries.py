@@ -16,6 +16,7 @@ from ..operators import model as M
 from ..operators import presence as P
 from ..operators import sites as K
 from ..operators import stitch as Z
+from ..operators import sweep as Y
 from ..session import cut
 from . import prelude as p
 
@@ -159,13 +160,17 @@ def chain_manifest(spark, sf_dir):
     return mapped.select("seq_id", "turned", "length_bp", "n_ambiguous", F.size("chains").alias("n_chains"), reach(F.array_min, "low").alias("low"), reach(F.array_max, "high").alias("high"), F.size("scored").alias("n_scored"))
 
 
-def _profile(spark, sf_dir):
-    """Codons of every segment (its whole codons, odd ones read backwards) in the records; prose has stops anywhere, so they reject nothing."""
-    x = Ground(spark, sf_dir)
+def _coding(x):
+    """Every segment as a coding sequence: its whole codons, odd segments read backwards."""
     n, o = F.floor(F.length("seq") / 3) * 3, F.col("segment") * x.slot
     forward = F.sequence(o, o + n - 1)
-    copies = x.segments.where("length(seq) >= 30").select(F.concat(F.lit("s"), F.col("segment").cast("string")).alias("gene"), F.lit(0).alias("copy"), F.when(F.col("segment") % 2 == 0, 1).otherwise(-1).alias("strand"), F.when(F.col("segment") % 2 == 0, forward).otherwise(F.reverse(forward)).alias("positions"))
-    return C.codon_profile(x.records, x.index, copies, least=0.8, stops=False, every=False)
+    return x.segments.where("length(seq) >= 30").select(F.concat(F.lit("s"), F.col("segment").cast("string")).alias("gene"), F.lit(0).alias("copy"), F.when(F.col("segment") % 2 == 0, 1).otherwise(-1).alias("strand"), F.when(F.col("segment") % 2 == 0, forward).otherwise(F.reverse(forward)).alias("positions"))
+
+
+def _profile(spark, sf_dir):
+    """The segments' codons in the records; prose has stops anywhere, so they reject nothing."""
+    x = Ground(spark, sf_dir)
+    return C.codon_profile(x.records, x.index, _coding(x), least=0.8, stops=False, every=False)
 
 
 @query()
@@ -180,6 +185,22 @@ def codon_quality(spark, sf_dir):
     return C.profile_quality(_profile(spark, sf_dir))
 
 
+@query()
+def site_table(spark, sf_dir):
+    """All sites with the codon of their cut, what varies around it in the records, and the escape from a cut there, in 20 columns."""
+    x = Ground(spark, sf_dir)
+    copies = _coding(x)
+    counts = C.codon_counts(C.codon_profile(x.records, x.index, copies, least=0.8, stops=False, every=False))
+    at = F.col("segment") * x.slot
+    g = p.guides(spark, sf_dir).where(F.col("segment").isNotNull()).select(
+        "guide_id", F.concat(F.lit("s"), F.col("segment").cast("string")).alias("gene"), "strand", (at + F.col("ref_start")).alias("ref_start"), (at + F.col("ref_end")).alias("ref_end"), "protospacer", "pam", F.col("n_copies"), F.col("gc_fraction").alias("gc_content"), "max_homopolymer_run", "has_polyt",
+    )
+    codons = C.cut_codons(g, P.sized_broadcast(C.codon_places(copies)), len(p.CAS.pam))
+    variants = Y.gene_variants(copies.select("gene", F.floor(F.size("positions") / 3).alias("n_codons")), counts)
+    h = p.table(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") - 4).alias("length")).agg(F.count(F.lit(1)).alias("weight"))
+    return Y.site_table(g, codons, variants, Y.spectra(spark, h), Y.one_at_a_time("")[0], essential=("s0", "s1"))
+
+
 # --- anchors ---------------------------------------------------------------------------------------------------------
 
 _SLOT = "((SELECT max(length(seq)) FROM segments) + 100)"

@@ -78,3 +78,36 @@ def test_codons_of_planted_copies(spark, world):
             middle = counts.get((f"s{i}", len(s) // 6))
             assert middle and middle.n_resolved >= 2  # turned and changed copies
     assert {r.tolerance for r in counts.values()} == {0.5, 0.05}
+
+
+def test_site_table_follows_mapped_codons(spark, world):
+    """Cut codons and what varies around them by loops; q of a plain window model at the measured codons."""
+    import math
+
+    from corpusloom.operators import sweep as Y
+
+    x, slot, segments, ref, records = world
+    counts = {(r.gene, r.codon): r.n_aa_variant for r in Q.codon_tolerance(spark, DATA).collect()}
+    h = Q.p.table(spark, DATA, "lineitem").selectExpr("l_linenumber - 4 AS length", "1 AS weight").groupBy("length").sum("weight").toDF("length", "weight")
+    lengths = {r.length: r.p for r in Y.spectra(spark, h).where("spectrum = 'default'").collect()}
+    rows = Q.site_table(spark, DATA).collect()
+    assert len(rows) == Q.p.guides(spark, DATA).count() and len(rows[0]) == 20 and any(r.codon_varies for r in rows) and any(r.local_variable_codons > 0 and not r.codon_varies for r in rows)
+    sizes = {f"s{i}": len(s) // 3 for i, _, s in segments}
+    for r in rows:
+        i, n = int(r.gene[1:]), sizes[r.gene]
+        place = {i * slot + p: (p // 3 if i % 2 == 0 else (3 * n - 1 - p) // 3) for p in range(3 * n)}
+        cut = r.ref_end - 6 if r.strand == "+" else r.ref_start + 4
+        tries = [cut, (r.ref_start - 1 + r.ref_end) // 2, *range(r.ref_start - 1, r.ref_end)]
+        codon = next((place[t] for t in tries if t in place), 0)
+        varies = [counts.get((r.gene, c), 0) >= 1 for c in range(n)]
+        tol = [0.5 if v else 0.05 for v in varies]
+        near = range(max(0, codon - 5), min(n, codon + 6))
+        assert (r.cut_codon, r.codon_varies, r.local_variable_codons) == (codon, varies[codon], sum(varies[c] for c in near))
+        assert r.local_tolerance == pytest.approx(sum(tol[c] for c in near) / len(near))
+        q = 0.0
+        for length, p in lengths.items():
+            m = max(1, abs(length) // 3)
+            if length % 3 == 0:
+                starts = [s for s in range(codon - m + 1, codon + 1) if s >= 0 and s + m <= n] or [max(0, min(codon, n - m))]
+                q += p * sum(math.prod(tol[s : s + m]) for s in starts) / len(starts)
+        assert r.q_single_copy == pytest.approx(q, abs=1e-9) and r.essential == (r.gene in ("s0", "s1"))
