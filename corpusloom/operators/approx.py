@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.grammar import Grammar
 from ..functions.sequences import hamming_positions
 from .presence import require, sized_broadcast
-from .scan import MOST_WORDS, near_sites, sites
+from .scan import MOST_WORDS, near_sites, one_off_windows, sites
 
 
 def chunk_layout(length: int, mismatches: int, most: int = 8) -> list[tuple[int, int]]:
@@ -56,6 +56,20 @@ def near_hits(records: DataFrame, guides: DataFrame, grammar: Grammar, mismatche
     return near_sites(records, grammar, [r.guide_id for r in book], [r.spacer for r in book], mismatches, chunk_layout(grammar.spacer, mismatches), seed)
 
 
+def one_off_variants(records: DataFrame, guides: DataFrame) -> DataFrame:
+    """Per guide (guide_id, target) and variant, a window anywhere at exactly one substitution: guide_id, variant, place, n_records.
+
+    records: seq_id, seq.  The guides go to each executor; over `MOST_WORDS` of them is an error, as are targets of several lengths.
+    """
+    book = guides.select("guide_id", "target").where("target IS NOT NULL").limit(MOST_WORDS + 1).collect()
+    if len(book) > MOST_WORDS or len({len(r.target) for r in book}) > 1:
+        raise ValueError(f"targets of one length and at most {MOST_WORDS} of them are looked for")
+    if not book:
+        return guides.select("guide_id", F.col("target").alias("variant"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("n_records")).limit(0)
+    found = one_off_windows(records, [r.guide_id for r in book], [r.target for r in book]).distinct()
+    return found.groupBy("guide_id", "variant", "place").agg(F.count(F.lit(1)).alias("n_records"))
+
+
 def verified(hits: DataFrame, guides: DataFrame, length: int) -> DataFrame:
     """hits (guide_id, target, mismatches), each counted again base by base against its guide's spacer: a hit that was counted wrongly fails the plan.
 

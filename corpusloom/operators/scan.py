@@ -158,47 +158,58 @@ def held_words(records: DataFrame, names: list[str], targets: list[str]) -> Data
     return records.select("seq_id", "seq").mapInArrow(run, schema)
 
 
-def near_sites(records: DataFrame, grammar: Grammar, names: list[str], spacers: list[str], mismatches: int, layout: list[tuple[int, int]], seed: int = 12) -> DataFrame:
-    """Sites of records whose spacer is within `mismatches` of a dictionary spacer: seq_id, start0, strand, target, guide_id,
-    mismatches, seed_mismatches, mismatch_positions.
+class Neighbours:
+    """Packed words of k bases, found by parts of the layout (offset, size) that agree with a given word's."""
 
-    Of more chunks than mismatches one agrees (pigeonhole): a site meets the spacers that share a chunk of the layout at its
-    place, and the differing bases of two packed spacers are counted at once.
-    """
-    k, n = grammar.spacer, grammar.length
-    own = np.array([packed(_CODE[as_bytes(s)], k)[0] for s in spacers], np.int64)
-    books = []
-    for offset, size in layout:
-        shift, mask = np.int64(2 * (k - offset - size)), np.int64((1 << 2 * size) - 1)
-        keys = own >> shift & mask
-        order = np.argsort(keys, kind="stable")
-        books.append((shift, mask, keys[order], order))
-    known = pa.array(names, pa.string())
-    patterns = _strands(grammar)
-    low = np.int64((1 << 2 * seed) - 1) if seed < k else np.int64(-1)
+    def __init__(self, own: np.ndarray, k: int, layout: list[tuple[int, int]]):
+        self.own, self.books = own, []
+        for offset, size in layout:
+            shift, mask = np.int64(2 * (k - offset - size)), np.int64((1 << 2 * size) - 1)
+            keys = own >> shift & mask
+            order = np.argsort(keys, kind="stable")
+            self.books.append((shift, mask, keys[order], order))
 
-    def matched(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, spacer, differing places as bits) of close pairs."""
+    def close(self, words: np.ndarray, mismatches: int, doubts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of a given word, index of an own word, differing places as bits) of pairs within `mismatches`, by both indices.
+
+        doubts: for each given word, its places that differ from any base, as bits."""
         out = []
         for i in range(0, len(words), 1 << 16):
             part = words[i : i + (1 << 16)]
+            unsure = None if doubts is None else doubts[i : i + (1 << 16)]
             pairs = []
-            for shift, mask, keys, order in books:
+            for shift, mask, keys, order in self.books:
                 key = part >> shift & mask
                 a, z = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                 times = z - a
-                spacer = order[np.repeat(a, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+                own = order[np.repeat(a, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
                 word = np.repeat(np.arange(len(part)), times)
-                x = part[word] ^ own[spacer]
-                x = (x | x >> 1) & _ODD
-                close = np.bitwise_count(x) <= mismatches
-                pairs.append(word[close] * len(own) + spacer[close])
+                close = np.bitwise_count(self._places(part, unsure, word, own)) <= mismatches
+                pairs.append(word[close] * len(self.own) + own[close])
             pair = np.unique(np.concatenate(pairs))
-            word, spacer = pair // len(own), pair % len(own)
-            x = part[word] ^ own[spacer]
-            out.append((word + i, spacer, (x | x >> 1) & _ODD))
+            word, own = pair // len(self.own), pair % len(self.own)
+            out.append((word + i, own, self._places(part, unsure, word, own)))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
+    def _places(self, part, unsure, word, own):
+        x = part[word] ^ self.own[own]
+        x = (x | x >> 1) & _ODD
+        return x if unsure is None else x | unsure[word]
+
+
+def near_sites(records: DataFrame, grammar: Grammar, names: list[str], spacers: list[str], mismatches: int, layout: list[tuple[int, int]], seed: int = 12) -> DataFrame:
+    """Sites of records whose spacer is within `mismatches` of a dictionary spacer: seq_id, start0, strand, target, guide_id,
+    mismatches, seed_mismatches, mismatch_positions.
+
+    Of more chunks than mismatches one agrees (pigeonhole): a site meets the spacers that share a chunk of the layout at its
+    place, and the differing bases of two packed spacers are counted at once.
+    """
+    k, n = grammar.spacer, grammar.length
+    book = Neighbours(np.array([packed(_CODE[as_bytes(s)], k)[0] for s in spacers], np.int64), k, layout)
+    known = pa.array(names, pa.string())
+    patterns = _strands(grammar)
+    low = np.int64((1 << 2 * seed) - 1) if seed < k else np.int64(-1)
+
     def run(batches):
         fields = ["seq_id", "start0", "strand", "target", "guide_id", "mismatches", "seed_mismatches", "mismatch_positions"]
         for b in batches:
@@ -210,7 +221,7 @@ def near_sites(records: DataFrame, grammar: Grammar, names: list[str], spacers:
                         if not len(at):
                             continue
                         words = packed(code, n)[at] >> 2 * (n - k) if strand == "+" else turned_words(code, n)[at] >> 2 * (n - k)
-                        word, spacer, places = matched(words)
+                        word, spacer, places = book.close(words, mismatches)
                         if not len(word):
                             continue
                         said = [",".join(str(j + 1) for j in range(k) if x >> 2 * (k - 1 - j) & 1) for x in places.tolist()]
@@ -224,6 +235,51 @@ def near_sites(records: DataFrame, grammar: Grammar, names: list[str], spacers:
     return records.select("seq_id", "seq").mapInArrow(run, f"seq_id {kind}, start0 int, strand string, target string, guide_id string, mismatches int, seed_mismatches int, mismatch_positions string")
 
 
+def one_off_windows(records: DataFrame, names: list[str], targets: list[str]) -> DataFrame:
+    """(seq_id, guide_id, variant, place): the windows of records, on either strand, that differ from a target in exactly one place.
+
+    No pattern is asked of a window.  Of the two halves of a target one is there unchanged, so a window meets the targets
+    that share its left or its right half.  variant is written in the target's own direction and place counts from 1; a base
+    other than A, C, G and T differs from each base.  A variant comes once for each
+    piece of a sequence.  targets: concrete, of
+    one length from 2 to 31; a null sequence has no window.
+    """
+    n = len(targets[0])
+    half = n // 2
+    code = [_CODE[as_bytes(t)] for t in targets]
+    own = np.concatenate([np.array([packed(c, n)[0] for c in code], np.int64), np.array([turned_words(c, n)[0] for c in code], np.int64)])
+    book = Neighbours(own, n, [(0, half), (half, n - half)])
+    sides = [(shift, mask, Words(keys, order)) for shift, mask, keys, order in book.books]
+    known = pa.array(names, pa.string())
+
+    def run(batches):
+        for b in batches:
+            for row, text in enumerate(b.column(1).to_pylist()):
+                for _, raw in pieces(as_bytes(text), n):
+                    code = _CODE[raw]
+                    words, doubts = packed(code, n), packed((code == 4).astype(np.uint8), n)
+                    likely = np.zeros(len(words), bool)
+                    for shift, mask, side in sides:
+                        likely |= side.marked[side.place(words >> shift & mask)]
+                    at = np.flatnonzero(likely & (np.bitwise_count(doubts) <= 1))
+                    if not len(at):
+                        continue
+                    word, probe, places = book.close(words[at], 1, doubts[at])
+                    found = set()
+                    for start, t, x in zip(at[word].tolist(), probe.tolist(), places.tolist(), strict=True):
+                        if x:
+                            turn, place, window = t >= len(targets), n - (x.bit_length() - 1) // 2, raw[start : start + n]
+                            found.add((t % len(targets), (_TURN[window[::-1]] if turn else window).tobytes().decode(), n + 1 - place if turn else place))
+                    if found:
+                        who, variant, place = zip(*found, strict=True)
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column(0).take(pa.array(np.full(len(found), row, np.int64))), known.take(pa.array(who, pa.int64())), pa.array(variant, pa.string()), pa.array(place, pa.int32())],
+                            names=["seq_id", "guide_id", "variant", "place"])
+
+    kind = records.schema["seq_id"].dataType.simpleString()
+    return records.select("seq_id", "seq").mapInArrow(run, f"seq_id {kind}, guide_id string, variant string, place int")
+
+
 def canonical_words(code: np.ndarray, k: int) -> np.ndarray:
     """The lesser of each concrete k-mer and its reverse complement: the order of packed words is that of the strings."""
     return np.minimum(packed(code, k), turned_words(code, k))[concrete(code, k)]

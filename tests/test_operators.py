@@ -124,6 +124,39 @@ def test_similarity_join_is_lossless(spark, length, m):
     assert sum(n for _, n in A.chunk_layout(length, m)) == length
 
 
+@pytest.mark.parametrize("length", [2, 9, 23, 31])
+def test_windows_at_one_substitution(spark, length):
+    """Against every window of both strands: no pattern, N in the record, overlaps, a target that reads alike both ways."""
+    rng = random.Random(length)
+    targets = sorted({random_bases(rng, length) for _ in range(6)} | {(half := random_bases(rng, length // 2)) + "A" * (length % 2) + rc(half)})
+    seqs = [None, "", targets[0][:-1]]
+    for _ in range(8):
+        s = random_bases(rng, 60, "ACGTN" if rng.random() < 0.5 else "ACGT")
+        for _ in range(6):
+            t = list(rng.choice(targets))
+            for at in rng.sample(range(length), rng.randint(0, 2)):
+                t[at] = rng.choice("ACGTN")
+            t = "".join(t)
+            s += (t if rng.random() < 0.5 else rc(t)) + random_bases(rng, rng.randint(0, 5), "ACGTN")
+        seqs.append(s)
+    want = set()
+    for s in seqs:
+        for i in range(len(s or "") - length + 1):
+            for j, t in enumerate(targets):
+                for w in (s[i : i + length], rc(s[i : i + length])):
+                    at = [k + 1 for k in range(length) if w[k] != t[k]]
+                    if len(at) == 1:
+                        want.add((s, f"t{j}", w, at[0]))
+    carried = {}
+    for s, t, w, at in want:
+        carried.setdefault((t, w, at), set()).update(i for i, x in enumerate(seqs) if x == s)
+    records = spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string")
+    guides = spark.createDataFrame([(f"t{j}", t) for j, t in enumerate(targets)], "guide_id string, target string")
+    got = {(r.guide_id, r.variant, r.place): r.n_records for r in A.one_off_variants(records, guides).collect()}
+    assert got == {k: len(v) for k, v in carried.items()} and got
+    assert A.one_off_variants(records, guides.limit(0)).collect() == []
+
+
 def test_interval_join_is_inclusive(spark):
     rng = random.Random(8)
     hits = [(i, rng.randint(1, 2), a, a + rng.randint(0, 40)) for i in range(60) for a in [rng.randint(0, 900)]]
