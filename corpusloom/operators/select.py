@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def gate(table: DataFrame, gates: Sequence[tuple[str, Column]]) -> DataFrame:
     """table with gates_failed, all failed labels in order ("-" if none), and survives.  A null verdict is a failure."""
@@ -26,12 +30,51 @@ def dominance(table: DataFrame, key: str, higher: Sequence[str], lower: Sequence
     return table.alias("a").join(table.alias("b"), _dominates(higher, lower)).select(F.col(f"a.{key}").alias("winner"), F.col(f"b.{key}").alias("loser"))
 
 
-def pareto_front(table: DataFrame, key: str, higher: Sequence[str], lower: Sequence[str]) -> DataFrame:
-    """Rows that no other dominates.  Only distinct points of the axes are compared."""
+def pareto_front(table: DataFrame, key: str, higher: Sequence[str], lower: Sequence[str], cells: int = 1024) -> DataFrame:
+    """Rows that no other dominates.  A row with a null on an axis cannot be compared and stays; equal points stay together.  Axes
+    are numbers.
+
+    Distinct points are dealt to a grid of at most about `cells` cells by quantiles of each axis.  A point that others of its
+    batch beat on every axis goes where it lies; so does a cell of which a filled cell is better on every axis.  The points left meet
+    those of the cells that are nowhere worse than their own, joined by cell, so nothing is broadcast but the list of cells.
+    """
     axes = [*higher, *lower]
-    points = table.select(*axes).distinct()
-    front = points.alias("b").join(F.broadcast(points).alias("a"), _dominates(higher, lower), "left_anti")
-    return table.join(front, axes, "left_semi")
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in axes])
+    points = table.where(known).select(*axes).distinct()
+    # strictly worse on all axes as doubles is strictly worse: rounding keeps the order
+    alive = cut(points.mapInArrow(lambda batches: map(lambda b: _survivors(b, len(higher)), batches), points.schema))
+    per = max(2, int(cells ** (1 / len(axes))))
+    shares = F.array(*[F.lit(i / per) for i in range(1, per)])
+    marks = alive.agg(*[F.percentile_approx(F.col(c).cast("double"), shares).alias(c) for c in axes]).first()
+    step = lambda c: reduce(Column.__add__, [(F.col(c).cast("double") >= F.lit(m)).cast("int") for m in sorted(set(marks[c] or []))], F.lit(0))
+    # on every axis a greater number is better or the same
+    place = F.array(*[step(c) if c in higher else -step(c) for c in axes])
+    placed = alive.withColumn("cell", place)
+    filled = sorted(tuple(r.cell) for r in placed.select("cell").distinct().collect())  # at most per ** axes
+    if not filled:
+        return table
+    at = np.array(filled, np.int64)
+    kept = [i for i, c in enumerate(at) if not (at > c).all(axis=1).any()]
+    at = at[kept]
+    rivals = [(at[i].tolist(), at[j].tolist()) for i in range(len(at)) for j in np.flatnonzero((at >= at[i]).all(axis=1))]
+    near = table.sparkSession.createDataFrame(rivals, "cell array<int>, rival array<int>")
+    left = placed.join(F.broadcast(near), "cell").alias("b")
+    beaten = left.join(placed.withColumnRenamed("cell", "rival").alias("a"), (F.col("a.rival") == F.col("b.rival")) & _dominates(higher, lower))
+    worse = beaten.select(*[F.col(f"b.{c}").alias(c) for c in axes]).distinct()
+    front = placed.join(F.broadcast(near.select("cell").distinct()), "cell", "left_semi").drop("cell").join(worse, axes, "left_anti")
+    return table.where(~known).unionByName(table.join(front, axes, "left_semi"))
+
+
+def _survivors(batch: pa.RecordBatch, n_higher: int) -> pa.RecordBatch:
+    """The batch without points that another of it beats on every axis; axes to be low follow the first n_higher."""
+    if batch.num_rows < 2:
+        return batch
+    v = np.column_stack([np.asarray(c.cast(pa.float64(), safe=False)) for c in batch.columns])
+    v[:, n_higher:] *= -1
+    alive = np.arange(len(v))
+    for i in np.argsort(-np.argsort(np.argsort(v, axis=0), axis=0).sum(axis=1), kind="stable")[:64]:  # the best on average beat most
+        alive = alive[~(v[i] > v[alive]).all(axis=1)]
+    return batch.take(pa.array(alive))
 
 
 def lexicographic(table: DataFrame, order: Sequence[Column]) -> DataFrame:

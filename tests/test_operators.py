@@ -173,9 +173,33 @@ def test_gates_and_skyline(spark):
     g = {r.id: r.gates_failed for r in X.gate(t, [("G1", F.col("up") >= 1), ("G2", F.col("down") < 5)]).collect()}
     assert g == {"a": "-", "b": "-", "c": "-", "d": "G1; G2", "e": "G1"}
     assert {r.id for r in X.pareto_front(t.where("up is not null"), "id", ["up"], ["down"]).collect()} == {"b", "c"}
+    assert {r.id for r in X.pareto_front(t, "id", ["up"], ["down"]).collect()} == {"b", "c", "e"}
     assert {tuple(r) for r in X.dominance(t.where("up is not null"), "id", ["up"], ["down"]).collect()} == {("b", "a"), ("c", "a"), ("a", "d"), ("b", "d"), ("c", "d")}
 
 
+@pytest.mark.parametrize("spread", [3, 40, 10**9])
+def test_skyline_equals_all_comparisons(spark, spread):
+    """Ties, equal points, nulls on an axis, extra columns, a front that is most of the table, cells of several sizes."""
+    rng = random.Random(spread)
+    rows = [(i, rng.randrange(spread), rng.random() if rng.random() < 0.9 else None, rng.randrange(spread), "x") for i in range(400)]
+    rows += [(1000 + i, i, 2.0, i, "front") for i in range(60)] + [(2000, 5, 0.5, None, None)] + [(3000 + i, *rows[i][1:]) for i in range(20)]
+
+    def beats(a, b):
+        if None in a or None in b:
+            return False
+        weak = a[0] >= b[0] and a[1] >= b[1] and a[2] <= b[2]
+        return weak and a != b
+
+    want = {r[0] for r in rows if not any(beats(q[1:4], r[1:4]) for q in rows)}
+    t = spark.createDataFrame(rows, "id long, up long, more double, down long, cell string").repartition(5)
+    for cells in (2, 60, 1024):
+        front = X.pareto_front(t, "id", ["up", "more"], ["down"], cells)
+        assert front.columns == t.columns and sorted(r.id for r in front.collect()) == sorted(want)
+    plan = front._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert X.pareto_front(t.limit(0), "id", ["up", "more"], ["down"]).collect() == []
+
+
 def test_average_ranks_give_spearman(spark):
     rows = [("a", 1.0, 2.0, 20), ("b", 2.0, 2.0, 20), ("c", 3.0, 5.0, 20), ("d", 9.0, 9.0, 3)]
     r = D.compare(spark.createDataFrame(rows, "guide_id string, x double, y double, records long")).first()
