@@ -91,20 +91,76 @@ def copies(sketched: DataFrame) -> DataFrame:
     return g.join(g.groupBy("g").agg(F.min("seq_id").alias("v")), "g").where("seq_id <> v").select(F.col("seq_id").alias("u"), "v")
 
 
+def _twins(sketched: DataFrame) -> DataFrame:
+    """nearest() of the records whose sketch others share."""
+    tied = copies(sketched)
+    back = tied.groupBy("v").agg(F.min("u").alias("u"))
+    return tied.unionByName(back.select(F.col("v").alias("u"), F.col("u").alias("v"))).select(F.col("u").alias("seq_id"), F.col("v").alias("nearest"), F.lit(1.0).alias("nearest_identity"), F.lit(1.0).alias("nearest_jaccard"))
+
+
 def nearest(sketched: DataFrame, pairs: DataFrame) -> DataFrame:
     """(seq_id, nearest, nearest_identity, nearest_jaccard): each record's most similar other one, the smallest of equals.
 
     A record whose sketch others share is nearest to the first of them; pairs are those of similar_pairs().
     """
-    tied = copies(sketched)
-    back = tied.groupBy("v").agg(F.min("u").alias("u"))
-    same = tied.unionByName(back.select(F.col("v").alias("u"), F.col("u").alias("v"))).select(F.col("u").alias("seq_id"), F.col("v").alias("nearest"), F.lit(1.0).alias("nearest_identity"), F.lit(1.0).alias("nearest_jaccard"))
+    same = _twins(sketched)
     both = pairs.select(F.col("a").alias("seq_id"), F.col("b").alias("other"), "identity", "jaccard").unionByName(pairs.select(F.col("b").alias("seq_id"), F.col("a").alias("other"), "identity", "jaccard"))
     best = both.groupBy("seq_id").agg(F.min_by(F.struct("other", "identity", "jaccard"), F.struct(-F.col("jaccard"), F.col("other"))).alias("m"))
     rest = best.join(same.select("seq_id"), "seq_id", "left_anti")
     return same.unionByName(rest.select("seq_id", F.col("m.other").alias("nearest"), F.col("m.identity").alias("nearest_identity"), F.col("m.jaccard").alias("nearest_jaccard")))
 
 
+def nearest_by_rounds(sketched: DataFrame, k: int, size: int, limits: Sequence[float] = (0.8, 0.3)) -> tuple[DataFrame, list[dict]]:
+    """nearest() without the pairs of all records that share a hash; and for each round the limit, records open and pairs read.
+
+    In a total order of hashes, the rarest first, two sketches whose similarity is t or more share their first l hashes among the
+    first (1 - t) n + l of each; l is a tenth of n, the lesser of the two where they differ.  A round joins the firsts of the records still open with those of all: open ones to their own t, the
+    round's limit or the best they have seen, if that is more.  A record that has found its t is settled, for nothing beyond
+    its firsts can reach it; the others go on to the next limit, and at last to all hashes that they share.
+    """
+    first = cut(firsts(sketched).withColumn("n", F.size("sketch")))
+    spread = first.select("seq_id", "n", F.explode("sketch").alias("h"))
+    held = spread.groupBy("h").agg(F.count(F.lit(1)).alias("held"))
+    ranked = cut(spread.join(held, "h").withColumn("r", F.row_number().over(W.partitionBy("seq_id").orderBy("held", "h"))).where("held > 1").drop("held"))
+    least = lambda n: F.ceil(n / 10)
+    reach = lambda n, t: F.floor((1 - t) * n + 1e-9) + least(n)
+    known = dict(first.dtypes)["seq_id"]
+    best = first.select("seq_id", F.lit(None).cast(f"struct<other: {known}, jaccard: double, identity: double>").alias("m"))
+    told, rounds = None, []
+    for limit in (*limits, 0.0):
+        # a similarity that rounds to the limit may lie below it; what is settled lies above by more than rounding moves it
+        own = F.greatest(F.lit(limit), F.coalesce(F.col("m.jaccard") - 2e-6, F.lit(0.0)))
+        x = ranked.join(best.withColumn("t", own).select("seq_id", "t"), "seq_id").where(F.col("r") <= reach(F.col("n"), F.col("t"))).alias("x")
+        y = ranked.where(F.col("r") <= reach(F.col("n"), F.lit(limit))).alias("y")
+        alike = F.least("x.n", "y.n") >= F.col("x.t") * F.greatest("x.n", "y.n") - 1e-9
+        met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.seq_id") != F.col("y.seq_id")) & alike)
+        side = lambda c: F.first(F.col(c))
+        by = met.groupBy(F.col("x.seq_id").alias("a"), F.col("y.seq_id").alias("b")).agg(F.count(F.lit(1)).alias("both"), side("x.n").alias("n"), side("y.n").alias("m"), side("x.t").alias("t"))
+        if limit:
+            pairs = cut(by.where(F.col("both") >= F.least(least(F.col("n")), least(F.col("m")))).select("a", "b"))
+            read = _read_pairs(pairs, first, size)
+        else:  # all hashes of the other side are here, so only those beyond a record's own firsts are not counted yet
+            most = F.col("both") + F.greatest(F.col("n") - reach(F.col("n"), F.col("t")), F.lit(0))
+            union = F.col("n") + F.col("m") - F.col("both")
+            sure = (most == F.col("both")) & (union <= size)
+            able = sure | (most >= (F.col("t") - 1e-6) * F.least(F.lit(size), F.col("n") + F.col("m") - most))
+            pairs = cut(by.where(able).select("a", "b", F.when(sure, F.col("both") / union).alias("j")))
+            read = pairs.where("j is not null").unionByName(_read_pairs(pairs.where("j is null").select("a", "b"), first, size))
+        j = F.round("j", 6)
+        read = read.select("a", F.struct((-j).alias("o"), F.col("b").alias("other"), j.alias("jaccard"), F.round(mash_identity(F.col("j"), k), 6).alias("identity")).alias("p"))
+        got = read.groupBy(F.col("a").alias("seq_id")).agg(F.min("p").alias("p"))
+        best = cut(best.withColumn("t", own).join(got, "seq_id", "left").select("seq_id", "t", F.when(F.col("p").isNotNull(), F.struct("p.other", "p.jaccard", "p.identity")).otherwise(F.col("m")).alias("m")))
+        rounds.append({"limit": limit, "open": best.count(), "pairs": pairs.count()})
+        done = best.where(F.col("m.jaccard") >= F.col("t") + 1e-6) if limit else best.where("m is not null")
+        told = done.select("seq_id", "m") if told is None else told.unionByName(done.select("seq_id", "m"))
+        best = best.where(~F.coalesce(F.col("m.jaccard") >= F.col("t") + 1e-6, F.lit(False))).drop("t")
+        if best.isEmpty():
+            break
+    same = _twins(sketched)
+    rest = told.join(same.select("seq_id"), "seq_id", "left_anti")
+    return same.unionByName(rest.select("seq_id", F.col("m.other").alias("nearest"), F.col("m.identity").alias("nearest_identity"), F.col("m.jaccard").alias("nearest_jaccard"))), rounds
+
+
 def clusters(records: DataFrame, edges: DataFrame) -> DataFrame:
     """records with cluster_id (its smallest id), cluster_size and is_representative.
 

@@ -94,8 +94,7 @@ pair_rows AS (SELECT a AS seq_id, b AS other, identity, jaccard FROM pairs UNION
 SELECT * FROM same UNION ALL (SELECT seq_id, other, identity, jaccard FROM pair_rows WHERE seq_id NOT IN (SELECT seq_id FROM same) QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY jaccard DESC, other) = 1)""")
 def nearest_record(spark, sf_dir):
     """Each record's most similar other one, the first on ties."""
-    s = _sketched(spark, sf_dir)
-    return R.nearest(s, R.similar_pairs(s, K_SIZE, SKETCH))
+    return R.nearest_by_rounds(_sketched(spark, sf_dir), K_SIZE, SKETCH)[0]
 
 
 _THRESHOLDS = (0.95, 0.99, 0.999)

@@ -103,6 +103,39 @@ def test_representative_and_bridge(spark):
     assert got == {"A1": ("A1", 3, True), "B2": ("A1", 3, False), "Z9": ("A1", 3, False)}
 
 
+@pytest.mark.parametrize("size", [40, 1000])
+def test_nearest_by_rounds_equals_all_pairs(spark, size):
+    """Families of near copies, loners, equal sketches, an empty one and a hash that all hold; cut sketches and whole ones."""
+    rng = random.Random(size)
+    sets = [[]]
+    for _ in range(6):
+        base = rng.sample(range(10, 10**6), 60)
+        for _ in range(5):
+            sets.append([*rng.sample(base, rng.randint(40, 60)), *rng.sample(range(10, 10**6), rng.randint(0, 30)), 5])
+    sets += [[*rng.sample(range(10, 10**6), rng.randint(1, 50)), 5] for _ in range(10)] + [list(sets[3]), list(sets[3]), [7, 8]]
+    sets = [sorted(set(x))[:size] for x in sets]
+
+    def jaccard(x, y):
+        union = sorted(set(x) | set(y))[:size]
+        return round(len(set(x) & set(y) & set(union)) / len(union), 6) if union else 0.0
+
+    want = {}
+    for i, x in enumerate(sets):
+        equal = [j for j, y in enumerate(sets) if j != i and y == x]
+        # copies are tied to their first, which alone stands for them
+        near = [(-jaccard(x, y), j) for j, y in enumerate(sets) if j != i and set(x) & set(y) and y not in sets[:j]]
+        if equal:
+            want[i] = (equal[0], 1.0)
+        elif near:
+            want[i] = (min(near)[1], -min(near)[0])
+    t = spark.createDataFrame(list(enumerate(sets)), "seq_id long, sketch array<long>").repartition(3)
+    found, rounds = R.nearest_by_rounds(t, 21, size)
+    got = {r.seq_id: (r.nearest, r.nearest_jaccard) for r in found.collect()}
+    assert got == want
+    assert got == {r.seq_id: (r.nearest, r.nearest_jaccard) for r in R.nearest(t, R.similar_pairs(t, 21, size)).collect()}
+    assert [r["limit"] for r in rounds] == [0.8, 0.3, 0.0] and rounds[2]["open"] < rounds[1]["open"] == rounds[0]["open"]
+
+
 @pytest.mark.parametrize(("length", "m"), [(12, 2), (20, 3), (21, 4)])
 def test_similarity_join_is_lossless(spark, length, m):
     rng = random.Random(length)
