@@ -2,12 +2,13 @@
 
 The merge list has a sufficient lookahead L (see `lookahead`): a boundary of the tokens of a buffered piece that lies
 more than L bytes before the buffer's end is a boundary whatever follows.  So a pretoken of any length is encoded from a
-window of a few L, tokens are emitted once they are stable, and memory stays constant.  Texts pass in blocks, ids are
-hashed as they are emitted, and decoding runs them through the byte table and an incremental UTF-8 state machine.
+window of a few L and tokens are emitted once they are stable.  Texts pass in blocks, ids are hashed as they are emitted,
+and decoding runs them through the byte table and an incremental UTF-8 state machine: beside the text itself a digest
+holds one block of ids, however long a pretoken is.
 
 Cases: a null text is an empty text (no ids); the special token's string in a text is the special token, as in the
 library; empty tables give empty results; repeated rows are encoded each for itself; a run of millions of letters
-without a space is one pretoken and costs linear time.
+without a space is one pretoken and costs linear time; of other columns only those in carry are read, so none can clash.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -194,16 +195,25 @@ class Bpe:
             if part in self.special:
                 yield [self.special[part]]
                 continue
-            at, size = 0, BLOCK
+            at = 0
             while at < len(part):
-                found = pattern.findall(part, at, at + size)
-                if at + size < len(part):
-                    if len(found) <= 3:
-                        size *= 2
+                found = pattern.findall(part, at, at + BLOCK)
+                if at + BLOCK < len(part):
+                    if len(found) <= 3:  # a pretoken longer than a block may begin here: read this one by the stream
+                        end = pattern.match(part, at).end()
+                        yield from self.streamed(part, at, end)
+                        at = end
                         continue
                     del found[-3:]
                 yield list(chain.from_iterable(map(cache.__getitem__, found)))
-                at, size = at + sum(map(len, found)), BLOCK
+                at += sum(map(len, found))
+
+    def streamed(self, text: str, start: int, end: int) -> Iterator[list[int]]:
+        """Ids of the pretoken text[start:end], block after block as they become stable; no copy of it is made."""
+        step = self.lookahead
+        ids = self.stream(text[i : min(i + step, end)].encode() for i in range(start, end, step))
+        while block := list(islice(ids, BLOCK)):
+            yield block
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(self.blocks(text or "")))

@@ -32,7 +32,9 @@ def letters() -> np.ndarray:
 
 
 def grams(text: str) -> np.ndarray:
-    """All 1- to 3-grams of the lower-cased text as integers; anything but letters is one boundary."""
+    """All 1- to 3-grams of the lower-cased text as integers; anything but letters is one boundary.
+
+    A boundary is 0, so an n-gram that begins with one has the number of its rest and is counted with it."""
     code = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32).astype(np.int64)
     code = np.where(letters()[code], code, 0) if code.size else code
     code = np.concatenate(([0], code, [0]))

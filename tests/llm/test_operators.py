@@ -161,6 +161,7 @@ def test_bpe_streams_long_pretokens(monkeypatch):
         monkeypatch.setattr(bpe, "BLOCK", block)
         for t in texts:
             assert mine.encode(t) == lib.encode(t, add_special_tokens=False).ids
+            assert all(len(b) <= max(block, bpe.LONG) for b in mine.blocks(t))
     ids = mine.encode("é日😀")
     step = mine.decoder()
     assert "".join([*(step([i]) for i in ids), step([], True)]) == "é日😀"
@@ -307,6 +308,46 @@ def test_language_distance():
     assert p.ranks[np.searchsorted(p.keys, 7)].tolist() == [2, 0] and p.ranks[-1].tolist() == [3, 3]
 
 
+def test_language_equals_a_plain_version(spark, docs, rows):
+    """Profiles and predictions against plain counting, over the awkward table, with ties and repeated rows."""
+
+    def grams(text):
+        out = Counter()
+        for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+            code = [0, *map(ord, w), 0]
+            for n in (1, 2, 3):
+                for at in range(len(code) - n + 1):
+                    part = code[at : at + n]
+                    if any(part) and (n != 1 or part[0]) and (n != 3 or part[1]):
+                        out[tuple(part[1:] if part[0] == 0 else part)] += 1  # a leading boundary has no number of its own
+        return out
+
+    def best(counts, size):
+        return sorted(counts, key=lambda g: (-counts[g], len(g), g))[:size]
+
+    for size in (7, 60, 400):
+        learned = defaultdict(Counter)
+        for r in rows:
+            if r[2] is not None:
+                learned[r[2]].update(grams(r[1]))
+        profiles = {k: {g: i for i, g in enumerate(best(v, size))} for k, v in sorted(learned.items())}
+        assert len(profiles) == 2
+
+        def plain(r):
+            mine = best(grams(r[1]), size)
+            if not mine:
+                return "und", 0.0
+            away = {k: sum(abs(p[g] - i) if g in p else size for i, g in enumerate(mine)) for k, p in profiles.items()}
+            lang = min(away, key=lambda k: (away[k], k))
+            return lang, round(1 - away[lang] / (size * len(mine)), 12)
+
+        model = langid.learn(docs, "text", "lang", "doc_id", size, most_docs=10**6)
+        got = defaultdict(list)
+        for r in langid.identify(docs.withColumn("score", F.lit("x")).withColumn("l", F.lit(1)), model).collect():
+            got[r.doc_id].append((r.lang_pred, round(r.score, 12)))
+        assert {k: sorted(v) for k, v in got.items()} == expected(rows, plain)
+
+
 def test_held_out_accuracy(spark):
     from pathlib import Path
 
