@@ -285,29 +285,35 @@ def single_sub_variants(spark, sf_dir):
     return v.groupBy(F.col("guide_id").alias("guide_seed")).agg(F.count(F.lit(1)).alias("n_variants"), F.max("n").alias("n_dominant"), F.max_by("spacer", F.struct("n", "spacer")).alias("dominant"))
 
 
-_PROBES = f"""probes AS (SELECT guide_id, target, target AS probe, false AS turned FROM guides UNION ALL SELECT guide_id, target, {p.rc_sql("target")}, true FROM guides),
-doc_windows AS (SELECT seq_id, substring(seq, q + 1, {p.CAS.length}) AS w FROM (SELECT seq_id, seq, unnest(range(0, greatest(0, length(seq) - {p.CAS.length - 1}))) AS q FROM records)),
-half_met AS (SELECT seq_id, w, guide_id, target, probe, turned FROM doc_windows JOIN probes ON substring(w, 1, 11) = substring(probe, 1, 11) UNION ALL SELECT seq_id, w, guide_id, target, probe, turned FROM doc_windows JOIN probes ON substring(w, 12) = substring(probe, 12)),
-one_off AS (SELECT DISTINCT guide_id, seq_id, target, CASE WHEN turned THEN {p.rc_sql("w")} ELSE w END AS variant FROM half_met WHERE hamming(w, probe) = 1),
-variant_counts AS (SELECT guide_id, variant, list_max([i FOR i IN range(1, {p.CAS.length + 1}) IF substring(target, i, 1) <> substring(variant, i, 1)])::INT AS place, count(*) AS n_records FROM one_off GROUP BY guide_id, target, variant)"""
+_PROBES = f"""seeds AS (SELECT DISTINCT substring(protospacer, 9, 12) AS target FROM guides),
+probes AS (SELECT target, target AS probe, false AS turned FROM seeds UNION ALL SELECT target, {p.rc_sql("target")}, true FROM seeds),
+doc_windows AS (SELECT seq_id, substring(seq, q + 1, 12) AS w FROM (SELECT seq_id, seq, unnest(range(0, greatest(0, length(seq) - 11))) AS q FROM records)),
+half_met AS (SELECT seq_id, w, target, probe, turned FROM doc_windows JOIN probes ON substring(w, 1, 6) = substring(probe, 1, 6) UNION ALL SELECT seq_id, w, target, probe, turned FROM doc_windows JOIN probes ON substring(w, 7) = substring(probe, 7)),
+one_off AS (SELECT DISTINCT seq_id, target, CASE WHEN turned THEN {p.rc_sql("w")} ELSE w END AS variant FROM half_met WHERE hamming(w, probe) = 1),
+variant_counts AS (SELECT target, variant, list_max([i FOR i IN range(1, 13) IF substring(target, i, 1) <> substring(variant, i, 1)])::INT AS place, count(*) AS n_records FROM one_off GROUP BY target, variant)"""
 
 
-@query(f"WITH {p.RECORDS}, {p.guides_sql()}, {_PROBES} SELECT guide_id, variant, place, n_records FROM variant_counts")
+def _seeds(spark, sf_dir):
+    return p.guides(spark, sf_dir).select(F.substring("protospacer", 9, 12).alias("target")).distinct().select(F.col("target").alias("guide_id"), "target")
+
+
+@query(f"WITH {p.RECORDS}, {p.guides_sql()}, {_PROBES} SELECT target AS seed, variant, place, n_records FROM variant_counts")
 def substitution_variants(spark, sf_dir):
-    """Windows anywhere in a record, whatever follows them, at one substitution from a target, and how many records carry each."""
-    return A.one_off_variants(p.records(spark, sf_dir), p.guides(spark, sf_dir))
+    """Windows anywhere in a record, whatever follows them, at one substitution from a 12-base seed, and how many records carry each."""
+    return A.one_off_variants(p.records(spark, sf_dir), _seeds(spark, sf_dir)).withColumnRenamed("guide_id", "seed")
 
 
-@query(f"""WITH {p.RECORDS}, {p.guides_sql()}, {_PROBES}, most AS (SELECT guide_id, count(*) AS n_variants, arg_max(variant, (n_records, variant)) AS dominant, max(n_records) AS n_dominant FROM variant_counts GROUP BY guide_id)
-SELECT guide_id, coalesce(n_variants, 0) AS n_variants, dominant, place, substring(target, place, 1) || '>' || substring(dominant, place, 1) AS change, coalesce(n_dominant, 0) AS n_dominant FROM guides LEFT JOIN most USING (guide_id) LEFT JOIN variant_counts c ON c.guide_id = guides.guide_id AND variant = dominant""")
+@query(f"""WITH {p.RECORDS}, {p.guides_sql()}, {_PROBES}, most AS (SELECT target, count(*) AS n_variants, arg_max(variant, (n_records, variant)) AS dominant, max(n_records) AS n_dominant FROM variant_counts GROUP BY target)
+SELECT seeds.target AS seed, coalesce(n_variants, 0) AS n_variants, dominant, place, substring(seeds.target, place, 1) || '>' || substring(dominant, place, 1) AS change, coalesce(n_dominant, 0) AS n_dominant
+FROM seeds LEFT JOIN most ON most.target = seeds.target LEFT JOIN variant_counts c ON c.target = seeds.target AND variant = dominant""")
 def dominant_variants(spark, sf_dir):
-    """For each guide how many variants there are and the one that most records carry (ties: the greatest), with its change; nulls without one."""
-    g = p.guides(spark, sf_dir).select("guide_id", "target")
+    """For each seed how many variants there are and the one that most records carry (ties: the greatest), with its change; nulls without one."""
+    g = _seeds(spark, sf_dir)
     most = F.max_by(F.struct("variant", "place", "n_records"), F.struct("n_records", "variant"))
     v = A.one_off_variants(p.records(spark, sf_dir), g).groupBy("guide_id").agg(F.count(F.lit(1)).alias("n_variants"), most.alias("m"))
     base = lambda c: F.substring(c, F.col("m.place"), F.lit(1))
     return g.join(v, "guide_id", "left").select(
-        "guide_id", F.coalesce("n_variants", F.lit(0)).alias("n_variants"), F.col("m.variant").alias("dominant"), F.col("m.place").alias("place"),
+        F.col("target").alias("seed"), F.coalesce("n_variants", F.lit(0)).alias("n_variants"), F.col("m.variant").alias("dominant"), F.col("m.place").alias("place"),
         F.concat(base(F.col("target")), F.lit(">"), base(F.col("m.variant"))).alias("change"), F.coalesce("m.n_records", F.lit(0)).alias("n_dominant"),
     )
 
