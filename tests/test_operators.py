@@ -136,6 +136,26 @@ def test_nearest_by_rounds_equals_all_pairs(spark, size):
     assert [r["limit"] for r in rounds] == [0.8, 0.3, 0.0] and rounds[2]["open"] < rounds[1]["open"] == rounds[0]["open"]
 
 
+def test_sketches_go_out_in_small_batches():
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    class Plain:
+        schema = T.StructType([T.StructField("seq_id", T.LongType()), T.StructField("seq", T.StringType())])
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    rng = random.Random(6)
+    b = pa.RecordBatch.from_pydict({"seq_id": list(range(40)), "seq": ["".join(rng.choice("ACGT") for _ in range(100)) for _ in range(40)]})
+    parts = list(R.sketches(Plain(), 21, 50, most=500)([b]))
+    assert [x.num_rows for x in parts] == [10, 10, 10, 10, 0] and max(len(x.column(1).flatten()) for x in parts) == 500
+    assert [i for x in parts for i in x.column(0).to_pylist()] == list(range(40))
+
+
 @pytest.mark.parametrize(("length", "m"), [(12, 2), (20, 3), (21, 4)])
 def test_similarity_join_is_lossless(spark, length, m):
     rng = random.Random(length)
