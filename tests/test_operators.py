@@ -136,6 +136,39 @@ def test_nearest_by_rounds_equals_all_pairs(spark, size):
     assert [r["limit"] for r in rounds] == [0.8, 0.3, 0.0] and rounds[2]["open"] < rounds[1]["open"] == rounds[0]["open"]
 
 
+@pytest.mark.parametrize("size", [300, 5000])
+def test_close_links_have_the_components_of_all_pairs(spark, size):
+    """Copies, chains of records a base apart, records too far apart, one of another length, short and empty ones; cut sketches and whole ones."""
+    rng = random.Random(size)
+    other = {"A": "C", "C": "G", "G": "T", "T": "A"}
+    seqs = ["", "ACGT", "A" * 30, "A" * 40]
+    for n in (60, 700, 2500):
+        base = "".join(rng.choice("ACGT") for _ in range(n))
+        seqs += [base, base, base[:-1], base + "ACGTTGCAAC", base[: n // 2]]
+        for _ in range(6):  # each a base from the one before
+            at = rng.randrange(n)
+            base = base[:at] + other[base[at]] + base[at + 1 :]
+            seqs.append(base)
+    r = spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string").repartition(3)
+    s = R.sketches(r, 21, size).cache()
+    edges = R.similar_pairs(s, 21, size, 0.999).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(R.copies(s))
+    want = {(x.node, x.root) for x in R.components(edges).collect()}
+    assert {(x.node, x.root) for x in R.components(R.close_links(r, 21, size, 0.999)).collect()} == want and len(want) > 12
+
+
+def test_clusters_keep_no_sketches(spark, monkeypatch):
+    """What the cluster query writes on its way is far smaller than the sketches: parts of them, and no more."""
+    from corpusloom.operators import redundancy
+
+    seen = []
+    monkeypatch.setattr(redundancy, "cut", lambda df: seen.append(df.columns) or df.localCheckpoint())
+    rng = random.Random(4)
+    r = spark.createDataFrame([(i, "".join(rng.choice("ACGT") for _ in range(800))) for i in range(5)], "seq_id long, seq string")
+    redundancy.close_links(r, 21, 5000, 0.999).count()
+    assert seen and not any("sketch" in c for c in seen)
+    assert redundancy._traces(r, 21, 5000, redundancy.least_jaccard(0.999, 21)).select(F.max(F.size("keys"))).first()[0] < 800 / 8
+
+
 def test_sketches_go_out_in_small_batches():
     import pyarrow as pa
     from pyspark.sql import types as T
