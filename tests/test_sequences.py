@@ -33,6 +33,7 @@ def test_scalars(spark):
     assert one(spark, S.ambiguous_fraction(F.col("s")), s="") == 1.0
     assert one(spark, S.translate_codons(F.col("s")), s="ATGTGANNNTT") == "M*X"
     assert one(spark, S.translate_codons(F.col("s")), s="AT") == ""
+    assert one(spark, S.translate_codons(F.col("s")), s="éATTGAatgTTTa") == "X*XF"
     assert one(spark, S.mash_identity(F.col("j"), 21), j=0.0) == 0.0
     assert one(spark, S.mash_identity(F.col("j"), 21), j=1.0) == 1.0
     assert one(spark, S.year_of(F.col("s")), s="Mar-1999") == 1999
@@ -124,3 +125,10 @@ def test_local_gc_of_an_island(spark):
     pool = spark.createDataFrame([("a", 1, 540, 562)], "guide_id string, segment long, ref_start int, ref_end int")
     ref = spark.createDataFrame([(1, "A" * 500 + "G" * 100 + "A" * 500)], "segment long, seq string")
     assert K.local_gc(pool, ref, (50,)).first().local_gc_50 == 1.0
+
+
+def test_long_sequences_are_translated_in_one_walk(spark):
+    """Millions of bases in one record beside null, empty and short ones: a walk to each codon's place would not end."""
+    rows = [("ATGTGACCN" * 300_000,), (None,), ("",), ("ATGTT",)]
+    t = spark.createDataFrame(rows, "s string").select(S.translate_codons(F.col("s")).alias("aa"))
+    assert [r.aa for r in t.collect()] == ["M*X" * 300_000, "", "", "M"]
