@@ -39,6 +39,17 @@ def pairs_of(df, *cols):
     return {tuple(r) for r in df.select(*cols).collect()}
 
 
+def test_searching_makes_no_pairs_of_record_and_target(spark):
+    rng = random.Random(5)
+    long = random_bases(rng, 40)
+    words = {"long": long, "back": rc(random_bases(rng, 23)), "short": "ACGTTGCA", "odd": "NNRY" + random_bases(rng, 20), "head": long[:16] + "ACGTACGT", "none": None}
+    seqs = ["AC" + long, "TT" + rc(words["back"]) + "A", "GGACGTTGCAGG", words["odd"], long[:30], "", "é" + long, None, long[1:]]
+    guides = spark.createDataFrame(list(words.items()), "guide_id string, target string")
+    found = P.presence_by_search(spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string"), guides)
+    assert sorted(map(tuple, found.collect())) == [(0, "long"), (1, "back"), (2, "short"), (3, "odd"), (6, "long")]
+    assert "NestedLoopJoin" not in found._jdf.queryExecution().toString()
+
+
 def test_presence_and_what_follows(spark):
     records, guides, want = corpus(spark, random.Random(1))
     found = P.presence(records.repartition(5), guides, G)
