@@ -23,6 +23,14 @@ def random_bases(rng, n, letters="ACGT"):
     return "".join(rng.choice(letters) for _ in range(n))
 
 
+def test_texts_are_read_by_a_table_of_bytes(spark):
+    signs = "".join(map(chr, range(0x250))) + "\u200b漢\U0001f600Zz"
+    want = "".join("N" if ord(c) > 127 else "ACGT"[(ord(c.lower()) - 97) % 4] for c in signs if ord(c) > 127 or c.isalpha())
+    read = spark.createDataFrame([(signs,), ("",), (None,)], "s string").select(S.from_text(F.col("s")).alias("x"))
+    assert [r.x for r in read.collect()] == [want, "", None]
+    assert "regexp" not in read._jdf.queryExecution().toString()
+
+
 def test_scalars(spark):
     assert one(spark, S.revcomp(F.col("s")), s="ACGTNRYacgu") == "acgtRYNACGT"
     assert one(spark, S.gc_fraction(F.col("s")), s="") == 0.0
