@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.sequences import CODON
+from .scan import SPREAD, packed
 
 # What a record says about a site, from the most to the least informative; of several spans and chains the first wins.
 PRESENT, ABSENT, AMBIGUOUS, WIDE, NOT_COVERED = range(5)
@@ -42,10 +43,7 @@ def words(code: np.ndarray, k: int, step: int = 1) -> tuple[np.ndarray, np.ndarr
     at = np.arange(0, max(0, len(code) - k + 1), step)
     doubts = np.concatenate(([0], np.cumsum(code == 4)))
     at = at[doubts[at + k] == doubts[at]]
-    packed = np.zeros(len(at), np.int64)
-    for j in range(k):
-        packed = packed << 2 | code[at + j]
-    return at, packed
+    return at, packed(code, k)[at] if len(at) else np.empty(0, np.int64)
 
 
 class Reference:
@@ -59,10 +57,18 @@ class Reference:
         _, inverse, times = np.unique(word, return_inverse=True, return_counts=True)
         few = times[inverse] <= most
         self.at, self.word = at[few], word[few]
+        self.bits = min(26, max(16, len(self.word).bit_length() + 3))
+        self.marked = np.zeros(1 << self.bits, bool)
+        self.marked[self.place(self.word)] = True
+
+    def place(self, words: np.ndarray) -> np.ndarray:
+        return (words * SPREAD).view(np.uint64) >> np.uint64(64 - self.bits)
 
     def anchors(self, code: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-        """(reference position, record position) of each step-th k-mer of a record, by both."""
+        """(reference position, record position) of each step-th k-mer of a record, by both; words that a bitmap lacks are not searched for."""
         qry, word = words(code, self.k, step)
+        likely = self.marked[self.place(word)]
+        qry, word = qry[likely], word[likely]
         low, high = np.searchsorted(self.word, word, "left"), np.searchsorted(self.word, word, "right")
         times = high - low
         place = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)

@@ -17,6 +17,7 @@ from ..operators import presence as P
 from ..operators import sites as K
 from ..operators import stitch as Z
 from ..operators import sweep as Y
+from ..operators.scan import held_words
 from ..session import cut
 from . import prelude as p
 
@@ -146,8 +147,8 @@ def anchor_chain_status(spark, sf_dir):
     x = Ground(spark, sf_dir)
     sites = _windows(x)
     mapped = C.laid(x.records, x.index, sites, step=STEP)
-    both = sites.where(F.col("target").rlike("^[ACGT]+$")).select("guide_id", F.explode(F.array(F.col("target"), S.revcomp(F.col("target")))).alias("kmer")).distinct()
-    held = K.kmer_bag(x.records.select("seq_id", "seq"), "seq", 23).join(P.sized_broadcast(both), "kmer").select("seq_id", "guide_id").distinct()
+    book = sites.where(F.col("target").rlike("^[ACGT]+$")).select("guide_id", "target").collect()  # laid() bounds the sites
+    held = held_words(x.records, [r.guide_id for r in book], [r.target for r in book]) if book else x.records.select("seq_id", F.lit("").alias("guide_id")).limit(0)
     return C.classify(mapped, held)
 
 

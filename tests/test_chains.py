@@ -176,3 +176,14 @@ def test_a_stop_of_the_reference_rejects_nothing(spark):
     rows = [("same", ref), ("new", ref[:90] + "TAA" + ref[93:]), ("end", ref[:-3] + "TAA")]
     prof = C.codon_profile(spark.createDataFrame(rows, "seq_id string, seq string"), spark.createDataFrame([(ref,)], "seq string"), copies, k=10, step=1, least=0.9)
     assert {r.seq_id: r.verdict for r in prof.collect()} == {"same": "used", "new": "stop", "end": "used"}
+
+
+def test_anchors_ask_a_bitmap_first():
+    rng = random.Random(8)
+    bases = "".join(rng.choice("ACGT") for _ in range(400))
+    index = C.Reference(bases[:200] + "N" * 5 + bases[150:], 25)
+    assert index.marked.sum() <= len(set(index.word.tolist())) and index.marked[index.place(index.word)].all()
+    record = "TTACN" + bases[30:120] + "N" + bases[140:260] + "GA"
+    where = [(at, q) for q in range(0, len(record) - 24, 4) for at, w in zip(index.at.tolist(), index.word.tolist()) if (C.words(C.coded(record[q : q + 25]), 25)[1] == w).any()]
+    ref, qry = index.anchors(C.coded(record), 4)
+    assert list(zip(ref.tolist(), qry.tolist())) == sorted(where) and where
