@@ -6,10 +6,9 @@ logistic calibration fitted on other labelled rows turns it into a score; it als
 since the same difference says less of a text that hardly does (on held-out rows of 10,000 documents 5 of 122 bad ones are
 accepted with it, 29 without).
 
-The model is fitted on a bounded sample of labelled rows: at most about `most_docs` of each class, chosen by a hash of
-the key, of which half give dictionary pieces (`piece` bytes each, spread over the text, `pieces` of a document) and
-half, as whole texts, the calibration.  Samples too few to train a dictionary on are one themselves, as plain text; of a
-class that has rows in one of the halves only, all rows serve both.
+The model is fitted on all labelled rows: by a hash of the key half of them give, with their whole texts, the dictionaries
+and half the calibration; of a class that has rows in one of the halves only, all rows serve both.  Texts are dealt into units of
+about `UNIT` bytes, each of which is trained to its share of the class's dictionary.  The calibration's sums run over the cluster.  A unit too small to train a dictionary on is one itself, as plain text.
 
 Cases: a null text is scored as an empty one, and an empty text by the sizes of two empty frames; repeated rows are
 scored alike and, of labels that disagree, a key has the lesser; labels for unknown documents, null labels and null keys are ignored;
@@ -22,19 +21,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, cut, shielded, threshold_sample
+from ..operators.presence import sized_broadcast
+from .common import annotate, cut, shielded, slices, tidy, written
 
 
-def take_pieces(text: bytes, size: int, most: int) -> list[bytes]:
-    """At most `most` pieces of `size` bytes, evenly spread."""
-    n = max(1, min(most, len(text) // size))
-    step = max(0, len(text) - size) / max(1, n - 1) if n > 1 else 0
-    return [text[int(i * step) : int(i * step) + size] for i in range(n)]
+MOST_SENT = 500_000  # rows of two numbers that are broadcast; more are joined by shuffle
+UNIT, LEAST, PIECE = 4 << 20, 256, 1000  # bytes: of a unit, of its share of a dictionary, of a sample
+
+
+def all_pieces(text: bytes, size: int = PIECE) -> list[bytes]:
+    return [text[i : i + size] for i in range(0, len(text), size)]
 
 
 def features(good: int, bad: int, n: int) -> tuple[float, float, float]:
@@ -68,54 +70,94 @@ class CompressionModel:
         return score
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
-    """Weights with the intercept first, by Newton's method on standardised columns."""
-    scale = x.std(axis=0) + 1e-12
-    a = np.column_stack([np.ones(len(x)), x / scale])
-    w = np.zeros(a.shape[1])
+def logistic(seen: DataFrame, ridge: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, float] | None:
+    """Weights with the intercept first, by Newton's method on scaled columns of seen(y, x), and the share of y; None without both classes."""
+
+    def summed(f) -> np.ndarray:
+        def run(batches):
+            total = 0.0
+            for b in batches:
+                if b.num_rows:
+                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                    total = total + f(b.column(0).to_numpy(zero_copy_only=False).astype(float), x)
+            if np.ndim(total):
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+        return np.sum([r.v for r in seen.select("y", "x").mapInArrow(run, "v array<double>").collect()], axis=0)  # a row of each task
+
+    sums = summed(lambda y, x: np.concatenate(([len(y), y.sum()], x.sum(axis=0))))
+    if not np.ndim(sums) or not 0 < sums[1] < sums[0]:
+        return None
+    n, mean = sums[0], sums[2:] / sums[0]
+    scale = np.sqrt(summed(lambda y, x: ((x - mean) ** 2).sum(axis=0)) / n) + 1e-12
+    w = np.zeros(1 + len(scale))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + ridge * w
-        h = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)) * len(x) ** 0.5
-        step = np.linalg.solve(h, g)
-        w -= step
+
+        def slopes(y, x, w=w):
+            a = np.column_stack([np.ones(len(x)), x / scale])
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            return np.concatenate((a.T @ (p - y), ((a * (p * (1 - p))[:, None]).T @ a).ravel()))
+
+        got = summed(slopes)
+        h = got[len(w) :].reshape(len(w), -1) + ridge * np.eye(len(w)) * n**0.5
+        step = np.linalg.solve(h, got[: len(w)] + ridge * w)
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return np.concatenate([w[:1], w[1:] / scale])
-
-
-def fit(
-    docs: DataFrame,
-    labels: DataFrame,
-    allowed,
-    key: str = "doc_id",
-    text: str = "text",
-    label: str = "quality",
-    most_docs: int = 3000,
-    dictionary: int = 262_144,
-    piece: int = 1000,
-    pieces: int = 4,
-) -> CompressionModel:
-    """Learn from labelled rows whose key satisfies allowed(column)."""
+    return np.round(np.concatenate([w[:1], w[1:] / scale]), 9), sums[1] / n  # rounded: sums come in any order
+
+
+def dictionaries(rows: DataFrame, bytes_of: dict[int, int], size: int) -> dict[int, bytes]:
+    """A dictionary of the whole texts of each class, from rows(k, y, t): each unit of texts is trained to its share of it.
+
+    That is what the training does with one text, of which each stretch gives its best segments.
+    """
+    units = {y: max(1, min(size // LEAST, -(-n // UNIT))) for y, n in bytes_of.items()}
+    h = F.xxhash64("k", "t")
+    unit = F.pmod(h, F.create_map(*[F.lit(v) for x in units.items() for v in x])[F.col("y")]).cast("long")
+
+    def trained(batches):
+        def told(y, unit, part, held):
+            return pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([unit], pa.int64()), pa.array([part], pa.int32()), pa.array([build(held, size // units[y])], pa.binary())], names=["y", "unit", "part", "d"])
+
+        now, part, held, n = (None, None), 0, [], 0
+        for whole in batches:
+            for b in slices(whole, 2):
+                for y, unit, raw in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
+                    if held and ((y, unit) != now or n >= 2 * UNIT):  # texts beyond what units were dealt for: one more part
+                        yield told(*now, part, held)
+                        part, held, n = part + 1 if (y, unit) == now else 0, [], 0
+                    now = y, unit
+                    held += all_pieces(raw or b"")
+                    n += len(raw or b"")
+        if held:
+            yield told(*now, part, held)
+        tidy()
+
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    dealt = rows.select("y", unit.alias("unit"), F.col("t").cast("binary").alias("t"), h.alias("h")).repartition(max(2, sum(units.values())), "y", "unit").sortWithinPartitions("y", "unit", "h")
+    out = dict.fromkeys(bytes_of, b"")
+    for r in sorted(dealt.select("y", "unit", "t").mapInArrow(trained, "y int, unit long, part int, d binary").collect(), key=lambda r: (r.y, r.unit, r.part)):  # about `size` bytes of each class
+        out[r.y] += bytes(r.d)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, allowed, key: str = "doc_id", text: str = "text", label: str = "quality", dictionary: int = 262_144) -> CompressionModel:
+    """Learn from all labelled rows whose key satisfies allowed(column)."""
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & allowed(F.col("k"))).groupBy("k").agg(F.min("y").alias("y"))
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
     if len(counts) < 2:
         return CompressionModel(b"", b"", [0.0], prior)
-    chosen = [threshold_sample(known.where(F.col("y") == y), "k", most_docs, n) for y, n in counts.items()]
-    # at most about 2 * most_docs keys: small whatever the corpus
-    sample = chosen[0].unionByName(chosen[1])
-    rows = cut(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k"))
     side = F.pmod(F.xxhash64("k", F.lit(23)), F.lit(2))
-    halves = {(r.y, r.side): r["count"] for r in rows.select("y", side.alias("side")).groupBy("y", "side").count().collect()}
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(sized_broadcast(cut(known), MOST_SENT), "k").select("k", "y", "t", side.alias("side"))
+    halves = {(r.y, r.side): r.n for r in rows.groupBy("y", "side").agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).collect()}
     alone = [y for y in (0, 1) if (y, 0) not in halves or (y, 1) not in halves]
     both = F.col("y").isin(*alone) if alone else F.lit(False)
-    cuts = annotate(rows.where((side == 0) | both), "t", [T.StructField("pieces", T.ArrayType(T.BinaryType()))], lambda: lambda ts: (None, [[take_pieces((t or "").encode(), piece, pieces) for t in ts]]), ["k", "y"])
-    by: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in sorted(cuts.collect(), key=lambda r: r.k):  # at most most_docs * pieces * piece bytes of each class
-        by[r.y] += [bytes(p) for p in r.pieces if p]
-    made = [build(by[y], dictionary) for y in (1, 0)]
+    bytes_of = {y: sum(n for (c, s), n in halves.items() if c == y and (s == 0 or y in alone)) for y in (0, 1)}
+    by = dictionaries(rows.where((F.col("side") == 0) | both), bytes_of, dictionary)
+    made = [by.get(y, b"") for y in (1, 0)]
     if not all(made):
         return CompressionModel(b"", b"", [0.0], prior)
     model = CompressionModel(*made, [0.0], prior)
@@ -129,16 +171,13 @@ def fit(
 
         return f
 
-    seen = annotate(rows.where((side == 1) | both), "t", [T.StructField("x", T.ArrayType(T.DoubleType()))], factory, ["k", "y"]).collect()
-    seen = sorted(((r.k, r.y, r.x) for r in seen))
-    y = np.array([r[1] for r in seen], float)
-    if len(set(y)) < 2:
+    seen = written(annotate(rows.where((F.col("side") == 1) | both), "t", [T.StructField("x", T.ArrayType(T.DoubleType()))], factory, ["y"]), "quality-seen")
+    found = logistic(seen)
+    if found is None:
         return CompressionModel(b"", b"", [0.0], prior)
-    x = np.array([r[2] for r in seen])
-    w = logistic(x, y)
-    # the classes were sampled unequally: put the labels' own odds back
-    odds = np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))
-    w[0] += odds
+    w, mean = found
+    # the halves hold the classes unequally: put the labels' own odds back
+    w[0] += np.log(prior / (1 - prior)) - np.log(mean / (1 - mean))
     model.weights = list(w)
     return model
 
