@@ -105,8 +105,7 @@ SELECT source, lang, version, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens
 
 
 def op9_masked_lm(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return masked_lm.score(docs, masked_lm.fit(docs))
+    return masked_lm.fit_and_score(table(spark, sf_dir, "documents"))
 
 
 def op10_simhash(spark, sf_dir):

@@ -103,3 +103,49 @@ def test_every_word_has_a_probability_of_its_own(spark, monkeypatch):
     said = [f"word0 word1 {w} word0 word1" for w in ("only3", "qzxv\u00e9qj##", "word150", "word151", "only")]
     got = {r.doc_id: r.pll for r in masked_lm.score(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(said)], DOCS), model).collect()}
     assert len(set(got.values())) == len(said) and got[1] < got[0] - 10
+
+
+def test_ids_that_are_kept_give_the_same_scores_and_texts_are_looked_up_once(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "VOCAB", 12)
+    monkeypatch.setattr(masked_lm, "UNIT", 400)  # the longest text is scored by stretches
+    rng = np.random.default_rng(4)
+    many = [f"Word{i}" for i in range(60)]
+    texts = [" ".join(many[i] for i in np.minimum(rng.zipf(1.3, n) - 1, 59)) + f" only{d}" for d, n in enumerate([3, 40, 40, 900, 1, 7] * 8)] + [None, "", " \n", "same text", "same text"]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, 7, 0.5) for i, t in enumerate(texts)], DOCS + ", h long, ids double")
+    carry = ("doc_id", "h", "ids", "source")
+    want = masked_lm.score(df, masked_lm.fit(df), carry=carry)
+    passes, encoded = [], masked_lm.encoded
+    monkeypatch.setattr(masked_lm, "encoded", lambda *a, **k: passes.append(a) or encoded(*a, **k))
+    monkeypatch.setattr(masked_lm, "score", None)
+    got = masked_lm.fit_and_score(df.repartition(3), carry=carry)
+    assert len(passes) == 1 and got.columns == want.columns
+    a, b = ({r.doc_id: r for r in x.collect()} for x in (want, got))
+    assert a.keys() == b.keys() == set(range(len(texts)))
+    for i, r in a.items():
+        s = b[i]
+        assert (r.h, r.ids, r.source, r.n_tokens, r.pll_mean is None) == (s.h, s.ids, s.source, s.n_tokens, s.pll_mean is None)
+        assert abs(r.pll - s.pll) < 1e-3 * max(1, r.n_tokens)
+    assert abs(b[len(texts) - 1].pll - b[len(texts) - 2].pll) < 1e-4 and b[len(texts) - 5].pll == 0.0
+
+
+def test_saturated_and_lone_groups():
+    """Values far out, one group only, an odd width and a last group with few classes: sums by the definition."""
+    rng = np.random.default_rng(6)
+    model = masked_lm.WindowNetwork([str(i).encode() for i in range(68)], hidden=5)
+    model.weights = [(rng.standard_normal(s) * 60).astype(np.float32) for s in model.shapes]
+    for low, high in ((0, 70), (64, 70), (3, 4)):
+        part = rng.integers(0, 70, (50, 5)).astype(np.int16)
+        part[:, 0] = rng.integers(low, high, 50)
+        tables, a, g, c, w, b = (p.astype(np.float64) for p in model.weights)
+        h = np.tanh(sum(tables[k][part[:, 1 + k]] for k in range(4)) + a)
+        want = []
+        for x, v in zip(part[:, 0].tolist(), h, strict=True):
+            first = x // masked_lm.GROUP * masked_lm.GROUP
+            zs = ((g @ v + c, x // masked_lm.GROUP), ((w @ v + b)[first : first + masked_lm.GROUP], x - first))
+            want.append(sum(z[i] - z.max() - np.log(np.exp(z - z.max()).sum()) for z, i in zs))
+        assert np.allclose(model.log_probability(part), want, rtol=1e-4, atol=1e-2)
+        dh = rng.standard_normal((50, 5)).astype(np.float32)
+        plain = np.zeros((4, 70, 5))
+        for k in range(4):
+            np.add.at(plain[k], part[:, 1 + k], dh)
+        assert np.allclose(model.neighbours(part[:, 1:].T.astype(np.intp), dh), plain, atol=1e-5)
