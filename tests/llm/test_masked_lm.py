@@ -149,3 +149,9 @@ def test_saturated_and_lone_groups():
         for k in range(4):
             np.add.at(plain[k], part[:, 1 + k], dh)
         assert np.allclose(model.neighbours(part[:, 1:].T.astype(np.intp), dh), plain, atol=1e-5)
+
+
+def test_fit_and_score_without_tokens(spark):
+    none = spark.createDataFrame([(1, None, "en", "s", 1), (2, "", "en", "s", 1), (None, " \n", None, None, 1)], DOCS)
+    assert masked_lm.fit_and_score(none.limit(0)).count() == 0
+    assert sorted((r.doc_id or 0, r.n_tokens, r.pll, r.pll_mean) for r in masked_lm.fit_and_score(none).collect()) == [(k, 0, 0.0, None) for k in range(3)]
