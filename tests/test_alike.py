@@ -78,3 +78,38 @@ def test_no_sketch_is_written(spark, tmp_path, name):
     before = size()
     rows = catalogue.QUERIES[name](spark, str(tmp_path)).collect()
     assert len(rows) >= 3 and size() - before < 3 * sum(map(len, texts))  # the sketches alone are eight times the texts
+
+
+def test_repeated_sequences_keep_no_hashes(spark, tmp_path):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ACGT") for _ in range(3000)) for _ in range(100)] * 2
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in shared.rglob("*") if f.is_file())
+    before = size()
+    rows = {r.seq_id: r.nearest for r in catalogue.QUERIES["nearest_record"](spark, str(tmp_path)).collect()}
+    assert rows == {i: (i + 100) % 200 for i in range(200)} and size() - before < 2 * sum(map(len, texts))  # 12 bytes a hash otherwise
+
+
+@pytest.mark.parametrize("size", [40, 250, 5000])
+def test_tiles_equal_plain_similarities(monkeypatch, size):
+    """Common hashes by matrices, few rows at once, and late ones in small groups."""
+    monkeypatch.setattr(L, "DENSE", 6)
+    monkeypatch.setattr(L, "ROWS", 5)
+    monkeypatch.setattr(L, "SLICE", 300)
+    first = {}
+    for t in corpus(60):
+        if len(x := sketch_of(t, K, size)):
+            first.setdefault(x.tobytes(), x)
+    held = list(first.values())
+
+    def block(low, high):
+        own = np.repeat(np.arange(high - low), [len(x) for x in held[low:high]])
+        hashes, ranks = np.concatenate(held[low:high]), np.concatenate([np.arange(len(x)) + 1 for x in held[low:high]])
+        order = np.argsort(hashes, kind="stable")
+        return L.Block(list(range(low, high)), [len(x) for x in held[low:high]], hashes[order], own[order], ranks[order])
+
+    x, y = block(0, 30), block(30, len(held))
+    for one, two in ((x, x), (x, y), (y, y)):
+        got = [(one.ids[a], two.ids[b], j) for part in L.tiles(one, two, size) for a, b, j in zip(*(c.tolist() for c in part), strict=True)]
+        assert sorted(got) == [(a, b, R._jaccard(held[a], held[b], size)) for a in one.ids for b in two.ids if a < b and len(np.intersect1d(held[a], held[b]))]
