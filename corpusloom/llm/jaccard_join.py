@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.alike import run_ends, shared_counts, spread
 from ..operators.components import components
 from ..operators.presence import sized_broadcast
 from .common import SLICE_BYTES, slices, tidy, written
@@ -130,30 +131,18 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Intersection sizes of each pair, by products of membership matrices over the shingles that both sides have."""
-    known = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
-    out = np.zeros((len(left), len(right)), np.int64)
-    step = 1 << 13
-
-    def placed(sets):
-        at = []
-        for s in sets:
-            k = np.minimum(np.searchsorted(known, s), len(known) - 1)
-            at.append(k[known[k] == s])
-        return np.repeat(np.arange(len(sets)), [len(x) for x in at]), np.concatenate(at)
-
-    if not len(known):
-        return out
-
-    (ri, ra), (ci, ca) = placed(left), placed(right)
-    for start in range(0, len(known), step):
-        a, b = np.zeros((len(left), step), np.float32), np.zeros((len(right), step), np.float32)
-        m = (ra >= start) & (ra < start + step)
-        a[ri[m], ra[m] - start] = 1
-        m = (ca >= start) & (ca < start + step)
-        b[ci[m], ca[m] - start] = 1
-        out += (a @ b.T).astype(np.int64)
-    return out
+    """Intersection sizes of each pair: shingles that many sets hold by products of membership matrices, the others by their pairs of sets."""
+    sides = []
+    for sets in (left, right):
+        held = np.concatenate(sets)
+        order = np.argsort(held, kind="stable")
+        held, own = held[order], np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[order]
+        sides.append((held, own, *run_ends(held)))
+    (hx, ox, fx, tx), (hy, oy, fy, ty) = sides
+    _, i, j = np.intersect1d(hx[fx], hy[fy], assume_unique=True, return_indices=True)
+    number = np.arange(len(i))
+    entries = [(np.repeat(number, times[at]), own[spread(first[at], times[at])]) for own, first, times, at in ((ox, fx, tx, i), (oy, fy, ty, j))]
+    return shared_counts(*entries, len(i), len(left), len(right)).reshape(len(left), len(right)).astype(np.int64)
 
 
 class Classes:
@@ -406,21 +395,23 @@ def _deeper(cells: DataFrame, texts: DataFrame, depth: int) -> tuple[DataFrame,
     links = told.where("kind = 0").select(F.col("node").alias("u"), F.col("to").alias("v"))
     roots = components(links)
     placed = told.where("kind = 1").select("cell", "to", "node").join(whole.select("cell", "node", "n", F.col("many").alias("before")), ["cell", "node"])
-    placed = placed.select(F.concat_ws("/", "cell", F.col("to").cast("string")).alias("cell"), "node", "n", "before")
+    placed = placed.select(F.col("cell").alias("region"), F.concat_ws("/", "cell", F.col("to").cast("string")).alias("cell"), "node", "n", "before")
     classed = placed.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
-    stats = classed.groupBy("cell").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("weight"), F.first("before").alias("was"), F.min("class").alias("a"), F.max("class").alias("b"))
-    open_ = written(classed.drop("before").join(stats.where("a <> b").drop("a", "b"), "cell"), "join-open")
     fits = (F.col("many") <= LEAF) & (F.col("weight") <= WEIGHT)
-    stuck = ~fits & (F.col("many") > DIVIDED * F.col("was"))
+    stats = classed.groupBy("cell").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("weight"), F.first("before").alias("was"), F.first("region").alias("region"), F.min("class").alias("a"), F.max("class").alias("b"))
+    stats = written(stats.where("a <> b").drop("a", "b").withColumn("stuck", ~fits & (F.col("many") > DIVIDED * F.col("was"))), "join-stats")
+    undivided = stats.where("stuck").select("region").distinct()  # its cells hold much the same nodes: it is compared itself, once
+    open_ = written(classed.drop("before", "region").join(stats.join(undivided, "region", "left_anti").select("cell", "many", "weight"), "cell"), "join-open")
+    kept = whole.select("cell", "node", "many", "weight", "t").join(undivided.withColumnRenamed("region", "cell"), "cell").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
     with_text = texts.withColumnRenamed("sid", "node")
     small = open_.where(fits).join(with_text, "node").select("cell", "node", "class", "t").repartition("cell").sortWithinPartitions("cell", "node")
     blocks = F.ceil(F.greatest(F.col("many") / BLOCK, F.col("weight") / WEIGHT)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    tiled = open_.where(stuck).join(with_text, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiled = kept.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     ends = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
     tiles = tiled.select("cell", *ends, "own", "node", "class", "t").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "node")
     more = [written(x, "join-links") for x in (small.mapInArrow(_leaves, "u long, v long"), tiles.mapInArrow(_blocks, "u long, v long"))]
-    return written(open_.where(~fits & ~stuck).select("cell", "node", "n"), "join-cells"), links.unionByName(more[0]).unionByName(more[1])
+    return written(open_.where(~fits).select("cell", "node", "n"), "join-cells"), links.unionByName(more[0]).unionByName(more[1])
 
 
 def linked_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -131,3 +131,38 @@ def test_sieve_keeps_every_link():
                 links += 1
                 assert of[i] == of[j]
     assert links > 50 and max(map(len, groups)) < 20
+
+
+def test_a_region_that_does_not_divide_is_compared_once(spark, monkeypatch):
+    """Near copies at many distances: each pivot's cell holds most of the region, whose nodes are not sent once for each."""
+    rng = random.Random(8)
+    base, few = [f"w{rng.randrange(5000)}" for _ in range(300)], [f"x{k}" for k in range(12)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(300), rng.choice([2, 5, 12, 20])):
+            words[at] = rng.choice(few)
+        rows.append((i, " ".join(words)))
+    sent, write = {}, jaccard_join.written
+
+    def counted(df, label):
+        out = write(df, label)
+        sent[label] = sent.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "LEAF", 64)
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    assert got(jaccard_join.linked_documents(spark.createDataFrame(rows, DOCS))) == brute(rows)
+    assert sent["join-whole"] > 64 and sent["join-open"] < 2 * sent["join-whole"]
+
+
+def test_overlaps_equal_plain_ones(monkeypatch):
+    from corpusloom.operators import alike
+
+    rng = np.random.default_rng(3)
+    draw = lambda n: [np.unique(rng.integers(0, 400, rng.integers(1, 60)).astype(np.uint64) << np.uint64(50) | np.uint64(7)) for _ in range(n)]
+    for dense in (0, 30, 10**9):
+        monkeypatch.setattr(alike, "DENSE", dense)
+        left, right = draw(40), draw(25)
+        assert jaccard_join.overlaps(left, right).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+        assert not jaccard_join.overlaps(left, [np.array([1], np.uint64)]).any()
