@@ -113,3 +113,13 @@ def test_tiles_equal_plain_similarities(monkeypatch, size):
     for one, two in ((x, x), (x, y), (y, y)):
         got = [(one.ids[a], two.ids[b], j) for part in L.tiles(one, two, size) for a, b, j in zip(*(c.tolist() for c in part), strict=True)]
         assert sorted(got) == [(a, b, R._jaccard(held[a], held[b], size)) for a in one.ids for b in two.ids if a < b and len(np.intersect1d(held[a], held[b]))]
+
+
+def test_tiles_of_a_limit_get_only_records_that_can_reach_it(spark):
+    rng = random.Random(6)
+    word = lambda m: "".join(rng.choice("ACGT") for _ in range(m))
+    common = word(400)
+    texts = [word(400) + common[:40] for _ in range(20)] + [common + word(5) for _ in range(3)]
+    made = L.blocks(spark.createDataFrame(list(enumerate(texts)), "seq_id long, seq string"), 21, 5000)
+    left = L._trimmed(made.withColumn("gone", F.lit(None).cast("array<int>")), "bigint", 0.5, 5000)
+    assert sorted(i for r in left.collect() for i in r.ids) == [20, 21, 22]
